@@ -3,8 +3,8 @@
 Nodes share a bucket if some hash of theirs is equal. Every verified link between nodes of one bucket
 joins their groups. Instead of a bucket's pairs, this looks at
 
-1. a star: each node against two leaders of its bucket (the least id, and the least id under a
-   bit mask, found by aggregates that are combined before the shuffle);
+1. a star: each node against two leaders of its bucket (the least and the greatest id, found by
+   aggregates that are combined before the shuffle);
 2. what is left: in buckets whose nodes are still in different groups, the pairs of nodes of
    different groups, and only those.
 
@@ -19,10 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster_io import cut
+from .cluster_io import cut, maybe_broadcast
 
-#: Turns the order of ids around, so that the second leader is far from the first.
-MASK = 0x2AAA_5555_3333_0F0F
 Verify = Callable[[DataFrame], DataFrame]
 
 
@@ -53,19 +51,21 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 def link(buckets: DataFrame, verify: Verify) -> DataFrame:
     """Verified links (a, b) that connect what the buckets (key, node) can connect.
 
-    ``buckets`` must be cut already. ``verify`` takes distinct pairs (a, b), a < b, and returns those
-    that hold. The links are enough to tell the groups; links inside a group are not all returned.
+    ``buckets`` has distinct rows; it is read twice. ``verify`` takes distinct pairs (a, b), a < b, and
+    returns those that hold. The links are enough to tell the groups; not every link inside a
+    group is among them.
     """
-    size = buckets.groupBy("key").agg(F.min("node").alias("l1"), (F.min(F.col("node").bitwiseXOR(F.lit(MASK)))).alias("x"), F.count("*").alias("n")).where("n > 1")
-    led = cut(buckets.join(size.select("key", "l1", F.col("x").bitwiseXOR(F.lit(MASK)).alias("l2")), "key"))
+    size = cut(buckets.groupBy("key").agg(F.min("node").alias("l1"), F.max("node").alias("l2"), F.count("*").alias("n")).where("n > 1"))
+    # A bucket of two is its own pair; only larger ones need their nodes.
+    led = cut(buckets.join(maybe_broadcast(size.where("n > 2").select("key", "l1", "l2"), 32), "key"))
     pair = lambda x: F.struct(F.least("node", x).alias("a"), F.greatest("node", x).alias("b"))
-    star = led.select(pair("l1").alias("p")).unionByName(led.select(pair("l2").alias("p"))).select("p.a", "p.b").where("a < b").distinct()
-    star = cut(star)
+    star = led.select(pair("l1").alias("p")).unionByName(led.select(pair("l2").alias("p"))).select("p.a", "p.b")
+    star = cut(star.unionByName(size.where("n = 2").select(F.col("l1").alias("a"), F.col("l2").alias("b"))).where("a < b").distinct())
     links = cut(verify(star).select("a", "b"))
     comp = components(links)
-    rest = led.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = rest.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 <> c2 and n > 2").select("key")
-    rest = cut(rest.join(mixed, "key"))
+    rest = cut(led.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
+    mixed = cut(rest.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key"))
+    rest = cut(rest.join(maybe_broadcast(mixed, 16), "key"))
     x, y = rest.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), rest.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
     pairs = x.join(y, "key").where("ca <> cb and a < b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     return links.unionByName(cut(verify(cut(pairs)).select("a", "b")))

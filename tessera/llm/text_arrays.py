@@ -97,20 +97,25 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         yield batch.slice(start)
 
 
-def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range; ranges are ascending. Worked off in blocks of bounded size."""
-    out = np.empty(len(starts), U64)
+def hash_ranges(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """64-bit hashes of the byte ranges from ``starts`` to each of ``ends``, worked off in blocks of bounded size.
+
+    Ranges are ascending; the first of ``ends`` is the longest.
+    """
+    out = [np.empty(len(starts), U64) for _ in ends]
     i = 0
     while i < len(starts):
         s0 = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, s0 + BLOCK_BYTES, side="right")))
-        n = int(ends[i:j].max()) - s0
+        j = max(i + 1, int(np.searchsorted(ends[0], s0 + BLOCK_BYTES, side="right")))
+        n = int(ends[0][j - 1]) - s0
         prefix = np.zeros(n + 1, U64)
         np.cumsum((data[s0 : s0 + n].astype(U64) + U64(1)) * _power(_BASE, n)[:n], out=prefix[1:])
-        a, b = starts[i:j] - s0, ends[i:j] - s0
-        out[i:j] = (prefix[b] - prefix[a]) * _power(_INVERSE, n)[a]
+        a = starts[i:j] - s0
+        before, scale = prefix[a], _power(_INVERSE, n)[a]
+        for got, end in zip(out, ends, strict=True):
+            got[i:j] = (prefix[end[i:j] - s0] - before) * scale
         i = j
-    return mix(out ^ (ends - starts).astype(U64))
+    return [mix(got ^ (end - starts).astype(U64)) for got, end in zip(out, ends, strict=True)]
 
 
 def words(column: pa.Array, separators: np.ndarray = PLAIN_SEPARATORS, hashed: bool = True) -> Words:
@@ -124,7 +129,7 @@ def words(column: pa.Array, separators: np.ndarray = PLAIN_SEPARATORS, hashed: b
     starts, ends = cuts[:-1], cuts[1:]
     keep = inside[starts] if len(starts) else np.zeros(0, bool)
     starts, ends = starts[keep], ends[keep]
-    got = hash_ranges(data, starts, ends) if hashed else np.zeros(0, U64)
+    got = hash_ranges(data, starts, ends)[0] if hashed else np.zeros(0, U64)
     return Words(data, starts, ends, got, np.searchsorted(starts, at), len(column))
 
 
