@@ -79,7 +79,7 @@ class Field:
             rows = rows[np.argsort(-n[rows], kind="stable")]
             steps, first = int(n[rows[0]]), bounds[rows]
             live = np.searchsorted(-n[rows], -np.arange(1, steps + 1), side="right")  # rows with a token at each step
-            ahead, back = np.empty((steps, len(rows))), np.ones((steps + 1, len(rows)))
+            ahead, back = np.zeros((steps, len(rows))), np.ones((steps + 1, len(rows)))
             at = np.minimum(first[None, :] + np.arange(steps)[:, None], len(e) - 1)
             x = e[at]
             r = start * x[0]
