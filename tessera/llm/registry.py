@@ -80,4 +80,21 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_substring_dedup": SUBSTRINGS, "op8_url_filter": URLS}
+
+
+SUBSTRINGS = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(generate_series(1, len(w) - 12)) AS i, w FROM d WHERE len(w) >= 13), h AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM g),
+f AS (SELECT s, min(doc_id) AS first FROM h GROUP BY 1), r AS (SELECT h.doc_id, i FROM h JOIN f USING (s) WHERE first < h.doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS j FROM r), n AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+sha256(coalesce(array_to_string([w[k] for k in generate_series(1, len(w)) if NOT list_contains(coalesce(gone, []), k)], ' '), '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id)""".strip()
+
+URLS = r"""
+WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) t(verdict, h, p)),
+m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM s, r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN m USING (page_id)""".strip()

@@ -4,13 +4,14 @@ Tokens are the words `[^\\x20\\x09-\\x0D]+`, unchanged. An edge is a k-mer of ``
 document, from its first ``EDGE - 1`` words to its last. Only edges that two documents share matter:
 
 1. Sparse graph. Each edge has a minimiser: the least-hashed run of ``SEED`` words inside it. Equal edges
-   have equal minimisers, and neighbouring edges mostly share theirs, so that only a fifth of the
-   positions is shuffled to find the minimisers of more than one document. All edges of a minimiser
-   that stays in one document are dropped unseen.
-2. Repeated edges. The edges left are joined by their hash (96 bits), which gives each its source: its
-   first coordinate in the document of least doc_id.
-3. Compaction. Edges that follow one another in a document and whose sources follow one another too are
-   a nonbranching path; a path becomes one span with one source coordinate.
+   have equal minimisers. Consecutive edges of one minimiser form a segment, a path that is
+   shuffled as one row with the hash of all its words; a fifth as many rows as edges. Segments of a
+   minimiser that stays in one document are dropped: none of their edges is shared.
+2. Repeated segments. Segments of equal words have their source in the document of least doc_id, and
+   so have all their edges. Only where a minimiser has several different segments (at the ends of
+   passages, mostly) are the edges of each segment's source looked at one by one.
+3. Compaction. Segments and edges that follow one another in a document and whose sources follow one
+   another too are a nonbranching path; a path becomes one span with one source coordinate.
 
 A span is a repeat of an earlier document if its source document has a smaller doc_id. Null texts have
 no words. Rows of a null doc_id take no part and keep everything; rows that repeat a doc_id are
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cluster_io import cut, maybe_broadcast
-from .text_arrays import RAW_SEPARATORS, U64, Words, mix, signed, sliding_min, slices, strings, window_hashes, words
+from .text_arrays import RAW_SEPARATORS, U64, Words, sequence_hash, signed, sliding_min, slices, strings, window_hashes, words
 
 EDGE, SEED = 13, 5
 _SECOND = 0xA24BAED4963EE407
@@ -45,50 +46,66 @@ def edge_minimisers(w: Words, edge: int, seed: int) -> tuple[np.ndarray, np.ndar
     return row, start, least[w.bounds[:-1][row] + start]
 
 
-def seeds(batches: Iterator[pa.RecordBatch], edge: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(seed, doc_id), once for each minimiser of each text."""
+def segments(batches: Iterator[pa.RecordBatch], edge: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """(seed, g1, g2, doc_id, start, n): minimiser, 96 bits of hash, place and number of edges of each segment."""
     for batch in batches:
         for part in slices(batch, "text"):
-            row, _, least = edge_minimisers(words(strings(part.column("text")), RAW_SEPARATORS), edge, seed)
+            w = words(strings(part.column("text")), RAW_SEPARATORS)
+            row, start, least = edge_minimisers(w, edge, seed)
             new = np.ones(len(row), bool)
             new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
-            yield pa.record_batch([pa.array(signed(least[new])), part.column("doc_id").take(pa.array(row[new]))], ["seed", "doc_id"])
+            at = np.flatnonzero(new)
+            n = np.diff(np.append(at, len(row)))
+            first = w.bounds[:-1][row[at]] + start[at]
+            end = first + n + edge - 1
+            g1, g2 = sequence_hash(w.hashes, first, end, 3), (sequence_hash(w.hashes, first, end, _SECOND) >> U64(33)).astype(np.int32)
+            yield pa.record_batch([pa.array(signed(least[at])), pa.array(signed(g1)), pa.array(g2), part.column("doc_id").take(pa.array(row[at])), pa.array(start[at].astype(np.int32)), pa.array(n.astype(np.int32))], ["seed", "g1", "g2", "doc_id", "start", "n"])
 
 
-def edges(batches: Iterator[pa.RecordBatch], edge: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, doc_id, start) of the edges whose minimiser is among the text's repeated ones."""
+def edges(batches: Iterator[pa.RecordBatch], edge: int) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, doc_id, start) of the edges of the text's wanted segments; runs beyond a text's end are cut."""
     for batch in batches:
         for part in slices(batch, "text"):
             w = words(strings(part.column("text")), RAW_SEPARATORS)
-            row, start, least = edge_minimisers(w, edge, seed)
-            lists = part.column("seeds")
-            bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-            # Row and seed in one sorted key: membership in the row's own list.
-            own = mix(lists.flatten().to_numpy(zero_copy_only=False).view(U64) ^ mix(np.repeat(np.arange(len(lists)), np.diff(bounds)).astype(U64)))
-            keep = np.isin(mix(least ^ mix(row.astype(U64))), own)
-            first = w.bounds[:-1][row[keep]] + start[keep]
-            h1 = window_hashes(w.hashes, edge)[first]
-            h2 = (window_hashes(mix(w.hashes ^ U64(_SECOND)), edge)[first] >> U64(33)).astype(np.int32)
-            yield pa.record_batch([pa.array(signed(h1)), pa.array(h2), part.column("doc_id").take(pa.array(row[keep])), pa.array(start[keep].astype(np.int32))], ["h1", "h2", "doc_id", "start"])
+            wanted = part.column("wanted")
+            row = np.repeat(np.arange(len(wanted)), [len(x) for x in wanted])
+            flat = wanted.flatten()
+            start, n = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("start", "n"))
+            row, offset = np.repeat(row, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start = np.repeat(start, n) + offset
+            inside = start + edge <= np.diff(w.bounds)[row]
+            row, start = row[inside], start[inside]
+            first = w.bounds[:-1][row] + start
+            h1 = sequence_hash(w.hashes, first, first + edge, 5)
+            h2 = (sequence_hash(w.hashes, first, first + edge, _SECOND + 2) >> U64(33)).astype(np.int32)
+            yield pa.record_batch([pa.array(signed(h1)), pa.array(h2), part.column("doc_id").take(pa.array(row)), pa.array(start.astype(np.int32))], ["h1", "h2", "doc_id", "start"])
+
+
+def with_source(frame: DataFrame, *key: str) -> DataFrame:
+    """Adds the first coordinate of the least doc_id among equal keys; the minimum is taken before the shuffle."""
+    first = frame.groupBy(*key).agg(F.min(F.struct("doc_id", "start")).alias("source"))
+    return frame.join(first, list(key)).withColumns({"source_doc": F.col("source.doc_id"), "source_start": F.col("source.start")}).drop("source")
 
 
 def spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", edge: int = EDGE, seed: int = SEED) -> DataFrame:
     """Compacted paths (SPANS): ``n_edges`` edges from word ``start`` of a document repeat its source from ``source_start``."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    found = docs.mapInArrow(lambda b: seeds(b, edge, seed), "seed long, doc_id long")
+    found = docs.mapInArrow(lambda b: segments(b, edge, seed), "seed long, g1 long, g2 int, doc_id long, start int, n int")
     shared = found.groupBy("seed").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("seed")
-    wanted = cut(found.join(shared, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")))
-    ids = maybe_broadcast(wanted.select("doc_id"), 16)
-    texts = docs.join(ids, "doc_id", "left_semi").join(wanted, "doc_id").select("doc_id", "text", "seeds")
-    left = texts.mapInArrow(lambda b: edges(b, edge, seed), "h1 long, h2 int, doc_id long, start int")
-    left = cut(left)
-    sources = left.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.max("doc_id").alias("last")).where("source.doc_id < last").select("h1", "h2", F.col("source.doc_id").alias("source_doc"), F.col("source.start").alias("source_start"))
-    # The source's own occurrence is no repeat; a source's other occurrences in its document are none either.
-    repeats = left.join(sources, ["h1", "h2"]).where("source_doc < doc_id").select("doc_id", "start", "source_doc", "source_start").distinct()
+    left = cut(with_source(cut(found.join(shared, "seed")), "g1", "g2"))
+    runs = left.where("source_doc < doc_id").select("doc_id", "start", "n", "source_doc", "source_start")
+    own = left.where("source_doc = doc_id")
+    several = own.groupBy("seed").agg(F.min(F.struct("g1", "g2")).alias("x"), F.max(F.struct("g1", "g2")).alias("y")).where("x <> y").select("seed")
+    wanted = cut(own.join(several, "seed").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("wanted")))
+    texts = docs.join(maybe_broadcast(wanted, 256), "doc_id").select("doc_id", "text", "wanted")
+    single = cut(texts.mapInArrow(lambda b: edges(b, edge), "h1 long, h2 int, doc_id long, start int"))
+    single = with_source(single, "h1", "h2").where("source_doc < doc_id").select("doc_id", "start", F.lit(1).alias("n"), "source_doc", "source_start")
+    runs = runs.unionByName(single).distinct()
     order = Window.partitionBy("doc_id").orderBy("start")
-    step = (F.col("start") == F.lag("start").over(order) + 1) & (F.col("source_doc") == F.lag("source_doc").over(order)) & (F.col("source_start") == F.lag("source_start").over(order) + 1)
-    path = repeats.withColumn("new", F.when(step, 0).otherwise(1)).withColumn("path", F.sum("new").over(order))
-    return path.groupBy("doc_id", "path").agg(F.min("start").cast("long").alias("start"), F.count("*").alias("n_edges"), F.first("source_doc").alias("source_doc"), F.min("source_start").cast("long").alias("source_start")).drop("path")
+    last = lambda c: F.lag(c).over(order)
+    step = (F.col("start") == last("start") + last("n")) & (F.col("source_doc") == last("source_doc")) & (F.col("source_start") == last("source_start") + last("n"))
+    path = runs.withColumn("new", F.when(step, 0).otherwise(1)).withColumn("path", F.sum("new").over(order))
+    return path.groupBy("doc_id", "path").agg(F.min("start").cast("long").alias("start"), F.sum("n").alias("n_edges"), F.min("source_doc").alias("source_doc"), F.min("source_start").cast("long").alias("source_start")).drop("path")
 
 
 def kept(batches: Iterator[pa.RecordBatch], edge: int) -> Iterator[pa.RecordBatch]:

@@ -170,6 +170,13 @@ def window_hashes(h: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
     return mix(got)
 
 
+def sequence_hash(h: np.ndarray, first: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of the sequences h[first:end]."""
+    prefix = np.zeros(len(h) + 1, U64)
+    np.cumsum(mix(h ^ U64(seed)) * _power(_BASE, len(h) + 1)[: len(h)], out=prefix[1:])
+    return mix((prefix[end] - prefix[first]) * _power(_INVERSE, len(h) + 1)[first] + (end - first).astype(U64))
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive entries, in log2(w) passes."""
     size = 1
