@@ -3,13 +3,15 @@
 Nodes share a bucket if some hash of theirs is equal. Every verified link between nodes of one bucket
 joins their groups. Instead of a bucket's pairs, this looks at
 
-1. a star: each node against two leaders of its bucket (the least and the greatest id, found by
-   aggregates that are combined before the shuffle);
-2. what is left: in buckets whose nodes are still in different groups, the pairs of nodes of
-   different groups, and only those.
+1. a star: each node against two leaders of its bucket, the least id and the most popular node. A
+   node is popular if its buckets are large; the text that many copies were made from is in
+   the largest ones, though the copies may be too far from each other to be linked;
+2. in buckets whose nodes are still in different groups, again and again, the nodes outside of the
+   bucket's largest group against one node of it, as long as step 3 would be larger than the buckets;
+3. what is left: the pairs of nodes of one bucket and different groups, and only those.
 
-So a bucket of near copies costs as many comparisons as it has nodes, and no link that could change
-a group is lost. Step 2 repeats nothing that step 1 compared.
+So a bucket of near copies costs a few comparisons for each of its nodes, and no link that could
+change a group is lost.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .cluster_io import cut, maybe_broadcast
 
+#: Rounds of step 2 at most; after them step 3 does what is left, whatever it costs.
+ROUNDS = 4
 Verify = Callable[[DataFrame], DataFrame]
 
 
@@ -57,15 +61,27 @@ def link(buckets: DataFrame, verify: Verify) -> DataFrame:
     """
     size = cut(buckets.groupBy("key").agg(F.min("node").alias("l1"), F.max("node").alias("l2"), F.count("*").alias("n")).where("n > 1"))
     # A bucket of two is its own pair; only larger ones need their nodes.
-    led = cut(buckets.join(maybe_broadcast(size.where("n > 2").select("key", "l1", "l2"), 32), "key"))
+    led = cut(buckets.join(maybe_broadcast(size.where("n > 2").select("key", "l1", "n"), 32), "key"))
+    popular = led.groupBy("node").agg(F.sum("n").alias("p"))
+    leader = led.join(popular, "node").groupBy("key").agg(F.max_by("node", F.struct("p", -F.col("node"))).alias("l2"))
+    led = cut(led.join(maybe_broadcast(cut(leader), 24), "key").select("key", "node", "l1", "l2"))
     pair = lambda x: F.struct(F.least("node", x).alias("a"), F.greatest("node", x).alias("b"))
     star = led.select(pair("l1").alias("p")).unionByName(led.select(pair("l2").alias("p"))).select("p.a", "p.b")
-    star = cut(star.unionByName(size.where("n = 2").select(F.col("l1").alias("a"), F.col("l2").alias("b"))).where("a < b").distinct())
-    links = cut(verify(star).select("a", "b"))
-    comp = components(links)
-    rest = cut(led.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
-    mixed = cut(rest.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key"))
-    rest = cut(rest.join(maybe_broadcast(mixed, 16), "key"))
-    x, y = rest.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), rest.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    pairs = x.join(y, "key").where("ca <> cb and a < b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    tested = cut(star.unionByName(size.where("n = 2").select(F.col("l1").alias("a"), F.col("l2").alias("b"))).where("a < b").distinct())
+    links = cut(verify(tested).select("a", "b"))
+    for i in range(ROUNDS + 1):
+        comp = components(links)
+        rest = led.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        parts = cut(rest.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64(F.lit(i), "node")).alias("top")))
+        whole = parts.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k"), F.max_by(F.struct("comp", "top"), F.struct("c", "comp")).alias("most")).where("k > 1")
+        whole = cut(whole.select("key", "s", "q", F.col("most.comp").alias("comp0"), F.col("most.top").alias("top")))
+        nodes, left = whole.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0))).first()
+        mixed = rest.join(maybe_broadcast(whole, 48), "key")
+        if left <= 2 * nodes or i == ROUNDS:
+            break
+        found = cut(mixed.where("comp <> comp0").select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        tested, links = tested.unionByName(found), links.unionByName(cut(verify(found).select("a", "b")))
+    mixed = cut(mixed.select("key", "node", "comp"))
+    x, y = mixed.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), mixed.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    pairs = x.join(y, "key").where("ca <> cb and a < b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
     return links.unionByName(cut(verify(cut(pairs)).select("a", "b")))
