@@ -31,8 +31,12 @@ from pyspark.sql import functions as F
 from .cluster_io import cut, maybe_broadcast
 from .text_arrays import RAW_SEPARATORS, U64, Words, sequence_hash, signed, sliding_min, slices, strings, window_hashes, words
 
-EDGE, SEED = 13, 5
+EDGE, SEED = 13, 7
+#: A seed in HOT_DOCS documents of a sample of HOT_SAMPLE of them is in more than one for certain; its rows are
+#: dealt to SALTS parts. What the sample misses is only slower.
+HOT_SAMPLE, HOT_DOCS, SALTS = 0.02, 8, 256
 _SECOND = 0xA24BAED4963EE407
+LONGEST = 15  # edges of a segment; its first word is below 2**28
 SPANS = "doc_id long, start long, n_edges long, source_doc long, source_start long"
 
 
@@ -47,7 +51,7 @@ def edge_minimisers(w: Words, edge: int, seed: int) -> tuple[np.ndarray, np.ndar
 
 
 def segments(batches: Iterator[pa.RecordBatch], edge: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(seed, g1, g2, doc_id, start, n): minimiser, 96 bits of hash, place and number of edges of each segment."""
+    """(seed, g, place, doc_id): minimiser, 64 bits of hash, and 32 bits more, first word and number of edges in one number."""
     for batch in batches:
         for part in slices(batch, "text"):
             w = words(strings(part.column("text")), RAW_SEPARATORS)
@@ -55,11 +59,17 @@ def segments(batches: Iterator[pa.RecordBatch], edge: int, seed: int) -> Iterato
             new = np.ones(len(row), bool)
             new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
             at = np.flatnonzero(new)
+            # A segment is cut where its length would not fit.
             n = np.diff(np.append(at, len(row)))
+            pieces = -(-n // LONGEST)
+            within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            n = np.minimum(np.repeat(n, pieces) - within * LONGEST, LONGEST)
+            at = np.repeat(at, pieces) + within * LONGEST
             first = w.bounds[:-1][row[at]] + start[at]
             end = first + n + edge - 1
-            g1, g2 = sequence_hash(w.hashes, first, end, 3), (sequence_hash(w.hashes, first, end, _SECOND) >> U64(33)).astype(np.int32)
-            yield pa.record_batch([pa.array(signed(least[at])), pa.array(signed(g1)), pa.array(g2), part.column("doc_id").take(pa.array(row[at])), pa.array(start[at].astype(np.int32)), pa.array(n.astype(np.int32))], ["seed", "g1", "g2", "doc_id", "start", "n"])
+            more = sequence_hash(w.hashes, first, end, _SECOND) & ~U64(0xFFFFFFFF)
+            place = more | (start[at] * (LONGEST + 1) + n).astype(U64)
+            yield pa.record_batch([pa.array(signed(least[at])), pa.array(signed(sequence_hash(w.hashes, first, end, 3))), pa.array(signed(place)), part.column("doc_id").take(pa.array(row[at]))], ["seed", "g", "place", "doc_id"])
 
 
 def edges(batches: Iterator[pa.RecordBatch], edge: int) -> Iterator[pa.RecordBatch]:
@@ -90,12 +100,22 @@ def with_source(frame: DataFrame, *key: str) -> DataFrame:
 def spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", edge: int = EDGE, seed: int = SEED) -> DataFrame:
     """Compacted paths (SPANS): ``n_edges`` edges from word ``start`` of a document repeat its source from ``source_start``."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    found = docs.mapInArrow(lambda b: segments(b, edge, seed), "seed long, g1 long, g2 int, doc_id long, start int, n int")
-    shared = found.groupBy("seed").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("seed")
-    left = cut(with_source(cut(found.join(shared, "seed")), "g1", "g2"))
+    kind = "seed long, g long, place long, doc_id long"
+    found = docs.mapInArrow(lambda b: segments(b, edge, seed), kind)
+    sample = docs.sample(HOT_SAMPLE, seed=1).mapInArrow(lambda b: segments(b, edge, seed), kind)
+    hot = cut(sample.groupBy("seed").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= HOT_DOCS).select("seed", F.lit(True).alias("hot")))
+    salted = found.join(maybe_broadcast(hot, 32), "seed", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS - 1)) + 1).otherwise(0)).drop("hot")
+    # One shuffle: a seed's rows meet in a sorted stream, and a hot seed's need not meet.
+    meet = Window.partitionBy("seed", "salt")
+    shared = salted.withColumns({"x": F.min("doc_id").over(meet), "y": F.max("doc_id").over(meet)}).where("salt > 0 or x < y")
+    low = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    shared = shared.select("seed", "g", F.shiftright("place", 32).cast("int").alias("more"), "doc_id", F.shiftright(low, 4).cast("int").alias("start"), low.bitwiseAND(F.lit(LONGEST)).cast("int").alias("n"))
+    left = cut(with_source(shared, "g", "more").select("seed", "doc_id", "start", "n", "source_doc", "source_start"))
     runs = left.where("source_doc < doc_id").select("doc_id", "start", "n", "source_doc", "source_start")
     own = left.where("source_doc = doc_id")
-    several = own.groupBy("seed").agg(F.min(F.struct("g1", "g2")).alias("x"), F.max(F.struct("g1", "g2")).alias("y")).where("x <> y").select("seed")
+    # A source stands for one content: a seed of several sources has segments of different words.
+    source = F.struct("source_doc", "source_start")
+    several = own.groupBy("seed").agg(F.min(source).alias("x"), F.max(source).alias("y")).where("x <> y").select("seed")
     wanted = cut(own.join(several, "seed").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("wanted")))
     texts = docs.join(maybe_broadcast(wanted, 256), "doc_id").select("doc_id", "text", "wanted")
     single = cut(texts.mapInArrow(lambda b: edges(b, edge), "h1 long, h2 int, doc_id long, start int"))
