@@ -149,6 +149,9 @@ class EvidenceEstimator:
     def _plain(self, value: Column) -> Column:
         return value if self.task == "regression" else F.element_at(F.array(*map(F.lit, self.classes_)), A.argmax(value) + 1)
 
+    def _fingerprint(self) -> Column:
+        return X.fingerprint(*(F.col(c) for c in self.spec.all_columns()))
+
     def describe(self, frame: DataFrame) -> Column:
         """The row as text for an answerer; long text is cut and, for numbers, masked."""
         kinds = [(c, F.col(c), "integer" if dict(frame.dtypes)[c] in ("int", "bigint") else "boolean" if dict(frame.dtypes)[c] == "boolean" else "text") for c in self.spec.all_columns() if c != self.spec.long_text]
@@ -160,12 +163,13 @@ class EvidenceEstimator:
 
     def plan(self, frame: DataFrame) -> dict:
         cost = self.client.cost_per_call if self.client else routing.COST_A_ROW
-        return routing.plan(self._signal(self.evidence(frame)), "signal", self.id_col, self.rate, self.threshold, self.approved, cost)
+        rows = self._signal(self.evidence(frame)).withColumn("fingerprint", self._fingerprint())
+        return routing.plan(rows, "signal", self.id_col, self.rate, self.threshold, None if self.approved is None else rows.join(self.approved, "fingerprint").select(self.id_col), cost)
 
     def predict(self, frame: DataFrame) -> Prediction:
         if self.check:
             leakage.check_overlap(self.train.drop(self.target, self.id_col), frame.drop(self.target, self.id_col), warn=True)
-        fast = self._signal(self.evidence(frame)).withColumns({"fingerprint": X.fingerprint(*(F.col(c) for c in self.spec.all_columns())), "description": self.describe(frame)}).cache()
+        fast = self._signal(self.evidence(frame)).withColumns({"fingerprint": self._fingerprint(), "description": self.describe(frame)}).cache()
         cost = self.client.cost_per_call if self.client else routing.COST_A_ROW
         approved = None if self.approved is None else fast.join(self.approved, "fingerprint").select(self.id_col, F.col("approved_value"))
         routed = self.rate is not None or self.threshold is not None
