@@ -2,8 +2,8 @@
 
 Each token is clean or toxic. A token's features are its word and its prefixes of 3 to 6 bytes (ASCII
 letters lower-cased), hashed into ``BUCKETS`` weights; a 2 x 2 transition table links neighbours.
-Forward-backward gives each token's marginal; a text's score is a logistic function of the sum and the
-largest of its marginals, and runs of tokens with a marginal of 0.5 or more are its toxic spans.
+Forward-backward gives each token's marginal; a text's score is a logistic function of the sum of cubes
+and the largest of its marginals, and runs of tokens with a marginal of 0.5 or more are its toxic spans.
 
 Labels are of documents, so tokens are labelled first: in toxic texts of the sample, a token is toxic if
 one of its features stands between many different neighbours in toxic texts (copies of a passage
@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from .text_arrays import PLAIN_SEPARATORS, U64, Words, hash_ranges, mix, slices, strings, words
 
 BUCKETS = 1 << 18
-PER_CLASS = 1500
-SAMPLE_CHARS = 20_000
+PER_CLASS = 1000
+SAMPLE_CHARS = 10_000
 SLICE_BYTES = 8 << 20
 PREFIXES = (3, 4, 5, 6)
 FOLDS, HELD_OUT = 5, 0
-MIN_CONTEXTS, MIN_ODDS = 8, 20.0
+MIN_CONTEXTS, CONTEXT_SHARE, MIN_ODDS = 8, 0.03, 30.0
 SPANS = "array<struct<start: long, stop: long, probability: double>>"
 _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
@@ -56,7 +56,7 @@ class Field:
 
     weights: np.ndarray
     chain: np.ndarray  # start, clean to toxic, toxic to clean, toxic to toxic
-    link: np.ndarray  # intercept, log1p of the sum of marginals, largest marginal
+    link: np.ndarray  # intercept, log1p of the sum of cubed marginals, largest marginal
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
         out = self.weights[features[:, 0]].astype(np.float64)
@@ -129,7 +129,7 @@ def toxic_features(w: Words, features: np.ndarray, label: np.ndarray) -> np.ndar
         counts.append(got)
     toxic, clean = counts
     n1, n0 = max(1, int((label[row] == 1).sum())), max(1, int((label[row] == 0).sum()))
-    return (toxic >= MIN_CONTEXTS) & ((toxic / n1) >= MIN_ODDS * ((clean + 0.5) / n0))
+    return (toxic >= max(MIN_CONTEXTS, CONTEXT_SHARE * (label == 1).sum())) & ((toxic / n1) >= MIN_ODDS * ((clean + 0.5) / n0))
 
 
 def fit(texts: list[str], labels: list[int], rounds: int = 30, rate: float = 0.5, decay: float = 1e-6) -> Field:
@@ -174,11 +174,11 @@ def fit(texts: list[str], labels: list[int], rounds: int = 30, rate: float = 0.5
 
 
 def summary(p: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum and maximum of each row, 0 for rows without tokens."""
+    """Sum of cubes and maximum of each row, 0 for rows without tokens: many faint tokens make no toxic text."""
     full = np.flatnonzero(np.diff(bounds) > 0)
     total, largest = np.zeros(len(bounds) - 1), np.zeros(len(bounds) - 1)
     if len(full):
-        total[full] = np.add.reduceat(p, bounds[full])
+        total[full] = np.add.reduceat(p**3, bounds[full])
         largest[full] = np.maximum.reduceat(p, bounds[full])
     return total, largest
 
