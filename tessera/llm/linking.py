@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .cluster_io import cut, maybe_broadcast
 
-#: Rounds of step 2 at most; after them step 3 does what is left, whatever it costs.
-ROUNDS = 4
+#: Rounds of step 2 at most, and the pairs a node from which on one is worth it; after them step 3 does what
+#: is left, whatever it costs.
+ROUNDS, WORTH = 4, 16
 Verify = Callable[[DataFrame], DataFrame]
 
 
@@ -32,16 +33,17 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, comp) of every node in edges (a, b); comp is the least node of the group.
 
     Alternates large-star and small-star steps; each step takes minima before its shuffle and its
-    join may be split by AQE where a node has very many neighbours. Null ends are left out.
+    join may be split by AQE where a node has very many neighbours. Joins are merges throughout: many
+    small broadcasts would pile up on the driver. Null ends are left out.
     """
     edges = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = cut(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -71,13 +73,13 @@ def link(buckets: DataFrame, verify: Verify) -> DataFrame:
     links = cut(verify(tested).select("a", "b"))
     for i in range(ROUNDS + 1):
         comp = components(links)
-        rest = led.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        rest = led.select("key", "node").join(comp.hint("merge"), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
         parts = cut(rest.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64(F.lit(i), "node")).alias("top")))
         whole = parts.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k"), F.max_by(F.struct("comp", "top"), F.struct("c", "comp")).alias("most")).where("k > 1")
         whole = cut(whole.select("key", "s", "q", F.col("most.comp").alias("comp0"), F.col("most.top").alias("top")))
         nodes, left = whole.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0))).first()
         mixed = rest.join(maybe_broadcast(whole, 48), "key")
-        if left <= 2 * nodes or i == ROUNDS:
+        if left <= WORTH * nodes or i == ROUNDS:
             break
         found = cut(mixed.where("comp <> comp0").select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
         tested, links = tested.unionByName(found), links.unionByName(cut(verify(found).select("a", "b")))

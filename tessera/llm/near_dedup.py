@@ -161,13 +161,13 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = cut(own.mapInArrow(band_keys, "key long, node long").distinct())
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(own.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
+        near = pairs.join(own.select(F.col("node").alias("a"), F.col("sketch").alias("sa")).hint("merge"), "a").join(own.select(F.col("node").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b").select("a", "b", "sa", "sb")
         near = cut(near.mapInArrow(agreeing, "a long, b long, share double"))
         # First the best pair of each node: most groups hang together by them; then what still joins groups.
         best = near.groupBy("b").agg(F.max_by("a", "share").alias("a")).select("a", "b")
         held = cut(verified(best))
-        comp = cut(components(held))
-        more = near.select("a", "b").join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+        comp = components(held)
+        more = near.select("a", "b").join(comp.toDF("a", "ca").hint("merge"), "a", "left").join(comp.toDF("b", "cb").hint("merge"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
         return held.unionByName(verified(cut(more.join(best, ["a", "b"], "left_anti"))))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
         rows = docs.join(maybe_broadcast(ids, 16), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
         packed = cut(rows.mapInArrow(contents, "node long, n int, blob binary"))
-        both = pairs.join(packed.toDF("a", "na", "xa"), "a").join(packed.toDF("b", "nb", "xb"), "b").select("a", "b", "na", "nb", "xa", "xb")
+        both = pairs.join(packed.toDF("a", "na", "xa").hint("merge"), "a").join(packed.toDF("b", "nb", "xb").hint("merge"), "b").select("a", "b", "na", "nb", "xa", "xb")
         return both.mapInArrow(exact, "a long, b long").distinct()
 
     links = link(buckets, verify).unionByName(member.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
