@@ -42,12 +42,13 @@ _fold[65:91] += 32
 
 
 def tokens(column: pa.Array) -> tuple[Words, np.ndarray]:
-    """Words and their (n, 1 + prefixes) feature buckets."""
+    """Words and their feature buckets: word, prefixes, and bucket 0, which all tokens share."""
     w = words(strings(column), PLAIN_SEPARATORS, hashed=False)
     ends = [w.ends, *(np.minimum(w.starts + k, w.ends) for k in PREFIXES)]
     found = hash_ranges(_fold[w.data], w.starts, *ends)
     w.hashes = found[0]
-    return w, np.stack([(mix(h ^ U64(i + 1)) & U64(BUCKETS - 1)).astype(np.int64) for i, h in enumerate(found)], 1)
+    buckets = [(mix(h ^ U64(i + 1)) & U64(BUCKETS - 1)).astype(np.int64) for i, h in enumerate(found)]
+    return w, np.stack([*buckets, np.zeros(len(w.starts), np.int64)], 1)
 
 
 @dataclass
@@ -135,6 +136,7 @@ def toxic_features(w: Words, features: np.ndarray, label: np.ndarray) -> np.ndar
 def fit(texts: list[str], labels: list[int], rounds: int = 30, rate: float = 0.5, decay: float = 1e-6) -> Field:
     """Labels tokens, fits the field to them, and the document link to the labels."""
     field = Field(np.zeros(BUCKETS), np.array([-4.0, -4.0, 0.0, 0.0]), np.array([-50.0, 0.0, 0.0]))
+    field.weights[0] = -3.0  # a word never seen is clean until its neighbours say otherwise
     label = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         return field
