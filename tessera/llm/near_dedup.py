@@ -137,7 +137,7 @@ def _unpack(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = [batch.column(x).to_pylist() for x in ("a", "b", "na", "nb", "xa", "xb")]
-        keep = [(a, b) for a, b, na, nb, xa, xb in zip(*cols, strict=True) if min(na, nb) >= 0.1 * max(na, nb) and similarity(*_unpack(na, xa), *_unpack(nb, xb)) >= SIMILARITY - 1e-12]
+        keep = [(a, b) for a, b, na, nb, xa, xb in zip(*cols, strict=True) if similarity(*_unpack(na, xa), *_unpack(nb, xb)) >= SIMILARITY - 1e-12]
         yield pa.record_batch([pa.array([x for x, _ in keep], pa.int64()), pa.array([y for _, y in keep], pa.int64())], ["a", "b"])
 
 

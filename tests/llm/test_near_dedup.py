@@ -88,6 +88,15 @@ def test_chain_of_copies_is_one_class(spark):
     assert got == set(expected(texts))
 
 
+def test_repetitive_text_with_an_addition(spark):
+    # One distinct shingle of weight 1001 against over 20 shingles: J_P is near 1 all the same.
+    long = "w " * 1005
+    texts = [long, long + sentence(random.Random(5), 20), long + sentence(random.Random(6), 30), sentence(random.Random(8), 40)]
+    want = expected(texts)
+    assert want == [0, 0, 0, 3]
+    assert {r.doc_id: r.class_id for r in N.classes(docs(spark, texts)).collect()} == dict(enumerate(want))
+
+
 def test_awkward_rows(spark):
     d = docs(spark, ["NULLID", None, "", "a b c d e f", "a b c d e f"]).unionByName(docs(spark, ["a b c d e f"], 3))
     rows = N.classes(d).collect()
