@@ -3,8 +3,13 @@
 A line's normal form is its lower-cased words joined by one space (ASCII punctuation separates words).
 Lines of one normal form are copies. Among the distinct forms, SimHash fingerprints of ``BITS`` bits
 are cut into ``BLOCKS`` blocks; two lines meet if a block is equal, which by the pigeonhole principle
-is so for all pairs that differ in fewer bits than there are blocks (and for many that differ in
-more). Met pairs are verified: edit similarity, 1 - distance / longer length in characters, of
+is so for all pairs that differ in fewer bits than there are blocks. One altered word moves far more
+bits, so lines also meet
+
+* if they are equal without one word (lines of 3 to ``WITHOUT_ONE`` words) or two (5 to ``WITHOUT_TWO``);
+* by MinHash of their features (lines of ``SKETCHED`` words or more): ``TABLES`` tables of ``ROWS`` minima.
+
+Met pairs are verified: edit similarity, 1 - distance / longer length in characters, of
 at least ``SIMILARITY``. Connected lines form a group; of all occurrences of a group's lines
 the first (least doc_id, then line number) stays and the others go.
 
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +38,8 @@ from .text_arrays import U64, Words, mix, raw, sequence_hash, signed, slices, st
 BITS, BLOCKS = 256, 8
 SIMILARITY = 0.8
 LONG_WORD = 5
+WITHOUT_ONE, WITHOUT_TWO = 20, 12
+SKETCHED, TABLES, ROWS = 9, 12, 3
 _SALTS = np.array([0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127, 0xB492B66FBE98F273, 0x6C62272E07BB0142], U64)
 
 
@@ -46,14 +54,19 @@ def line_words(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return row[first], line[first], first, np.append(first[1:], len(line))
 
 
-def fingerprints(w: Words, first: np.ndarray, end: np.ndarray, step: int = 1 << 15) -> np.ndarray:
-    """(lines, BITS / 8) bytes. Bits are counted in byte lanes, at most 255 words at a time."""
+def features(w: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lines' features, and the line of each."""
     long = (w.ends - w.starts) >= LONG_WORD
     total = np.zeros(len(long) + 1, np.int64)
     np.cumsum(long, out=total[1:])
     line = np.repeat(np.arange(len(first)), end - first)
     use = long | ((total[end] - total[first]) < 3)[line]
-    h, line = w.hashes[use], line[use]
+    return w.hashes[use], line[use]
+
+
+def fingerprints(w: Words, first: np.ndarray, end: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """(lines, BITS / 8) bytes. Bits are counted in byte lanes, at most 255 words at a time."""
+    h, line = features(w, first, end)
     counts = np.bincount(line, minlength=len(first))
     ones = np.zeros((len(first), BITS), np.int32)
     for a in range(0, len(h), step):
@@ -73,6 +86,55 @@ def fingerprints(w: Words, first: np.ndarray, end: np.ndarray, step: int = 1 <<
     return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little")
 
 
+def minima(w: Words, first: np.ndarray, end: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """(lines, TABLES) keys of the MinHash tables."""
+    h, line = features(w, first, end)
+    least = np.full((len(first), TABLES * ROWS), 2**32 - 1, np.uint32)
+    salts = mix(np.arange(1, TABLES * ROWS // 2 + 1).astype(U64))
+    for a in range(0, len(h), step):
+        own = line[a : a + step]
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        got = np.minimum.reduceat(mix(h[a : a + step, None] ^ salts[None, :]).view(np.uint32), starts, axis=0)
+        least[own[starts]] = np.minimum(least[own[starts]], got)
+    key = np.broadcast_to(mix(np.arange(1, TABLES + 1).astype(U64)), (len(first), TABLES))
+    for r in range(ROWS):
+        key = mix(key ^ least[:, r * TABLES : (r + 1) * TABLES].astype(U64))
+    return key.astype(np.uint32)
+
+
+def shortened(w: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and keys: hashes of each line of few words and of what is left of it without one or two of them."""
+    lines, keys, n = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], end - first
+    for size in range(2, WITHOUT_ONE + 1):
+        own = np.flatnonzero(n == size)
+        if not len(own):
+            continue
+        h = w.hashes[first[own][:, None] + np.arange(size)[None, :]]
+        for less in range(3):
+            left = size - less
+            if less and (left <= less or size > (WITHOUT_ONE, WITHOUT_TWO)[less - 1]):
+                break
+            kept = np.array(list(combinations(range(size), left)))
+            got = np.full((len(own), len(kept)), left, U64)
+            for i in range(left):
+                got = mix(got ^ h[:, kept[:, i]]) + U64(i)
+            lines.append(np.repeat(own, len(kept)))
+            keys.append(got.astype(np.uint32).ravel())
+    return np.concatenate(lines), np.concatenate(keys)
+
+
+def prints(w: Words, first: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Each line's fingerprint, and behind it its other keys of four bytes."""
+    blocks = np.ascontiguousarray(fingerprints(w, first, end)).view(np.uint32)
+    sketched = np.flatnonzero(end - first >= SKETCHED)
+    less, keys = shortened(w, first, end)
+    line = np.concatenate([np.repeat(np.arange(len(first)), BLOCKS), np.repeat(sketched, TABLES), less])
+    value = np.concatenate([blocks.ravel(), minima(w, first, end)[sketched].ravel(), keys])[np.argsort(line, kind="stable")]
+    at = np.zeros(len(first) + 1, np.int32)
+    np.cumsum(4 * np.bincount(line, minlength=len(first)), out=at[1:])
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(value)])
+
+
 def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each line that has words."""
     for batch in batches:
@@ -83,15 +145,23 @@ def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, line, first, end = line_words(w)
             _, at = raw(strings(part.column("text"), lower=True))
             base = np.searchsorted(np.flatnonzero(w.data == 10), at[:-1]) + np.arange(w.rows)
-            prints = fingerprints(w, first, end)
-            yield pa.record_batch([pa.array(signed(sequence_hash(w.hashes, first, end, 1))), pa.array(signed(sequence_hash(w.hashes, first, end, 2))), part.column("doc_id").take(pa.array(row)), pa.array((line - base[row]).astype(np.int32)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(row), [None, pa.py_buffer(np.ascontiguousarray(prints))]).cast(pa.binary())], ["h1", "h2", "doc_id", "line", "print"])
+            yield pa.record_batch([pa.array(signed(sequence_hash(w.hashes, first, end, 1))), pa.array(signed(sequence_hash(w.hashes, first, end, 2))), part.column("doc_id").take(pa.array(row)), pa.array((line - base[row]).astype(np.int32)), prints(w, first, end)], ["h1", "h2", "doc_id", "line", "print"])
 
 
 def block_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        value = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.dtype(f"u{BITS // 8 // BLOCKS}")).reshape(-1, BLOCKS).astype(U64)
-        key = mix(value ^ mix(np.arange(1, BLOCKS + 1).astype(U64))[None, :])
-        yield pa.record_batch([pa.array(signed(key).ravel()), pa.array(np.repeat(batch.column("node").to_numpy(zero_copy_only=False), BLOCKS))], ["key", "node"])
+        column = batch.column("print").to_pylist()
+        n = np.array([len(x) // 4 for x in column], np.int64)
+        value = np.frombuffer(b"".join(column), np.uint32).astype(U64)
+        node = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(value)) - np.repeat(np.cumsum(n) - n, n)
+        # Blocks count by their place; the other keys have what tells them apart inside, and may repeat.
+        key = mix(value ^ mix(np.minimum(place, BLOCKS).astype(U64) + U64(1)))
+        order = np.lexsort((key, node))
+        key, node = key[order], node[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        yield pa.record_batch([pa.array(signed(key[new])), batch.column("node").take(pa.array(node[new]))], ["key", "node"])
 
 
 def within(a: str, b: str, most: int) -> bool:

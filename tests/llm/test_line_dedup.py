@@ -1,6 +1,8 @@
 import random
 
+import pyarrow as pa
 from tessera.llm import line_dedup as L
+from tessera.llm.text_arrays import strings, words
 
 from .helpers import docs, empty, sentence
 
@@ -71,6 +73,42 @@ def test_against_brute_force(spark):
         assert r.text == "\n".join(x for j, x in enumerate(lines) if j not in r.removed_lines) and r.n_lines == len(lines)
 
 
+def met(pairs):
+    """Which pairs of lines share a key."""
+    got = []
+    for k in range(2):
+        w = words(strings(pa.array([p[k] for p in pairs]), lower=True))
+        _, line, first, end = L.line_words(w)
+        batch = pa.record_batch([L.prints(w, first, end), pa.array(range(len(pairs)), pa.int64())], ["print", "node"])
+        got.append({(r["key"], r["node"]) for b in L.block_keys(iter([batch])) for r in b.to_pylist()})
+    return {node for _, node in got[0] & got[1]}
+
+
+def test_altered_words_are_met():
+    """Pairs within the edit similarity that differ in one or two words: recall against all pairs that hold."""
+    rng = random.Random(9)
+    for n, most in ((5, 2), (8, 2), (12, 2), (20, 2), (30, 2)):
+        for edits in range(1, most + 1):
+            pairs = []
+            for _ in range(300):
+                line = sentence(rng, n).split()
+                new = list(line)
+                for i in rng.sample(range(n), edits):
+                    at = rng.randrange(len(new[i]))
+                    new[i] = new[i][:at] + rng.choice("qrstuvwxyz") + new[i][at + rng.randrange(2) :]
+                if distance(" ".join(line), " ".join(new)) <= 0.2 * max(len(" ".join(line)), len(" ".join(new))):
+                    pairs.append((" ".join(line), " ".join(new)))
+            assert len(pairs) > 200
+            assert len(met(pairs)) >= (1.0 if edits == 1 and n <= 20 or n <= 12 else 0.97) * len(pairs), (n, edits)
+
+
+def test_one_typo_in_a_short_line_is_removed(spark):
+    a = "the quick brown foxes jumped over lazy sleeping dogs"
+    texts = [a, "another line altogether stands here\n" + a.replace("jumped", "jumqed"), a.replace("lazy", "lasy").replace("brown", "brawn")]
+    got = {(r.doc_id, j) for r in L.dedup(docs(spark, texts)).collect() for j in r.removed_lines}
+    assert got == expected(texts) == {(1, 1), (2, 0)}
+
+
 def test_awkward_rows(spark):
     texts = ["NULLID", None, "", "---\n\n---", "a b c\na b c", "a b c", "x " * 3000 + "\n" + "x " * 3000]
     out = {r.doc_id: r for r in L.dedup(docs(spark, texts)).collect()}
