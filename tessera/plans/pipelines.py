@@ -113,7 +113,7 @@ def i5(t: Tables):
 @query("h12_screen")
 def h12(t: Tables):
     rows = t("documents").join(t("labels"), "doc_id").withColumn("price", F.col("n_chars") % 97 + F.when(F.col("quality") == 1, 50.0).otherwise(0.0))
-    return screening.screen(rows, "price", "text", "doc_id", ["n_chars"], folds=2, sample=400)
+    return screening.screen(rows, "price", "text", "doc_id", ["n_chars"])
 
 
 @query("h13_score_column")

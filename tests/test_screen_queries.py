@@ -24,3 +24,11 @@ def test_score_column_takes_all_orders(spark, tmp_path, monkeypatch):
     rows.write.parquet(f"{tmp_path}/orders.parquet")
     assert catalogue.queries()["h13_score_column"](spark, str(tmp_path)).count() == 1
     assert seen["rows"] == 500
+
+
+def test_screen_takes_its_defaults(spark, tmp_path, monkeypatch):
+    seen = watched(monkeypatch)
+    spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.col("id").alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    assert catalogue.queries()["h12_screen"](spark, str(tmp_path)).first()["n_rows"] == 500
+    assert seen == {"rows": 500, "folds": 5}
