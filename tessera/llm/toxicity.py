@@ -35,7 +35,7 @@ SAMPLE_CHARS = 10_000
 SLICE_BYTES = 8 << 20
 PREFIXES = (3, 4, 5, 6)
 FOLDS, HELD_OUT = 5, 0
-MIN_CONTEXTS, CONTEXT_SHARE, MIN_ODDS = 8, 0.03, 30.0
+MIN_CONTEXTS, MIN_ODDS = 8, 30.0
 SPANS = "array<struct<start: long, stop: long, probability: double>>"
 _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
@@ -130,7 +130,7 @@ def toxic_features(w: Words, features: np.ndarray, label: np.ndarray) -> np.ndar
         counts.append(got)
     toxic, clean = counts
     n1, n0 = max(1, int((label[row] == 1).sum())), max(1, int((label[row] == 0).sum()))
-    return (toxic >= max(MIN_CONTEXTS, CONTEXT_SHARE * (label == 1).sum())) & ((toxic / n1) >= MIN_ODDS * ((clean + 0.5) / n0))
+    return (toxic >= MIN_CONTEXTS) & ((toxic / n1) >= MIN_ODDS * ((clean + 0.5) / n0))
 
 
 def fit(texts: list[str], labels: list[int], rounds: int = 30, rate: float = 0.5, decay: float = 1e-6) -> Field:
@@ -193,7 +193,9 @@ def held_out(doc_id):
 def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, chars: int = SAMPLE_CHARS) -> Field:
     """A field fitted to a bounded sample of the labelled rows that are not held out."""
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
-    sides = [known.where(F.col("y") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for side in (0, 1)]
+    short = documents.where(F.char_length("text") <= chars).select("doc_id").distinct()
+    usable = known.join(short, "doc_id", "left_semi")
+    sides = [usable.where(F.col("y") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for side in (0, 1)]
     sample = F.broadcast(sides[0].unionByName(sides[1]))  # 2 x per_class rows
     texts = documents.select("doc_id", "text").join(sample, "doc_id").where(F.char_length("text") <= chars)
     # Sorted, so that the same rows give the same field.

@@ -65,6 +65,38 @@ def test_held_out_accuracy_and_offsets(spark):
     assert sum(bool(r.spans) for r in rows) > 40
 
 
+def test_sample_is_refilled(spark):
+    # Rows that are too long or have no document take no place in the sample.
+    texts, labels = corpus(200)
+    texts = [t if i % 5 else t + " word" * 3000 for i, t in enumerate(texts)]
+    got = []
+    whole, T.fit = T.fit, lambda texts, labels: got.extend(labels)
+    try:
+        T.train(docs(spark, texts), spark.createDataFrame([(i, labels[i % 200]) for i in range(1000)], "doc_id long, toxic int"), per_class=25)
+    finally:
+        T.fit = whole
+    assert got.count(0) == got.count(1) == 25
+
+
+def test_lexicon_of_rare_words():
+    rng = random.Random(12)
+    lexicon = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(100)]
+    texts, labels = [], []
+    for i in range(2200):
+        words = sentence(rng, rng.randint(10, 30)).split()
+        if i % 2:
+            for _ in range(2):
+                words.insert(rng.randint(0, len(words)), rng.choice(lexicon))
+        texts.append(" ".join(words))
+        labels.append(i % 2)
+    # Each word is in about 20 of 1000 toxic texts.
+    field = T.fit(texts[:2000], labels[:2000])
+    w, features = T.tokens(pa.array(texts[2000:], pa.large_string()))
+    p = field.marginals(field.emissions(features), w.bounds)
+    got = field.score(*T.summary(p, w.bounds)) >= 0.5
+    assert (got == np.array(labels[2000:])).mean() > 0.95
+
+
 def test_awkward_rows(spark):
     field = T.fit(*corpus(120))
     rows = T.score(docs(spark, [None, "", "NULLID", "vile é vileness", "a b", "a b", "x " * 50_000]), field).collect()
