@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, line_dedup, near_dedup, quality
-from tessera.llm.cluster_io import checkpoint_folder, cut, maybe_broadcast
+from tessera.llm.cluster_io import checkpoint_folder
 
 #: SQL cannot express SimHash, ProbMinHash or BPE merges; tests compare with brute force.
 ORACLE_SQL = None
@@ -42,9 +42,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = cut(found.where("doc_id is not null").select("doc_id").distinct())
-    return docs.join(maybe_broadcast(ids, 16), "doc_id", "left_anti").select(*docs.columns)
+    """Rows judged by their own text: those of a null doc_id go too."""
+    return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

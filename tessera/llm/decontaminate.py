@@ -146,6 +146,33 @@ def item_parts(benchmark: DataFrame, id_col: str, text_col: str, limit: int) ->
         yield part
 
 
+def found_in(part: pa.RecordBatch, index: ItemIndex) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:
+    """Rows of the part that may hold an item, with what index.find() says of them."""
+    w = words(strings(part.column("text"), lower=True))
+    h, bounds = shingles(w, K)
+    near = np.minimum(np.searchsorted(index.all, h), max(0, len(index.all) - 1))
+    hit = index.all[near] == h if len(index.all) else np.zeros(len(h), bool)
+    for r in np.unique(np.searchsorted(bounds, np.flatnonzero(hit), side="right") - 1).tolist():
+        yield r, index.find(h[bounds[r] : bounds[r + 1]], int(w.bounds[r + 1] - w.bounds[r]))
+
+
+def clean_rows(documents: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", limit: int = PART_BYTES) -> DataFrame:
+    """The rows whose text has no match, with their own columns. Each row is judged by its own text, whatever its id, null or repeated."""
+    for items in item_parts(benchmark, item_col, item_text, limit):
+        shared = documents.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(shared.value)
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    stay = np.ones(len(part), bool)
+                    stay[[r for r, found in found_in(part, index) if found]] = False
+                    yield part.filter(pa.array(stay))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents
+
+
 def matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = PART_BYTES) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): the verified windows of every text."""
     spark = documents.sparkSession
@@ -158,13 +185,9 @@ def matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             index = ItemIndex(shared.value)
             for batch in batches:
                 for part in slices(batch, "text"):
-                    w = words(strings(part.column("text"), lower=True))
-                    h, bounds = shingles(w, K)
-                    near = np.minimum(np.searchsorted(index.all, h), max(0, len(index.all) - 1))
-                    hit = index.all[near] == h if len(index.all) else np.zeros(len(h), bool)
                     ids, rows = part.column("doc_id").to_pylist(), []
-                    for r in np.unique(np.searchsorted(bounds, np.flatnonzero(hit), side="right") - 1).tolist():
-                        rows += [(ids[r], *x) for x in index.find(h[bounds[r] : bounds[r + 1]], int(w.bounds[r + 1] - w.bounds[r]))]
+                    for r, found in found_in(part, index):
+                        rows += [(ids[r], *x) for x in found]
                     if rows:
                         yield pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], ["doc_id", "item_id", "start_word", "n_words", "similarity"])
 

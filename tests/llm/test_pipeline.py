@@ -1,6 +1,8 @@
 import corpus_pipeline
 from tessera.llm import bpe
 
+from .helpers import DOCS
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -18,3 +20,13 @@ def test_stages_in_order_and_whole(spark):
     c = bpe.codec(*bpe.tokenizer_file())
     for r in docs.limit(20).collect():
         assert rows[r.doc_id] == len(c.encoding.encode_ordinary(r.text))
+
+
+def test_contaminated_rows_of_a_null_id_go(spark, tmp_path):
+    item = "one two three four five six seven eight"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(None, item), (None, "clean words of a row without id"), (3, item), (4, None), (5, "clean"), (5, item)]
+    rows = spark.createDataFrame([(i, t, "en", None, None, "x", None, "y") for i, t in texts], DOCS)
+    out = corpus_pipeline.decontaminate_stage(spark, rows, str(tmp_path))
+    assert out.columns == rows.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == [("4", "None"), ("5", "clean"), ("None", "clean words of a row without id")]
