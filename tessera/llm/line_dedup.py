@@ -4,8 +4,10 @@ A line's normal form is its lower-cased words joined by one space (ASCII punctua
 Lines of one normal form are copies. Among the distinct forms, SimHash fingerprints of ``BITS`` bits
 are cut into ``BLOCKS`` blocks; two lines meet if a block is equal, which by the pigeonhole principle
 is so for all pairs that differ in fewer bits than there are blocks. One altered word moves far more
-bits, so lines also meet
+bits, so the words are cut into blocks too, and lines also meet
 
+* if their first, middle or last third is equal (lines of ``THIRDS`` words or more): by the same principle
+  two altered words leave one third as it is, and one inserted or deleted word leaves the first or the last;
 * if they are equal without one word (lines of 3 to ``WITHOUT_ONE`` words) or two (5 to ``WITHOUT_TWO``);
 * by MinHash of their features (lines of ``SKETCHED`` words or more): ``TABLES`` tables of ``ROWS`` minima.
 
@@ -30,17 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster_io import cut, maybe_broadcast
+from .cluster_io import Tables, maybe_broadcast
 from .decontaminate import LANES
-from .linking import components, link
+from .linking import link
 from .text_arrays import U64, Words, mix, raw, sequence_hash, signed, slices, strings, words
 
-BITS, BLOCKS = 256, 8
+BITS, BLOCKS = 128, 4
 SIMILARITY = 0.8
+SALTS = 16
 LONG_WORD = 5
-WITHOUT_ONE, WITHOUT_TWO = 20, 12
-SKETCHED, TABLES, ROWS = 9, 12, 3
-_SALTS = np.array([0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127, 0xB492B66FBE98F273, 0x6C62272E07BB0142], U64)
+WITHOUT_ONE, WITHOUT_TWO, THIRDS = 14, 9, 10
+SKETCHED, TABLES, ROWS = 16, 3, 3
+_SALTS = np.array([0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127], U64)
 
 
 def line_words(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,9 +62,11 @@ def features(w: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray,
     long = (w.ends - w.starts) >= LONG_WORD
     total = np.zeros(len(long) + 1, np.int64)
     np.cumsum(long, out=total[1:])
-    line = np.repeat(np.arange(len(first)), end - first)
-    use = long | ((total[end] - total[first]) < 3)[line]
-    return w.hashes[use], line[use]
+    n = end - first
+    line = np.repeat(np.arange(len(first)), n)
+    word = np.arange(len(line)) + np.repeat(first - np.cumsum(n) + n, n)
+    use = long[word] | ((total[end] - total[first]) < 3)[line]
+    return w.hashes[word[use]], line[use]
 
 
 def fingerprints(w: Words, first: np.ndarray, end: np.ndarray, step: int = 1 << 15) -> np.ndarray:
@@ -90,11 +95,11 @@ def minima(w: Words, first: np.ndarray, end: np.ndarray, step: int = 1 << 15) ->
     """(lines, TABLES) keys of the MinHash tables."""
     h, line = features(w, first, end)
     least = np.full((len(first), TABLES * ROWS), 2**32 - 1, np.uint32)
-    salts = mix(np.arange(1, TABLES * ROWS // 2 + 1).astype(U64))
+    salts = mix(np.arange(1, (TABLES * ROWS + 1) // 2 + 1).astype(U64))
     for a in range(0, len(h), step):
         own = line[a : a + step]
         starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        got = np.minimum.reduceat(mix(h[a : a + step, None] ^ salts[None, :]).view(np.uint32), starts, axis=0)
+        got = np.minimum.reduceat(mix(h[a : a + step, None] ^ salts[None, :]).view(np.uint32)[:, : TABLES * ROWS], starts, axis=0)
         least[own[starts]] = np.minimum(least[own[starts]], got)
     key = np.broadcast_to(mix(np.arange(1, TABLES + 1).astype(U64)), (len(first), TABLES))
     for r in range(ROWS):
@@ -123,13 +128,25 @@ def shortened(w: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate(lines), np.concatenate(keys)
 
 
+def thirds(w: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and keys: each line's first and last third, as that of a line of its length and of one word less, and its middle one."""
+    n = end - first
+    own = np.flatnonzero(n >= THIRDS)
+    a, z, n = first[own], end[own], n[own]
+    parts = [(0, n, a, a + n // 3), (1, n, z - n // 3, z), (2, n, a + n // 3, z - n // 3), (0, n - 1, a, a + (n - 1) // 3), (1, n - 1, z - (n - 1) // 3, z)]
+    at, stop = np.concatenate([x[2] for x in parts]), np.concatenate([x[3] for x in parts])
+    length = np.concatenate([x[1].astype(U64) * U64(4) + U64(x[0]) for x in parts])
+    return np.tile(own, len(parts)), mix(sequence_hash(w.hashes, at, stop, 7) ^ mix(length)).astype(np.uint32)
+
+
 def prints(w: Words, first: np.ndarray, end: np.ndarray) -> pa.Array:
     """Each line's fingerprint, and behind it its other keys of four bytes."""
     blocks = np.ascontiguousarray(fingerprints(w, first, end)).view(np.uint32)
     sketched = np.flatnonzero(end - first >= SKETCHED)
     less, keys = shortened(w, first, end)
-    line = np.concatenate([np.repeat(np.arange(len(first)), BLOCKS), np.repeat(sketched, TABLES), less])
-    value = np.concatenate([blocks.ravel(), minima(w, first, end)[sketched].ravel(), keys])[np.argsort(line, kind="stable")]
+    third, equal = thirds(w, first, end)
+    line = np.concatenate([np.repeat(np.arange(len(first)), BLOCKS), np.repeat(sketched, TABLES), less, third])
+    value = np.concatenate([blocks.ravel(), minima(w, first[sketched], end[sketched]).ravel(), keys, equal])[np.argsort(line, kind="stable")]
     at = np.zeros(len(first) + 1, np.int32)
     np.cumsum(4 * np.bincount(line, minlength=len(first)), out=at[1:])
     return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(value)])
@@ -228,28 +245,30 @@ def chosen_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removals(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, removed array<int>): the line numbers, from 0, that go from each document that loses some."""
+    tables = Tables(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    lines = cut(docs.mapInArrow(line_rows, "h1 long, h2 long, doc_id long, line int, print binary"))
-    forms = cut(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.first("print").alias("print")).select(F.col("h1").alias("node"), "h2", "first", "n", "print"))
+    lines = tables.cut(docs.mapInArrow(line_rows, "h1 long, h2 long, doc_id long, line int, print binary"))
+    forms = tables.cut(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.first("print").alias("print")).select(F.col("h1").alias("node"), "h2", "first", "n", "print"))
     buckets = forms.select("node", "print").mapInArrow(block_keys, "key long, node long")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        ids = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-        wanted = forms.select("node", "first").join(maybe_broadcast(ids, 16), "node").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "node")).alias("wanted"))
-        texts = docs.join(maybe_broadcast(cut(wanted), 256), "doc_id").select("text", "wanted")
+        ids = tables.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        wanted = tables.cut(forms.select("node", "first").join(maybe_broadcast(ids, 16), "node").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "node")).alias("wanted")), ids)
+        texts = docs.join(maybe_broadcast(wanted, 32, array="wanted"), "doc_id").select("text", "wanted")
         # A doc_id on several rows is read from each; forms of one node agree, for its hash does.
-        form = cut(texts.mapInArrow(pick_existing, "node long, form string").dropDuplicates(["node"]))
+        form = tables.cut(texts.mapInArrow(pick_existing, "node long, form string").dropDuplicates(["node"]))
         both = pairs.join(form.toDF("a", "xa"), "a").join(form.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-        return both.mapInArrow(exact, "a long, b long")
+        return tables.cut(both.mapInArrow(exact, "a long, b long"), wanted, form)
 
-    comp = cut(components(cut(link(buckets, verify))))
-    known = forms.select("node", "h2", "first", "n").join(comp, "node", "left").where("n > 1 or comp is not null").select("node", "h2", "first", F.coalesce("comp", "node").alias("comp"))
-    known = cut(known)
+    comp = link(buckets, verify, tables)
+    known = tables.cut(forms.select("node", "h2", "first", "n").join(maybe_broadcast(comp, 16), "node", "left").where("n > 1 or comp is not null").select("node", "h2", "first", F.coalesce("comp", "node").alias("comp")), forms, comp)
     firsts = known.groupBy("comp").agg(F.min("first").alias("keep"))
-    groups = cut(known.join(firsts, "comp").select(F.col("node").alias("h1"), "h2", "keep"))
+    # A group may hold a third of all forms: its rows are dealt to SALTS places.
+    salted = known.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    copies = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    groups = tables.cut(salted.join(copies, ["comp", "salt"]).select(F.col("node").alias("h1"), "h2", "keep"), known)
     gone = lines.select("h1", "h2", "doc_id", "line").join(maybe_broadcast(groups, 64), ["h1", "h2"]).where("doc_id <> keep.doc_id or line <> keep.line")
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    return tables.cut(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed")), lines, groups)
 
 
 def pick_existing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,9 +288,12 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Columns of those two names in the input give way.
     """
-    gone = cut(removals(documents, id_col, text_col))
-    gone = maybe_broadcast(gone.withColumnsRenamed({"doc_id": "_id", "removed": "_removed"}), 128)
+    gone = removals(documents, id_col, text_col)
+    gone = maybe_broadcast(gone, 8, array="removed").withColumnsRenamed({"doc_id": "_id", "removed": "_removed"})
     out = documents.drop("n_lines", "removed_lines").join(gone, F.col(id_col).cast("long") == F.col("_id"), "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_removed", i)), "\n")
-    return out.withColumns({"n_lines": F.size(F.split(text, "\n")), "removed_lines": F.coalesce("_removed", F.array().cast("array<int>")), text_col: F.when(F.col("_removed").isNull(), text).otherwise(kept)}).drop("_id", "_removed")
+    lines = F.split(text, "\n")
+    # The lines are a field of the outer lambda's variable, so that they are split once for each text.
+    both = F.array(F.struct(lines.alias("l"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_removed").alias("i")))
+    kept = F.transform(both, lambda x: F.array_join(F.transform(x["i"], lambda i: F.get(x["l"], i)), "\n"))[0]
+    return out.withColumns({"n_lines": F.size(lines), "removed_lines": F.coalesce("_removed", F.array().cast("array<int>")), text_col: F.when(F.col("_removed").isNull(), text).otherwise(kept)}).drop("_id", "_removed")

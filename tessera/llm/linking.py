@@ -7,7 +7,8 @@ joins their groups. Instead of a bucket's pairs, this looks at
    node is popular if its buckets are large; the text that many copies were made from is in
    the largest ones, though the copies may be too far from each other to be linked;
 2. in buckets whose nodes are still in different groups, again and again, the nodes outside of the
-   bucket's largest group against one node of it, as long as step 3 would be larger than the buckets;
+   bucket's largest group against one node of it, as long as step 3 would be larger than the buckets
+   and the last round made it smaller by a quarter;
 3. what is left: the pairs of nodes of one bucket and different groups, and only those.
 
 So a bucket of near copies costs a few comparisons for each of its nodes, and no link that could
@@ -16,74 +17,106 @@ change a group is lost.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster_io import cut, maybe_broadcast
+from .cluster_io import Tables, maybe_broadcast
 
-#: Rounds of step 2 at most, and the pairs a node from which on one is worth it; after them step 3 does what
-#: is left, whatever it costs.
-ROUNDS, WORTH = 4, 16
+#: The pairs a node from which on a round of step 2 is worth it.
+WORTH = 16
+#: So few edges between groups are joined in one task; more are contracted by Spark joins first.
+LOCAL_EDGES = 16_384
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, comp) of all nodes of a bounded number of edges (u, v): union by the lesser root."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    nodes = np.fromiter(root, np.int64, len(root))
+    yield pa.record_batch([pa.array(nodes), pa.array([find(x) for x in nodes.tolist()], pa.int64())], ["node", "comp"])
+
+
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """(node, comp) of every node in edges (a, b); comp is the least node of the group.
 
-    Alternates large-star and small-star steps; each step takes minima before its shuffle and its
-    join may be split by AQE where a node has very many neighbours. Joins are merges throughout: many
-    small broadcasts would pile up on the driver. Null ends are left out.
+    Each round points every node at its least neighbour, follows the pointers to their ends, and goes on with
+    the edges that still lead from one end to another: at most half as many nodes a round. Minima
+    are taken before their shuffle, and the joins may be split where a node has very many neighbours.
+    Once few edges are left, one task joins them. Null ends are left out.
     """
-    edges = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    for _ in range(rounds):
+    edges = tables.cut(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    levels = []
+    while edges.count() > LOCAL_EDGES:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = cut(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"groups are not settled after {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+        known = tables.cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("comp"), F.lit(True).alias("moved")))
+        while True:
+            # Pointers lead to lesser nodes only, so they end; each turn halves the way.
+            far = tables.cut(known.join(known.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp").select("node", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("moved")), known)
+            known, ended = far, not far.where("moved").head(1)
+            if ended:
+                break
+        levels.append(known)
+        at = lambda side: known.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))  # noqa: B023, E731
+        rest = edges.join(at("u"), "u").join(at("v"), "v").where("cu <> cv")
+        edges = tables.cut(rest.select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct(), edges)
+    out = edges.coalesce(1).mapInArrow(roots, "node long, comp long")
+    for known in reversed(levels):
+        up = tables.cut(out)
+        out = known.join(maybe_broadcast(up.toDF("comp", "top"), 16), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    return tables.cut(out, *levels, edges)
 
 
-def link(buckets: DataFrame, verify: Verify) -> DataFrame:
-    """Verified links (a, b) that connect what the buckets (key, node) can connect.
+def link(buckets: DataFrame, verify: Verify, tables: Tables) -> DataFrame:
+    """(node, comp) of the nodes that verified links connect to others, over all that the buckets (key, node) bring together.
 
-    ``buckets`` has distinct rows; it is read twice. ``verify`` takes distinct pairs (a, b), a < b, and
-    returns those that hold. The links are enough to tell the groups; not every link inside a
-    group is among them.
+    ``buckets`` is read twice; rows in it may repeat. ``verify`` takes a table of distinct pairs (a, b), a < b, and
+    returns the table of those that hold.
     """
-    size = cut(buckets.groupBy("key").agg(F.min("node").alias("l1"), F.max("node").alias("l2"), F.count("*").alias("n")).where("n > 1"))
+    size = tables.cut(buckets.groupBy("key").agg(F.min("node").alias("l1"), F.max("node").alias("l2"), F.count("*").alias("n")).where("n > 1"))
     # A bucket of two is its own pair; only larger ones need their nodes.
-    led = cut(buckets.join(maybe_broadcast(size.where("n > 2").select("key", "l1", "n"), 32), "key"))
+    led = tables.cut(buckets.join(maybe_broadcast(size.where("n > 2").select("key", "l1", "n"), 32), "key"))
     popular = led.groupBy("node").agg(F.sum("n").alias("p"))
     leader = led.join(popular, "node").groupBy("key").agg(F.max_by("node", F.struct("p", -F.col("node"))).alias("l2"))
-    led = cut(led.join(maybe_broadcast(cut(leader), 24), "key").select("key", "node", "l1", "l2"))
+    leader = tables.cut(leader)
     pair = lambda x: F.struct(F.least("node", x).alias("a"), F.greatest("node", x).alias("b"))
-    star = led.select(pair("l1").alias("p")).unionByName(led.select(pair("l2").alias("p"))).select("p.a", "p.b")
-    tested = cut(star.unionByName(size.where("n = 2").select(F.col("l1").alias("a"), F.col("l2").alias("b"))).where("a < b").distinct())
-    links = cut(verify(tested).select("a", "b"))
-    for i in range(ROUNDS + 1):
-        comp = components(links)
-        rest = led.select("key", "node").join(comp.hint("merge"), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        parts = cut(rest.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64(F.lit(i), "node")).alias("top")))
+    star = led.join(maybe_broadcast(leader, 24), "key").select(F.explode(F.array(pair("l1"), pair("l2"))).alias("p")).select("p.a", "p.b")
+    tested = tables.cut(star.unionByName(size.where("n = 2").select(F.col("l1").alias("a"), F.col("l2").alias("b"))).where("a < b").distinct(), leader, size)
+    links, turn, before = verify(tested), 0, None
+    while True:
+        comp = components(links, tables)
+        rest = led.select("key", "node").join(maybe_broadcast(comp, 16), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        parts = rest.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("top"))
         whole = parts.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k"), F.max_by(F.struct("comp", "top"), F.struct("c", "comp")).alias("most")).where("k > 1")
-        whole = cut(whole.select("key", "s", "q", F.col("most.comp").alias("comp0"), F.col("most.top").alias("top")))
+        whole = tables.cut(whole.select("key", "s", "q", F.col("most.comp").alias("comp0"), F.col("most.top").alias("top")))
         nodes, left = whole.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0))).first()
-        mixed = rest.join(maybe_broadcast(whole, 48), "key")
-        if left <= WORTH * nodes or i == ROUNDS:
+        mixed = tables.cut(rest.join(maybe_broadcast(whole, 48), "key"), whole)
+        if left <= WORTH * nodes or (before is not None and left > 0.75 * before):
             break
-        found = cut(mixed.where("comp <> comp0").select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        tested, links = tested.unionByName(found), links.unionByName(cut(verify(found).select("a", "b")))
-    mixed = cut(mixed.select("key", "node", "comp"))
+        before, turn = left, turn + 1
+        more = tables.cut(mixed.where("comp <> comp0").select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), mixed)
+        found = verify(more)
+        tested, links = tables.cut(tested.unionByName(more), tested, more), tables.cut(links.unionByName(found), links, found, comp)
+    tables.drop(led)
     x, y = mixed.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), mixed.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    pairs = x.join(y, "key").where("ca <> cb and a < b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    return links.unionByName(cut(verify(cut(pairs)).select("a", "b")))
+    pairs = tables.cut(x.join(y, "key").where("ca <> cb and a < b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), mixed, tested)
+    found = verify(pairs)
+    if not found.head(1):
+        tables.drop(pairs, found)
+        return comp
+    both = tables.cut(links.unionByName(found), links, found, pairs, comp)
+    return components(both, tables)

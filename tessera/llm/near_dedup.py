@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster_io import cut, maybe_broadcast
+from .cluster_io import Tables, maybe_broadcast
 from .linking import components, link
 from .text_arrays import U64, mix, shingles, signed, slices, strings, words
 
@@ -141,51 +141,74 @@ def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([x for x, _ in keep], pa.int64()), pa.array([y for _, y in keep], pa.int64())], ["a", "b"])
 
 
-def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint32).reshape(-1, REGISTERS) for x in ("sa", "sb"))
         share = (a == b).mean(axis=1)
-        keep = pa.array(share >= ESTIMATE)
+        keep = pa.array(share >= least)
         yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(share).filter(keep)], ["a", "b", "share"])
 
 
-def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, class_size) for each row of ``documents``."""
+def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", estimate: float = ESTIMATE) -> DataFrame:
+    """(doc_id, class_id, class_size) for each row of ``documents``.
+
+    ``estimate`` is the share of agreeing registers from which on a pair that shares a bucket is looked at exactly; 0: all are.
+    """
+    tables = Tables(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = cut(docs.mapInArrow(sketch, SKETCH))
-    known = made.where("doc_id is not null")
-    nodes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    member = cut(known.select("doc_id", "h1", "h2").join(nodes, ["h1", "h2"]).select("doc_id", "node"))
-    own = known.where("sketch is not null").join(member.where("doc_id = node").distinct(), "doc_id").select("node", "sketch", "h1", "h2").dropDuplicates(["node", "h1", "h2"])
-    own = cut(own.select("node", "sketch"))
-    buckets = cut(own.mapInArrow(band_keys, "key long, node long").distinct())
+    made = tables.cut(docs.where("doc_id is not null").mapInArrow(sketch, SKETCH))
+    # Only texts of equal shingles need a look at their hashes' group.
+    copies = tables.cut(made.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    member = made.join(maybe_broadcast(copies, 32), ["h1", "h2"], "left").withColumn("node", F.coalesce("node", "doc_id"))
+    own = member.where("doc_id = node and sketch is not null")
+    repeated = tables.cut(own.groupBy("node", "h1", "h2").count().where("count > 1").drop("count"))
+    if repeated.head(1):
+        key = ["node", "h1", "h2"]
+        own = own.join(repeated, key, "left_anti").select(*key, "sketch").unionByName(own.join(repeated, key).select(*key, "sketch").dropDuplicates(key))
+    own = tables.cut(own.select("node", "sketch"), repeated)
+    same = tables.cut(member.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct(), made, copies)
+    buckets = own.mapInArrow(band_keys, "key long, node long")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(own.select(F.col("node").alias("a"), F.col("sketch").alias("sa")).hint("merge"), "a").join(own.select(F.col("node").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b").select("a", "b", "sa", "sb")
-        near = cut(near.mapInArrow(agreeing, "a long, b long, share double"))
+        both = pairs.join(own.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+        agreed = both.select("a", "b", "sa", "sb").mapInArrow(lambda x: agreeing(x, estimate), "a long, b long, share double")
+        near = tables.cut(agreed.groupBy("a", "b").agg(F.max("share").alias("share")))
         # First the best pair of each node: most groups hang together by them; then what still joins groups.
-        best = near.groupBy("b").agg(F.max_by("a", "share").alias("a")).select("a", "b")
-        held = cut(verified(best))
-        comp = components(held)
-        more = near.select("a", "b").join(comp.toDF("a", "ca").hint("merge"), "a", "left").join(comp.toDF("b", "cb").hint("merge"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-        return held.unionByName(verified(cut(more.join(best, ["a", "b"], "left_anti"))))
+        best = tables.cut(near.groupBy("b").agg(F.max_by("a", "share").alias("a")).select("a", "b"))
+        held = verified(best)
+        comp = components(held, tables)
+        known = maybe_broadcast(comp, 16)
+        more = near.select("a", "b").join(known.toDF("a", "ca"), "a", "left").join(known.toDF("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+        rest = tables.cut(more.join(best, ["a", "b"], "left_anti"), near, best, comp)
+        if not rest.head(1):
+            return held
+        also = verified(rest)
+        return tables.cut(held.unionByName(also), held, also, rest)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+        ids = tables.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         rows = docs.join(maybe_broadcast(ids, 16), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
-        packed = cut(rows.mapInArrow(contents, "node long, n int, blob binary"))
-        both = pairs.join(packed.toDF("a", "na", "xa").hint("merge"), "a").join(packed.toDF("b", "nb", "xb").hint("merge"), "b").select("a", "b", "na", "nb", "xa", "xb")
-        return both.mapInArrow(exact, "a long, b long").distinct()
-
-    links = link(buckets, verify).unionByName(member.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
-    comp = cut(components(links))
-    out = docs.select("doc_id").join(comp.toDF("doc_id", "comp"), "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("class_id"))
-    sizes = out.where("class_id is not null").distinct().groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return out.join(sizes, "class_id", "left").select("doc_id", "class_id", "class_size")
+        packed = tables.cut(rows.mapInArrow(contents, "node long, n int, blob binary"))
+        both = pairs.join(packed.toDF("a", "na", "xa"), "a").join(packed.toDF("b", "nb", "xb"), "b").select("a", "b", "na", "nb", "xa", "xb")
+        return tables.cut(both.mapInArrow(exact, "a long, b long").distinct(), packed, ids)
+
+    comp = link(buckets, verify, tables)
+    tables.drop(own)
+    # Copies hang on their node. Two nodes may share a copy where a doc_id repeats, so this is a graph again.
+    twice = same.groupBy("b").count().where("count > 1").select("b").unionByName(same.join(comp.select(F.col("node").alias("b")), "b", "left_semi").select("b"))
+    if twice.head(1):
+        comp = components(tables.cut(same.unionByName(comp.select(F.col("comp").alias("a"), F.col("node").alias("b")))), tables)
+    else:
+        hung = same.join(maybe_broadcast(comp.toDF("a", "comp"), 16), "a", "left").select(F.col("b").alias("node"), F.coalesce("comp", "a").alias("comp"))
+        comp = tables.cut(hung.unionByName(comp.select("node", "comp")), comp)
+    tables.drop(same)
+    out = docs.select("doc_id").join(maybe_broadcast(comp.where("node <> comp").toDF("doc_id", "comp"), 16), "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("class_id"))
+    sizes = tables.cut(comp.where("node <> comp").groupBy("comp").agg((F.count("*") + 1).alias("class_size")).withColumnRenamed("comp", "class_id"))
+    return out.join(maybe_broadcast(sizes, 16), "class_id", "left").select("doc_id", "class_id", F.when(F.col("class_id").isNotNull(), F.coalesce("class_size", F.lit(1).cast("long"))).alias("class_size"))
 
 
 def survivors(documents: DataFrame) -> DataFrame:
     """The documents that are their class's first; rows of a null doc_id stay."""
-    gone = cut(classes(documents).where("doc_id <> class_id").select("doc_id").distinct())
+    tables = Tables(documents.sparkSession)
+    gone = tables.cut(classes(documents).where("doc_id <> class_id").select("doc_id").distinct())
     return documents.join(maybe_broadcast(gone, 16), "doc_id", "left_anti")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster_io import cut, maybe_broadcast
+from .cluster_io import Tables, maybe_broadcast
 from .text_arrays import RAW_SEPARATORS, U64, Words, sequence_hash, signed, sliding_min, slices, strings, window_hashes, words
 
 EDGE, SEED = 13, 7
@@ -102,6 +102,8 @@ def spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     kind = "seed long, g long, place long, doc_id long"
     found = docs.mapInArrow(lambda b: segments(b, edge, seed), kind)
+    tables = Tables(documents.sparkSession)
+    cut = tables.cut
     sample = docs.sample(HOT_SAMPLE, seed=1).mapInArrow(lambda b: segments(b, edge, seed), kind)
     hot = cut(sample.groupBy("seed").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= HOT_DOCS).select("seed", F.lit(True).alias("hot")))
     salted = found.join(maybe_broadcast(hot, 32), "seed", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS - 1)) + 1).otherwise(0)).drop("hot")
@@ -149,6 +151,6 @@ def kept(batches: Iterator[pa.RecordBatch], edge: int) -> Iterator[pa.RecordBatc
 
 def digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", edge: int = EDGE, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row, its repeats of earlier documents removed."""
-    by_doc = cut(spans(documents, id_col, text_col, edge, seed).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_edges")).alias("spans")))
+    by_doc = Tables(documents.sparkSession).cut(spans(documents, id_col, text_col, edge, seed).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_edges")).alias("spans")))
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return docs.join(maybe_broadcast(by_doc, 256), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(lambda b: kept(b, edge), "doc_id long, n_words long, n_removed long, kept_sha256 string")
