@@ -29,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ from .text_arrays import U64, Words, mix, raw, sequence_hash, signed, slices, st
 BITS, BLOCKS = 128, 4
 SIMILARITY = 0.8
 SALTS = 16
+GRAMS = 512
 LONG_WORD = 5
 WITHOUT_ONE, WITHOUT_TWO, THIRDS = 14, 9, 10
 SKETCHED, TABLES, ROWS = 16, 3, 3
@@ -129,14 +131,20 @@ def shortened(w: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray,
 
 
 def thirds(w: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lines and keys: each line's first and last third, as that of a line of its length and of one word less, and its middle one."""
+    """Lines and keys: each line's middle third, and its first and last ones as cut in lines of its length and of a word more or less."""
     n = end - first
     own = np.flatnonzero(n >= THIRDS)
     a, z, n = first[own], end[own], n[own]
-    parts = [(0, n, a, a + n // 3), (1, n, z - n // 3, z), (2, n, a + n // 3, z - n // 3), (0, n - 1, a, a + (n - 1) // 3), (1, n - 1, z - (n - 1) // 3, z)]
-    at, stop = np.concatenate([x[2] for x in parts]), np.concatenate([x[3] for x in parts])
-    length = np.concatenate([x[1].astype(U64) * U64(4) + U64(x[0]) for x in parts])
-    return np.tile(own, len(parts)), mix(sequence_hash(w.hashes, at, stop, 7) ^ mix(length)).astype(np.uint32)
+    # Lengths 2i - 1 to 2i + 1 share the label i, so that odd lengths have two labels and even ones one.
+    up, odd = (n + 1) // 2, np.flatnonzero(n % 2)
+    parts = [(2, n, own, a + n // 3, z - n // 3)]
+    for label, which in ((up, slice(None)), (up - 1, odd)):
+        label = label[which]
+        third = (2 * label - 1) // 3
+        parts += [(0, label, own[which], a[which], a[which] + third), (1, label, own[which], z[which] - third, z[which])]
+    at, stop = np.concatenate([x[3] for x in parts]), np.concatenate([x[4] for x in parts])
+    label = np.concatenate([x[1].astype(U64) * U64(4) + U64(x[0]) for x in parts])
+    return np.concatenate([x[2] for x in parts]), mix(sequence_hash(w.hashes, at, stop, 7) ^ mix(label)).astype(np.uint32)
 
 
 def prints(w: Words, first: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -197,20 +205,23 @@ def within(a: str, b: str, most: int) -> bool:
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
     if abs(len(a) - len(b)) > most:
         return False
-    return max(len(a), len(b)) <= most or _bit_parallel(a, b) <= most
+    return max(len(a), len(b)) <= most or _bit_parallel(a, b, most) <= most
 
 
-def _bit_parallel(a: str, b: str) -> int:
+def _bit_parallel(a: str, b: str, most: int) -> int:
+    """The edit distance, or a number over ``most`` as soon as it must be over it."""
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     plus, minus, score = full, 0, len(a)
-    for c in b:
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
         eq = where.get(c, 0)
         diagonal = (((eq & plus) + plus) ^ plus) | eq | minus
         up, down = minus | ~(diagonal | plus) & full, plus & diagonal
         score += bool(up & top) - bool(down & top)
+        if score - left > most:
+            return score
         up = up << 1 | 1
         plus, minus = ((down << 1) | ~(diagonal | up)) & full, up & diagonal & full
     return score
@@ -220,10 +231,31 @@ def similar(a: str, b: str) -> bool:
     return within(a, b, math.floor(max(len(a), len(b)) * (1 - SIMILARITY) + 1e-9))
 
 
+def grams(column: pa.Array) -> np.ndarray:
+    """(rows, GRAMS) counts of the strings' hashed byte pairs."""
+    data, at = raw(strings(column))
+    row = np.repeat(np.arange(len(column)), np.diff(at))
+    pair = (data[:-1].astype(np.uint32) * np.uint32(0x9E3779B1) ^ data[1:].astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(22)
+    inside = row[1:] == row[:-1]
+    return np.bincount(row[1:][inside] * GRAMS + (pair[inside] % GRAMS), minlength=len(column) * GRAMS).reshape(-1, GRAMS)
+
+
+def may_be_similar(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """False only where two strings are too far apart: an edit of a character of at most 4 bytes changes at most 10 of their byte pairs, one of a byte 4."""
+    sizes = [pa.compute.utf8_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+    plain = np.ones(len(a), bool)
+    for x, n in zip((a, b), sizes, strict=True):
+        plain &= pa.compute.binary_length(x).to_numpy(zero_copy_only=False) == n
+    most = np.floor(np.maximum(*sizes) * (1 - SIMILARITY) + 1e-9)
+    return (np.abs(sizes[0] - sizes[1]) <= most) & (np.abs(grams(a) - grams(b)).sum(1) <= most * np.where(plain, 4, 10))
+
+
 def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = pa.array([similar(x, y) for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True)], pa.bool_())
-        yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+        for part in slices(batch, "xa"):
+            part = part.filter(pa.array(may_be_similar(part.column("xa"), part.column("xb"))))
+            keep = pa.array([similar(x, y) for x, y in zip(part.column("xa").to_pylist(), part.column("xb").to_pylist(), strict=True)], pa.bool_())
+            yield pa.record_batch([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
 
 
 def chosen_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,4 +328,5 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # The lines are a field of the outer lambda's variable, so that they are split once for each text.
     both = F.array(F.struct(lines.alias("l"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_removed").alias("i")))
     kept = F.transform(both, lambda x: F.array_join(F.transform(x["i"], lambda i: F.get(x["l"], i)), "\n"))[0]
-    return out.withColumns({"n_lines": F.size(lines), "removed_lines": F.coalesce("_removed", F.array().cast("array<int>")), text_col: F.when(F.col("_removed").isNull(), text).otherwise(kept)}).drop("_id", "_removed")
+    n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("int")
+    return out.withColumns({"n_lines": n_lines, "removed_lines": F.coalesce("_removed", F.array().cast("array<int>")), text_col: F.when(F.col("_removed").isNull(), text).otherwise(kept)}).drop("_id", "_removed")

@@ -29,7 +29,7 @@ from .cluster_io import Tables, maybe_broadcast
 #: The pairs a node from which on a round of step 2 is worth it.
 WORTH = 16
 #: So few edges between groups are joined in one task; more are contracted by Spark joins first.
-LOCAL_EDGES = 16_384
+LOCAL_EDGES = 1 << 17
 Verify = Callable[[DataFrame], DataFrame]
 
 

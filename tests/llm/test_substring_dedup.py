@@ -51,3 +51,15 @@ def test_awkward_rows(spark):
     out = S.digests(docs(spark, ["NULLID", t, t, t]).unionByName(docs(spark, [t], 1))).collect()
     assert sorted(r.n_removed for r in out) == [0, 0, 0, 20, 20]
     assert S.digests(empty(spark)).count() == 0
+
+
+def test_words_at_the_source_decide(spark):
+    # A span that met a wrong source, as after a collision of hashes, does not pass.
+    from tessera.llm.cluster_io import Tables
+
+    rng = random.Random(3)
+    a, b = sentence(rng, 30), sentence(rng, 30)
+    d = docs(spark, [a, b, a]).select("doc_id", "text")
+    tables = Tables(spark)
+    found = tables.cut(spark.createDataFrame([(1, 0, 18, 0, 0), (2, 0, 18, 0, 0), (2, 3, 10, 0, 4)], S.SPANS))
+    assert [tuple(r) for r in S.verified(found, d, 13, tables).collect()] == [(2, 0, 18, 0, 0)]
