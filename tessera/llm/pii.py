@@ -12,11 +12,16 @@ same one wherever it stands, whatever its separators:
   +country code;
 * SSN: its place among the 898 x 99 x 9999 numbers that can be issued;
 * IPv4: its 32 bits, as 16 + 16;
-* date: its day within the Gregorian cycle of 146097 = 189 x 773 days, counted from 1970;
+* date: its day within the Gregorian cycle of 146097 = 189 x 773 days, counted from 1970; DD/MM/YYYY is read only
+  where MM/DD/YYYY is no day, and moves among such dates only;
 * account part of an IBAN (then new check digits), local part of an address, value of a secret: a
   Feistel network over the halves of the string, whose rounds shift each letter or digit within its
   own class.
 
+A run of digits or an IBAN that took in the next number or word is cut at its gaps until a part is valid. Local parts of
+addresses are of 64 characters at most, domains (which stay as they are) of 31 labels, so that no text takes more
+than linear time or a deep stack.
+
 Round values come from sha2(key, domain, round, other half). Null texts stay null. Text outside of what
 is found is unchanged, as are numbers that fail their check (and dates of years outside 370 to 9969).
 """
@@ -27,14 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,30}[A-Za-z]{2,63}"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
-CARD = r"\d(?:[ -]?\d){12,18}"
+CARD = r"\d(?:[ -]?\d){12,40}"
+#: How card numbers are printed; needed where a run of digits has other numbers beside the card.
+CARD_GROUPS = r"\d{4}([ -]\d{4}){3}([ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19}"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}"
-SECRET = r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?i:password|passwd|pwd|secret|token|api_key|apikey)\s*[=:]\s*[\"']?[A-Za-z0-9_+/-]{8,}[\"']?"
+SECRET = r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?i:password|passwd|pwd|secret|token|api_key|apikey)\s*[=:]\s*[\"']?[A-Za-z0-9_+/.~-]{7,}[A-Za-z0-9_+/=~-][\"']?"
 FOUND = rf"{EMAIL}|(?<![A-Za-z0-9_])(?:{SECRET}|{IBAN}|{DATE}|{SSN}|{IPV4}|{CARD}|{PHONE})(?![A-Za-z0-9_]|[.-]\d)"
 DAYS = 146_097
 QUICK = r"[0-9@]|(?i:password|passwd|pwd|secret|token|api_?key)"
@@ -86,12 +93,14 @@ def stirred(text: Column, key: Column, domain: str) -> Column:
     def shifted(own: Column, other: Column, i: Column) -> Column:
         stream = F.sha2(F.concat_ws("|", key, F.lit(domain), i.cast("string"), other), 256)
 
-        def char(c: Column, j: Column) -> Column:
-            by = F.conv(F.substring(stream, 4 * (j % 16) + 1, F.lit(4)), 16, 10).cast("int")
+        def char(c: Column, j: Column, drawn: Column) -> Column:
+            by = F.conv(F.substring(drawn, 4 * (j % 16) + 1, F.lit(4)), 16, 10).cast("int")
             inside = lambda low, size: F.char(F.lit(low) + F.pmod(F.ascii(c) - low + by, F.lit(size)))
             return F.when(c.rlike("^[a-z]$"), inside(97, 26)).when(c.rlike("^[A-Z]$"), inside(65, 26)).when(c.rlike("^[0-9]$"), inside(48, 10)).otherwise(c)
 
-        return F.when(own == "", own).otherwise(F.array_join(F.transform(F.split(own, ""), char), ""))
+        # The stream is drawn once for a half, not for each of its characters.
+        moved = F.transform(F.array(stream), lambda drawn: F.array_join(F.transform(F.split(own, ""), lambda c, j: char(c, j, drawn)), ""))[0]
+        return F.when(own == "", own).otherwise(moved)
 
     def step(s: Column, i: Column) -> Column:
         return F.when(i % 2 == 0, F.struct(shifted(s["l"], s["r"], i).alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), shifted(s["r"], s["l"], i).alias("r")))
@@ -113,20 +122,47 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
+def first_valid(m: Column, gap: str, heads: int, tails: int, valid) -> Column:
+    """struct(head, own, tail): the first valid part of ``m``, which is cut at ``gap``; own is null if there is none.
+
+    The whole of ``m`` comes first, then what is left without up to ``heads`` groups before it and ``tails`` after it.
+    """
+    group = rf"[^ -]+{gap}"
+    cuts = sorted(((a, z) for a in range(heads + 1) for z in range(tails + 1)), key=lambda x: (sum(x), x))
+    parts = []
+    for a, z in cuts:
+        pattern = rf"^((?:{group}){{{a}}})(.*?)((?:{gap}[^ -]+){{{z}}})$"
+        parts.append(F.struct(*(F.regexp_extract(m, pattern, i).alias(n) for i, n in ((1, "head"), (2, "own"), (3, "tail")))))
+    return F.get(F.filter(F.array(*parts), lambda x: (F.length(x["own"]) > 0) & valid(x["own"], F.length(x["own"]) == F.length(m))), F.lit(0))
+
+
 def card(m: Column, key: Column) -> Column:
-    d = digits_of(m)
-    payload = permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
-    return F.when(call("luhn_check", d), into(m, F.concat(payload, luhn_digit(payload)))).otherwise(m)
+    """The card number in a run of digits: the whole run, or a part of it that is grouped as cards are."""
+
+    def masked(own: Column) -> Column:
+        d = digits_of(own)
+        payload = permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
+        return into(own, F.concat(payload, luhn_digit(payload)))
+
+    sized = lambda own: F.length(digits_of(own)).between(13, 19)
+    found = first_valid(m, "[ -]", 3, 3, lambda own, whole: sized(own) & (whole | own.rlike(f"^(?:{CARD_GROUPS})$")) & call("luhn_check", digits_of(own)))
+    return F.transform(F.array(found), lambda x: F.when(x.isNull(), m).otherwise(F.concat(x["head"], masked(x["own"]), x["tail"])))[0]
 
 
 def iban(m: Column, key: Column) -> Column:
-    plain = F.replace(m, F.lit(" "))
-    country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
-    valid = (mod97(F.concat(account, F.substring(plain, 1, 4))) == 1) & F.length(plain).between(15, 34)
-    new = stirred(account, key, "iban")
-    whole = F.concat(country, F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0"), new)
-    spaced = F.array_join(F.zip_with(F.split(m, "[A-Z0-9]", -1), F.split(whole, ""), lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
-    return F.when(valid, spaced).otherwise(m)
+    """The longest valid IBAN that the match starts with; a card number may follow it."""
+    plain = lambda own: F.replace(own, F.lit(" "))
+    account = lambda own: F.substring(plain(own), F.lit(5), F.length(plain(own)))
+    valid = lambda own, whole: F.length(plain(own)).between(15, 34) & (mod97(F.concat(account(own), F.substring(plain(own), 1, 4))) == 1)
+
+    def masked(own: Column) -> Column:
+        country, new = F.substring(own, 1, 2), stirred(account(own), key, "iban")
+        whole = F.concat(country, F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0"), new)
+        return F.array_join(F.zip_with(F.split(own, "[A-Z0-9]", -1), F.split(whole, ""), lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
+
+    rest = lambda t: F.when(t.rlike(f"^ (?:{CARD})$"), F.concat(F.lit(" "), card(F.substring(t, F.lit(2), F.length(t)), key))).otherwise(t)
+    found = first_valid(m, " ", 0, 5, valid)
+    return F.transform(F.array(found), lambda x: F.when(x.isNull(), m).otherwise(F.concat(masked(x["own"]), rest(x["tail"]))))[0]
 
 
 def ssn(m: Column, key: Column) -> Column:
@@ -151,17 +187,37 @@ def ipv4(m: Column, key: Column) -> Column:
 
 
 def date(m: Column, key: Column) -> Column:
+    """Days move among the days of a 400-year cycle. A slash date is MM/DD/YYYY if that is a day; the others (DD from
+    13 on) move among themselves, so that the two forms never share a pseudonym."""
+    start = F.lit("1970-01-01").cast("date")
     out = m
     for form, pattern in (("dd/MM/yyyy", r"^\d{2}/\d{2}/\d{4}$"), ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"), ("dd.MM.yyyy", r"^\d{2}\."), ("yyyy/MM/dd", r"^\d{4}/"), ("yyyy-MM-dd", r"^\d{4}-")):
-        day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+        day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), start).cast("long")
         low = F.pmod(day, F.lit(DAYS).cast("long"))
-        new = feistel(low, F.lit(189).cast("long"), F.lit(773).cast("long"), key, "date")
-        moved = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), (day - low + new).cast("int")), form)
+        if form == "dd/MM/yyyy":
+            new = late_day(low, key)
+        else:
+            new = feistel(low, F.lit(189).cast("long"), F.lit(773).cast("long"), key, "date")
+        moved = F.date_format(F.date_add(start, (day - low + new).cast("int")), form)
         # 0370-01-01 and 9969-12-31: whole cycles of four-digit years.
         out = F.when(m.rlike(pattern) & day.between(-584388, 2921939), moved).otherwise(out)
     return out
 
 
+def late_day(low: Column, key: Column) -> Column:
+    """Permutes the days of the cycle that are 13th or later in their month: 88497 = 9 x 9833 of them."""
+    start = F.lit("1970-01-01").cast("date")
+    months = lambda d: (F.year(d) - 1970) * 12 + F.month(d) - 1
+    # Days before month i that are 13th or later; a month has 18.436875 of them on average.
+    before = lambda i: F.datediff(F.add_months(start, i), start).cast("long") - 12 * i.cast("long")
+    own = low - 12 * (months(F.date_add(start, low.cast("int"))).cast("long") + 1)
+    new = feistel(own, F.lit(9).cast("long"), F.lit(9833).cast("long"), key, "late")
+    guess = F.floor(new / F.lit(18.436875)).cast("int")
+    at = lambda v, g: F.filter(F.array(g + 1, g, g - 1), lambda i: (i >= 0) & (before(i) <= v))[0]
+    day = F.transform(F.array(F.struct(new.alias("v"), guess.alias("g"))), lambda x: F.transform(F.array(at(x["v"], x["g"])), lambda i: x["v"] + 12 * (i.cast("long") + 1))[0])[0]
+    return day
+
+
 def phone(m: Column, key: Column) -> Column:
     code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
@@ -185,10 +241,11 @@ def pseudonym(m: Column, key: Column) -> Column:
 
 
 def protect(frame: DataFrame, key: str, text_col: str = "text", count_col: str = "n_found") -> DataFrame:
-    """The rows with pseudonyms in the text, and the number of places looked at in ``count_col``."""
+    """The rows with pseudonyms in the text, and the number of places that changed in ``count_col``."""
     text = F.col(text_col)
     some = F.coalesce(text.rlike(QUICK), F.lit(False))
     out = frame.drop(count_col).withColumn("_found", F.when(some, F.regexp_extract_all(text, F.lit(f"({FOUND})"), F.lit(1))))
     out = out.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, F.lit(key)))))
     joined = F.array_join(F.flatten(F.zip_with(F.split(text, FOUND, -1), F.col("_new"), lambda gap, x: F.array(gap, F.coalesce(x, F.lit(""))))), "")
-    return out.withColumns({text_col: F.when(F.size("_found") > 0, joined).otherwise(text), count_col: F.greatest(F.size("_found"), F.lit(0)).cast("long")}).drop("_found", "_new")
+    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
+    return out.withColumns({text_col: F.when(F.size("_found") > 0, joined).otherwise(text), count_col: F.greatest(changed, F.lit(0)).cast("long")}).drop("_found", "_new")
