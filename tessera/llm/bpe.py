@@ -1,9 +1,9 @@
 """Byte-level BPE by overlapping chunks.
 
-A text is cut into overlapping chunks of characters. Each chunk is pre-tokenised by itself (in
-parallel threads for texts of many chunks); neighbours are stitched at the first place in their
-overlap where both have a pre-token boundary, for from there on their pre-tokens are the same. The
-pieces between stitches are then encoded. Decoding joins the raw bytes of the ids.
+A text is cut into overlapping chunks of characters. Each chunk is pre-tokenised by itself; neighbours are
+stitched at the first place in their overlap where both have a pre-token boundary, for from there on their
+pre-tokens are the same. The pieces between stitches are then encoded, in parallel threads for texts of many
+pieces. Decoding joins the raw bytes of the ids. A text of at most one chunk is one piece.
 
 A boundary is used for a stitch only if the pre-token before it does not end in white space:
 white space is the only thing the pattern looks beyond a match for, so a piece that ends in
@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 
 from .text_arrays import slices
 
-CHUNK_CHARS = 1 << 16
-OVERLAP_CHARS = 1 << 10
+CHUNK_CHARS = 1 << 12
+OVERLAP_CHARS = 1 << 8
+MANY_PIECES = 64
 SLICE_BYTES = 4 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -52,7 +53,9 @@ class Codec:
     def encode(self, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, threads: int = 2) -> list[int]:
         if len(text) <= chunk:
             return self.encoding.encode_ordinary(text)
-        pieces = self.pieces(text, chunk, overlap, threads)
+        pieces = self.pieces(text, chunk, overlap)
+        if len(pieces) < MANY_PIECES:
+            return [i for piece in pieces for i in self.encoding.encode_ordinary(piece)]
         with ThreadPoolExecutor(threads) as pool:
             return [i for ids in pool.map(self.encoding.encode_ordinary, pieces) for i in ids]
 
@@ -67,7 +70,7 @@ class Codec:
                 found.add(end)
         return found
 
-    def pieces(self, text: str, chunk: int, overlap: int, threads: int) -> list[str]:
+    def pieces(self, text: str, chunk: int, overlap: int) -> list[str]:
         """The text cut at stitches of neighbouring chunks."""
         starts = list(range(0, len(text), chunk))
 
@@ -77,8 +80,7 @@ class Codec:
             stop = min(len(text), b + overlap)
             return self.boundaries(text, a, min(len(text), a + overlap + 1), a, a + overlap), self.boundaries(text, a, stop, b, stop)
 
-        with ThreadPoolExecutor(threads) as pool:
-            found = list(pool.map(zones, range(len(starts))))
+        found = [zones(i) for i in range(len(starts))]
         cuts, synced = [0], True  # synced: chunk i - 1 keeps the text's own boundaries from starts[i] on
         for i in range(1, len(starts)):
             at, more = min(found[i - 1][1] & found[i][0], default=None) if synced else None, overlap

@@ -37,3 +37,12 @@ def test_rows(spark):
 def test_round_trip_of_frames(spark):
     out = bpe.decode(bpe.encode(docs(spark, ["añb c", None]), PATH, PATTERN), PATH, PATTERN).orderBy("doc_id").select(F.col("decoded").cast("string")).collect()
     assert [r[0] for r in out] == ["añb c", ""]
+
+
+def test_long_texts_of_the_data_are_stitched(spark):
+    c = bpe.codec(*bpe.tokenizer_file())
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text and len(r.text) > 2 * bpe.CHUNK_CHARS]
+    pieces = [c.pieces(t, bpe.CHUNK_CHARS, bpe.OVERLAP_CHARS) for t in texts]
+    assert len(texts) > 20 and sum(len(p) > 1 for p in pieces) > 0.9 * len(texts)
+    assert all("".join(p) == t for p, t in zip(pieces, texts, strict=True))
+    assert all(c.encode(t) == c.encoding.encode_ordinary(t) for t in texts)
