@@ -44,7 +44,7 @@ SALTS = 16
 GRAMS = 512
 LONG_WORD = 5
 WITHOUT_ONE, WITHOUT_TWO, THIRDS = 14, 9, 10
-SKETCHED, TABLES, ROWS = 16, 3, 3
+SKETCHED, TABLES, ROWS = 16, 2, 4
 _SALTS = np.array([0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127], U64)
 
 

@@ -118,3 +118,19 @@ def test_awkward_rows(spark):
     assert L.dedup(empty(spark)).count() == 0
     twice = docs(spark, ["same line here"]).unionByName(docs(spark, ["same line here"]))
     assert [r.text for r in L.dedup(twice).collect()] == ["same line here"] * 2
+
+
+def test_recall_of_one_word_edits():
+    """One word replaced, one letter changed, a word deleted, a word inserted: pairs that hold must meet."""
+    rng = random.Random(12)
+    edits = {
+        "replaced": lambda w, i: w[:i] + [sentence(rng, 1)] + w[i + 1 :],
+        "letter": lambda w, i: w[:i] + [w[i][:-1] + rng.choice("qrstuvwxyz")] + w[i + 1 :],
+        "deleted": lambda w, i: w[:i] + w[i + 1 :],
+        "inserted": lambda w, i: w[:i] + [sentence(rng, 1)] + w[i:],
+    }
+    for n in (6, 10, 20, 40):
+        for name, edit in edits.items():
+            pairs = [(" ".join(w), " ".join(edit(w, rng.randrange(n)))) for w in (sentence(rng, n).split() for _ in range(300))]
+            pairs = [p for p in pairs if distance(*p) <= 0.2 * max(map(len, p))]
+            assert len(pairs) > 100 and len(met(pairs)) >= 0.9 * len(pairs), (n, name)
