@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import TesseraError
+from . import neighbours
 
 
 class Model:
@@ -113,3 +114,26 @@ class Trees(Model):
         done = PipelineModel(used).transform(self._features(frame))
         value = F.col("prediction") if self.task == "regression" else vector_to_array(F.col("probability"))
         return done.withColumn(out, value).select(*frame.columns, out)
+
+
+class Neighbours(Model):
+    """Median target, or class rates, of the k nearest training rows by standardised numbers."""
+
+    def __init__(self, numeric: Sequence[str], id_col: str, k: int = 5, task: str = "regression", name: str | None = None, weight: float = 0.15):
+        if not numeric:
+            raise TesseraError("a neighbour model needs a numeric column")
+        self.numeric, self.id_col, self.k, self.task, self.weight = list(numeric), id_col, k, task, weight
+        self.name = name or "neighbours"
+
+    def fit(self, frame: DataFrame, target: str) -> Neighbours:
+        self.train, self.target = frame.where(F.col(target).isNotNull()).select(self.id_col, *self.numeric, target), target
+        self.classes = [r[0] for r in self.train.select(F.col(target).cast("string")).distinct().orderBy(target).limit(21).collect()] if self.task == "classification" else None
+        return self
+
+    def predict(self, frame: DataFrame, out: str) -> DataFrame:
+        found = neighbours.nearest_numeric(frame, self.train, self.id_col, self.numeric, self.k, self.weight)
+        if self.task == "classification":
+            said = neighbours.rates_of(found, self.train.withColumn(self.target, F.col(self.target).cast("string")), self.id_col, self.target, self.classes)
+        else:
+            said = neighbours.median_of(found, self.train, self.id_col, self.target)
+        return frame.join(said.toDF(self.id_col, out), self.id_col, "left").select(*frame.columns, out)

@@ -123,11 +123,10 @@ class TypedColumn:
     def neighbours(self, frame: DataFrame) -> DataFrame:
         """The nearest references of each row, two at least."""
         if self.vector:
-            q = frame.select(F.col(self.id_col).alias("id"), A.normalised(F.col(self.source[0])).alias("y"))
-            pairs = q.join(neighbours.small(self.references.select("train_id", A.normalised(F.col("x")).alias("x")))).select("id", "train_id", A.dot(F.col("x"), F.col("y")).alias("similarity"))
-        else:
-            counts = neighbours.gram_counts(self._texts(frame), "id", F.col("text"))
-            pairs = neighbours.sparse_pairs(neighbours.sparse_vectors(counts, self.weights), self.vectors)
+            q, r = (f.select(F.col(i).alias("id"), F.col(x).alias("x")) for f, i, x in ((frame, self.id_col, self.source[0]), (self.references, "train_id", "x")))
+            return neighbours.nearest_vectors(q, r, "id", "x", min(max(self.k_, 2), self.n_))
+        counts = neighbours.gram_counts(self._texts(frame), "id", F.col("text"))
+        pairs = neighbours.sparse_pairs(neighbours.sparse_vectors(counts, self.weights), self.vectors)
         return neighbours.nearest(pairs, min(max(self.k_, 2), self.n_))
 
     def transform(self, frame: DataFrame) -> DataFrame:
