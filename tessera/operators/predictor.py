@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -12,9 +14,10 @@ from pyspark.sql import functions as F
 from ..errors import TesseraError
 from ..functions import arrays as A
 from ..functions import text as X
-from ..sources.clients import Client, answered
+from ..sources.checkpoints import cut
+from ..sources.clients import Client, kept_answers
 from . import leakage, neighbours, routing
-from .models import Model, Trees
+from .models import Model, Neighbours, Trees
 from .profile import ColumnSpec, profile, spec_of
 
 
@@ -36,6 +39,9 @@ class Domain:
         lines = [f"You work as {self.role}.", f"Estimate {self.target_name}{f' in {unit}' if unit else ''} of the {self.subject} described below.", "Weigh the outputs of the statistical models and the similar known cases.", *self.hints]
         return "\n".join(lines)
 
+    def tier_prompt(self) -> str:
+        return f"You work as {self.role}. Each option is a statistical model with its output for {self.target_name} of one {self.subject}. Choose the one that is most likely right, by the similar known cases and the attributes."
+
 
 @dataclass
 class Prediction:
@@ -44,10 +50,15 @@ class Prediction:
     frame: DataFrame
     id_col: str
     unit_cost: float
+    fit_id: str = ""
 
     def values(self) -> DataFrame:
         return self.frame.select(self.id_col, "value")
 
+    def probabilities(self) -> DataFrame:
+        """Class probabilities, in the order of the estimator's ``classes_``; null for numbers."""
+        return self.frame.select(self.id_col, "probabilities")
+
     def confidence(self) -> DataFrame:
         return self.frame.select(self.id_col, "confidence")
 
@@ -81,14 +92,17 @@ class EvidenceEstimator:
 
     task = "regression"
 
-    def __init__(self, target: str, id_col: str, unit: str = "", spec: ColumnSpec | None = None, domain: Domain | None = None, models: Sequence[Model] | str = "default", n_examples: int = 5, neighbour_weight: float = 0.15, client: Client | None = None, tier: Client | None = None, fallback: str = "best_model", check_leakage: bool = True, escalate_rate: float | None = None, threshold: float | None = None, signal: str | Callable[[DataFrame], Column] = "disagreement"):
+    def __init__(self, target: str, id_col: str, unit: str = "", spec: ColumnSpec | None = None, domain: Domain | None = None, models: Sequence[Model] | str = "default", n_examples: int = 5, neighbour_weight: float = 0.15, client: Client | None = None, tier: Client | None = None, fallback: str = "best_model", check_leakage: bool = True, escalate_rate: float | None = None, threshold: float | None = None, signal: str | Callable[[DataFrame], Column] = "disagreement", cache: str | None = None):
         if fallback not in ("best_model", "error"):
             raise TesseraError("fallback is best_model or error")
         self.target, self.id_col, self.unit, self.spec = target, id_col, unit, spec
         self.domain, self.models, self.n_examples, self.weight = domain or Domain(target_name=target), models, n_examples, neighbour_weight
         self.client, self.tier, self.fallback, self.check = client, tier, fallback, check_leakage
-        self.rate, self.threshold, self.signal = escalate_rate, threshold, signal
+        self.rate, self.threshold, self.signal, self.cache = escalate_rate, threshold, signal, cache
+        if signal == "tier" and tier is None:
+            raise TesseraError("the signal of the middle tier needs one")
         self.approved: DataFrame | None = None
+        self.warned, self.fit_id = False, ""
 
     def fit(self, train: DataFrame) -> EvidenceEstimator:
         self.spec = self.spec or spec_of(profile(train.drop(self.id_col), train.columns[0] if train.columns[0] != self.id_col else train.columns[1]), self.target)
@@ -102,10 +116,16 @@ class EvidenceEstimator:
             if not 2 <= len(self.classes_) <= 20:
                 raise TesseraError("classification takes 2 to 20 classes")
         numeric, categorical = [*self.spec.numeric, *self.spec.boolean], [*self.spec.categorical]
-        chosen = [Trees(numeric, categorical, "boosted", self.task), Trees(numeric, categorical, "forest", self.task)] if self.models == "default" else list(self.models)
+        given, chosen = ([self.models] if isinstance(self.models, str) else list(self.models)), []
+        for m in given:
+            if m == "default":
+                chosen += [Trees(numeric, categorical, "boosted", self.task), Trees(numeric, categorical, "forest", self.task)]
+                chosen += [Neighbours(self.spec.numeric, self.id_col, self.n_examples, self.task, weight=self.weight)] if self.spec.numeric else []
+            else:
+                chosen.append(m)
         if len({m.name for m in chosen}) < len(chosen):
             raise TesseraError("models need names of their own")
-        self.models_ = [m.fit(self.train, self.target) for m in chosen]
+        self.models_, self.fit_id = [m.fit(self.train, self.target) for m in chosen], uuid.uuid4().hex
         return self
 
     def evidence(self, frame: DataFrame) -> DataFrame:
@@ -117,6 +137,9 @@ class EvidenceEstimator:
     def examples(self, frame: DataFrame) -> DataFrame:
         """(id, train_id, similarity, rank, label) of similar known cases."""
         neighbours.require_features(self.spec.text, self.spec.numeric)
+        if not self.spec.text:
+            found = neighbours.nearest_numeric(frame, self.train, self.id_col, self.spec.numeric, self.n_examples, self.weight)
+            return found.join(self.train.select(F.col(self.id_col).alias("train_id"), F.col(self.target).alias("label")), "train_id")
         pairs = neighbours.numeric_pairs(frame, self.train, self.id_col, self.spec.numeric, self.weight) if self.spec.numeric else None
         if self.spec.text:
             counts = neighbours.gram_counts(self.train, self.id_col, F.col(self.spec.text))
@@ -142,6 +165,9 @@ class EvidenceEstimator:
         if self.signal == "similarity":
             near = self.examples(evidence).groupBy("id").agg((-F.max("similarity")).alias("signal"))
             return evidence.join(near.withColumnRenamed("id", self.id_col), self.id_col, "left")
+        if self.signal == "tier":
+            # A row that the tier could not answer is the least certain of all.
+            return evidence.withColumn("signal", 1.0 - F.coalesce("tier_confidence", F.lit(0.0)))
         if self.signal == "unseen":
             return evidence.join(routing.unseen_signal(evidence, self.train, self.id_col, list(self.spec.categorical), self.spec.text), self.id_col)
         raise TesseraError(f"no such signal: {self.signal}")
@@ -161,51 +187,112 @@ class EvidenceEstimator:
             kinds.append((self.spec.long_text, X.truncated(text, self.spec.long_text_chars), "text"))
         return X.described(kinds)
 
+    def cases(self, frame: DataFrame) -> DataFrame:
+        """(id, cases): for each row its similar known cases, nearest first, as an array of (similarity, label, row)."""
+        if not self.spec.numeric and not self.spec.text:
+            return frame.select(self.id_col, F.array().cast("array<struct<rank:int,similarity:double,label:string,row:string>>").alias("cases"))
+        told = self.train.select(F.col(self.id_col).alias("train_id"), self.describe(self.train).alias("row"))
+        case = F.struct("rank", F.round("similarity", 6).alias("similarity"), F.col("label").cast("string").alias("label"), "row")
+        return self.examples(frame).join(told, "train_id").groupBy(F.col("id").alias(self.id_col)).agg(F.array_sort(F.collect_list(case)).alias("cases"))
+
+    def answer_schema(self) -> dict:
+        """What an answer must look like."""
+        value = {"type": "number"} if self.task == "regression" else {"type": "string", "enum": list(self.classes_)}
+        return {"type": "object", "required": ["value"], "properties": {"value": value, "confidence": {"type": "number", "minimum": 0, "maximum": 1}, "reason": {"type": "string"}}}
+
+    def _requests(self, rows: DataFrame, prompt: str, **more: Column) -> DataFrame:
+        """(id, key, request): the question for each row, keyed by its own hash."""
+        voices = F.struct(*(F.col(f"evidence_{m.name}").alias(m.name) for m in self.models_))
+        asked = rows.join(self.cases(rows), self.id_col, "left")
+        request = F.to_json(F.struct(F.lit(prompt).alias("system"), F.col("description").alias("row"), voices.alias("evidence"), F.col("cases"), *(c.alias(n) for n, c in more.items())))
+        return asked.select(self.id_col, request.alias("request")).withColumn("key", F.sha2("request", 256))
+
+    def _tiered(self, rows: DataFrame) -> DataFrame:
+        """The rows with tier_value, tier_confidence and tier_cost: the models' outputs weighted by the tier's probabilities."""
+        names = [m.name for m in self.models_]
+        requests = cut(self._requests(rows, self.domain.tier_prompt(), options=F.array(*map(F.lit, names))))
+        got = kept_answers(requests.select("key", "request"), self.tier, self.cache)
+        said = F.from_json("answer", "choice string, probabilities map<string, double>, confidence double")
+        got = got.select("key", said.alias("said"), F.col("cost").alias("tier_cost")).where(F.col("said.choice").isin(names))
+        drawn = [F.coalesce(F.col("said.probabilities")[n], F.lit(0.0)) for n in names]
+        none = sum((F.greatest(d, F.lit(0.0)) for d in drawn), F.lit(0.0)) <= 0
+        weights = [F.when(none, (F.col("said.choice") == n).cast("double")).otherwise(d) for d, n in zip(drawn, names, strict=True)]
+        out = rows.join(requests.select(self.id_col, "key"), self.id_col, "left").join(got, "key", "left").drop("key")
+        voices = [F.col(f"evidence_{n}") for n in names]
+        if self.task == "regression":
+            value = A.weighted_average(voices, weights)
+        else:
+            value = F.array(*(A.weighted_average([v[i] for v in voices], weights) for i in range(len(self.classes_))))
+        answered = F.col("said").isNotNull()
+        return out.withColumns({"tier_value": F.when(answered, value), "tier_confidence": F.when(answered, F.coalesce("said.confidence", F.lit(0.0))), "tier_cost": F.coalesce("tier_cost", F.lit(0.0))}).drop("said")
+
     def plan(self, frame: DataFrame) -> dict:
         cost = self.client.cost_per_call if self.client else routing.COST_A_ROW
+        if self.signal == "tier":
+            raise TesseraError("the tier's signal is known only after it has been asked")
         rows = self._signal(self.evidence(frame)).withColumn("fingerprint", self._fingerprint())
         return routing.plan(rows, "signal", self.id_col, self.rate, self.threshold, None if self.approved is None else rows.join(self.approved, "fingerprint").select(self.id_col), cost)
 
     def predict(self, frame: DataFrame) -> Prediction:
         if self.check:
             leakage.check_overlap(self.train.drop(self.target, self.id_col), frame.drop(self.target, self.id_col), warn=True)
-        fast = self._signal(self.evidence(frame)).withColumns({"fingerprint": self._fingerprint(), "description": self.describe(frame)}).cache()
+        kind = "double" if self.task == "regression" else "string"
+        none = {"tier_value": F.lit(None).cast(kind if self.task == "regression" else "array<double>"), "tier_confidence": F.lit(None).cast("double"), "tier_cost": F.lit(0.0)}
+        fast = cut(self.evidence(frame).withColumns({"fingerprint": self._fingerprint(), "description": self.describe(frame)}))
+        if self.signal == "tier":
+            fast = cut(self._tiered(fast))
+        fast = cut(self._signal(fast))
         cost = self.client.cost_per_call if self.client else routing.COST_A_ROW
         approved = None if self.approved is None else fast.join(self.approved, "fingerprint").select(self.id_col, F.col("approved_value"))
         routed = self.rate is not None or self.threshold is not None
         if self.client is None:
             sent = fast.limit(0)
         else:
-            sent = routing.selected(fast, "signal", self.id_col, self.rate, self.threshold, approved)
-            if not routed and fast.count() * cost > routing.WARN_DOLLARS:
-                warnings.warn(f"every row goes to {self.client.name}, at about {fast.count() * cost:.2f} USD", stacklevel=2)
+            sent = cut(routing.selected(fast, "signal", self.id_col, self.rate, self.threshold, approved))
+            if not routed and not self.warned and sent.count() * cost > routing.WARN_DOLLARS:
+                self.warned = True
+                warnings.warn(f"every row goes to {self.client.name}, at about {sent.count() * cost:.2f} USD", stacklevel=2)
         out = fast
         if self.client is not None:
-            voices = F.struct(*(F.col(f"evidence_{m.name}").alias(m.name) for m in self.models_))
-            request = F.to_json(F.struct(F.lit(self.domain.system_prompt(self.unit)).alias("system"), F.col("description").alias("row"), voices.alias("evidence")))
-            got = answered(sent.select(F.col("fingerprint").alias("key"), request.alias("request")), self.client)
-            kind = "double" if self.task == "regression" else "string"
-            parsed = F.from_json("answer", f"value {kind}, confidence double, reason string")
-            got = got.select(F.col("key").alias("fingerprint"), parsed["value"].alias("answer"), F.greatest(F.least(F.coalesce(parsed["confidence"], F.lit(0.5)), F.lit(1.0)), F.lit(0.0)).alias("answer_confidence"), parsed["reason"].alias("answer_reason"), F.col("cost").alias("answer_cost"), F.col("error").alias("answer_error"))
-            out = out.join(sent.select(self.id_col, F.lit(True).alias("sent")), self.id_col, "left").join(got, "fingerprint", "left")
+            requests = cut(self._requests(sent, self.domain.system_prompt(self.unit), answer=F.lit(json.dumps(self.answer_schema()))))
+            got = kept_answers(requests.select("key", "request"), self.client, self.cache)
+            said = F.from_json("answer", f"value {kind}, confidence double, reason string")
+            valid = F.lit(True) if self.task == "regression" else said["value"].isin(self.classes_)
+            wrong = F.when(F.col("error").isNull() & ~F.coalesce(valid & said["value"].isNotNull(), F.lit(False)), "the answer is no valid value")
+            got = got.select("key", F.when(valid, said["value"]).alias("answer"), F.greatest(F.least(F.coalesce(said["confidence"], F.lit(0.5)), F.lit(1.0)), F.lit(0.0)).alias("answer_confidence"), said["reason"].alias("answer_reason"), F.col("cost").alias("answer_cost"), F.coalesce("error", wrong).alias("answer_error"))
+            out = out.join(requests.select(self.id_col, "key", F.lit(True).alias("sent")), self.id_col, "left").join(got, "key", "left").drop("key")
         else:
-            out = out.withColumns({"sent": F.lit(False), "answer": F.lit(None).cast("double" if self.task == "regression" else "string"), "answer_confidence": F.lit(None).cast("double"), "answer_reason": F.lit(None).cast("string"), "answer_cost": F.lit(0.0), "answer_error": F.lit(None).cast("string")})
+            out = out.withColumns({"sent": F.lit(False), "answer": F.lit(None).cast(kind), "answer_confidence": F.lit(None).cast("double"), "answer_reason": F.lit(None).cast("string"), "answer_cost": F.lit(0.0), "answer_error": F.lit(None).cast("string")})
         out = out.withColumn("sent", F.coalesce("sent", F.lit(False))).withColumn("answer", F.when(F.col("sent"), F.col("answer")))
-        out = out.join(approved, self.id_col, "left").withColumnRenamed("approved_value", "approved") if approved is not None else out.withColumn("approved", F.lit(None).cast("double" if self.task == "regression" else "string"))
-        out = out.withColumn("tier", F.lit(None).cast("double"))
+        out = out.join(approved, self.id_col, "left").withColumnRenamed("approved_value", "approved") if approved is not None else out.withColumn("approved", F.lit(None).cast(kind))
+        if self.signal != "tier" and self.tier is not None:
+            left = out.where("not sent and approved is null")
+            out = self._tiered(left).unionByName(out.join(left.select(self.id_col), self.id_col, "left_anti").withColumns(none))
+        elif self.tier is None:
+            out = out.withColumns(none)
+        out = out.withColumn("tier", F.col("tier_value"))
         if self.fallback == "error" and out.where("sent and answer is null and approved is null").limit(1).count():
             raise TesseraError("an external answer failed")
         out = routing.confidence(out.withColumn("origin", routing.merged(out)), "signal").withColumnRenamed("confidence", "_fast")
-        base = self._plain(F.col(f"evidence_{self.models_[0].name}"))
-        value = F.when(F.col("origin") == "human", F.col("approved")).when(F.col("origin") == "llm", F.col("answer")).otherwise(base)
-        sure = F.when(F.col("origin") == "human", 1.0).when(F.col("origin") == "llm", F.col("answer_confidence")).when(F.col("origin") == "fallback", 0.0).otherwise(F.col("_fast") if routed else F.lit(0.0))
-        paid = F.when(F.col("sent"), F.coalesce("answer_cost", F.lit(0.0))).otherwise(0.0)
+        first = F.col(f"evidence_{self.models_[0].name}")
+        is_from = lambda x: F.col("origin") == x
+        value = F.when(is_from("human"), F.col("approved")).when(is_from("llm"), F.col("answer")).when(is_from("jev"), self._plain(F.col("tier"))).otherwise(self._plain(first))
+        sure = F.when(is_from("human"), 1.0).when(is_from("llm"), F.col("answer_confidence")).when(is_from("jev"), F.col("tier_confidence")).when(is_from("fallback"), 0.0).otherwise(F.col("_fast") if routed else F.lit(0.0))
+        paid = F.when(F.col("sent"), F.coalesce("answer_cost", F.lit(0.0))).otherwise(0.0) + F.coalesce("tier_cost", F.lit(0.0))
         out = out.withColumns({"value": value, "confidence": sure, "cost": paid, "reason": F.coalesce("answer_reason", F.col("answer_error"))})
-        keep = [self.id_col, "value", "confidence", "origin", "signal", "sent", "cost", "reason", "fingerprint", *(f"evidence_{m.name}" for m in self.models_)]
-        return Prediction(out.select(*keep), self.id_col, cost)
+        if self.task == "regression":
+            probabilities = F.lit(None).cast("array<double>")
+        else:
+            # An external or human class takes its confidence; the others share the rest.
+            spread = F.array(*(F.when(F.col("value") == c, F.col("confidence")).otherwise((1.0 - F.col("confidence")) / (len(self.classes_) - 1)) for c in self.classes_))
+            probabilities = F.when(is_from("human") | is_from("llm"), spread).when(is_from("jev"), F.col("tier")).otherwise(first)
+        keep = [self.id_col, "value", "confidence", "origin", "signal", "sent", "cost", "reason", "fingerprint", "probabilities", *(f"evidence_{m.name}" for m in self.models_)]
+        return Prediction(cut(out.withColumn("probabilities", probabilities).select(*keep)), self.id_col, cost, self.fit_id)
 
     def approve(self, result: Prediction, ids: DataFrame) -> int:
-        """Keeps external answers of these ids by content; they are not asked again."""
+        """Keeps external answers of these ids by content; they are not asked again. A result of an earlier fit is refused."""
+        if result.fit_id != self.fit_id:
+            raise TesseraError("this result is of an earlier fit")
         new = result.frame.where(F.col("origin") == "llm").join(ids.select(self.id_col), self.id_col).select("fingerprint", F.col("value").alias("approved_value")).distinct()
         self.approved = new if self.approved is None else self.approved.unionByName(new).dropDuplicates(["fingerprint"])
         return new.count()

@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Writes the frame to spark.checkpoint.dir (a folder of its own where none is set, as in tests) and goes on from the files."""
-    context = frame.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
-    return frame.checkpoint(eager=True)
+    """Writes the frame once as Parquet below spark.checkpoint.dir and goes on from the files.
+
+    Whatever made the rows, a paid call for instance, is not run again by later actions. In local mode
+    a folder of its own serves where none is set.
+    """
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        context.setCheckpointDir(folder)
+    path = f"{folder}/tessera-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -17,6 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
+from .checkpoints import cut
+
 ANSWERS = "key string, answer string, cost double, error string"
 # Statuses worth a second try, the longest wait, the most options of one choice.
 RETRIED, LONGEST_WAIT, MOST_OPTIONS = (408, 409, 429, 500, 502, 503, 504, 529), 5.0, 255
@@ -40,6 +44,7 @@ class FunctionClient:
     function: Callable[[Mapping], Mapping]
     name: str = "function"
     cost_per_call: float = 0.0
+    workers: int = 1
 
     def available(self) -> bool:
         return True
@@ -63,6 +68,7 @@ class HttpClient:
     cost_per_call: float = 0.0
     max_retries: int = 2
     sleep: Callable[[float], None] = time.sleep
+    workers: int = 8
 
     def available(self) -> bool:
         return self.transport is not None
@@ -106,15 +112,18 @@ def answered(requests: DataFrame, client: Client, cache: DataFrame | None = None
         held = cache.where("error is null").dropDuplicates(["key"]).select("key", "answer", F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("from_cache"))
         known, left = distinct.select("key").join(held, "key"), distinct.join(held.select("key"), "key", "left_anti")
 
+    def one(request: str) -> tuple:
+        try:
+            return json.dumps(client.ask(json.loads(request)), ensure_ascii=False), client.cost_per_call, None
+        except Exception as error:  # an answerer's failure is an answer too
+            return None, 0.0, str(error) or type(error).__name__
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for key, request in zip(frame["key"], frame["request"], strict=True):
-                try:
-                    rows.append((key, json.dumps(client.ask(json.loads(request)), ensure_ascii=False), client.cost_per_call, None))
-                except Exception as error:  # an answerer's failure is an answer too
-                    rows.append((key, None, 0.0, str(error) or type(error).__name__))
-            yield pd.DataFrame(rows, columns=["key", "answer", "cost", "error"])
+        # ``workers`` of the client: calls at a time in one partition.
+        with ThreadPoolExecutor(max(1, getattr(client, "workers", 1))) as pool:
+            for frame in frames:
+                said = list(pool.map(one, frame["request"]))
+                yield pd.DataFrame([(key, *x) for key, x in zip(frame["key"], said, strict=True)], columns=["key", "answer", "cost", "error"])
 
     new = left.select("key", "request").mapInPandas(run, ANSWERS).withColumn("from_cache", F.lit(False))
     return new if known is None else known.unionByName(new)
@@ -123,3 +132,16 @@ def answered(requests: DataFrame, client: Client, cache: DataFrame | None = None
 def usage(answers: DataFrame) -> DataFrame:
     """One row: n_calls, cache_hits, errors, cost_usd. Summed over the answer table, so that retries do not count twice."""
     return answers.agg(F.count("*").alias("n_calls"), F.count_if("from_cache").alias("cache_hits"), F.count("error").alias("errors"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost_usd"))
+
+
+def kept_answers(requests: DataFrame, client: Client, path: str | None = None) -> DataFrame:
+    """answered(), run once and written: later actions read the table and pay nothing.
+
+    With ``path``, a Parquet cache of answers by request, known requests are not asked and new answers
+    without an error are appended. Rows of a task that is lost while it asks are asked again.
+    """
+    known = caches.load(requests.sparkSession, path, ANSWERS) if path else None
+    got = cut(answered(requests, client, known))
+    if path:
+        got.where("not from_cache and error is null").select("key", "answer", "cost", "error").write.mode("append").parquet(path)
+    return got

@@ -208,3 +208,52 @@ def test_diagnosis_and_code(cars):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         assert diagnose.run_diagnosis(cars, "grade", "id", screen_text=False).task == "classification"
+
+
+def test_answers_are_paid_once(cars, tmp_path):
+    calls, cache = tmp_path / "calls", str(tmp_path / "answers")
+
+    def answer(request):
+        with open(calls, "a") as f:
+            f.write("x")
+        assert request["cases"] and {"label", "row", "similarity"} <= set(request["cases"][0]) and "number" in request["answer"]
+        return {"value": 1.0}
+
+    spec = profile.ColumnSpec(numeric=["age", "mileage"], categorical=["grade"])
+    model = EvidenceRegressor("price", "id", spec=spec, models=[GroupMean("grade"), Linear("age")], client=clients.FunctionClient(answer, cost_per_call=0.5), escalate_rate=0.5, check_leakage=False, cache=cache).fit(cars.where("id < 60"))
+    test = cars.where("id >= 60")
+    result = model.predict(test)
+    for _ in range(2):
+        assert result.values().count() == 20 and len(result.route().collect()) == 20 and result.cost()["cost_usd"] == 5.0
+    assert len(calls.read_text()) == 10
+    again = model.predict(test)
+    assert len(calls.read_text()) == 10 and again.cost()["cost_usd"] == 0.0
+    assert again.frame.where("origin = 'llm'").count() == 10
+    with pytest.raises(TesseraError):
+        model.fit(cars.where("id < 60")).approve(again, test)
+
+
+def test_middle_tier_weighs_the_models(cars):
+    def choose(request):
+        assert request["options"] == ["group_mean", "linear"]
+        return {"choice": "linear", "probabilities": {"group_mean": 0.25, "linear": 0.75}, "confidence": 0.5 if "age: 3" in request["row"] else 0.9}
+
+    spec = profile.ColumnSpec(numeric=["age", "mileage"], categorical=["grade"])
+    tier, models = clients.FunctionClient(choose, "tier", 0.001), [GroupMean("grade"), Linear("age")]
+    test = cars.where("id >= 60")
+    model = EvidenceRegressor("price", "id", spec=spec, models=models, tier=tier, signal="tier", check_leakage=False).fit(cars.where("id < 60"))
+    for r in model.predict(test).frame.collect():
+        assert r.origin == "jev" and abs(r.value - (0.25 * r.evidence_group_mean + 0.75 * r.evidence_linear)) < 1e-6
+        assert abs(r.signal - (1 - r.confidence)) < 1e-9 and r.cost == 0.001
+    client = clients.FunctionClient(lambda r: {"value": 5.0})
+    mixed = EvidenceRegressor("price", "id", spec=spec, models=models, tier=tier, client=client, escalate_rate=0.25, check_leakage=False).fit(cars.where("id < 60")).predict(test)
+    assert {r.origin: r.n for r in mixed.report().collect()} == {"llm": 5, "jev": 15}
+
+
+def test_an_answer_outside_the_classes_falls_back(cars):
+    client = clients.FunctionClient(lambda r: {"value": "nonsense"})
+    classed = cars.withColumn("kind", F.when(F.col("id") % 2 == 0, "a").otherwise("b"))
+    model = EvidenceClassifier("kind", "id", spec=profile.ColumnSpec(numeric=["age", "mileage"]), models="default", n_examples=3, client=client, escalate_rate=1.0, check_leakage=False).fit(classed.where("id < 60"))
+    assert [m.name for m in model.models_] == ["boosted", "forest", "neighbours"]
+    rows = model.predict(classed.where("id >= 70")).frame.collect()
+    assert all(r.origin == "fallback" and r.value in ("a", "b") and abs(sum(r.probabilities) - 1) < 1e-6 for r in rows)
