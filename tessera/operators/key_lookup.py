@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..errors import TesseraError
 from ..functions import text as X
 from ..sources import caches
-from ..sources.clients import Client, answered
-from . import lookup
+from ..sources.checkpoints import cut
+from ..sources.clients import Client, kept_answers
+from . import lookup, screening
 
 ANSWERS = "key string, value string, confidence double, source string, reason string, cost double"
 
@@ -49,7 +50,7 @@ class KeyLookup:
         """A batch of keys is one request; each key's answer is checked and takes its share of the cost."""
         question = F.struct(F.lit(self.attribute).alias("attribute"), F.lit(self.kind).alias("type"), F.array(*map(F.lit, self.values)).cast("array<string>").alias("values"), F.lit(self.unit).alias("unit"), F.col("keys"))
         sets = lookup.batches(keys, self.batch_size)
-        got = answered(sets.select(F.col("batch").alias("key"), F.to_json(question).alias("request")), client).withColumnRenamed("key", "batch")
+        got = kept_answers(sets.select(F.col("batch").alias("key"), F.to_json(question).alias("request")), client).withColumnRenamed("key", "batch")
         rows = sets.join(got, "batch").withColumn("cost", F.col("cost") / F.size("keys")).select("batch", "cost", "error", F.explode("keys").alias("key"), F.from_json("answer", "answers array<struct<key: string, value: string, confidence: double, reason: string>>")["answers"].alias("a"))
         mine = F.get(F.filter("a", lambda x: X.normalised(x["key"]) == F.col("key")), F.lit(0))
         rows = rows.withColumn("m", mine)
@@ -63,8 +64,8 @@ class KeyLookup:
         new = lookup.to_ask(self.counts, self.answers)
         got = None
         if self.tier is not None:
-            first = self._ask(new, self.tier, "jev").cache()
-            got = first.where((F.col("source") == "jev") & (F.col("confidence") >= self.threshold))
+            first = self._ask(new, self.tier, "jev")
+            got = first if self.client is None else first.where((F.col("source") == "jev") & (F.col("confidence") >= self.threshold))
             left = new.join(got.select("key"), "key", "left_anti")
             spent = first.select("key", F.col("cost").alias("_spent"))
             if self.client is not None:
@@ -73,7 +74,6 @@ class KeyLookup:
         elif self.client is not None:
             got = self._ask(new, self.client, "llm")
         if got is not None:
-            got = got.cache()
             if self.path:
                 caches.save_answers(got, self.path)
             # Answers held before stay; errors among them are replaced.
@@ -95,6 +95,52 @@ class KeyLookup:
         return lookup.status(result.withColumnRenamed(f"{self.name}_source", "source"))
 
 
+class AutoLookup:
+    """Looked-up columns that an answerer proposes; those that carry signal stay.
+
+    fit() asks once for proposals, keeps the usable ones (proposals()), and makes a KeyLookup of each.
+    transform() adds the columns of all of them; kept() scores each on folds of the training rows.
+    """
+
+    def __init__(self, target: str, id_col: str, client: Client, numeric: Sequence[str] = (), categorical: Sequence[str] = (), max_columns: int = 3, folds: int = 3, **options):
+        self.target, self.id_col, self.client, self.max_columns, self.folds = target, id_col, client, max_columns, folds
+        self.numeric, self.categorical, self.options = list(numeric), list(categorical), options
+
+    def fit(self, frame: DataFrame) -> AutoLookup:
+        usable = [c for c in frame.columns if c not in (self.target, self.id_col)]
+        said = self.client.ask({"kind": "propose", "target": self.target, "columns": usable, "max_columns": self.max_columns})
+        self.proposals_ = proposals(said, usable, self.max_columns, frame.columns)
+        self.lookups_ = [KeyLookup(p["keys"], p["attribute"], p["kind"], p["values"], p["unit"], p["low"], p["high"], client=self.client, name=p["name"], **self.options).fit(frame) for p in self.proposals_]
+        self.train = frame
+        return self
+
+    def transform(self, frame: DataFrame) -> DataFrame:
+        for one in self.lookups_:
+            frame = one.transform(frame)
+        return frame
+
+    def kept(self) -> list[str]:
+        """Names of the columns that make the folds' errors smaller."""
+        known = cut(self.transform(self.train))
+        scored = [(one.name, screening.score_column(known, self.target, self.id_col, one.name, "numeric" if one.kind == "numeric" else "category", self.numeric, self.categorical, self.folds).first()) for one in self.lookups_]
+        return [name for name, row in scored if row["accepted"]]
+
+
+def proposals(said: Mapping, usable: Sequence[str], max_columns: int, taken: Sequence[str] = ()) -> list[dict]:
+    """The usable ones of an answerer's proposals, in its order: known keys, two values of a category, a range that is not empty; names that are taken get a number."""
+    out: list[dict] = []
+    for p in said.get("columns", []) if isinstance(said, Mapping) else []:
+        kind, keys = p.get("kind", "category"), list(dict.fromkeys(p.get("keys", [])))
+        values = list(dict.fromkeys(map(str, p.get("values", []))))
+        low, high = (p.get("range") or (None, None))[:2]
+        fine = bool(str(p.get("attribute", "")).strip()) and kind in lookup.LEAST_CONFIDENCE and bool(keys) and set(keys) <= set(usable)
+        fine = fine and (kind != "category" or len(values) >= 2) and (low is None or high is None or low < high)
+        if fine and len(out) < max_columns:
+            name = column_name(p.get("name") or p["attribute"], [*taken, *(x["name"] for x in out)])
+            out.append({"name": name, "attribute": p["attribute"], "kind": kind, "keys": keys, "values": values, "unit": p.get("unit", ""), "low": low, "high": high})
+    return out
+
+
 def column_name(attribute: str, taken: Sequence[str] = ()) -> str:
     """A column name for an attribute; _2, _3 and so on where it is taken."""
     import re

@@ -297,6 +297,11 @@ class EvidenceEstimator:
         self.approved = new if self.approved is None else self.approved.unionByName(new).dropDuplicates(["fingerprint"])
         return new.count()
 
+    def approve_values(self, frame: DataFrame, value_col: str) -> None:
+        """Keeps a person's answers by content, as approve() does."""
+        new = frame.select(self._fingerprint().alias("fingerprint"), F.col(value_col).alias("approved_value")).dropDuplicates(["fingerprint"])
+        self.approved = new if self.approved is None else self.approved.unionByName(new).dropDuplicates(["fingerprint"])
+
     def curve(self, frame: DataFrame, answers: DataFrame, rates: Sequence[float] = (0, 0.1, 0.2, 0.3, 0.5, 0.75, 1)) -> DataFrame:
         """Error by share of rows that take ``answers`` (id, answer)."""
         base = self._plain(F.col(f"evidence_{self.models_[0].name}"))

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import TesseraError
-from ..functions import arrays as A
 from ..functions import text as X
+from ..sources.checkpoints import cut
+from ..sources.clients import Client, kept_answers
 from . import neighbours, routing
 from .lookup import status
 from .sampling import half_even
@@ -55,6 +56,31 @@ def queue_only() -> Stage:
     return Stage("needs_review")
 
 
+def llm_stage(client: Client, candidates: Sequence[str], question: str = "", cache: str | None = None) -> Stage:
+    """A stage that asks a client for each open row's text; a value that is none of the candidates leaves the row open.
+
+    Its answers are kept, so that later actions pay nothing; they go to the review queue too.
+    """
+    return Stage("llm", lambda rows: _asked(rows, client, candidates, question, "value", cache), None, client.cost_per_call) if client.available() else Stage("llm")
+
+
+def tier_stage(client: Client, candidates: Sequence[str], question: str = "", threshold: float = 0.7, cache: str | None = None) -> Stage:
+    """A stage over a cheaper client that chooses one of the candidates; it settles rows it is sure enough of."""
+    if len(set(candidates)) < 2:
+        raise TesseraError("a choice needs two candidates")
+    return Stage("jev", lambda rows: _asked(rows, client, candidates, question, "choice", cache), threshold, client.cost_per_call) if client.available() else Stage("jev")
+
+
+def _asked(rows: DataFrame, client: Client, candidates: Sequence[str], question: str, field: str, cache: str | None) -> DataFrame:
+    options = list(dict.fromkeys(candidates))
+    text = F.col("text") if "text" in rows.columns else F.col("value")
+    request = F.to_json(F.struct(F.lit("choice").alias("kind"), text.alias("state"), F.lit(question).alias("question"), F.array(*map(F.lit, options)).alias("options")))
+    requests = cut(rows.select("id", request.alias("request")).withColumn("key", F.sha2("request", 256)))
+    said = F.from_json("answer", f"{field} string, confidence double")
+    got = kept_answers(requests.select("key", "request"), client, cache).select("key", F.when(said[field].isin(options), said[field]).alias("value"), said["confidence"].alias("confidence"))
+    return requests.join(got, "key").select("id", "value", "confidence")
+
+
 def settle(open_rows: DataFrame, stages: Sequence[Stage]) -> DataFrame:
     """(id, value, confidence, source, cost): each stage takes what the ones before it left open; costs add up."""
     done, left = None, open_rows.withColumn("cost", F.lit(0.0))
@@ -135,11 +161,14 @@ class TypedColumn:
             return frame.select(F.col(self.id_col).alias("id"), F.col(self.source[0]).alias("value"))
         labels = self.references.select("train_id", F.col("label").cast("string").alias("label"))
         voted = neighbours.elected(neighbours.votes(self.neighbours(frame), labels))
-        rows = frame.select(F.col(self.id_col).alias("id")).join(voted, "id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).cache()
+        rows = frame.select(F.col(self.id_col).alias("id")).join(voted, "id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+        rows = cut(rows)
         if self.rate is not None:
             weak = routing.top_rows(rows, "confidence", "id", half_even(rows.count() * self.rate), descending=False)
         else:
             weak = rows.where(F.col("confidence") < self.threshold)
+        if not self.vector and self.stages:
+            weak = weak.join(self._texts(frame), "id", "left")
         sure = rows.join(weak.select("id"), "id", "left_anti").select("id", "value", "confidence", F.lit("model").alias("source"), F.lit(0.0).alias("cost"))
         out = sure.unionByName(settle(weak, self.stages))
         if self.on_uncertain == "null":
@@ -147,7 +176,7 @@ class TypedColumn:
         return out
 
     def review_queue(self, result: DataFrame) -> DataFrame:
-        return result.where(F.col("source") == "needs_review").orderBy("confidence", "id")
+        return result.where(F.col("source").isin("needs_review", "llm")).orderBy("confidence", "id")
 
     def status(self, result: DataFrame) -> DataFrame:
         return status(result)

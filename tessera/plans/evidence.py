@@ -231,30 +231,12 @@ def e7(t: Tables):
     return routing.curve(e, "signal", "o_orderkey", "o_totalprice", "group_mean", "linear", [0.0, 0.1, 0.3, 1.0]).select("rate", "n_sent", F.round("error", 4).alias("error"))
 
 
-@query("i4_tier_signal", "SELECT o_orderkey, round(1 - coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN (o_custkey % 10) / 10.0 END, 0), 6) AS signal FROM orders")
-def i4(t: Tables):
-    tier = F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_custkey") % 10) / 10)
-    return t("orders").select("o_orderkey", F.round(1 - F.coalesce(tier, F.lit(0.0)), 6).alias("signal"))
-
-
 @query("i8_plan", "SELECT count(*) AS n_rows, CAST(round_even(count(*) * 0.2, 0) AS BIGINT) AS n_sent, CAST(round(round_even(count(*) * 0.2, 0) * 0.0086, 6) AS DOUBLE) AS cost_usd, CAST(round(23.85 + ceil(round_even(count(*) * 0.2, 0) / 8) * 4.6, 6) AS DOUBLE) AS seconds FROM orders")
 def i8(t: Tables):
     p = routing.plan(t("orders"), "o_totalprice", "o_orderkey", rate=0.2)
     return t.spark.createDataFrame([(p["n_rows"], p["n_sent"], round(p["cost_usd"], 6), round(p["seconds"], 6))], "n_rows long, n_sent long, cost_usd double, seconds double")
 
 
-@query("i9_predict_merge", f"""WITH {MODELS_SQL}, t AS (SELECT o_orderkey FROM s ORDER BY round(signal, 3) DESC, o_orderkey LIMIT (SELECT CAST(round_even(count(*) * 0.3, 0) AS BIGINT) FROM s))
-SELECT o_orderkey, CASE WHEN o_orderkey % 35 = 0 THEN 'human' WHEN o_orderkey IN (FROM t) THEN CASE WHEN o_custkey % 7 = 0 THEN 'fallback' ELSE 'llm' END WHEN o_custkey % 4 = 0 THEN 'jev' ELSE 'model' END AS origin,
-round(CASE WHEN o_orderkey % 35 = 0 THEN o_totalprice WHEN o_orderkey IN (FROM t) THEN CASE WHEN o_custkey % 7 = 0 THEN group_mean ELSE linear END WHEN o_custkey % 4 = 0 THEN (group_mean + linear) / 2 ELSE group_mean END, 3) AS value FROM s""")
-def i9(t: Tables):
-    e = evidence(t).withColumn("signal", F.round("signal", 3))
-    sent = routing.selected(e, "signal", "o_orderkey", rate=0.3).select("o_orderkey", F.lit(True).alias("sent"))
-    e = e.join(sent, "o_orderkey", "left").withColumns({"sent": F.coalesce("sent", F.lit(False)), "approved": F.when(F.col("o_orderkey") % 35 == 0, F.col("o_totalprice")), "answer": F.when(F.col("o_custkey") % 7 != 0, F.col("linear")), "tier": F.when(F.col("o_custkey") % 4 == 0, (F.col("group_mean") + F.col("linear")) / 2)})
-    e = e.withColumn("origin", routing.merged(e))
-    value = F.when(F.col("origin") == "human", F.col("approved")).when(F.col("origin") == "llm", F.col("answer")).when(F.col("origin") == "jev", F.col("tier")).otherwise(F.col("group_mean"))
-    return e.select("o_orderkey", "origin", F.round(value, 3).alias("value"))
-
-
 @query("e13_first_samples", "SELECT DISTINCT substring(p_type, 1, 60) AS value FROM part ORDER BY 1 LIMIT 3")
 def e13(t: Tables):
     return profile.first_samples(t("part"), "p_type")
@@ -328,15 +310,6 @@ def d24(t: Tables):
     return clients.usage(clients.answered(_request(t), _client())).withColumn("cost_usd", F.round("cost_usd", 6))
 
 
-@query("i10_oracle_fallback", f"WITH {MODELS_SQL} SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN round(group_mean, 3) ELSE round(linear, 3) END AS value, CASE WHEN o_orderkey % 7 = 0 THEN 'fallback' ELSE 'llm' END AS origin FROM e")
-def i10(t: Tables):
-    e = evidence(t)
-    requests = e.select(F.col("o_orderkey").cast("string").alias("key"), F.to_json(F.struct("o_orderkey", "linear")).alias("request"))
-    client = clients.FunctionClient(lambda r: {"value": r["linear"]} if r["o_orderkey"] % 7 else 1 / 0)
-    got = clients.answered(requests, client).select(F.col("key").cast("long").alias("o_orderkey"), F.from_json("answer", "value double")["value"].alias("answer"))
-    return e.join(got, "o_orderkey").select("o_orderkey", F.round(F.coalesce("answer", "group_mean"), 3).alias("value"), F.when(F.col("answer").isNull(), "fallback").otherwise("llm").alias("origin"))
-
-
 @query("a4_embedding_cache_roundtrip", "SELECT count(DISTINCT text) AS first_pass, CAST(0 AS BIGINT) AS second_pass FROM documents")
 def a4(t: Tables):
     import uuid

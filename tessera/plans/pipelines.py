@@ -1,13 +1,15 @@
 """Queries of the estimators: typed column, key lookup, evidence prediction, screening, diagnosis."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import diagnose, profile, screening
-from ..operators.key_lookup import KeyLookup
+from ..operators.key_lookup import AutoLookup, KeyLookup
 from ..operators.models import GroupMean, Linear
 from ..operators.predictor import EvidenceRegressor
-from ..operators.typed_column import Stage, TypedColumn, settle
+from ..operators.typed_column import Stage, TypedColumn, llm_stage, settle, tier_stage
 from ..sources.clients import FunctionClient
 from .evidence import MODELS_SQL, VOTES_SQL
 from .registry import Tables, query
@@ -132,3 +134,85 @@ def l3(t: Tables):
 def l4(t: Tables):
     d = diagnose.run_diagnosis(t("part"), "p_retailprice", "p_partkey", screen_text=False)
     return t.spark.createDataFrame([(d.n_rows, d.duplicates.n_duplicate_rows, d.task)], "n_rows long, n_duplicate_rows long, task string")
+
+
+def asked(t: Tables, **more) -> EvidenceRegressor:
+    """An estimator over orders whose requests tell the keys, fitted to four fifths of them."""
+    o = t("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    spec = profile.ColumnSpec(categorical=["o_orderkey", "o_custkey", "o_orderpriority"])
+    models = [GroupMean("o_orderpriority"), Linear("o_custkey")]
+    return EvidenceRegressor("o_totalprice", "o_orderkey", spec=spec, models=models, check_leakage=False, **more).fit(o.where("o_orderkey % 5 <> 0"))
+
+
+def told(request, name: str) -> int:
+    return int(re.search(rf"^- {name}: ([\d,]+)$", request["row"], re.MULTILINE)[1].replace(",", ""))
+
+
+def apart(f):
+    return F.round(A.disagreement([F.col("evidence_group_mean"), F.col("evidence_linear")]), 3)
+
+
+@query("i4_tier_signal", "SELECT o_orderkey, round(1 - coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN (o_custkey % 10) / 10.0 END, 0), 6) AS signal FROM orders")
+def i4(t: Tables):
+    def choose(request):
+        if told(request, "o_orderkey") % 3 == 0:
+            raise ValueError("no answer")
+        return {"choice": "linear", "confidence": (told(request, "o_custkey") % 10) / 10}
+
+    model = asked(t, tier=FunctionClient(choose, "tier"), signal="tier")
+    return model.predict(t("orders")).frame.select("o_orderkey", F.round("signal", 6).alias("signal"))
+
+
+@query("i9_predict_merge", f"""WITH {MODELS_SQL}, t AS (SELECT o_orderkey FROM s ORDER BY round(signal, 3) DESC, o_orderkey LIMIT (SELECT CAST(round_even(count(*) * 0.3, 0) AS BIGINT) FROM s))
+SELECT o_orderkey, CASE WHEN o_orderkey % 35 = 0 THEN 'human' WHEN o_orderkey IN (FROM t) THEN CASE WHEN o_custkey % 7 = 0 THEN 'fallback' ELSE 'llm' END WHEN o_custkey % 4 = 0 THEN 'jev' ELSE 'model' END AS origin,
+round(CASE WHEN o_orderkey % 35 = 0 THEN o_totalprice WHEN o_orderkey IN (FROM t) THEN CASE WHEN o_custkey % 7 = 0 THEN group_mean ELSE linear END WHEN o_custkey % 4 = 0 THEN (group_mean + linear) / 2 ELSE group_mean END, 3) AS value FROM s""")
+def i9(t: Tables):
+    def choose(request):
+        if told(request, "o_custkey") % 4:
+            raise ValueError("no answer")
+        return {"choice": "linear", "probabilities": {"group_mean": 0.5, "linear": 0.5}, "confidence": 0.9}
+
+    def answer(request):
+        if told(request, "o_custkey") % 7 == 0:
+            raise ValueError("no answer")
+        return {"value": request["evidence"]["linear"]}
+
+    rows = t("orders").where("o_orderkey % 5 = 0")
+    model = asked(t, client=FunctionClient(answer), tier=FunctionClient(choose, "tier"), escalate_rate=0.3, signal=apart)
+    model.approve_values(rows.where("o_orderkey % 35 = 0"), "o_totalprice")
+    return model.predict(rows).frame.select("o_orderkey", "origin", F.round("value", 3).alias("value"))
+
+
+@query("i10_oracle_fallback", f"WITH {MODELS_SQL} SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN round(group_mean, 3) ELSE round(linear, 3) END AS value, CASE WHEN o_orderkey % 7 = 0 THEN 'fallback' ELSE 'llm' END AS origin FROM e")
+def i10(t: Tables):
+    def answer(request):
+        if told(request, "o_orderkey") % 7 == 0:
+            raise ValueError("no answer")
+        return {"value": request["evidence"]["linear"]}
+
+    model = asked(t, client=FunctionClient(answer), signal=apart)
+    return model.predict(t("orders").where("o_orderkey % 5 = 0")).frame.select("o_orderkey", F.round("value", 3).alias("value"), "origin")
+
+
+@query("j7_client_stages", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'small' WHEN p_partkey % 4 <> 0 THEN 'large' ELSE 'unknown' END AS value, CASE WHEN p_partkey % 3 = 0 THEN 'jev' WHEN p_partkey % 4 <> 0 THEN 'llm' ELSE 'needs_review' END AS source, CASE WHEN p_partkey % 3 = 0 THEN 0.25 ELSE 0.75 END::DOUBLE AS cost FROM part")
+def j7(t: Tables):
+    sizes = ["small", "large"]
+    tier = FunctionClient(lambda r: {"choice": "small", "confidence": 0.9 if int(r["state"]) % 3 == 0 else 0.5}, "tier", 0.25)
+    llm = FunctionClient(lambda r: {"value": "large" if int(r["state"]) % 4 else "huge"}, "llm", 0.5)
+    rows = t("part").select(F.col("p_partkey").alias("id"), F.lit("unknown").alias("value"), F.lit(0.1).alias("confidence"), F.col("p_partkey").cast("string").alias("text"))
+    return settle(rows, [tier_stage(tier, sizes), llm_stage(llm, sizes)]).select("id", "value", "source", "cost")
+
+
+@query("k2_proposals", "SELECT * FROM (VALUES ('maker', 'category', 'p_type'), ('weight_kg', 'numeric', 'p_name,p_brand'), ('maker_2', 'binary', 'p_brand')) t(name, kind, keys)")
+def k2(t: Tables):
+    said = {"columns": [
+        {"attribute": "maker", "kind": "category", "keys": ["p_type"], "values": ["a", "b", "a"]},
+        {"attribute": "one value", "kind": "category", "keys": ["p_type"], "values": ["a", "a"]},
+        {"attribute": "no such key", "kind": "binary", "keys": ["p_other"]},
+        {"attribute": "weight (kg)", "kind": "numeric", "keys": ["p_name", "p_brand", "p_name"], "range": [0, 9]},
+        {"attribute": "empty range", "kind": "numeric", "keys": ["p_name"], "range": [9, 9]},
+        {"attribute": "Maker!", "kind": "binary", "keys": ["p_brand"]},
+        {"attribute": "one too many", "kind": "binary", "keys": ["p_brand"]},
+    ]}
+    auto = AutoLookup("p_retailprice", "p_partkey", FunctionClient(lambda r: said)).fit(t("part"))
+    return t.spark.createDataFrame([(p["name"], p["kind"], ",".join(p["keys"])) for p in auto.proposals_], "name string, kind string, keys string")

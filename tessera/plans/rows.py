@@ -72,9 +72,9 @@ def b13(t: Tables):
     return neighbours.imputed(c, ["x"], neighbours.standards(c.where("c_custkey % 5 <> 0"), ["x"])).select("c_custkey", F.round("x", 4).alias("x"))
 
 
-@query("b14_key_min_count", "SELECT lower(p_name) || ' | ' || lower(p_brand) AS key, count(*) AS count FROM part GROUP BY 1 HAVING count(*) >= 3")
+@query("b14_key_min_count", "SELECT lower(p_name) || ' | ' || lower(p_brand) AS key, count(*) AS count FROM part GROUP BY 1 HAVING count(*) >= 2")
 def b14(t: Tables):
-    return lookup.key_counts(lookup.keyed(t("part"), "p_name", "p_brand"), 3)
+    return lookup.key_counts(lookup.keyed(t("part"), "p_name", "p_brand"), 2)
 
 
 @query("b16_validate_answers", """

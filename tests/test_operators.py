@@ -257,3 +257,37 @@ def test_an_answer_outside_the_classes_falls_back(cars):
     assert [m.name for m in model.models_] == ["boosted", "forest", "neighbours"]
     rows = model.predict(classed.where("id >= 70")).frame.collect()
     assert all(r.origin == "fallback" and r.value in ("a", "b") and abs(sum(r.probabilities) - 1) < 1e-6 for r in rows)
+
+
+def test_proposed_columns_are_scored(spark):
+    from tessera.operators.key_lookup import AutoLookup
+
+    def answer(request):
+        if request.get("kind") == "propose":
+            return {"columns": [{"attribute": "factor", "kind": "numeric", "keys": ["model"]}, {"attribute": "noise", "kind": "numeric", "keys": ["serial"]}]}
+        return {"answers": [{"key": k, "value": str(int(k[1:]) ** 2 if request["attribute"] == "factor" else hash(k) % 7), "confidence": 0.9} for k in request["keys"]]}
+
+    rows = [(i, f"m{i % 9}", f"s{i * 7919 % 240}", float((i % 9) ** 2) + i % 3) for i in range(240)]
+    cars = spark.createDataFrame(rows, "id long, model string, serial string, price double")
+    auto = AutoLookup("price", "id", clients.FunctionClient(answer)).fit(cars)
+    out = auto.transform(cars)
+    assert out.where("factor <> power(cast(substring(model, 2) as int), 2)").count() == 0 and out.where("noise is null").count() == 0
+    assert auto.kept() == ["factor"]
+
+
+def test_stages_over_clients_ask_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def answer(request):
+        with open(calls, "a") as f:
+            f.write("x")
+        return {"value": "money"}
+
+    rows = [(i, ["football match goal", "stock market shares"][i % 2] + f" word{i}", ["sport", "money"][i % 2] if i < 12 else None) for i in range(20)]
+    t = spark.createDataFrame(rows, "id long, text string, label string")
+    from tessera.operators.typed_column import llm_stage
+
+    model = TypedColumn("text", "id", labels="label", escalate_rate=0.25, stages=[llm_stage(clients.FunctionClient(answer), ["sport", "money"])]).fit(t)
+    out = model.transform(t)
+    assert out.where("source = 'llm' and value = 'money'").count() == 5 and out.count() == 20
+    assert len(calls.read_text()) == 5 and model.review_queue(out).count() == 5
