@@ -87,20 +87,25 @@ def split_key(key: Column, names: Sequence[str]) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, names)), F.split(key, r" \| ", len(names)))
 
 
-def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
-    """Character n-grams inside words that are padded by one space at each side."""
-    words = F.filter(F.split(F.lower(collapsed(blank(text))), " "), lambda w: w != "")
+def ngram_words(text: Column) -> Column:
+    """Lower-cased words that n-grams are taken from."""
+    return F.filter(F.split(F.lower(collapsed(blank(text))), " "), lambda w: w != "")
+
 
-    def grams(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        size = F.char_length(padded)
+def word_ngrams(word: Column, low: int = 2, high: int = 4) -> Column:
+    """Character n-grams of a word that is padded by one space at each side."""
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+    size = F.char_length(padded)
 
-        def of(n: Column) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(padded, i, n))
+    def of(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(padded, i, n))
 
-        return F.flatten(F.transform(F.sequence(F.lit(low), F.greatest(F.least(F.lit(high), size), F.lit(low))), of))
+    return F.flatten(F.transform(F.sequence(F.lit(low), F.greatest(F.least(F.lit(high), size), F.lit(low))), of))
 
-    return F.flatten(F.transform(words, grams))
+
+def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
+    """Character n-grams of all words of a text."""
+    return F.flatten(F.transform(ngram_words(text), lambda w: word_ngrams(w, low, high)))
 
 
 def parsed_number(value: Column) -> Column:

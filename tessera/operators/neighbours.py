@@ -112,8 +112,9 @@ def nearest_vectors(queries: DataFrame, references: DataFrame, id_col: str, vect
 
 
 def gram_counts(frame: DataFrame, id_col: str, text: Column, low: int = 2, high: int = 4) -> DataFrame:
-    """(id, gram, n) of character n-grams."""
-    return frame.select(F.col(id_col).alias("id"), F.explode(X.char_ngrams(text, low, high)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("n"))
+    """(id, gram, n) of character n-grams; a word that repeats in a text is taken apart once."""
+    words = frame.select(F.col(id_col).alias("id"), F.explode(X.ngram_words(text)).alias("word")).groupBy("id", "word").agg(F.count("*").alias("c"))
+    return words.select("id", "c", F.explode(X.word_ngrams(F.col("word"), low, high)).alias("gram")).groupBy("id", "gram").agg(F.sum("c").alias("n"))
 
 
 def gram_weights(counts: DataFrame, n_rows: int, min_df: int = 2) -> DataFrame:
