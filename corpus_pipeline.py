@@ -8,6 +8,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 3. near_dedup: the first document of each group of near-duplicates stays.
 4. decontaminate: documents with a passage of the benchmark go.
 5. tokens: ids of the byte-level BPE, with the digest of what they decode to.
+
+Null and empty texts fail the base rules, so stage 1 drops them. Rows of a null doc_id pass stages 2 and 3 as they
+are and are judged by their own text in 1 and 4. Rows that repeat a doc_id are judged row by row in 1 and 4, keep or
+lose the same lines in 2, and stay or go together in 3. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, line_dedup, near_dedup, quality
-from tessera.llm.cluster_io import checkpoint_folder
+from tessera.llm.cluster_io import checkpoint_folder, remove
 
 #: SQL cannot express SimHash, ProbMinHash or BPE merges; tests compare with brute force.
 ORACLE_SQL = None
@@ -60,10 +64,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. A stage's table goes when the next one is written; the last one stays for the caller."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{checkpoint_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            remove(spark, last)
+        last = f"{folder}/{name}"
     return docs
