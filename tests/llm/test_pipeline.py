@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from tessera.llm import bpe
 
@@ -30,3 +32,21 @@ def test_contaminated_rows_of_a_null_id_go(spark, tmp_path):
     out = corpus_pipeline.decontaminate_stage(spark, rows, str(tmp_path))
     assert out.columns == rows.columns
     assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == [("4", "None"), ("5", "clean"), ("None", "clean words of a row without id")]
+
+
+def test_awkward_rows(spark, tmp_path):
+    rng = random.Random(4)
+    long = " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()) + str(rng.randrange(40)) for _ in range(90))
+    texts = [(None, long + " own end"), (1, None), (2, ""), (3, long), (3, long), (4, long), (5, "short")]
+    spark.createDataFrame([(i, t, "en", None, None, "x", None, "y") for i, t in texts], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # The copy loses its one line in stage 2 and goes; short, empty and null texts go in stage 1.
+    assert sorted(str(r.doc_id) for r in rows) == ["3", "3", "None"]
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
