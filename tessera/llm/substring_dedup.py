@@ -102,7 +102,7 @@ def with_source(frame: DataFrame, tables: Tables, *key: str) -> DataFrame:
     key is very common.
     """
     first = tables.cut(frame.groupBy(*key).agg(F.min(F.struct("doc_id", "start")).alias("source")))
-    return frame.join(maybe_broadcast(first, 48), list(key)).withColumns({"source_doc": F.col("source.doc_id"), "source_start": F.col("source.start")}).drop("source")
+    return frame.join(maybe_broadcast(first, 96), list(key)).withColumns({"source_doc": F.col("source.doc_id"), "source_start": F.col("source.start")}).drop("source")
 
 
 def digests_at(batches: Iterator[pa.RecordBatch], edge: int) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def verified(found: DataFrame, docs: DataFrame, edge: int, tables: Tables) -> Da
     wanted = tables.cut(own.unionByName(source).distinct().groupBy("doc_id", F.pmod(F.xxhash64("start"), F.floor(F.col("start") / 4096) + 1).alias("part")).agg(F.collect_list(run).alias("wanted")).drop("part"))
     read = docs.join(maybe_broadcast(wanted, 16, array="wanted"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(lambda b: digests_at(b, edge), "doc_id long, start long, n_edges long, digest binary")
     read = tables.cut(read.distinct(), wanted)
-    at = maybe_broadcast(read, 64)
+    at = maybe_broadcast(read, 160)
     there = at.select(F.col("doc_id").alias("source_doc"), F.col("start").alias("source_start"), "n_edges", F.col("digest").alias("source_digest"))
     both = found.join(at, ["doc_id", "start", "n_edges"]).join(there, ["source_doc", "source_start", "n_edges"]).where("digest = source_digest")
     return tables.cut(both.select(*found.columns).distinct(), found, read)
