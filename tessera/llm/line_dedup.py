@@ -45,6 +45,8 @@ GRAMS = 512
 LONG_WORD = 5
 WITHOUT_ONE, WITHOUT_TWO, THIRDS = 14, 9, 10
 SKETCHED, TABLES, ROWS = 16, 2, 4
+#: Words passed over on both sides, the fewest first.
+NEAREST = sorted(((s, t) for s in range(9) for t in range(9) if s + t), key=lambda p: (sum(p), abs(p[0] - p[1])))
 _SALTS = np.array([0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127], U64)
 
 
@@ -85,11 +87,8 @@ def fingerprints(w: Words, first: np.ndarray, end: np.ndarray, step: int = 1 <<
         within = place - np.repeat(starts, np.diff(np.append(starts, len(own))))
         cuts = np.flatnonzero(within % 255 == 0)
         sums = np.add.reduceat(lanes, cuts, axis=0).view(np.uint8).reshape(len(cuts), -1)
-        lines = own[cuts]
-        if len(lines) == len(starts):
-            ones[lines] += sums
-        else:
-            np.add.at(ones, lines, sums)
+        # A line of more words than fit has several sums.
+        ones[own[starts]] += np.add.reduceat(sums, np.searchsorted(cuts, starts), axis=0, dtype=np.int32) if len(cuts) > len(starts) else sums
     return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little")
 
 
@@ -208,6 +207,30 @@ def within(a: str, b: str, most: int) -> bool:
     return max(len(a), len(b)) <= most or _bit_parallel(a, b, most) <= most
 
 
+def aligned(a: str, b: str, most: int) -> bool:
+    """Whether words matched in passing prove a distance of at most ``most``; False leaves it open.
+
+    Words are matched as long as they are equal, and from the nearest place where two go on alike; what lies
+    between is an edit of at most its longer side. Each word counts with the space behind it.
+    """
+    x, y = a.split(" "), b.split(" ")
+    x, y, i, j, cost = [*x, "", ""], [*y, "", ""], 0, 0, 0
+    m, n = len(x) - 2, len(y) - 2
+    while cost <= most:
+        while i < m and j < n and x[i] == y[j]:
+            i, j = i + 1, j + 1
+        if i == m and j == n:
+            return True
+        for s, t in NEAREST:
+            if i + s <= m and j + t <= n and x[i + s] == y[j + t] and x[i + s + 1] == y[j + t + 1]:
+                break
+        else:
+            return False
+        cost += sum(max(len(p), len(q)) + 1 for p, q in zip(x[i : i + s], y[j : j + t], strict=True)) if s == t else max(sum(map(len, x[i : i + s])) + s, sum(map(len, y[j : j + t])) + t)
+        i, j = i + s, j + t
+    return False
+
+
 def _bit_parallel(a: str, b: str, most: int) -> int:
     """The edit distance, or a number over ``most`` as soon as it must be over it."""
     where: dict[str, int] = {}
@@ -228,7 +251,8 @@ def _bit_parallel(a: str, b: str, most: int) -> int:
 
 
 def similar(a: str, b: str) -> bool:
-    return within(a, b, math.floor(max(len(a), len(b)) * (1 - SIMILARITY) + 1e-9))
+    most = math.floor(max(len(a), len(b)) * (1 - SIMILARITY) + 1e-9)
+    return aligned(a, b, most) or within(a, b, most)
 
 
 def grams(column: pa.Array) -> np.ndarray:

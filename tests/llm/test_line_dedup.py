@@ -29,6 +29,36 @@ def test_edit_distance():
             assert L.within(a, b, most) == (d <= most)
 
 
+def test_aligned_words_prove_no_more_than_the_distance():
+    rng = random.Random(3)
+    proved = 0
+    for _ in range(400):
+        a = [rng.choice(["a", "bc", "def", "ghij", "klé"]) for _ in range(rng.randint(1, 25))]
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 2)] = [rng.choice(["a", "xyz", "ghij", ""])] * rng.randint(0, 2)
+        a, b = " ".join(a), " ".join(b)
+        d = distance(a, b)
+        for most in (0, 1, 3, 6, 10):
+            got = L.aligned(a, b, most)
+            assert not got or d <= most
+            proved += got
+        assert L.similar(a, b) == (d <= int(0.2 * max(len(a), len(b)) + 1e-9))
+    assert proved > 200
+
+
+def test_fingerprint_of_a_line_of_many_words():
+    words_of = ["abcdef", "ghijkl", "mnopqr"]
+    line = " ".join(words_of[i % 3] for i in range(40_000))
+    w = words(strings(pa.array([line, "abcdef ghijkl mnopqr"])))
+    _, _, first, end = L.line_words(w)
+    whole = L.fingerprints(w, first, end)
+    assert (whole == L.fingerprints(w, first, end, step=1 << 9)).all()
+    # Each of the three words counts a third of all, so a bit is set where two of them have it.
+    assert (whole[0] == whole[1]).all()
+
+
 def form(line):
     return " ".join("".join(c if c.isalnum() else " " for c in line.lower()).split())
 
