@@ -75,12 +75,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), *bpe.tokenizer_file())
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vector_codes
+
+    return vector_codes.encode(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": SUBSTRINGS, "op8_url_filter": URLS}
+    return {"op7_substring_dedup": SUBSTRINGS, "op8_url_filter": URLS, "op12_vector_codes": CODES}
 
 
 SUBSTRINGS = r"""
@@ -98,3 +104,19 @@ s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLM
 r AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) t(verdict, h, p)),
 m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM s, r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN m USING (page_id)""".strip()
+
+
+#: A round: nearest entry by the least distance * 64 + index, then floored means; sums of integers, so floors are exact.
+_NEAR = "SELECT vec_id, part, any_value(v) AS v, min(list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) * 64 + e) AS m FROM p JOIN {c} USING (part) GROUP BY 1, 2"
+_MOVE = """SELECT part, e, coalesce(n.c, {c}.c) AS c FROM {c} LEFT JOIN (SELECT part, e, list(f ORDER BY i) AS c FROM (
+SELECT part, m % 64 AS e, i, (sum(v[i])::BIGINT - ((sum(v[i])::BIGINT % count(*)) + count(*)) % count(*)) // count(*) AS f FROM {a}, unnest(range(1, len(v) + 1)) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2) n USING (part, e)"""
+CODES = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, q[part * (len(q) // 16) + 1:(part + 1) * (len(q) // 16)] AS v FROM k, range(16) t(part)),
+i AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64)),
+c0 AS MATERIALIZED (SELECT part, e, v AS c FROM p JOIN i USING (vec_id)), a0 AS MATERIALIZED ({_NEAR.format(c="c0")}),
+c1 AS MATERIALIZED ({_MOVE.format(c="c0", a="a0")}), a1 AS MATERIALIZED ({_NEAR.format(c="c1")}),
+c2 AS MATERIALIZED ({_MOVE.format(c="c1", a="a1")}), a2 AS MATERIALIZED ({_NEAR.format(c="c2")}),
+r AS (SELECT vec_id, string_agg(lower(printf('%02x', m % 64)), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+(SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM c2) AS codebooks_sha256 FROM r JOIN k USING (vec_id)""".strip()
