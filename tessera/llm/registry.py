@@ -81,12 +81,18 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode(read(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import prefix_trie
+
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": SUBSTRINGS, "op8_url_filter": URLS, "op12_vector_codes": CODES}
+    return {"op7_substring_dedup": SUBSTRINGS, "op8_url_filter": URLS, "op12_vector_codes": CODES, "op13_prefix_trie": TRIE}
 
 
 SUBSTRINGS = r"""
@@ -120,3 +126,20 @@ c2 AS MATERIALIZED ({_MOVE.format(c="c1", a="a1")}), a2 AS MATERIALIZED ({_NEAR.
 r AS (SELECT vec_id, string_agg(lower(printf('%02x', m % 64)), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY 1)
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
 (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM c2) AS codebooks_sha256 FROM r JOIN k USING (vec_id)""".strip()
+
+#: crc32 of a decimal number, bit by bit; it has the polynomial of the zip format.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+lambda a, b: list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+TRIE = rf"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS own, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND i <= h UNION ALL SELECT c.conv_id, 1, i, role, text FROM c JOIN t USING (conv_id) WHERE i > h),
+s AS (SELECT conv_id, row_number() OVER w AS d, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
+sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w) AS k FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, i)),
+m AS MATERIALIZED (SELECT conv_id, 0 AS d, 0 AS words, 'root' AS k, CAST(NULL AS VARCHAR) AS up FROM c UNION ALL SELECT conv_id, d, words, k, coalesce(lag(k) OVER (PARTITION BY conv_id ORDER BY d), 'root') FROM s),
+n AS MATERIALIZED (SELECT k, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, any_value(up) AS up FROM m GROUP BY 1),
+f AS (SELECT up AS k, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY 1),
+b AS (SELECT m.k, CAST(sum(CASE WHEN n_children IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n.n_convs - 1) * n.words) AS BIGINT) AS saved_tokens FROM n LEFT JOIN f USING (k) JOIN m ON m.conv_id = n.conv_id AND m.d <= n.depth GROUP BY 1),
+e AS (SELECT k, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, max(d) AS d FROM m GROUP BY 1) JOIN m USING (conv_id, d) GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM n LEFT JOIN n p ON p.k = n.up LEFT JOIN f ON f.k = n.k JOIN b ON b.k = n.k LEFT JOIN e ON e.k = n.k""".strip()
