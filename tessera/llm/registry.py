@@ -75,6 +75,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), *bpe.tokenizer_file())
 
 
+def op11_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_net
+
+    docs = read(spark, sf_dir, "documents")
+    return quality_net.score(docs, quality_net.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import vector_codes
 
