@@ -7,10 +7,10 @@ after each of its occurrences, over every document of the corpus: integers, summ
 reaches the driver is ``BUCKETS`` rows of ``WIDTH`` numbers whatever the corpus. A token's vector is its bucket's own random
 vector beside the normalised, centred sum of its neighbours.
 
-A text is pooled into the mean and the deviation of its tokens' vectors and the mean inner products of the vectors of
-tokens one and two apart. A network of one hidden layer of ``HIDDEN`` rectified units, written in numpy and fitted by Adam,
-gives a logit; a temperature, fitted on a fifth of the sample that the network does not see, turns it into a
-probability. Labelled rows are sampled: at most ``PER_CLASS`` of each label, least hash of doc_id first,
+A text is pooled into the mean and the deviation of its tokens' vectors and the mean inner products, in either half, of the
+vectors of tokens one and two apart. A network of one hidden layer of ``HIDDEN`` rectified units, written in numpy and fitted by Adam,
+gives a logit; a temperature turns it into a probability. The temperature is fitted on a fifth of the sample to a network of
+the other rows; the network that scores is then fitted to all of them. Labelled rows are sampled: at most ``PER_CLASS`` of each label, least hash of doc_id first,
 each weighing as many rows as it stands for, so that probabilities follow the real shares of the labels. Only pooled vectors of
 the sample reach the driver. Rows whose crc32(doc_id) mod 5 is 0 are never learned from.
 
@@ -131,7 +131,7 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 def pool(bucket: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Mean and deviation of the tokens' vectors of each row, and how alike tokens 1 to ``REACH`` apart are; zeros for rows without tokens."""
     rows, n, width = len(bounds) - 1, np.diff(bounds), table.shape[1]
-    total, square, alike = np.zeros((rows, width)), np.zeros((rows, width)), np.zeros((rows, REACH))
+    total, square, alike = np.zeros((rows, width)), np.zeros((rows, width)), np.zeros((rows, 2 * REACH))
     row = np.repeat(np.arange(rows), n)
     for start in range(0, len(bucket), BLOCK):
         # The first tokens of the next block are there to be compared with only.
@@ -143,10 +143,11 @@ def pool(bucket: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarra
         total[at] += np.add.reduceat(vectors, first, axis=0, dtype=np.float64)
         square[at] += np.add.reduceat(vectors * vectors, first, axis=0, dtype=np.float64)
         for d in range(1, REACH + 1):
-            near = np.zeros(size)
             m = min(size, len(wide) - d)
-            near[:m] = np.einsum("ij,ij->i", wide[:m], wide[d : d + m]) * (where[:m] == where[d : d + m])
-            alike[at, d - 1] += np.add.reduceat(near, first)
+            for half, part in enumerate((slice(0, width // 2), slice(width // 2, width))):
+                near = np.zeros(size)
+                near[:m] = np.einsum("ij,ij->i", wide[:m, part], wide[d : d + m, part]) * (where[:m] == where[d : d + m])
+                alike[at, 2 * d - 2 + half] += np.add.reduceat(near, first)
     size = np.maximum(n, 1)[:, None]
     mean = total / size
     return np.concatenate([mean, np.sqrt(np.maximum(0, square / size - mean**2)), alike / size], 1)
@@ -203,8 +204,11 @@ def log_loss(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 
 
 def temperature(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The divisor of the logits, from 1/4 to 16, of the least log loss: golden section over its logarithm, where the loss has one dip."""
-    low, high, part = np.log(0.25), np.log(16.0), (5**0.5 - 1) / 2
+    """The divisor of the logits, from 1 to 16, of the least log loss, by golden section over its logarithm, where the loss has one dip.
+
+    It is not under 1: rows that are told apart without error would ask for ever smaller ones.
+    """
+    low, high, part = 0.0, np.log(16.0), (5**0.5 - 1) / 2
     for _ in range(60):
         a, b = high - part * (high - low), low + part * (high - low)
         if log_loss(logit / np.exp(a), y, weight) <= log_loss(logit / np.exp(b), y, weight):
@@ -215,7 +219,7 @@ def temperature(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Net | float:
-    """The calibrated network; with one class only, that class. Every fifth row of a class calibrates and isn't trained on."""
+    """The calibrated network; with one class only, that class. Every fifth row of a class calibrates a network of the others."""
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.0
     place = np.zeros(len(y), np.int64)
@@ -225,8 +229,9 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Net | float:
     aside = place % 5 == 4
     if len(set(y[aside].tolist())) < 2:
         return fit_net(x, y, weight)  # too few rows to calibrate with
-    net = fit_net(x[~aside], y[~aside], weight[~aside])
-    net.temperature = temperature(net.logit(x[aside]), y[aside], weight[aside])
+    part = fit_net(x[~aside], y[~aside], weight[~aside])
+    net = fit_net(x, y, weight)
+    net.temperature = temperature(part.logit(x[aside]), y[aside], weight[aside])
     return net
 
 
@@ -264,7 +269,7 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", p
     rows.sort(key=lambda r: r["doc_id"])  # the same rows give the same network
     y = np.array([r["y"] for r in rows], np.int64)
     weight = np.array([counts[side] / max(1, (y == side).sum()) for side in y.tolist()])
-    return Model(table, fit(np.array([r["f"] for r in rows]).reshape(len(rows), -1), y, weight))
+    return Model(table, fit(np.array([r["f"] for r in rows]), y, weight))
 
 
 def score(documents: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

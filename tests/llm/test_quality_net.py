@@ -46,8 +46,8 @@ def test_pooling_equals_means_of_vectors(monkeypatch):
         for row in range(len(TEXTS)):
             v = table[bucket[bounds[row] : bounds[row + 1]]].astype(float)
             if len(v):
-                alike = [sum(a @ b for a, b in zip(v, v[d:], strict=False)) / len(v) for d in (1, 2)]
-                np.testing.assert_allclose(got[row], [*v.mean(0), *v.std(0), *alike], atol=1e-5)
+                alike = [sum(a[h] @ b[h] for a, b in zip(v, v[d:], strict=False)) / len(v) for d in (1, 2) for h in (slice(0, 3), slice(3, 6))]
+                np.testing.assert_allclose(got[row], [*v.mean(0), *v.std(0), *alike], atol=1e-3)
             else:
                 assert not got[row].any()
 
