@@ -60,7 +60,8 @@ class Trees(Model):
     """Boosted trees or a forest over numbers, booleans and categories.
 
     Missing numbers take the training median beside a flag; categories are indexed on train, unseen
-    ones share one index. ``kind``: "boosted" (regression or two classes) or "forest".
+    ones share one index. ``kind``: "boosted" or "forest". Boosted trees of more than two classes are those of
+    boosting.Boosted, grown level by level.
     """
 
     def __init__(self, numeric: Sequence[str] = (), categorical: Sequence[str] = (), kind: str = "boosted", task: str = "regression", name: str | None = None, trees: int = 20, depth: int = 5, seed: int = 42):
@@ -68,6 +69,7 @@ class Trees(Model):
             raise TesseraError("a tree model needs a structured column")
         self.numeric, self.categorical, self.kind, self.task = list(numeric), list(categorical), kind, task
         self.name, self.trees, self.depth, self.seed = name or kind, trees, depth, seed
+        self.several: Model | None = None
 
     def _features(self, frame: DataFrame) -> DataFrame:
         for c in self.numeric:
@@ -84,7 +86,7 @@ class Trees(Model):
 
         row = frame.agg(*(F.median(F.col(c).cast("double")).alias(c) for c in self.numeric)).first() if self.numeric else None
         self.medians = {c: (row[c] if row[c] is not None else 0.0) for c in self.numeric}
-        labels, stages = None, []
+        labels, stages, self.several = None, [], None
         data = self._features(frame).where(F.col(target).isNotNull())
         if self.categorical:
             stages.append(StringIndexer(inputCols=[f"_t_{c}" for c in self.categorical], outputCols=[f"_i_{c}" for c in self.categorical], handleInvalid="keep", stringOrderType="alphabetAsc"))
@@ -96,7 +98,13 @@ class Trees(Model):
                 raise TesseraError("classification takes 2 to 20 classes")
             stages.append(StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc"))
             data = data.withColumn("_label", F.col(target).cast("string"))
-            forest = self.kind == "forest" or len(labels) > 2
+            forest = self.kind == "forest"
+            if not forest and len(labels) > 2:
+                from .boosting import Boosted
+
+                self.several = Boosted(self.numeric, self.categorical, "level", self.task, self.name, self.trees, seed=self.seed).fit(frame, target)
+                self.classes = self.several.classes
+                return self
         else:
             data = data.withColumn("_y", F.col(target).cast("double"))
             forest = self.kind == "forest"
@@ -107,6 +115,8 @@ class Trees(Model):
         return self
 
     def predict(self, frame: DataFrame, out: str) -> DataFrame:
+        if self.several is not None:
+            return self.several.predict(frame, out)
         from pyspark.ml import PipelineModel
         from pyspark.ml.functions import vector_to_array
 
