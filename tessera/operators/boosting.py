@@ -93,7 +93,7 @@ def frozen(nodes: list[Node], inner: set[int], width: int) -> Tree:
 
 
 def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, category: np.ndarray, growth: Growth, allowed: np.ndarray) -> tuple:
-    """(gain, column, bins that go left) of histograms (columns, bins); ties go to the first column, then to the first cut."""
+    """(gain, column, bins that go left) of histograms (columns, bins); ties go to numbers, then to the first column, then to the first cut."""
     total_g, total_h, total_n = g[0].sum(), h[0].sum(), n[0].sum()
     worth = lambda a, b: np.divide(a * a, b + growth.penalty, out=np.zeros_like(a), where=b + growth.penalty > 0)
     whole = worth(np.array([total_g]), np.array([total_h]))[0]
@@ -105,21 +105,26 @@ def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, category: np.ndarray
 
     best = (LEAST_GAIN, -1, np.zeros(g.shape[1], bool))
     places = np.arange(g.shape[1])
-    for c in np.flatnonzero(allowed):
-        if category[c]:
-            there = np.flatnonzero(n[c])
-            order = there[np.lexsort((there, g[c, there] / (h[c, there] + growth.penalty + 1e-12)))]
-            options = [(gains(g[c, order].cumsum()[:-1], h[c, order].cumsum()[:-1], n[c, order].cumsum()[:-1]), lambda i, order=order: np.isin(places, order[: i + 1]))]
-        else:
-            # Missing numbers (bin 0) go right, then left.
-            sums = [x[c, 1:].cumsum()[:-1] for x in (g, h, n)]
-            options = [(gains(*sums), lambda i: (places > 0) & (places <= i + 1))]
-            if n[c, 0]:
-                options.append((gains(*(s + x[c, 0] for s, x in zip(sums, (g, h, n), strict=True))), lambda i: places <= i + 1))
-        for got, side in options:
-            if len(got) and got.max() > best[0]:
-                i = int(got.argmax())
-                best = (float(got[i]), int(c), side(i))
+    numbers = np.flatnonzero(allowed & ~category)
+    if len(numbers):
+        # All numbers at once; missing ones (bin 0) go right, then left.
+        sums = [x[numbers, 1:].cumsum(1)[:, :-1] for x in (g, h, n)]
+        right = gains(*sums)
+        left = np.where(n[numbers, :1] > 0, gains(*(s + x[numbers, :1] for s, x in zip(sums, (g, h, n), strict=True))), 0.0)
+        both = np.concatenate([right, left], 1)
+        at = both.argmax(1)
+        top = both[np.arange(len(numbers)), at]
+        i = int(top.argmax())
+        if top[i] > best[0]:
+            cut, missing = at[i] % right.shape[1], at[i] >= right.shape[1]
+            best = (float(top[i]), int(numbers[i]), (places <= cut + 1) & (missing | (places > 0)))
+    for c in np.flatnonzero(allowed & category):
+        there = np.flatnonzero(n[c])
+        order = there[np.lexsort((there, g[c, there] / (h[c, there] + growth.penalty + 1e-12)))]
+        got = gains(g[c, order].cumsum()[:-1], h[c, order].cumsum()[:-1], n[c, order].cumsum()[:-1])
+        if len(got) and got.max() > best[0]:
+            i = int(got.argmax())
+            best = (float(got[i]), int(c), np.isin(places, order[: i + 1]))
     return best if best[1] >= 0 else (0.0, -1, best[2])
 
 
@@ -296,7 +301,7 @@ class Boosted(Model):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((3, cells), np.int64)
             for batch in batches:
-                bins, y, scores = rows_of(batch.column("bins"), np.uint8, width), batch.column("y").to_numpy(), rows_of(batch.column("scores"), np.float64, outputs)
+                bins, y, scores = rows_of(batch.column("bins"), np.uint8, width).astype(np.int64), batch.column("y").to_numpy(), rows_of(batch.column("scores"), np.float64, outputs)
                 g, h = slopes(y, scores, loss, scale)
                 for k, t in enumerate(trees):
                     if (slot[k] < 0).all():
@@ -314,9 +319,9 @@ class Boosted(Model):
             used = np.flatnonzero(total[2])
             yield pa.record_batch([pa.array(used), *(pa.array(x[used]) for x in total)], ["cell", "g", "h", "n"])
 
-        sums = state.mapInArrow(run, "cell long, g long, h long, n long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toPandas()  # CELLS rows at most
+        sums = state.mapInArrow(run, "cell long, g long, h long, n long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()  # CELLS rows at most
         out = np.zeros((cells, 3))
-        out[sums["cell"].to_numpy()] = sums[["g", "h", "n"]].to_numpy(float)
+        out[sums["cell"].to_numpy()] = np.stack([sums[c].to_numpy() for c in ("g", "h", "n")], 1)
         return out.reshape(len(waiting), width, BINS, 3)
 
     def _grow(self, state: DataFrame, allowed: list[np.ndarray]) -> list[Tree]:

@@ -32,13 +32,13 @@ class GroupMean(Model):
         self.column, self.name = column, name
 
     def fit(self, frame: DataFrame, target: str) -> GroupMean:
-        self.means = frame.groupBy(F.col(self.column).alias("_level")).agg(F.avg(target).alias("_mean"))
-        self.overall = frame.agg(F.avg(target).alias("_all"))
+        self.means = frame.groupBy(F.col(self.column).alias("__level")).agg(F.avg(target).alias("__mean"))
+        self.overall = frame.agg(F.avg(target).alias("__all"))
         return self
 
     def predict(self, frame: DataFrame, out: str) -> DataFrame:
-        joined = frame.join(F.broadcast(self.overall)).join(self.means, F.col(self.column).eqNullSafe(F.col("_level")), "left")
-        return joined.withColumn(out, F.coalesce("_mean", "_all")).drop("_mean", "_all", "_level")
+        joined = frame.join(F.broadcast(self.overall)).join(self.means, F.col(self.column).eqNullSafe(F.col("__level")), "left")
+        return joined.withColumn(out, F.coalesce("__mean", "__all")).drop("__mean", "__all", "__level")
 
 
 class Linear(Model):
@@ -49,11 +49,11 @@ class Linear(Model):
 
     def fit(self, frame: DataFrame, target: str) -> Linear:
         y, x = F.col(target).cast("double"), F.col(self.column).cast("double")
-        self.line = frame.agg(F.regr_slope(y, x).alias("_slope"), F.regr_intercept(y, x).alias("_intercept"))
+        self.line = frame.agg(F.regr_slope(y, x).alias("__slope"), F.regr_intercept(y, x).alias("__intercept"))
         return self
 
     def predict(self, frame: DataFrame, out: str) -> DataFrame:
-        return frame.join(F.broadcast(self.line)).withColumn(out, F.col("_intercept") + F.col("_slope") * F.col(self.column)).drop("_slope", "_intercept")
+        return frame.join(F.broadcast(self.line)).withColumn(out, F.col("__intercept") + F.col("__slope") * F.col(self.column)).drop("__slope", "__intercept")
 
 
 class Trees(Model):
@@ -72,11 +72,12 @@ class Trees(Model):
         self.several: Model | None = None
 
     def _features(self, frame: DataFrame) -> DataFrame:
+        """The row in one struct beside its features, so that no name of ours meets one of the user's."""
+        own = [F.struct(*(F.col(f"`{c}`") for c in frame.columns)).alias("__row")]
         for c in self.numeric:
-            frame = frame.withColumns({f"_n_{c}": F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])), f"_m_{c}": F.col(c).isNull().cast("double")})
-        for c in self.categorical:
-            frame = frame.withColumn(f"_t_{c}", F.coalesce(F.col(c).cast("string"), F.lit("\u0000")))
-        return frame
+            own += [F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])).alias(f"_n_{c}"), F.col(c).isNull().cast("double").alias(f"_m_{c}")]
+        own += [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")).alias(f"_t_{c}") for c in self.categorical]
+        return frame.select(*own)
 
     def fit(self, frame: DataFrame, target: str) -> Trees:
         from pyspark.ml import Pipeline
@@ -87,6 +88,7 @@ class Trees(Model):
         row = frame.agg(*(F.median(F.col(c).cast("double")).alias(c) for c in self.numeric)).first() if self.numeric else None
         self.medians = {c: (row[c] if row[c] is not None else 0.0) for c in self.numeric}
         labels, stages, self.several = None, [], None
+        target = f"__row.{target}"
         data = self._features(frame).where(F.col(target).isNotNull())
         if self.categorical:
             stages.append(StringIndexer(inputCols=[f"_t_{c}" for c in self.categorical], outputCols=[f"_i_{c}" for c in self.categorical], handleInvalid="keep", stringOrderType="alphabetAsc"))
@@ -102,7 +104,7 @@ class Trees(Model):
             if not forest and len(labels) > 2:
                 from .boosting import Boosted
 
-                self.several = Boosted(self.numeric, self.categorical, "level", self.task, self.name, self.trees, seed=self.seed).fit(frame, target)
+                self.several = Boosted(self.numeric, self.categorical, "level", self.task, self.name, self.trees, seed=self.seed).fit(frame, target.removeprefix("__row."))
                 self.classes = self.several.classes
                 return self
         else:
@@ -123,7 +125,7 @@ class Trees(Model):
         used = [s for s in self.fitted.stages if s.__class__.__name__ != "StringIndexerModel" or s.getOrDefault("outputCol") != "_y"] if self.task == "classification" else self.fitted.stages
         done = PipelineModel(used).transform(self._features(frame))
         value = F.col("prediction") if self.task == "regression" else vector_to_array(F.col("probability"))
-        return done.withColumn(out, value).select(*frame.columns, out)
+        return done.select("__row.*", value.alias(out))
 
 
 class Neighbours(Model):

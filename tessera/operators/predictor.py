@@ -15,12 +15,18 @@ from ..errors import TesseraError
 from ..functions import arrays as A
 from ..functions import text as X
 from ..sources.checkpoints import cut
-from ..sources.clients import Client, kept_answers
+from ..sources.clients import Client, charged, kept_answers, keyed
 from . import leakage, neighbours, routing
 from .models import Model, Neighbours, Trees
 from .profile import ColumnSpec, profile, spec_of
 
 
+#: The row's id in the estimator's own tables, which hold no column of the user's.
+ID = "__id"
+#: Columns of a result beside the id and the models' outputs.
+RESULT = ("value", "confidence", "origin", "signal", "sent", "cost", "reason", "fingerprint", "probabilities")
+
+
 @dataclass(frozen=True)
 class Domain:
     """Words of the question for an external answerer."""
@@ -95,6 +101,8 @@ class EvidenceEstimator:
     def __init__(self, target: str, id_col: str, unit: str = "", spec: ColumnSpec | None = None, domain: Domain | None = None, models: Sequence[Model] | str = "default", n_examples: int = 5, neighbour_weight: float = 0.15, client: Client | None = None, tier: Client | None = None, fallback: str = "best_model", check_leakage: bool = True, escalate_rate: float | None = None, threshold: float | None = None, signal: str | Callable[[DataFrame], Column] = "disagreement", cache: str | None = None):
         if fallback not in ("best_model", "error"):
             raise TesseraError("fallback is best_model or error")
+        if id_col in RESULT or id_col.startswith("evidence_"):
+            raise TesseraError(f"an id column can't be called {id_col}: the result has such a column")
         self.target, self.id_col, self.unit, self.spec = target, id_col, unit, spec
         self.domain, self.models, self.n_examples, self.weight = domain or Domain(target_name=target), models, n_examples, neighbour_weight
         self.client, self.tier, self.fallback, self.check = client, tier, fallback, check_leakage
@@ -105,7 +113,7 @@ class EvidenceEstimator:
         self.warned, self.fit_id = False, ""
 
     def fit(self, train: DataFrame) -> EvidenceEstimator:
-        self.spec = self.spec or spec_of(profile(train.drop(self.id_col), train.columns[0] if train.columns[0] != self.id_col else train.columns[1]), self.target)
+        self.spec = self.spec or spec_of([c for c in profile(train, self.id_col) if c.name != self.id_col], self.target)
         self.spec.check(train)
         self.train = train.where(F.col(self.target).isNotNull())
         self.classes_: list[str] | None = None
@@ -130,6 +138,8 @@ class EvidenceEstimator:
 
     def evidence(self, frame: DataFrame) -> DataFrame:
         """The frame with ``evidence_<model>`` of each model: a number, or class probabilities."""
+        if clash := {f"evidence_{m.name}" for m in self.models_} & set(frame.columns):
+            raise TesseraError(f"the frame has columns of the models' names already: {', '.join(sorted(clash))}")
         for m in self.models_:
             frame = m.predict(frame, f"evidence_{m.name}")
         return frame
@@ -153,25 +163,30 @@ class EvidenceEstimator:
         return found.join(self.train.select(F.col(self.id_col).alias("train_id"), F.col(self.target).alias("label")), "train_id")
 
     def _signal(self, evidence: DataFrame) -> DataFrame:
+        """The frame with ``__signal``."""
         voices = [F.col(f"evidence_{m.name}") for m in self.models_ if m.in_disagreement]
         if callable(self.signal):
-            return evidence.withColumn("signal", self.signal(evidence).cast("double"))
+            return evidence.withColumn("__signal", self.signal(evidence).cast("double"))
         if self.signal == "disagreement":
             if len(voices) < 2:
                 if self.rate is not None or self.threshold is not None:
                     raise TesseraError("disagreement needs two models")
-                return evidence.withColumn("signal", F.lit(None).cast("double"))
-            return evidence.withColumn("signal", A.disagreement(voices, self.task == "classification"))
+                return evidence.withColumn("__signal", F.lit(None).cast("double"))
+            return evidence.withColumn("__signal", A.disagreement(voices, self.task == "classification"))
         if self.signal == "similarity":
-            near = self.examples(evidence).groupBy("id").agg((-F.max("similarity")).alias("signal"))
+            near = self.examples(evidence).groupBy("id").agg((-F.max("similarity")).alias("__signal"))
             return evidence.join(near.withColumnRenamed("id", self.id_col), self.id_col, "left")
         if self.signal == "tier":
-            # A row that the tier could not answer is the least certain of all.
-            return evidence.withColumn("signal", 1.0 - F.coalesce("tier_confidence", F.lit(0.0)))
+            return evidence.withColumn("__signal", F.lit(None).cast("double"))  # known once the tier has answered
         if self.signal == "unseen":
-            return evidence.join(routing.unseen_signal(evidence, self.train, self.id_col, list(self.spec.categorical), self.spec.text), self.id_col)
+            return evidence.join(routing.unseen_signal(evidence, self.train, self.id_col, list(self.spec.categorical), self.spec.text).withColumnRenamed("signal", "__signal"), self.id_col)
         raise TesseraError(f"no such signal: {self.signal}")
 
+    def _judged(self, frame: DataFrame) -> DataFrame:
+        """(__id, evidence_*, signal, fingerprint, description): all that later steps need, and no column of the user's."""
+        voices = [f"evidence_{m.name}" for m in self.models_]
+        return self._signal(self.evidence(frame)).select(F.col(self.id_col).alias(ID), *voices, F.col("__signal").alias("signal"), self._fingerprint().alias("fingerprint"), self.describe(frame).alias("description"))
+
     def _plain(self, value: Column) -> Column:
         return value if self.task == "regression" else F.element_at(F.array(*map(F.lit, self.classes_)), A.argmax(value) + 1)
 
@@ -200,24 +215,25 @@ class EvidenceEstimator:
         value = {"type": "number"} if self.task == "regression" else {"type": "string", "enum": list(self.classes_)}
         return {"type": "object", "required": ["value"], "properties": {"value": value, "confidence": {"type": "number", "minimum": 0, "maximum": 1}, "reason": {"type": "string"}}}
 
-    def _requests(self, rows: DataFrame, prompt: str, **more: Column) -> DataFrame:
-        """(id, key, request): the question for each row, keyed by its own hash."""
+    def _requests(self, frame: DataFrame, rows: DataFrame, client: Client, prompt: str, **more: Column) -> DataFrame:
+        """(__id, request, key): the question for each of the judged rows of a frame."""
+        own = frame.join(rows.select(F.col(ID).alias(self.id_col)), self.id_col, "left_semi")
         voices = F.struct(*(F.col(f"evidence_{m.name}").alias(m.name) for m in self.models_))
-        asked = rows.join(self.cases(rows), self.id_col, "left")
+        asked = rows.join(self.cases(own).withColumnRenamed(self.id_col, ID), ID, "left")
         request = F.to_json(F.struct(F.lit(prompt).alias("system"), F.col("description").alias("row"), voices.alias("evidence"), F.col("cases"), *(c.alias(n) for n, c in more.items())))
-        return asked.select(self.id_col, request.alias("request")).withColumn("key", F.sha2("request", 256))
+        return keyed(asked.select(ID, request.alias("request")), client)
 
-    def _tiered(self, rows: DataFrame) -> DataFrame:
+    def _tiered(self, frame: DataFrame, rows: DataFrame) -> DataFrame:
         """The rows with tier_value, tier_confidence and tier_cost: the models' outputs weighted by the tier's probabilities."""
         names = [m.name for m in self.models_]
-        requests = cut(self._requests(rows, self.domain.tier_prompt(), options=F.array(*map(F.lit, names))))
-        got = kept_answers(requests.select("key", "request"), self.tier, self.cache)
+        requests = cut(self._requests(frame, rows, self.tier, self.domain.tier_prompt(), options=F.array(*map(F.lit, names))))
         said = F.from_json("answer", "choice string, probabilities map<string, double>, confidence double")
-        got = got.select("key", said.alias("said"), F.col("cost").alias("tier_cost")).where(F.col("said.choice").isin(names))
+        got = kept_answers(requests, self.tier, self.cache).select("key", said.alias("said"), "cost").where(F.col("said.choice").isin(names))
+        got = charged(requests.select(ID, "key"), got, ID).select(ID, "said", F.col("cost").alias("tier_cost"))
         drawn = [F.coalesce(F.col("said.probabilities")[n], F.lit(0.0)) for n in names]
         none = sum((F.greatest(d, F.lit(0.0)) for d in drawn), F.lit(0.0)) <= 0
         weights = [F.when(none, (F.col("said.choice") == n).cast("double")).otherwise(d) for d, n in zip(drawn, names, strict=True)]
-        out = rows.join(requests.select(self.id_col, "key"), self.id_col, "left").join(got, "key", "left").drop("key")
+        out = rows.join(got, ID, "left")
         voices = [F.col(f"evidence_{n}") for n in names]
         if self.task == "regression":
             value = A.weighted_average(voices, weights)
@@ -230,44 +246,44 @@ class EvidenceEstimator:
         cost = self.client.cost_per_call if self.client else routing.COST_A_ROW
         if self.signal == "tier":
             raise TesseraError("the tier's signal is known only after it has been asked")
-        rows = self._signal(self.evidence(frame)).withColumn("fingerprint", self._fingerprint())
-        return routing.plan(rows, "signal", self.id_col, self.rate, self.threshold, None if self.approved is None else rows.join(self.approved, "fingerprint").select(self.id_col), cost)
+        rows = self._judged(frame)
+        return routing.plan(rows, "signal", ID, self.rate, self.threshold, None if self.approved is None else rows.join(self.approved, "fingerprint").select(ID), cost)
 
     def predict(self, frame: DataFrame) -> Prediction:
         if self.check:
             leakage.check_overlap(self.train.drop(self.target, self.id_col), frame.drop(self.target, self.id_col), warn=True)
         kind = "double" if self.task == "regression" else "string"
         none = {"tier_value": F.lit(None).cast(kind if self.task == "regression" else "array<double>"), "tier_confidence": F.lit(None).cast("double"), "tier_cost": F.lit(0.0)}
-        fast = cut(self.evidence(frame).withColumns({"fingerprint": self._fingerprint(), "description": self.describe(frame)}))
+        fast = cut(self._judged(frame))
         if self.signal == "tier":
-            fast = cut(self._tiered(fast))
-        fast = cut(self._signal(fast))
+            # A row that the tier could not answer is the least certain of all.
+            fast = cut(self._tiered(frame, fast).withColumn("signal", 1.0 - F.coalesce("tier_confidence", F.lit(0.0))))
         cost = self.client.cost_per_call if self.client else routing.COST_A_ROW
-        approved = None if self.approved is None else fast.join(self.approved, "fingerprint").select(self.id_col, F.col("approved_value"))
+        approved = None if self.approved is None else fast.join(self.approved, "fingerprint").select(ID, F.col("approved_value"))
         routed = self.rate is not None or self.threshold is not None
         if self.client is None:
             sent = fast.limit(0)
         else:
-            sent = cut(routing.selected(fast, "signal", self.id_col, self.rate, self.threshold, approved))
+            sent = cut(routing.selected(fast, "signal", ID, self.rate, self.threshold, approved))
             if not routed and not self.warned and sent.count() * cost > routing.WARN_DOLLARS:
                 self.warned = True
                 warnings.warn(f"every row goes to {self.client.name}, at about {sent.count() * cost:.2f} USD", stacklevel=2)
         out = fast
         if self.client is not None:
-            requests = cut(self._requests(sent, self.domain.system_prompt(self.unit), answer=F.lit(json.dumps(self.answer_schema()))))
-            got = kept_answers(requests.select("key", "request"), self.client, self.cache)
+            requests = cut(self._requests(frame, sent, self.client, self.domain.system_prompt(self.unit), answer=F.lit(json.dumps(self.answer_schema()))))
+            got = charged(requests.select(ID, "key"), kept_answers(requests, self.client, self.cache), ID)
             said = F.from_json("answer", f"value {kind}, confidence double, reason string")
             valid = F.lit(True) if self.task == "regression" else said["value"].isin(self.classes_)
             wrong = F.when(F.col("error").isNull() & ~F.coalesce(valid & said["value"].isNotNull(), F.lit(False)), "the answer is no valid value")
-            got = got.select("key", F.when(valid, said["value"]).alias("answer"), F.greatest(F.least(F.coalesce(said["confidence"], F.lit(0.5)), F.lit(1.0)), F.lit(0.0)).alias("answer_confidence"), said["reason"].alias("answer_reason"), F.col("cost").alias("answer_cost"), F.coalesce("error", wrong).alias("answer_error"))
-            out = out.join(requests.select(self.id_col, "key", F.lit(True).alias("sent")), self.id_col, "left").join(got, "key", "left").drop("key")
+            got = got.select(ID, F.lit(True).alias("sent"), F.when(valid, said["value"]).alias("answer"), F.greatest(F.least(F.coalesce(said["confidence"], F.lit(0.5)), F.lit(1.0)), F.lit(0.0)).alias("answer_confidence"), said["reason"].alias("answer_reason"), F.col("cost").alias("answer_cost"), F.coalesce("error", wrong).alias("answer_error"))
+            out = out.join(got, ID, "left")
         else:
             out = out.withColumns({"sent": F.lit(False), "answer": F.lit(None).cast(kind), "answer_confidence": F.lit(None).cast("double"), "answer_reason": F.lit(None).cast("string"), "answer_cost": F.lit(0.0), "answer_error": F.lit(None).cast("string")})
         out = out.withColumn("sent", F.coalesce("sent", F.lit(False))).withColumn("answer", F.when(F.col("sent"), F.col("answer")))
-        out = out.join(approved, self.id_col, "left").withColumnRenamed("approved_value", "approved") if approved is not None else out.withColumn("approved", F.lit(None).cast(kind))
+        out = out.join(approved, ID, "left").withColumnRenamed("approved_value", "approved") if approved is not None else out.withColumn("approved", F.lit(None).cast(kind))
         if self.signal != "tier" and self.tier is not None:
             left = out.where("not sent and approved is null")
-            out = self._tiered(left).unionByName(out.join(left.select(self.id_col), self.id_col, "left_anti").withColumns(none))
+            out = self._tiered(frame, left).unionByName(out.join(left.select(ID), ID, "left_anti").withColumns(none))
         elif self.tier is None:
             out = out.withColumns(none)
         out = out.withColumn("tier", F.col("tier_value"))
@@ -286,7 +302,7 @@ class EvidenceEstimator:
             # An external or human class takes its confidence; the others share the rest.
             spread = F.array(*(F.when(F.col("value") == c, F.col("confidence")).otherwise((1.0 - F.col("confidence")) / (len(self.classes_) - 1)) for c in self.classes_))
             probabilities = F.when(is_from("human") | is_from("llm"), spread).when(is_from("jev"), F.col("tier")).otherwise(first)
-        keep = [self.id_col, "value", "confidence", "origin", "signal", "sent", "cost", "reason", "fingerprint", "probabilities", *(f"evidence_{m.name}" for m in self.models_)]
+        keep = [F.col(ID).alias(self.id_col), *RESULT, *(f"evidence_{m.name}" for m in self.models_)]
         return Prediction(cut(out.withColumn("probabilities", probabilities).select(*keep)), self.id_col, cost, self.fit_id)
 
     def approve(self, result: Prediction, ids: DataFrame) -> int:
@@ -305,10 +321,11 @@ class EvidenceEstimator:
     def curve(self, frame: DataFrame, answers: DataFrame, rates: Sequence[float] = (0, 0.1, 0.2, 0.3, 0.5, 0.75, 1)) -> DataFrame:
         """Error by share of rows that take ``answers`` (id, answer)."""
         base = self._plain(F.col(f"evidence_{self.models_[0].name}"))
-        rows = self._signal(self.evidence(frame)).withColumn("base", base).join(answers, self.id_col)
+        known = frame.select(F.col(self.id_col).alias(ID), F.col(self.target).alias("truth"))
+        rows = self._judged(frame).withColumn("base", base).join(known, ID).join(answers.select(F.col(self.id_col).alias(ID), "answer"), ID)
         if rows.where(F.col("signal").isNull()).limit(1).count():
             raise TesseraError("a row has no signal")
-        return routing.curve(rows, "signal", self.id_col, self.target, "base", "answer", list(rates), classification=self.task == "classification")
+        return routing.curve(rows, "signal", ID, "truth", "base", "answer", list(rates), classification=self.task == "classification")
 
 
 class EvidenceRegressor(EvidenceEstimator):

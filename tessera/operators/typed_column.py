@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import TesseraError
 from ..functions import text as X
 from ..sources.checkpoints import cut
-from ..sources.clients import Client, kept_answers
+from ..sources.clients import Client, charged, kept_answers, keyed
 from . import neighbours, routing
 from .lookup import status
 from .sampling import half_even
@@ -37,7 +37,8 @@ def drop_constant_tokens(frame: DataFrame, text_col: str, stop: Sequence[str] |
 
 @dataclass
 class Stage:
-    """Answers open rows: frame (id, value, confidence, text) in, frame (id, value, confidence) out.
+    """Answers open rows: frame (id, value, confidence, text) in, frame (id, value, confidence) out, with ``cost`` where a row's
+    cost isn't ``cost_per_call`` (an answer out of a cache costs nothing).
 
     A row is settled if its value is not null and reaches ``threshold``, where there is one.
     """
@@ -75,10 +76,10 @@ def _asked(rows: DataFrame, client: Client, candidates: Sequence[str], question:
     options = list(dict.fromkeys(candidates))
     text = F.col("text") if "text" in rows.columns else F.col("value")
     request = F.to_json(F.struct(F.lit("choice").alias("kind"), text.alias("state"), F.lit(question).alias("question"), F.array(*map(F.lit, options)).alias("options")))
-    requests = cut(rows.select("id", request.alias("request")).withColumn("key", F.sha2("request", 256)))
+    requests = cut(keyed(rows.select("id", request.alias("request")), client))
     said = F.from_json("answer", f"{field} string, confidence double")
-    got = kept_answers(requests.select("key", "request"), client, cache).select("key", F.when(said[field].isin(options), said[field]).alias("value"), said["confidence"].alias("confidence"))
-    return requests.join(got, "key").select("id", "value", "confidence")
+    got = kept_answers(requests, client, cache).select("key", F.when(said[field].isin(options), said[field]).alias("value"), said["confidence"].alias("confidence"), "cost")
+    return charged(requests.select("id", "key"), got, "id").select("id", "value", "confidence", "cost")
 
 
 def settle(open_rows: DataFrame, stages: Sequence[Stage]) -> DataFrame:
@@ -87,8 +88,10 @@ def settle(open_rows: DataFrame, stages: Sequence[Stage]) -> DataFrame:
     for stage in stages:
         if not stage.can_answer():
             continue
-        got = stage.answer(left).select("id", F.col("value").alias("_v"), F.col("confidence").alias("_c"))
-        both = left.join(got, "id", "left").withColumn("cost", F.col("cost") + stage.cost_per_call)
+        got = stage.answer(left)
+        paid = F.coalesce("cost", F.lit(0.0)) if "cost" in got.columns else F.lit(stage.cost_per_call)
+        got = got.select("id", F.col("value").alias("_v"), F.col("confidence").alias("_c"), paid.alias("_paid"))
+        both = left.join(got, "id", "left").withColumn("cost", F.col("cost") + F.coalesce("_paid", F.lit(stage.cost_per_call))).drop("_paid")
         ok = F.col("_v").isNotNull() if stage.threshold is None else F.col("_v").isNotNull() & (F.coalesce(F.col("_c"), F.lit(0.0)) >= stage.threshold)
         settled = both.where(ok).select("id", F.col("_v").alias("value"), F.col("_c").alias("confidence"), F.lit(stage.source).alias("source"), "cost")
         done = settled if done is None else done.unionByName(settled)

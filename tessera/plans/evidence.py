@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import lookup, neighbours, profile, routing, sampling, scores
+from ..operators.boosting import Boosted
 from ..operators.models import GroupMean, Linear, Trees
 from ..sources import caches, clients
 from .registry import Tables, query
@@ -340,3 +341,26 @@ def h1(t: Tables):
     o = t("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
     model = Trees(["o_custkey"], ["o_orderpriority", "o_orderstatus"], trees=5, depth=3).fit(o.where("o_orderkey % 5 <> 0"), "o_totalprice")
     return model.predict(o.where("o_orderkey % 5 = 0"), "prediction").select("o_orderkey", "prediction")
+
+
+@query("h1b_multiclass")
+def h1b(t: Tables):
+    """Shares of the languages of each document by trees over how often it has each of some letters, learned from four fifths of them."""
+    letters = "etaoinshrdluäéñóßçüè"
+    size = F.nullif(F.char_length("text"), F.lit(0))
+    often = [((size - F.char_length(F.replace("text", F.lit(x)))) / size).alias(f"x{i}") for i, x in enumerate(letters)]
+    rows = t("documents").select("doc_id", "lang", *often)
+    model = Boosted([f"x{i}" for i in range(len(letters))], [], "leaf", "classification", rounds=8, rate=0.3).fit(rows.where("lang is not null and doc_id % 5 <> 0"), "lang")
+    likeliest = F.element_at(F.array(*map(F.lit, model.classes)), A.argmax(F.col("shares")) + 1)
+    return model.predict(rows, "shares").select("doc_id", "lang", likeliest.alias("predicted"), F.to_json(F.transform("shares", lambda p: F.round(p, 6))).alias("shares"))
+
+
+@query("h2_boosted_leafwise")
+def h2(t: Tables):
+    """The retail price of each part by leaf-wise and by level-wise trees, learned from four fifths of them."""
+    p = t("part").select("p_partkey", "p_retailprice", "p_size", "p_brand", "p_type")
+    out = p
+    for growth in ("leaf", "level"):
+        model = Boosted(["p_partkey", "p_size"], ["p_brand", "p_type"], growth, rounds=10, rate=0.2).fit(p.where("p_partkey % 5 <> 0"), "p_retailprice")
+        out = model.predict(out, f"{growth}wise")
+    return out.select("p_partkey", "p_retailprice", F.round("leafwise", 4).alias("leafwise"), F.round("levelwise", 4).alias("levelwise"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import caches
+from .answers import AnswerCache
 from .checkpoints import cut
 
 ANSWERS = "key string, answer string, cost double, error string"
@@ -27,7 +27,12 @@ RETRIED, LONGEST_WAIT, MOST_OPTIONS = (408, 409, 429, 500, 502, 503, 504, 529),
 
 
 class Client(Protocol):
-    """Answers one request; raises on failure. ``name`` goes into cache keys."""
+    """Answers one request; raises on failure.
+
+    ``name`` and, where there are such, ``model`` and ``effort`` go into cache keys. Optional too: ``workers``, calls at a
+    time in one partition; ``most_calls``, calls at a time over all partitions; ``warm``, whether one request is
+    answered before the others start, so that a provider's own cache of the common prompt is there for them.
+    """
 
     name: str
     cost_per_call: float
@@ -45,6 +50,10 @@ class FunctionClient:
     name: str = "function"
     cost_per_call: float = 0.0
     workers: int = 1
+    model: str | None = None
+    effort: str | None = None
+    most_calls: int | None = None
+    warm: bool = False
 
     def available(self) -> bool:
         return True
@@ -69,6 +78,10 @@ class HttpClient:
     max_retries: int = 2
     sleep: Callable[[float], None] = time.sleep
     workers: int = 8
+    model: str | None = None
+    effort: str | None = None
+    most_calls: int | None = None
+    warm: bool = False
 
     def available(self) -> bool:
         return self.transport is not None
@@ -85,6 +98,26 @@ class HttpClient:
         raise AssertionError
 
 
+def routed(model: str, makers: Mapping[str, Callable[[str], Client]], default: str | None = None) -> Client:
+    """The client of a model string, "provider/name" or a bare name, whose provider is then ``default``."""
+    provider, sep, name = model.partition("/")
+    if not sep:
+        provider, name = default, model
+    if provider not in makers:
+        raise ValueError(f"no client for {model}: there are {', '.join(sorted(makers)) or 'none'}")
+    return makers[provider](name)
+
+
+def identity(client: Client) -> str:
+    """Who is asked, for cache keys: answers of another client, model or effort are other answers."""
+    return json.dumps([client.name, getattr(client, "model", None), getattr(client, "effort", None)], ensure_ascii=False)
+
+
+def keyed(requests: DataFrame, client: Client) -> DataFrame:
+    """Adds ``key``, the hash of who is asked and of ``request``."""
+    return requests.withColumn("key", F.sha2(F.concat_ws("\n", F.lit(identity(client)), "request"), 256))
+
+
 def choice(state: str, question: str, options: list[str], descriptions: Mapping[str, str] | None = None) -> dict:
     """A request to choose one of the options, with a probability for each."""
     options = list(dict.fromkeys(options))
@@ -112,6 +145,8 @@ def answered(requests: DataFrame, client: Client, cache: DataFrame | None = None
         held = cache.where("error is null").dropDuplicates(["key"]).select("key", "answer", F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("from_cache"))
         known, left = distinct.select("key").join(held, "key"), distinct.join(held.select("key"), "key", "left_anti")
 
+    workers = max(1, getattr(client, "workers", 1))
+
     def one(request: str) -> tuple:
         try:
             return json.dumps(client.ask(json.loads(request)), ensure_ascii=False), client.cost_per_call, None
@@ -119,12 +154,15 @@ def answered(requests: DataFrame, client: Client, cache: DataFrame | None = None
             return None, 0.0, str(error) or type(error).__name__
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # ``workers`` of the client: calls at a time in one partition.
-        with ThreadPoolExecutor(max(1, getattr(client, "workers", 1))) as pool:
+        with ThreadPoolExecutor(workers) as pool:
             for frame in frames:
                 said = list(pool.map(one, frame["request"]))
                 yield pd.DataFrame([(key, *x) for key, x in zip(frame["key"], said, strict=True)], columns=["key", "answer", "cost", "error"])
 
+    if most := getattr(client, "most_calls", None):
+        # No more partitions than calls, and their workers share them out.
+        workers = min(workers, most)
+        left = left.repartition(max(1, most // workers))
     new = left.select("key", "request").mapInPandas(run, ANSWERS).withColumn("from_cache", F.lit(False))
     return new if known is None else known.unionByName(new)
 
@@ -137,11 +175,27 @@ def usage(answers: DataFrame) -> DataFrame:
 def kept_answers(requests: DataFrame, client: Client, path: str | None = None) -> DataFrame:
     """answered(), run once and written: later actions read the table and pay nothing.
 
-    With ``path``, a Parquet cache of answers by request, known requests are not asked and new answers
-    without an error are appended. Rows of a task that is lost while it asks are asked again.
+    With ``path``, an AnswerCache: requests whose key (see keyed()) it holds are not asked and new answers without an
+    error are added. Rows of a task that is lost while it asks are asked again.
     """
-    known = caches.load(requests.sparkSession, path, ANSWERS) if path else None
-    got = cut(answered(requests, client, known))
-    if path:
-        got.where("not from_cache and error is null").select("key", "answer", "cost", "error").write.mode("append").parquet(path)
+    cache = AnswerCache(requests.sparkSession, path) if path else None
+    requests = requests.select("key", "request")
+    known = cut(cache.held(requests).select("key", "answer", F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("error"))) if cache else None
+    first = None
+    if getattr(client, "warm", False):
+        left = requests if known is None else requests.join(known, "key", "left_anti")
+        first = cut(answered(left.dropDuplicates(["key"]).orderBy("key").limit(1), client))
+        requests = requests.join(first.select("key"), "key", "left_anti")
+    got = answered(requests, client, known)
+    got = cut(got if first is None else got.unionByName(first))
+    if cache:
+        asked = requests if first is None else requests.unionByName(first.join(left.dropDuplicates(["key"]), "key").select("key", "request"))
+        cache.add(got.where("not from_cache and error is null").join(asked.dropDuplicates(["key"]), "key"), client.name)
     return got
+
+
+def charged(rows: DataFrame, answers: DataFrame, row_id: str) -> DataFrame:
+    """``rows`` (row_id, key, ...) with the columns of ``answers``; of rows that share a request, the least id bears its cost."""
+    payer = rows.groupBy("key").agg(F.min(row_id).alias("__payer"))
+    both = rows.join(answers.join(payer, "key"), "key", "left")
+    return both.withColumn("cost", F.when(F.col(row_id) == F.col("__payer"), F.col("cost")).otherwise(0.0)).drop("__payer")

@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ import pytest
 from tessera.errors import TesseraError
 from tessera.operators import boosting as B
 from tessera.operators.models import Trees
+from tessera.plans import catalogue
 
 
 def table(spark, rows):
@@ -109,3 +111,25 @@ def test_awkward_columns(spark):
         B.Boosted([], [])
     with pytest.raises(TesseraError):
         B.Boosted(["a"]).fit(frame.limit(0), "z")
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_query_of_four_classes(spark):
+    got = catalogue.queries()["h1b_multiclass"](spark, SF).where("doc_id % 5 = 0").collect()
+    classes = sorted({r.lang for r in got})
+    shares = [dict(zip(classes, json.loads(r.shares), strict=True)) for r in got]
+    # On documents that were not learned from; shares of the languages alone have a log loss of about 1.
+    loss = -np.mean([np.log(max(1e-6, p[r.lang])) for p, r in zip(shares, got, strict=True)])
+    assert len(got) == 200 and loss < 0.35 and np.mean([r.lang == r.predicted for r in got]) > 0.9
+    assert all(abs(sum(p.values()) - 1) < 1e-4 for p in shares)
+
+
+def test_query_of_two_growths(spark):
+    got = catalogue.queries()["h2_boosted_leafwise"](spark, SF).collect()
+    price, leaf, level = (np.array([getattr(r, c) for r in got if r.p_partkey % 5 == 0]) for c in ("p_retailprice", "leafwise", "levelwise"))
+    mean = np.mean([r.p_retailprice for r in got if r.p_partkey % 5])
+    for said in (leaf, level):
+        assert np.abs(said - price).mean() < 0.5 * np.abs(mean - price).mean()
+    assert np.abs(leaf - level).max() > 0.01
