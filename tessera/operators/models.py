@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import TesseraError
-from . import neighbours
+from . import neighbours, quantiles
+from .neighbour_index import NeighbourIndex
 
 
 class Model:
@@ -85,8 +86,7 @@ class Trees(Model):
         from pyspark.ml.feature import StringIndexer, VectorAssembler
         from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-        row = frame.agg(*(F.median(F.col(c).cast("double")).alias(c) for c in self.numeric)).first() if self.numeric else None
-        self.medians = {c: (row[c] if row[c] is not None else 0.0) for c in self.numeric}
+        self.medians = {c: (m if m is not None else 0.0) for c, m in quantiles.medians(frame, self.numeric).items()}
         labels, stages, self.several = None, [], None
         target = f"__row.{target}"
         data = self._features(frame).where(F.col(target).isNotNull())
@@ -129,7 +129,7 @@ class Trees(Model):
 
 
 class Neighbours(Model):
-    """Median target, or class rates, of the k nearest training rows by standardised numbers."""
+    """Median target, or class rates, of the k nearest training rows by standardised numbers, through one fitted index."""
 
     def __init__(self, numeric: Sequence[str], id_col: str, k: int = 5, task: str = "regression", name: str | None = None, weight: float = 0.15):
         if not numeric:
@@ -140,10 +140,11 @@ class Neighbours(Model):
     def fit(self, frame: DataFrame, target: str) -> Neighbours:
         self.train, self.target = frame.where(F.col(target).isNotNull()).select(self.id_col, *self.numeric, target), target
         self.classes = [r[0] for r in self.train.select(F.col(target).cast("string")).distinct().orderBy(target).limit(21).collect()] if self.task == "classification" else None
+        self.index = NeighbourIndex(self.id_col, self.numeric, weight=self.weight).fit(self.train)
         return self
 
     def predict(self, frame: DataFrame, out: str) -> DataFrame:
-        found = neighbours.nearest_numeric(frame, self.train, self.id_col, self.numeric, self.k, self.weight)
+        found = self.index.nearest(frame, self.k)
         if self.task == "classification":
             said = neighbours.rates_of(found, self.train.withColumn(self.target, F.col(self.target).cast("string")), self.id_col, self.target, self.classes)
         else:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -13,9 +12,10 @@ from pyspark.sql import functions as F
 from ..errors import TesseraError
 from ..functions import arrays as A
 from ..functions import text as X
+from . import quantiles
 
-#: Rows of a block of queries and of references in a search; a task compares two blocks.
-QUERY_BLOCK, REFERENCE_BLOCK = 512, 32_768
+#: Training rows that a task of a search holds at most.
+REFERENCE_BLOCK = 32_768
 #: Similarities that a task holds at a time.
 HELD = 1 << 22
 #: Reference sides up to this many rows are broadcast and compared in one pass.
@@ -29,7 +29,8 @@ def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def standards(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: median m_c and, after imputation, population deviation s_c (1 if 0) of each column."""
-    medians = train.agg(*(F.median(F.col(c).cast("double")).alias(f"m_{c}") for c in columns))
+    middle = quantiles.medians(train, columns)
+    medians = train.sparkSession.createDataFrame([tuple(middle[c] for c in columns)], ", ".join(f"`m_{c}` double" for c in columns))
     filled = train.join(F.broadcast(medians))
     spread = filled.agg(*(F.stddev_pop(F.coalesce(F.col(c).cast("double"), F.col(f"m_{c}"))).alias(f"s_{c}") for c in columns))
     spread = spread.select(*(F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0).alias(f"s_{c}") for c in columns))
@@ -54,26 +55,14 @@ def numeric_pairs(queries: DataFrame, train: DataFrame, id_col: str, columns: Se
     return q.join(F.broadcast(scale)).join(small(t)).select("id", "train_id", (-weight * gap).alias("similarity"))
 
 
-def blocked(queries: DataFrame, references: DataFrame, k: int, measure: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(id, train_id, similarity, rank): the k most similar references (train_id, y) of each query (id, x); ties go to the lesser train_id.
-
-    Both sides are dealt into blocks of bounded size, and each pair of blocks meets in one task, which
-    passes on only the k best of each query. So the shuffle holds the rows times the other side's
-    blocks, never the pairs. ``measure`` takes two matrices of doubles; rows without a vector take no part.
-    """
-    kinds = dict(queries.dtypes)["id"], dict(references.dtypes)["train_id"]
-    queries, references = queries.where("x is not null"), references.where("y is not null")
-    n_q, n_r = (max(1, math.ceil(f.count() / size)) for f, size in ((queries, QUERY_BLOCK), (references, REFERENCE_BLOCK)))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("id", F.col("x").cast("array<double>").alias("x"), part("id", n_q).alias("qb")).withColumn("rb", every(n_r))
-    r = references.select("train_id", F.col("y").cast("array<double>").alias("y"), part("train_id", n_r).alias("rb")).withColumn("qb", every(n_q))
+def best_of(k: int, measure: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A function of queries (id, x) and references (train_id, y): the k best (id, train_id, similarity) of each query."""
 
     def best(q: pa.Table, r: pa.Table) -> pa.Table:
         r = r.sort_by("train_id")
         ids, others, values, picked = q.column("id"), r.column("train_id"), [], []
         if len(q) and len(r):
-            x, y = (np.array(t.column(c).to_pylist(), float).reshape(len(t), -1) for t, c in ((q, "x"), (r, "y")))
+            x, y = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), -1) for t, c in ((q, "x"), (r, "y")))
             step = max(1, HELD // len(y))
             for a in range(0, len(x), step):
                 held = measure(x[a : a + step], y)
@@ -86,29 +75,21 @@ def blocked(queries: DataFrame, references: DataFrame, k: int, measure: Callable
         own, other = (np.concatenate([p[i] for p in picked]) if picked else np.zeros(0, int) for i in (0, 1))
         return pa.table({"id": ids.take(pa.array(own)), "train_id": others.take(pa.array(other)), "similarity": np.concatenate(values) if values else np.zeros(0)})
 
-    found = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(best, f"id {kinds[0]}, train_id {kinds[1]}, similarity double")
-    return nearest(found, k)
+    return best
 
 
 def nearest_numeric(queries: DataFrame, train: DataFrame, id_col: str, columns: Sequence[str], k: int, weight: float = 0.15) -> DataFrame:
-    """The k nearest training rows by -weight times the mean standardised distance."""
-    known = standards(train, columns)
-    side = lambda frame, name, x: imputed(frame.select(id_col, *columns), columns, known).select(F.col(id_col).alias(name), F.array(*columns).alias(x))
-    scale = [float(v) for v in known.select(*(f"s_{c}" for c in columns)).first()]
+    """The k nearest training rows by -weight times the mean standardised distance, by an index of this one search."""
+    from .neighbour_index import NeighbourIndex
 
-    def measure(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        gap = np.zeros((len(x), len(y)))
-        for d, s in enumerate(scale):
-            gap += np.abs(x[:, d, None] - y[None, :, d]) / s
-        return -weight * (gap / len(scale))
-
-    return blocked(side(queries, "id", "x"), side(train, "train_id", "y"), k, measure)
+    return NeighbourIndex(id_col, columns, weight=weight).fit(train).nearest(queries, k)
 
 
 def nearest_vectors(queries: DataFrame, references: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
     """The k nearest references by cosine, rounded to 12 digits so that equal vectors tie."""
-    side = lambda frame, name, x: frame.select(F.col(id_col).alias(name), A.normalised(F.col(vector)).alias(x))
-    return blocked(side(queries, "id", "x"), side(references, "train_id", "y"), k, lambda x, y: np.round(x @ y.T, 12))
+    from .neighbour_index import NeighbourIndex
+
+    return NeighbourIndex(id_col, vector=vector).fit(references).nearest(queries, k)
 
 
 def gram_counts(frame: DataFrame, id_col: str, text: Column, low: int = 2, high: int = 4) -> DataFrame:

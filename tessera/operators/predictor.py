@@ -18,6 +18,7 @@ from ..sources.checkpoints import cut
 from ..sources.clients import Client, charged, kept_answers, keyed
 from . import leakage, neighbours, routing
 from .models import Model, Neighbours, Trees
+from .neighbour_index import NeighbourIndex
 from .profile import ColumnSpec, profile, spec_of
 
 
@@ -116,6 +117,7 @@ class EvidenceEstimator:
         self.spec = self.spec or spec_of([c for c in profile(train, self.id_col) if c.name != self.id_col], self.target)
         self.spec.check(train)
         self.train = train.where(F.col(self.target).isNotNull())
+        self.index: NeighbourIndex | None = None  # of similar cases by numbers, fitted when first asked for
         self.classes_: list[str] | None = None
         if self.task == "classification":
             if train.where(F.col(self.target).isNull()).limit(1).count():
@@ -148,7 +150,9 @@ class EvidenceEstimator:
         """(id, train_id, similarity, rank, label) of similar known cases."""
         neighbours.require_features(self.spec.text, self.spec.numeric)
         if not self.spec.text:
-            found = neighbours.nearest_numeric(frame, self.train, self.id_col, self.spec.numeric, self.n_examples, self.weight)
+            if self.index is None:
+                self.index = NeighbourIndex(self.id_col, self.spec.numeric, weight=self.weight).fit(self.train)
+            found = self.index.nearest(frame, self.n_examples)
             return found.join(self.train.select(F.col(self.id_col).alias("train_id"), F.col(self.target).alias("label")), "train_id")
         pairs = neighbours.numeric_pairs(frame, self.train, self.id_col, self.spec.numeric, self.weight) if self.spec.numeric else None
         if self.spec.text:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..errors import TesseraError
 from ..functions import text as X
+from . import quantiles
 
 # Thresholds of the kinds, name patterns, boolean words.
 LONG_TEXT_CHARS, CATEGORY_VALUES, CATEGORY_RATE = 100, 200, 0.02
@@ -74,18 +75,23 @@ def is_number(kind: T.DataType) -> bool:
 def statistics(frame: DataFrame) -> DataFrame:
     """One row for each column: name, n_rows, n_values, n_unique, mean_chars, integral, boolean_words.
 
-    One aggregate over the table, then its single row turned on its side.
+    One aggregate over the table, its single row turned on its side. Distinct values are counted apart, as rows (column,
+    digest of the value) that meet before and after one shuffle: no copy of a row for each column's distinct, and no value is hot.
     """
-    sums = [F.count("*").alias("n_rows")]
+    sums, marks = [F.count("*").alias("n_rows")], []
     for i, f in enumerate(frame.schema.fields):
         c = F.col(f"`{f.name}`")
         plain = c if not isinstance(f.dataType, T.MapType) else F.to_json(c)
         as_text = plain.cast("string") if isinstance(f.dataType, T.AtomicType) else F.to_json(F.struct(plain))
         whole = F.bool_and((c % 1 == 0) | c.isNull()) if is_number(f.dataType) else F.lit(False)
         word = (F.when(c % 1 == 0, c.cast("decimal(38,0)").cast("string")).otherwise("") if is_number(f.dataType) else F.lower(as_text)) if isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType)) else F.lit("")
-        sums += [F.count(c).alias(f"v{i}"), F.count_distinct(plain).alias(f"u{i}"), F.avg(F.char_length(as_text)).alias(f"m{i}"), whole.alias(f"w{i}"), F.bool_and(word.isin(*BOOLEAN_WORDS) | c.isNull()).alias(f"b{i}")]
+        exact = (plain + F.lit(0.0)).cast("string") if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else as_text  # -0.0 equals 0.0
+        marks.append(F.when(c.isNotNull(), F.struct(F.lit(i).alias("i"), F.unhex(F.md5(exact)).alias("mark"))))
+        sums += [F.count(c).alias(f"v{i}"), F.avg(F.char_length(as_text)).alias(f"m{i}"), whole.alias(f"w{i}"), F.bool_and(word.isin(*BOOLEAN_WORDS) | c.isNull()).alias(f"b{i}")]
     one = frame.agg(*sums)
-    rows = [F.struct(F.lit(f.name).alias("name"), F.col("n_rows"), F.col(f"v{i}").alias("n_values"), F.col(f"u{i}").alias("n_unique"), F.col(f"m{i}").alias("mean_chars"), F.coalesce(f"w{i}", F.lit(True)).alias("integral"), F.coalesce(f"b{i}", F.lit(True)).alias("boolean_words")) for i, f in enumerate(frame.schema.fields)]
+    seen = frame.select(F.explode(F.array_compact(F.array(*marks))).alias("x")).groupBy("x.i", "x.mark").agg(F.lit(1)).groupBy("i").agg(F.count("*").alias("n")).collect()  # a row a column
+    unique = {r["i"]: r["n"] for r in seen}
+    rows = [F.struct(F.lit(f.name).alias("name"), F.col("n_rows"), F.col(f"v{i}").alias("n_values"), F.lit(unique.get(i, 0)).cast("long").alias("n_unique"), F.col(f"m{i}").alias("mean_chars"), F.coalesce(f"w{i}", F.lit(True)).alias("integral"), F.coalesce(f"b{i}", F.lit(True)).alias("boolean_words")) for i, f in enumerate(frame.schema.fields)]
     return one.select(F.inline(F.array(*rows)))
 
 
@@ -182,7 +188,8 @@ def spec_of(profiles: Sequence[ColumnProfile], target: str | None = None) -> Col
 def number_target(frame: DataFrame, target: str) -> DataFrame:
     """One row: n, mean, median, least, greatest, p995, mean_over_median, n_not_positive, log_suggested, clip_suggested."""
     y = F.col(target).cast("double")
-    one = frame.where(y.isNotNull()).agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.median(y).alias("median"), F.min(y).alias("least"), F.max(y).alias("greatest"), F.percentile(y, 0.995).alias("p995"), F.count_if(y <= 0).alias("n_not_positive"))
+    middle, tail = quantiles.quantiles(frame, {target: y}, [0.5, 0.995])[target]
+    one = frame.where(y.isNotNull()).agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.lit(middle).cast("double").alias("median"), F.min(y).alias("least"), F.max(y).alias("greatest"), F.lit(tail).cast("double").alias("p995"), F.count_if(y <= 0).alias("n_not_positive"))
     ratio = F.when(F.col("median") != 0, F.col("mean") / F.col("median"))
     return one.select("*", ratio.alias("mean_over_median"), (F.coalesce(ratio >= SKEW, F.lit(False)) & (F.col("least") >= 0)).alias("log_suggested"), ((F.col("p995") > 0) & (F.col("greatest") > TAIL * F.col("p995"))).alias("clip_suggested"))
 
@@ -205,5 +212,5 @@ def infer_task(frame: DataFrame, target: str) -> str:
 
 def clip_and_log(frame: DataFrame, target: str, share: float = 0.995) -> DataFrame:
     """Rows above the percentile go, then negative ones; adds ``log_target`` = log1p."""
-    bound = frame.agg(F.percentile(F.col(target).cast("double"), share).alias("_bound"))
-    return frame.join(F.broadcast(bound)).where(F.col(target) <= F.col("_bound")).where(F.col(target) >= 0).withColumn("log_target", F.log1p(target)).drop("_bound")
+    bound = quantiles.quantiles(frame, {target: F.col(target)}, [share])[target][0]
+    return frame.where(F.col(target) <= F.lit(bound).cast("double")).where(F.col(target) >= 0).withColumn("log_target", F.log1p(target))

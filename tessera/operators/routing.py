@@ -12,6 +12,8 @@ from ..errors import TesseraError
 from ..sources.checkpoints import cut
 from .sampling import half_even
 
+#: Share of all places of unseen words from which on a word is hot.
+HOT_WORD = 1e-3
 # Estimates of an external answer, in seconds and dollars.
 SECONDS_A_CALL, SETUP_SECONDS, COST_A_ROW, WARN_DOLLARS = 4.6, 23.85, 0.0086, 0.10
 
@@ -45,10 +47,20 @@ def unseen_levels(frame: DataFrame, train: DataFrame, id_col: str, columns: Sequ
 
 def unseen_words(frame: DataFrame, train: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, unseen_words): share of a text's lower-cased words that no training text has; 0 without words."""
-    words = lambda f: f.select(id_col, F.explode(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")).alias("w"))
-    known = words(train).select("w").distinct().withColumn("known", F.lit(True))
-    share = words(frame).join(known, "w", "left").groupBy(id_col).agg(F.avg(F.when(F.col("known").isNull(), 1.0).otherwise(0.0)).alias("unseen_words"))
-    return frame.select(id_col).join(share, id_col, "left").select(id_col, F.coalesce("unseen_words", F.lit(0.0)).alias("unseen_words"))
+    listed = lambda f: F.filter(F.split(F.lower(F.coalesce(f[text], F.lit(""))), r"\s+"), lambda w: w != "")
+    rows = frame.select(F.col(id_col).alias("__id"), listed(frame).alias("__words"))
+    words = rows.select("__id", F.explode("__words").alias("w"))
+    # Distinct words of either side meet, so no word is hot; then only words that train lacks are sought in the rows.
+    counted = words.groupBy("w").agg(F.count("*").alias("n"))
+    lacking = cut(counted.join(train.select(F.explode(listed(train)).alias("w")).distinct(), "w", "left_anti"))
+    total = lacking.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = total * HOT_WORD
+    # Those in more than a thousandth of the lines left are a thousand at most: they are broadcast, and the others fill no task.
+    hot, rest = F.broadcast(lacking.where(F.col("n") > often).select("w")), lacking.where(F.col("n") <= often).select("w")
+    found = words.join(hot, "w", "left_semi").unionByName(words.join(rest, "w", "left_semi"))
+    unseen = found.groupBy("__id").agg(F.count("*").alias("u"))
+    share = F.when(F.size("__words") > 0, F.coalesce("u", F.lit(0)) / F.size("__words")).otherwise(0.0)
+    return rows.join(unseen, "__id", "left").select(F.col("__id").alias(id_col), share.cast("double").alias("unseen_words"))
 
 
 def unseen_signal(frame: DataFrame, train: DataFrame, id_col: str, categorical: Sequence[str], text: str | None) -> DataFrame:

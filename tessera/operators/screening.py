@@ -31,8 +31,8 @@ def fold_scores(frame: DataFrame, target: str, id_col: str, numeric: Sequence[st
     data = frame.where(F.col(target).isNotNull())
     if data.count() < 2 * folds:
         raise TesseraError("too few rows for the folds")
-    fold = sampling.fold(F.col(id_col), folds) if task == "regression" else sampling.stratified_fold(F.col(target), F.col(id_col), folds)
-    data = data.withColumn("_fold", fold).cache()
+    data = data.withColumn("_fold", sampling.fold(F.col(id_col), folds)) if task == "regression" else sampling.stratified_folds(data, target, id_col, folds, "_fold")
+    data = data.cache()
     classes = [r[0] for r in data.select(F.col(target).cast("string").alias("c")).distinct().orderBy("c").collect()] if task == "classification" else None
 
     def score(fold: int, numeric: Sequence[str], categorical: Sequence[str]) -> float:

@@ -256,7 +256,7 @@ def e15(t: Tables):
 
 @query("e15_stratified_folds", "SELECT doc_id, CAST((row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) % 5 AS INT) AS fold FROM labels")
 def e15s(t: Tables):
-    return t("labels").select("doc_id", sampling.stratified_fold(F.col("quality"), F.col("doc_id"), 5).alias("fold"))
+    return sampling.stratified_folds(t("labels"), "quality", "doc_id", 5).select("doc_id", "fold")
 
 
 @query("e10_review_queue", f"WITH k AS (SELECT {KEY_SQL} AS key, count(*) AS count FROM part GROUP BY 1) SELECT key, count, 'error' AS source FROM k WHERE length(key) % 4 = 0")
