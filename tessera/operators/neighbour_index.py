@@ -134,11 +134,13 @@ class NeighbourIndex:
         weight, apart = self.weight, self.distance
         return lambda x, y: -weight * apart(x, y)
 
-    def _radius(self, similarity: np.ndarray) -> np.ndarray:
-        """No row of at least this similarity is farther."""
+    @property
+    def radius(self):
+        """Of similarities: no row of at least that similarity is farther."""
         if self.vector:
-            return np.sqrt(np.maximum(0, 2 - 2 * similarity)) + ROUNDED
-        return np.where(np.isfinite(similarity), -similarity / self.weight, np.inf) if self.weight > 0 else np.full(len(similarity), np.inf)
+            return lambda s: np.sqrt(np.maximum(0, 2 - 2 * s)) + ROUNDED
+        weight = self.weight
+        return lambda s: np.where(np.isfinite(s), -s / weight, np.inf) if weight > 0 else np.full(len(s), np.inf)
 
     def nearest(self, queries: DataFrame, k: int) -> DataFrame:
         """(id, train_id, similarity, rank): the k most similar rows of each query; ties go to the lesser train_id."""
@@ -159,7 +161,7 @@ class NeighbourIndex:
 
     def _visits(self, rows: DataFrame, k: int) -> DataFrame:
         """(id, x, block): the blocks that hold k rows first, without ``least``; else the others within its radius."""
-        pivots, apart, n, low, high, radius = self.pivots, self.distance, self.n, self.low, self.high, self._radius
+        pivots, apart, n, low, high, radius = self.pivots, self.distance, self.n, self.low, self.high, self.radius
         there = np.flatnonzero(n)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +211,6 @@ class NeighbourIndex:
         out.size, out.medians, out.scale, out.tables = state["size"], state["medians"], state["scale"], Tables(spark)
         out.n = np.array(state["n"], np.int64)
         for k in ("pivots", "low", "high"):
-            setattr(out, k, np.array(state[k], float).reshape(len(state[k]), -1))
+            setattr(out, k, np.array(state[k], float).reshape(len(state[k]), -1) if state[k] else np.zeros((0, 0)))
         out.blocks = spark.read.parquet(f"{path}/blocks")
         return out
