@@ -15,7 +15,7 @@ from ..errors import TesseraError
 from ..functions import arrays as A
 from ..functions import text as X
 from ..sources.checkpoints import cut
-from ..sources.clients import Client, charged, kept_answers, keyed
+from ..sources.clients import Client, kept_answers, keyed
 from . import leakage, neighbours, routing
 from .models import Model, Neighbours, Trees
 from .neighbour_index import NeighbourIndex
@@ -233,7 +233,7 @@ class EvidenceEstimator:
         requests = cut(self._requests(frame, rows, self.tier, self.domain.tier_prompt(), options=F.array(*map(F.lit, names))))
         said = F.from_json("answer", "choice string, probabilities map<string, double>, confidence double")
         got = kept_answers(requests, self.tier, self.cache).select("key", said.alias("said"), "cost").where(F.col("said.choice").isin(names))
-        got = charged(requests.select(ID, "key"), got, ID).select(ID, "said", F.col("cost").alias("tier_cost"))
+        got = requests.select(ID, "key").join(got, "key").select(ID, "said", F.col("cost").alias("tier_cost"))
         drawn = [F.coalesce(F.col("said.probabilities")[n], F.lit(0.0)) for n in names]
         none = sum((F.greatest(d, F.lit(0.0)) for d in drawn), F.lit(0.0)) <= 0
         weights = [F.when(none, (F.col("said.choice") == n).cast("double")).otherwise(d) for d, n in zip(drawn, names, strict=True)]
@@ -275,7 +275,8 @@ class EvidenceEstimator:
         out = fast
         if self.client is not None:
             requests = cut(self._requests(frame, sent, self.client, self.domain.system_prompt(self.unit), answer=F.lit(json.dumps(self.answer_schema()))))
-            got = charged(requests.select(ID, "key"), kept_answers(requests, self.client, self.cache), ID)
+            # Each row bears the price of its answer, also where several rows ask the same.
+            got = requests.select(ID, "key").join(kept_answers(requests, self.client, self.cache), "key")
             said = F.from_json("answer", f"value {kind}, confidence double, reason string")
             valid = F.lit(True) if self.task == "regression" else said["value"].isin(self.classes_)
             wrong = F.when(F.col("error").isNull() & ~F.coalesce(valid & said["value"].isNotNull(), F.lit(False)), "the answer is no valid value")
