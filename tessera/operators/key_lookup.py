@@ -99,31 +99,43 @@ class AutoLookup:
     """Looked-up columns that an answerer proposes; those that carry signal stay.
 
     fit() asks once for proposals, keeps the usable ones (proposals()), and makes a KeyLookup of each.
-    transform() adds the columns of all of them; kept() scores each on folds of the training rows.
+    transform() adds the columns of all of them, or with ``scored`` only of those that stay; kept() scores each on folds of the
+    training rows, once.
     """
 
-    def __init__(self, target: str, id_col: str, client: Client, numeric: Sequence[str] = (), categorical: Sequence[str] = (), max_columns: int = 3, folds: int = 3, **options):
+    def __init__(self, target: str, id_col: str, client: Client, numeric: Sequence[str] = (), categorical: Sequence[str] = (), max_columns: int = 3, folds: int = 3, scored: bool = False, **options):
         self.target, self.id_col, self.client, self.max_columns, self.folds = target, id_col, client, max_columns, folds
-        self.numeric, self.categorical, self.options = list(numeric), list(categorical), options
+        self.numeric, self.categorical, self.scored, self.options = list(numeric), list(categorical), scored, options
 
     def fit(self, frame: DataFrame) -> AutoLookup:
         usable = [c for c in frame.columns if c not in (self.target, self.id_col)]
         said = self.client.ask({"kind": "propose", "target": self.target, "columns": usable, "max_columns": self.max_columns})
         self.proposals_ = proposals(said, usable, self.max_columns, frame.columns)
         self.lookups_ = [KeyLookup(p["keys"], p["attribute"], p["kind"], p["values"], p["unit"], p["low"], p["high"], client=self.client, name=p["name"], **self.options).fit(frame) for p in self.proposals_]
-        self.train = frame
+        self.train, self.scores_ = frame, None
         return self
 
-    def transform(self, frame: DataFrame) -> DataFrame:
+    def _added(self, frame: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
         for one in self.lookups_:
-            frame = one.transform(frame)
+            if names is None or one.name in names:
+                frame = one.transform(frame)
         return frame
 
+    def transform(self, frame: DataFrame) -> DataFrame:
+        return self._added(frame, self.kept() if self.scored else None)
+
     def kept(self) -> list[str]:
         """Names of the columns that make the folds' errors smaller."""
-        known = cut(self.transform(self.train))
-        scored = [(one.name, screening.score_column(known, self.target, self.id_col, one.name, "numeric" if one.kind == "numeric" else "category", self.numeric, self.categorical, self.folds).first()) for one in self.lookups_]
-        return [name for name, row in scored if row["accepted"]]
+        if self.scores_ is None:
+            known = cut(self._added(self.train))
+            self.scores_ = {one.name: screening.score_column(known, self.target, self.id_col, one.name, "numeric" if one.kind == "numeric" else "category", self.numeric, self.categorical, self.folds).first().asDict() for one in self.lookups_}
+        return [name for name, row in self.scores_.items() if row["accepted"]]
+
+    def explain(self) -> str:
+        """Each proposed column: its keys, what it did to the folds' errors, and whether it stays."""
+        self.kept()
+        said = {p["name"]: p for p in self.proposals_}
+        return "\n".join(f"{name} ({said[name]['kind']}, by {', '.join(said[name]['keys'])}): {'stays' if row['accepted'] else 'goes'}, contribution {row['contribution']:.6g}" for name, row in self.scores_.items())
 
 
 def proposals(said: Mapping, usable: Sequence[str], max_columns: int, taken: Sequence[str] = ()) -> list[dict]:

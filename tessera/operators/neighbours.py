@@ -98,9 +98,12 @@ def gram_counts(frame: DataFrame, id_col: str, text: Column, low: int = 2, high:
     return words.select("id", "c", F.explode(X.word_ngrams(F.col("word"), low, high)).alias("gram")).groupBy("id", "gram").agg(F.sum("c").alias("n"))
 
 
-def gram_weights(counts: DataFrame, n_rows: int, min_df: int = 2) -> DataFrame:
-    """(gram, df, idf) of grams in at least ``min_df`` rows; idf = ln((1 + n) / (1 + df)) + 1."""
-    return counts.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).select("gram", "df", (F.log((1.0 + n_rows) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+def gram_weights(counts: DataFrame, n_rows: int, min_df: int = 2, max_features: int | None = None) -> DataFrame:
+    """(gram, df, idf) of grams in at least ``min_df`` rows, the most frequent ``max_features`` (ties to the lesser gram); idf = ln((1 + n) / (1 + df)) + 1."""
+    kept = counts.groupBy("gram").agg(F.count("*").alias("df"), F.sum("n").alias("n")).where(F.col("df") >= min_df)
+    if max_features is not None:
+        kept = kept.orderBy(F.desc("n"), "gram").limit(max_features)
+    return kept.select("gram", "df", (F.log((1.0 + n_rows) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
 def sparse_vectors(counts: DataFrame, weights: DataFrame) -> DataFrame:

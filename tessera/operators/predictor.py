@@ -58,6 +58,8 @@ class Prediction:
     id_col: str
     unit_cost: float
     fit_id: str = ""
+    target: str = "value"
+    cases: Callable[[], DataFrame] | None = None
 
     def values(self) -> DataFrame:
         return self.frame.select(self.id_col, "value")
@@ -87,11 +89,27 @@ class Prediction:
     def review_queue(self) -> DataFrame:
         return self.frame.where(F.col("origin") == "llm").orderBy("confidence", self.id_col).select(self.id_col, "fingerprint", "value", "confidence", "signal", "reason")
 
+    def examples(self) -> DataFrame:
+        """(id, rank, similarity, label, row): the similar known cases of each row, nearest first."""
+        if self.cases is None:
+            raise TesseraError("this result keeps no similar cases")
+        return self.cases().select(self.id_col, F.inline("cases"))
+
     def explain(self, row_id) -> str:
+        """How one row came to its value: its origin, doubt and price, what the models said, and its similar known cases."""
         row = self.frame.where(F.col(self.id_col) == row_id).first()
         if row is None:
             raise TesseraError(f"no row {row_id}")
-        return "\n".join(f"{k}: {row[k]}" for k in self.frame.columns)
+        origins = {"human": "a person's answer for a row of the same content", "llm": "an external answer", "jev": "the models' outputs, weighted by the middle tier", "fallback": "the first model, as no external answer came", "model": "the first model"}
+        number = lambda x: "none" if x is None else f"{x:.6g}" if isinstance(x, float) else ", ".join(f"{y:.3f}" for y in x) if isinstance(x, list) else str(x)
+        lines = [f"{self.target} of {self.id_col} {row_id}: {number(row['value'])}, from {origins[row['origin']]}", f"confidence {number(row['confidence'])}, signal of doubt {number(row['signal'])}, {'sent' if row['sent'] else 'not sent'}, {row['cost']:.4f} USD"]
+        if row["reason"]:
+            lines.append(f"reason: {row['reason']}")
+        lines += [f"model {c.removeprefix('evidence_')}: {number(row[c])}" for c in self.frame.columns if c.startswith("evidence_")]
+        if self.cases is not None:
+            near = self.examples().where(F.col(self.id_col) == row_id).orderBy("rank").collect()
+            lines += [f"similar case {r['rank']}, at {r['similarity']:.4f}: {r['label']} ({'; '.join(x.removeprefix('- ') for x in r['row'].splitlines())})" for r in near]
+        return "\n".join(lines)
 
 
 class EvidenceEstimator:
@@ -308,7 +326,7 @@ class EvidenceEstimator:
             spread = F.array(*(F.when(F.col("value") == c, F.col("confidence")).otherwise((1.0 - F.col("confidence")) / (len(self.classes_) - 1)) for c in self.classes_))
             probabilities = F.when(is_from("human") | is_from("llm"), spread).when(is_from("jev"), F.col("tier")).otherwise(first)
         keep = [F.col(ID).alias(self.id_col), *RESULT, *(f"evidence_{m.name}" for m in self.models_)]
-        return Prediction(cut(out.withColumn("probabilities", probabilities).select(*keep)), self.id_col, cost, self.fit_id)
+        return Prediction(cut(out.withColumn("probabilities", probabilities).select(*keep)), self.id_col, cost, self.fit_id, self.target, lambda: self.cases(frame))
 
     def approve(self, result: Prediction, ids: DataFrame) -> int:
         """Keeps external answers of these ids by content; they are not asked again. A result of an earlier fit is refused."""

@@ -214,3 +214,8 @@ def clip_and_log(frame: DataFrame, target: str, share: float = 0.995) -> DataFra
     """Rows above the percentile go, then negative ones; adds ``log_target`` = log1p."""
     bound = quantiles.quantiles(frame, {target: F.col(target)}, [share])[target][0]
     return frame.where(F.col(target) <= F.lit(bound).cast("double")).where(F.col(target) >= 0).withColumn("log_target", F.log1p(target))
+
+
+def unlogged(value):
+    """A prediction of ``log_target`` as the target again: expm1, not under 0."""
+    return F.greatest(F.expm1(value), F.lit(0.0))

@@ -110,8 +110,6 @@ class TypedColumn:
     def __init__(self, source: str | Sequence[str], id_col: str, kind: str = "category", values: Sequence[str] | None = None, labels: str | None = None, k: int | str = "auto", threshold: float = THRESHOLD, escalate_rate: float | None = None, on_uncertain: str = "keep", preprocess: bool = True, stages: Sequence[Stage] = (), vector: bool = False, min_df: int = 1):
         if kind not in ("category", "binary", "embedding"):
             raise TesseraError("a typed column is a category, binary or embedding")
-        if kind != "embedding" and not values and not labels:
-            raise TesseraError("a typed column needs labels or values")
         if vector and not labels and kind != "embedding":
             raise TesseraError("vectors need a label column")
         self.source = [source] if isinstance(source, str) else list(source)
@@ -123,10 +121,18 @@ class TypedColumn:
         out = frame.select(F.col(self.id_col).alias("id"), X.join_columns(*self.source).alias("text"))
         return drop_constant_tokens(out, "text", self.stop)[0] if self.preprocess else out
 
-    def fit(self, frame: DataFrame) -> TypedColumn:
+    def fit(self, frame: DataFrame, y: DataFrame | None = None) -> TypedColumn:
+        """``y``, a frame (id, label), takes the place of a label column; rows that it lacks are no references."""
         self.stop: list[str] = []
+        if y is not None:
+            if self.kind == "embedding":
+                raise TesseraError("an embedding column has no labels")
+            self.labels = "__label"
+            frame = frame.drop("__label").join(y.toDF(self.id_col, "__label"), self.id_col, "left")
         if self.kind == "embedding":
             return self
+        if not self.values and not self.labels:
+            raise TesseraError("a typed column needs labels or values")
         if self.vector:
             self.references = frame.where(F.col(self.labels).isNotNull()).select(F.col(self.id_col).alias("train_id"), F.col(self.labels).alias("label"), F.col(self.source[0]).alias("x"))
         else:
@@ -178,6 +184,27 @@ class TypedColumn:
             out = out.withColumn("value", F.when(F.col("source") != "needs_review", F.col("value")))
         return out
 
+    def examples(self, frame: DataFrame) -> DataFrame:
+        """(id, rank, similarity, label): the references that each row's vote came from."""
+        labels = self.references.select("train_id", F.col("label").cast("string").alias("label"))
+        return self.neighbours(frame).join(labels, "train_id").select("id", "rank", "similarity", "label", "train_id")
+
+    def explain(self, result: DataFrame, frame: DataFrame, row_id) -> str:
+        """How one row came to its value, with the references nearest to it."""
+        row = result.where(F.col("id") == row_id).first()
+        if row is None:
+            raise TesseraError(f"no row {row_id}")
+        if self.kind == "embedding":
+            return f"row {row_id}: the vector of {self.source[0]}"
+        origins = {"model": "the vote of its nearest references", "needs_review": "nobody sure enough: it waits for review"}
+        lines = [f"row {row_id}: {row['value']}, from {origins.get(row['source'], 'the stage ' + row['source'])}", f"confidence {row['confidence'] or 0.0:.4f} (sure from {self.threshold}), {row['cost']:.4f} USD"]
+        near = self.examples(frame.where(F.col(self.id_col) == row_id)).orderBy("rank").collect()
+        return "\n".join([*lines, *(f"reference {r['rank']}, at {r['similarity']:.4f}: {r['label']}" for r in near)])
+
+    def cost(self, result: DataFrame) -> dict:
+        """Rows by where their value came from, and what they cost."""
+        return {r["source"]: {"n": r["n"], "cost_usd": r["cost_usd"]} for r in result.groupBy("source").agg(F.count("*").alias("n"), F.sum("cost").alias("cost_usd")).collect()}
+
     def review_queue(self, result: DataFrame) -> DataFrame:
         return result.where(F.col("source").isin("needs_review", "llm")).orderBy("confidence", "id")
 
