@@ -102,7 +102,7 @@ class Prediction:
             raise TesseraError(f"no row {row_id}")
         origins = {"human": "a person's answer for a row of the same content", "llm": "an external answer", "jev": "the models' outputs, weighted by the middle tier", "fallback": "the first model, as no external answer came", "model": "the first model"}
         number = lambda x: "none" if x is None else f"{x:.6g}" if isinstance(x, float) else ", ".join(f"{y:.3f}" for y in x) if isinstance(x, list) else str(x)
-        lines = [f"{self.target} of {self.id_col} {row_id}: {number(row['value'])}, from {origins[row['origin']]}", f"confidence {number(row['confidence'])}, signal of doubt {number(row['signal'])}, {'sent' if row['sent'] else 'not sent'}, {row['cost']:.4f} USD"]
+        lines = [f"{self.target} of {self.id_col} {row_id}: value {number(row['value'])}, from {origins[row['origin']]}", f"confidence {number(row['confidence'])}, signal of doubt {number(row['signal'])}, {'sent' if row['sent'] else 'not sent'}, {row['cost']:.4f} USD"]
         if row["reason"]:
             lines.append(f"reason: {row['reason']}")
         lines += [f"model {c.removeprefix('evidence_')}: {number(row[c])}" for c in self.frame.columns if c.startswith("evidence_")]

@@ -21,7 +21,7 @@ def test_a_prediction_tells_its_cases(spark):
     assert set(near) == set(range(20, 30)) and all(label == "190.0" and "age: 19" in row for label, row in near.values())
     sent = result.frame.where("sent").first()
     text = result.explain(sent["id"])
-    for part in (f"price of id {sent['id']}: 5, from an external answer", "confidence 0.5", "sent, 0.2500 USD", "reason: told so", "model group_mean: ", "model linear: ", "similar case 1, at ", ": 190.0 (", "similar case 2, at "):
+    for part in (f"price of id {sent['id']}: value 5, from an external answer", "confidence 0.5", "sent, 0.2500 USD", "reason: told so", "model group_mean: ", "model linear: ", "similar case 1, at ", ": 190.0 (", "similar case 2, at "):
         assert part in text
     assert "from the first model" in result.explain(result.frame.where("not sent").first()["id"])
     with pytest.raises(TesseraError):
