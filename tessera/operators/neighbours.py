@@ -42,17 +42,14 @@ def imputed(frame: DataFrame, columns: Sequence[str], known: DataFrame) -> DataF
     return frame.join(F.broadcast(known)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"m_{c}")) for c in columns}).drop(*(x for c in columns for x in (f"m_{c}", f"s_{c}")))
 
 
-def numeric_pairs(queries: DataFrame, train: DataFrame, id_col: str, columns: Sequence[str], weight: float = 0.15) -> DataFrame:
-    """(id, train_id, similarity) of all pairs: -weight times the mean standardised distance.
-
-    The training side must be small (it is broadcast); each query row streams past it.
-    """
+def numeric_similarities(pairs: DataFrame, queries: DataFrame, train: DataFrame, id_col: str, columns: Sequence[str], weight: float = 0.15) -> DataFrame:
+    """(id, train_id, similarity) of given pairs: -weight times the mean standardised distance."""
     known = standards(train, columns)
     q = imputed(queries.select(id_col, *columns), columns, known).select(F.col(id_col).alias("id"), F.array(*columns).alias("x"))
     t = imputed(train.select(id_col, *columns), columns, known).select(F.col(id_col).alias("train_id"), F.array(*columns).alias("y"))
     scale = known.select(F.array(*(F.col(f"s_{c}") for c in columns)).alias("s"))
     gap = A.total(F.zip_with(F.zip_with("x", "y", lambda a, b: F.abs(a - b)), "s", lambda d, s: d / s)) / len(columns)
-    return q.join(F.broadcast(scale)).join(small(t)).select("id", "train_id", (-weight * gap).alias("similarity"))
+    return pairs.join(small(q), "id").join(small(t), "train_id").join(F.broadcast(scale)).select("id", "train_id", (-weight * gap).alias("similarity"))
 
 
 def best_of(k: int, measure: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -113,12 +110,6 @@ def sparse_vectors(counts: DataFrame, weights: DataFrame) -> DataFrame:
     return raw.join(norms, "id").select("id", "gram", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def sparse_pairs(queries: DataFrame, references: DataFrame) -> DataFrame:
-    """(id, train_id, similarity) of pairs that share a gram: an inverted-index join, partial sums before the shuffle."""
-    r = references.select(F.col("id").alias("train_id"), "gram", F.col("w").alias("v"))
-    return queries.join(r, "gram").groupBy("id", "train_id").agg(F.sum(F.col("w") * F.col("v")).alias("similarity"))
-
-
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The k most similar of each id with their rank from 1; ties go to the lesser train_id."""
     order = Window.partitionBy("id").orderBy(F.col("similarity").desc(), F.col("train_id"))

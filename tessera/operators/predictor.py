@@ -19,6 +19,7 @@ from ..sources.clients import Client, kept_answers, keyed
 from . import leakage, neighbours, routing
 from .models import Model, Neighbours, Trees
 from .neighbour_index import NeighbourIndex
+from .text_index import TextIndex, nearest_together
 from .profile import ColumnSpec, profile, spec_of
 
 
@@ -135,7 +136,8 @@ class EvidenceEstimator:
         self.spec = self.spec or spec_of([c for c in profile(train, self.id_col) if c.name != self.id_col], self.target)
         self.spec.check(train)
         self.train = train.where(F.col(self.target).isNotNull())
-        self.index: NeighbourIndex | None = None  # of similar cases by numbers, fitted when first asked for
+        self.index: NeighbourIndex | None = None  # of similar cases by numbers and by text, fitted when first asked for
+        self.texts: TextIndex | None = None
         self.classes_: list[str] | None = None
         if self.task == "classification":
             if train.where(F.col(self.target).isNull()).limit(1).count():
@@ -167,21 +169,26 @@ class EvidenceEstimator:
     def examples(self, frame: DataFrame) -> DataFrame:
         """(id, train_id, similarity, rank, label) of similar known cases."""
         neighbours.require_features(self.spec.text, self.spec.numeric)
+        if self.spec.numeric and self.index is None:
+            self.index = NeighbourIndex(self.id_col, self.spec.numeric, weight=self.weight).fit(self.train)
+        if self.spec.text and self.texts is None:
+            counts = neighbours.gram_counts(self.train, self.id_col, F.col(self.spec.text))
+            self.gram_weights = neighbours.gram_weights(counts, self.train.count())
+            self.texts = TextIndex().fit(neighbours.sparse_vectors(counts, self.gram_weights))
+        vectors = lambda rows: neighbours.sparse_vectors(neighbours.gram_counts(rows, self.id_col, F.col(self.spec.text)), self.gram_weights)
         if not self.spec.text:
-            if self.index is None:
-                self.index = NeighbourIndex(self.id_col, self.spec.numeric, weight=self.weight).fit(self.train)
             found = self.index.nearest(frame, self.n_examples)
-            return found.join(self.train.select(F.col(self.id_col).alias("train_id"), F.col(self.target).alias("label")), "train_id")
-        pairs = neighbours.numeric_pairs(frame, self.train, self.id_col, self.spec.numeric, self.weight) if self.spec.numeric else None
-        if self.spec.text:
-            counts = neighbours.gram_counts(self.train, self.id_col, F.col(self.spec.text))
-            weights = neighbours.gram_weights(counts, self.train.count())
-            text = neighbours.sparse_pairs(neighbours.sparse_vectors(neighbours.gram_counts(frame, self.id_col, F.col(self.spec.text)), weights), neighbours.sparse_vectors(counts, weights))
-            if pairs is not None:
-                pairs = pairs.join(text.withColumnRenamed("similarity", "cosine"), ["id", "train_id"], "left").select("id", "train_id", (F.col("similarity") + F.coalesce("cosine", F.lit(0.0))).alias("similarity"))
-            else:
-                pairs = text
-        found = neighbours.nearest(pairs, self.n_examples)
+        elif not self.spec.numeric:
+            found = self.texts.nearest(vectors(frame), self.n_examples)
+        else:
+            rows = frame.select(self.id_col, *dict.fromkeys([self.spec.text, *self.spec.numeric]))
+
+            def scores(pairs: DataFrame) -> DataFrame:
+                far = neighbours.numeric_similarities(pairs, rows, self.train, self.id_col, self.spec.numeric, self.weight)
+                near = self.texts.similarities(pairs, vectors(rows)).withColumnRenamed("similarity", "cosine")
+                return far.join(near, ["id", "train_id"], "left").select("id", "train_id", (F.col("similarity") + F.coalesce("cosine", F.lit(0.0))).alias("similarity"))
+
+            found = nearest_together(rows, self.id_col, self.train.count(), self.n_examples, lambda x, m: self.texts.nearest(vectors(x), m), self.index.nearest, scores)
         return found.join(self.train.select(F.col(self.id_col).alias("train_id"), F.col(self.target).alias("label")), "train_id")
 
     def _signal(self, evidence: DataFrame) -> DataFrame:

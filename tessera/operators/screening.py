@@ -9,24 +9,21 @@ from pyspark.sql import functions as F
 
 from ..errors import TesseraError
 from ..functions import text as X
+from ..sources.checkpoints import cut
 from . import sampling, scores
 from .models import Trees
 from .profile import infer_task
+from .text_svd import TextSVD, TooFewGrams
 
-TEXT_FEATURES = 16
+#: Columns that a fold's text becomes, and the characters of a text that are looked at.
+TEXT_COLUMNS, TEXT_CHARS = 64, 500
 
 
-def with_text_features(frame: DataFrame, text: str, n: int = TEXT_FEATURES, chars: int = 500) -> tuple[DataFrame, list[str]]:
-    """Shares of the text's character n-grams in n hash buckets: features that need no fit, so no fold leaks."""
-    grams = X.char_ngrams(X.clipped(F.col(text), chars), 2, 3)
-    names = [f"_g{i}" for i in range(n)]
-    out = frame.withColumn("_b", F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(n)).cast("int")))
-    size = F.greatest(F.size("_b"), F.lit(1))
-    return out.withColumns({c: F.size(F.filter("_b", lambda b, i=i: b == i)) / size for i, c in enumerate(names)}).drop("_b"), names
+def fold_scores(frame: DataFrame, target: str, id_col: str, numeric: Sequence[str], categorical: Sequence[str], extra_numeric: Sequence[str] = (), extra_categorical: Sequence[str] = (), folds: int = 3, task: str | None = None, trees: int = 10, depth: int = 3, text: str | None = None) -> DataFrame:
+    """(fold, without, with): mean absolute error or log loss of each fold, without and with the extra columns.
 
-
-def fold_scores(frame: DataFrame, target: str, id_col: str, numeric: Sequence[str], categorical: Sequence[str], extra_numeric: Sequence[str] = (), extra_categorical: Sequence[str] = (), folds: int = 3, task: str | None = None, trees: int = 10, depth: int = 3) -> DataFrame:
-    """(fold, without, with): mean absolute error or log loss of each fold, without and with the extra columns."""
+    ``text`` becomes columns by a decomposition fitted on each fold's training rows alone; where those have no frequent n-gram, it adds none.
+    """
     task = task or infer_task(frame, target)
     data = frame.where(F.col(target).isNotNull())
     if data.count() < 2 * folds:
@@ -35,8 +32,18 @@ def fold_scores(frame: DataFrame, target: str, id_col: str, numeric: Sequence[st
     data = data.cache()
     classes = [r[0] for r in data.select(F.col(target).cast("string").alias("c")).distinct().orderBy("c").collect()] if task == "classification" else None
 
-    def score(fold: int, numeric: Sequence[str], categorical: Sequence[str]) -> float:
-        train, test = data.where(F.col("_fold") != fold), data.where(F.col("_fold") == fold)
+    def parts(fold: int) -> tuple[DataFrame, DataFrame]:
+        return data.where(F.col("_fold") != fold), data.where(F.col("_fold") == fold)
+
+    def with_text(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+        try:
+            model = TextSVD(TEXT_COLUMNS).fit(train, id_col, text)
+        except TooFewGrams:
+            return train, test, []
+        (train, names), (test, _) = model.columns(train, id_col, text), model.columns(test, id_col, text)
+        return train, test, names
+
+    def score(train: DataFrame, test: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> float:
         if not numeric and not categorical:
             numeric, train, test = ["_one"], train.withColumn("_one", F.lit(1.0)), test.withColumn("_one", F.lit(1.0))
         out = Trees(numeric, categorical, "forest" if task == "classification" else "boosted", task, trees=trees, depth=depth).fit(train, target).predict(test, "_p")
@@ -45,15 +52,20 @@ def fold_scores(frame: DataFrame, target: str, id_col: str, numeric: Sequence[st
         label = F.array_position(F.array(*map(F.lit, classes)), F.col(target).cast("string")) - 1
         return out.agg(scores.log_loss(label, F.col("_p"))).first()[0]
 
-    rows = [(i, score(i, numeric, categorical), score(i, [*numeric, *extra_numeric], [*categorical, *extra_categorical])) for i in range(folds)]
+    rows = []
+    for i in range(folds):
+        train, test = parts(i)
+        without = score(train, test, numeric, categorical)
+        train, test, made = with_text(train, test) if text else (train, test, [])
+        rows.append((i, without, score(cut(train), cut(test), [*numeric, *extra_numeric, *made], [*categorical, *extra_categorical])))
     data.unpersist()
     return frame.sparkSession.createDataFrame(rows, "fold int, without double, with double")
 
 
 def screen(frame: DataFrame, target: str, text: str, id_col: str, numeric: Sequence[str] = (), categorical: Sequence[str] = (), task: str | None = None, folds: int = 5, sample: int = 20_000) -> DataFrame:
     """One row: n_rows, scores without and with the text, contribution, wins, verdict."""
-    data, names = with_text_features(sampling.capped(frame.where(F.col(target).isNotNull()), id_col, sample), text)
-    out = scores.contribution(fold_scores(data, target, id_col, numeric, categorical, names, folds=folds, task=task), "without", "with")
+    data = sampling.capped(frame.where(F.col(target).isNotNull()), id_col, sample).withColumn("__text", X.clipped(F.col(text), TEXT_CHARS))
+    out = scores.contribution(fold_scores(data, target, id_col, numeric, categorical, folds=folds, task=task, text="__text"), "without", "with")
     return out.withColumn("n_rows", F.lit(data.count()))
 
 

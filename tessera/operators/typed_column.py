@@ -15,6 +15,7 @@ from ..sources.clients import Client, charged, kept_answers, keyed
 from . import neighbours, routing
 from .lookup import status
 from .sampling import half_even
+from .text_index import TextIndex
 
 # Fixed value: confidence below which a value is uncertain.
 THRESHOLD = 0.9
@@ -148,7 +149,7 @@ class TypedColumn:
             counts = neighbours.gram_counts(texts, "id", F.col("text"))
             self.weights = neighbours.gram_weights(counts, texts.count(), self.min_df)
             own = neighbours.gram_counts(refs.withColumnRenamed("train_id", "id"), "id", F.col("text"))
-            self.vectors, self.references = neighbours.sparse_vectors(own, self.weights), refs
+            self.index, self.references = TextIndex().fit(neighbours.sparse_vectors(own, self.weights)), refs
         n, classes = self.references.agg(F.count("*"), F.collect_set(F.col("label").cast("string"))).first()
         self.classes_ = sorted({*classes, *self.values})
         self.k_ = neighbours.k_auto(n, len(self.classes_)) if self.k == "auto" else int(self.k)
@@ -161,8 +162,7 @@ class TypedColumn:
             q, r = (f.select(F.col(i).alias("id"), F.col(x).alias("x")) for f, i, x in ((frame, self.id_col, self.source[0]), (self.references, "train_id", "x")))
             return neighbours.nearest_vectors(q, r, "id", "x", min(max(self.k_, 2), self.n_))
         counts = neighbours.gram_counts(self._texts(frame), "id", F.col("text"))
-        pairs = neighbours.sparse_pairs(neighbours.sparse_vectors(counts, self.weights), self.vectors)
-        return neighbours.nearest(pairs, min(max(self.k_, 2), self.n_))
+        return self.index.nearest(neighbours.sparse_vectors(counts, self.weights), min(max(self.k_, 2), self.n_))
 
     def transform(self, frame: DataFrame) -> DataFrame:
         """(id, value, confidence, source, cost) of each row; a row like no reference has confidence 0."""

@@ -8,6 +8,8 @@ from ..functions import arrays as A
 from ..operators import lookup, neighbours, profile, routing, sampling, scores
 from ..operators.boosting import Boosted
 from ..operators.models import GroupMean, Linear, Trees
+from ..operators.text_index import TextIndex
+from ..operators.text_svd import TextSVD
 from ..sources import caches, clients
 from .registry import Tables, query
 from .rows import KEY_SQL, part_answers
@@ -151,8 +153,15 @@ def h7(t: Tables):
 @query("c2_knn_text", f"WITH {TFIDF_SQL}, s AS (SELECT a.id, b.id AS train_id, round(sum(a.w * b.w), 6) AS similarity FROM v a JOIN v b USING (gram) WHERE a.id % 20 = 0 GROUP BY 1, 2) SELECT id, train_id, similarity, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, train_id) AS rank FROM s QUALIFY rank <= 5")
 def c2_text(t: Tables):
     v = part_vectors(t)
-    pairs = neighbours.sparse_pairs(v.where("id % 20 = 0"), v).withColumn("similarity", F.round("similarity", 6))
-    return neighbours.nearest(pairs, 5).withColumn("rank", F.col("rank").cast("long"))
+    return TextIndex(digits=6).fit(v).nearest(v.where("id % 20 = 0"), 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("h7_text_svd")
+def h7_svd(t: Tables):
+    """The columns that every name becomes."""
+    p = t("part")
+    found = TextSVD().fit(p, "p_partkey", "p_name").transform(p, "p_partkey", "p_name")
+    return found.select(F.col("id").alias("p_partkey"), F.posexplode("x").alias("component", "value"))
 
 
 MODELS_SQL = """g AS (SELECT o_orderpriority, avg(o_totalprice) AS m FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1), r AS (SELECT regr_slope(o_totalprice, o_custkey) AS a, regr_intercept(o_totalprice, o_custkey) AS b, avg(o_totalprice) AS m FROM orders WHERE o_orderkey % 5 <> 0),
