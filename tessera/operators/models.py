@@ -61,14 +61,15 @@ class Trees(Model):
     """Boosted trees or a forest over numbers, booleans and categories.
 
     Missing numbers take the training median beside a flag; categories are indexed on train, unseen
-    ones share one index. ``kind``: "boosted" or "forest". Boosted trees of more than two classes are those of
+    ones share one index. ``complete`` numbers are never missing and need neither. ``kind``: "boosted" or "forest". Boosted trees of more than two classes are those of
     boosting.Boosted, grown level by level.
     """
 
-    def __init__(self, numeric: Sequence[str] = (), categorical: Sequence[str] = (), kind: str = "boosted", task: str = "regression", name: str | None = None, trees: int = 20, depth: int = 5, seed: int = 42):
-        if not numeric and not categorical:
+    def __init__(self, numeric: Sequence[str] = (), categorical: Sequence[str] = (), kind: str = "boosted", task: str = "regression", name: str | None = None, trees: int = 20, depth: int = 5, seed: int = 42, complete: Sequence[str] = ()):
+        if not numeric and not categorical and not complete:
             raise TesseraError("a tree model needs a structured column")
         self.numeric, self.categorical, self.kind, self.task = list(numeric), list(categorical), kind, task
+        self.complete = list(complete)
         self.name, self.trees, self.depth, self.seed = name or kind, trees, depth, seed
         self.several: Model | None = None
 
@@ -77,6 +78,7 @@ class Trees(Model):
         own = [F.struct(*(F.col(f"`{c}`") for c in frame.columns)).alias("__row")]
         for c in self.numeric:
             own += [F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])).alias(f"_n_{c}"), F.col(c).isNull().cast("double").alias(f"_m_{c}")]
+        own += [F.col(c).cast("double").alias(f"_c_{c}") for c in self.complete]
         own += [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")).alias(f"_t_{c}") for c in self.categorical]
         return frame.select(*own)
 
@@ -92,7 +94,7 @@ class Trees(Model):
         data = self._features(frame).where(F.col(target).isNotNull())
         if self.categorical:
             stages.append(StringIndexer(inputCols=[f"_t_{c}" for c in self.categorical], outputCols=[f"_i_{c}" for c in self.categorical], handleInvalid="keep", stringOrderType="alphabetAsc"))
-        stages.append(VectorAssembler(inputCols=[*(x for c in self.numeric for x in (f"_n_{c}", f"_m_{c}")), *(f"_i_{c}" for c in self.categorical)], outputCol="_features"))
+        stages.append(VectorAssembler(inputCols=[*(x for c in self.numeric for x in (f"_n_{c}", f"_m_{c}")), *(f"_c_{c}" for c in self.complete), *(f"_i_{c}" for c in self.categorical)], outputCol="_features"))
         bins = max([32, *(data.select(F.count_distinct(f"_t_{c}")).first()[0] + 2 for c in self.categorical)])
         if self.task == "classification":
             labels = [r[0] for r in data.select(F.col(target).cast("string")).distinct().orderBy(target).collect()]
@@ -104,7 +106,7 @@ class Trees(Model):
             if not forest and len(labels) > 2:
                 from .boosting import Boosted
 
-                self.several = Boosted(self.numeric, self.categorical, "level", self.task, self.name, self.trees, seed=self.seed).fit(frame, target.removeprefix("__row."))
+                self.several = Boosted([*self.numeric, *self.complete], self.categorical, "level", self.task, self.name, self.trees, seed=self.seed).fit(frame, target.removeprefix("__row."))
                 self.classes = self.several.classes
                 return self
         else:

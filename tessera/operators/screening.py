@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..sources.checkpoints import cut
 from . import sampling, scores
 from .models import Trees
+from .neighbours import small
 from .profile import infer_task
 from .text_svd import TextSVD, TooFewGrams
 
@@ -32,21 +33,21 @@ def fold_scores(frame: DataFrame, target: str, id_col: str, numeric: Sequence[st
     data = data.cache()
     classes = [r[0] for r in data.select(F.col(target).cast("string").alias("c")).distinct().orderBy("c").collect()] if task == "classification" else None
 
-    def parts(fold: int) -> tuple[DataFrame, DataFrame]:
-        return data.where(F.col("_fold") != fold), data.where(F.col("_fold") == fold)
+    counts = cut(TextSVD().counts(data, id_col, text).join(small(data.select(F.col(id_col).alias("id"), "_fold")), "id")) if text else None
 
-    def with_text(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    def with_text(fold: int) -> tuple[DataFrame, list[str]]:
+        known = counts.where(F.col("_fold") != fold)
         try:
-            model = TextSVD(TEXT_COLUMNS).fit(train, id_col, text)
+            model = TextSVD(TEXT_COLUMNS).fit_counts(known, data.where(F.col("_fold") != fold).count())
         except TooFewGrams:
-            return train, test, []
-        (train, names), (test, _) = model.columns(train, id_col, text), model.columns(test, id_col, text)
-        return train, test, names
+            return data, []
+        made, names = model.columns(data, id_col, text, counts=counts)
+        return cut(made), names
 
-    def score(train: DataFrame, test: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> float:
-        if not numeric and not categorical:
+    def score(train: DataFrame, test: DataFrame, numeric: Sequence[str], categorical: Sequence[str], complete: Sequence[str] = ()) -> float:
+        if not numeric and not categorical and not complete:
             numeric, train, test = ["_one"], train.withColumn("_one", F.lit(1.0)), test.withColumn("_one", F.lit(1.0))
-        out = Trees(numeric, categorical, "forest" if task == "classification" else "boosted", task, trees=trees, depth=depth).fit(train, target).predict(test, "_p")
+        out = Trees(numeric, categorical, "forest" if task == "classification" else "boosted", task, trees=trees, depth=depth, complete=complete).fit(train, target).predict(test, "_p")
         if task == "regression":
             return out.agg(scores.mean_absolute_error(F.col(target), F.col("_p"))).first()[0]
         label = F.array_position(F.array(*map(F.lit, classes)), F.col(target).cast("string")) - 1
@@ -54,10 +55,10 @@ def fold_scores(frame: DataFrame, target: str, id_col: str, numeric: Sequence[st
 
     rows = []
     for i in range(folds):
-        train, test = parts(i)
-        without = score(train, test, numeric, categorical)
-        train, test, made = with_text(train, test) if text else (train, test, [])
-        rows.append((i, without, score(cut(train), cut(test), [*numeric, *extra_numeric, *made], [*categorical, *extra_categorical])))
+        split = lambda rows: (rows.where(F.col("_fold") != i), rows.where(F.col("_fold") == i))  # noqa: B023, E731
+        without = score(*split(data), numeric, categorical)
+        whole, made = with_text(i) if text else (data, [])
+        rows.append((i, without, score(*split(whole), [*numeric, *extra_numeric], [*categorical, *extra_categorical], made)))
     data.unpersist()
     return frame.sparkSession.createDataFrame(rows, "fold int, without double, with double")
 

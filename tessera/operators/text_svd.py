@@ -51,13 +51,23 @@ class TextSVD:
 
     def fit(self, frame: DataFrame, id_col: str, text: str) -> TextSVD:
         tables = Tables(frame.sparkSession)
-        counts = tables.cut(neighbours.gram_counts(frame, id_col, F.col(text), self.low, self.high))
+        counts = tables.cut(self.counts(frame, id_col, text))
+        self.fit_counts(counts, frame.count())
+        tables.drop(counts)
+        return self
+
+    def counts(self, frame: DataFrame, id_col: str, text: str) -> DataFrame:
+        """(id, gram, n): what fit_counts() and transform_counts() take. It depends on no other row, so folds can share it."""
+        return neighbours.gram_counts(frame, id_col, F.col(text), self.low, self.high)
+
+    def fit_counts(self, counts: DataFrame, n_rows: int) -> TextSVD:
+        tables = Tables(counts.sparkSession)
         # Bounded by max_features.
-        kept = neighbours.gram_weights(counts, frame.count(), self.min_df, self.max_features).select("gram", "idf").orderBy("gram").collect()
+        kept = neighbours.gram_weights(counts, n_rows, self.min_df, self.max_features).select("gram", "idf").orderBy("gram").collect()
         if not kept:
             raise TooFewGrams("no n-gram is frequent enough")
         self.grams = [(r["gram"], i, r["idf"]) for i, r in enumerate(kept)]
-        rows = tables.cut(self._rows(counts), counts)
+        rows = tables.cut(self._rows(counts))
         width = min(len(kept), self.components + self.oversample)
         q = np.linalg.qr(np.random.default_rng(self.seed).standard_normal((len(kept), width)))[0]
         for _ in range(self.passes):
@@ -97,7 +107,10 @@ class TextSVD:
 
     def transform(self, frame: DataFrame, id_col: str, text: str) -> DataFrame:
         """(id, x array<double>) of each row with a kept gram."""
-        rows, loadings = self._rows(neighbours.gram_counts(frame, id_col, F.col(text), self.low, self.high)), self.loadings
+        return self.transform_counts(self.counts(frame, id_col, text))
+
+    def transform_counts(self, counts: DataFrame) -> DataFrame:
+        rows, loadings = self._rows(counts), self.loadings
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -108,8 +121,8 @@ class TextSVD:
 
         return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, x array<double>")
 
-    def columns(self, frame: DataFrame, id_col: str, text: str, prefix: str = "_t") -> tuple[DataFrame, list[str]]:
+    def columns(self, frame: DataFrame, id_col: str, text: str, prefix: str = "_t", counts: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
         """The frame with a number column for each component, 0 where a row has no kept gram."""
         names = [f"{prefix}{i}" for i in range(self.loadings.shape[1])]
-        made = self.transform(frame, id_col, text).select(F.col("id").alias(id_col), *(F.col("x")[i].alias(c) for i, c in enumerate(names)))
+        made = self.transform_counts(self.counts(frame, id_col, text) if counts is None else counts).select(F.col("id").alias(id_col), *(F.col("x")[i].alias(c) for i, c in enumerate(names)))
         return frame.drop(*names).join(made, id_col, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in names}), names

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.errors import TesseraError
-from tessera.operators import neighbours, screening, text_svd
+from tessera.operators import neighbours, screening
 from tessera.operators.predictor import EvidenceRegressor
 from tessera.operators.profile import ColumnSpec
 from tessera.operators.text_index import TextIndex
@@ -106,13 +106,12 @@ def test_screen_fits_the_text_on_training_rows_only(spark, monkeypatch):
     seen = []
 
     class Watched(TextSVD):
-        def fit(self, frame, id_col, text):
-            seen.append({r[0] for r in frame.select(id_col).collect()})
-            return super().fit(frame, id_col, text)
+        def fit_counts(self, counts, n_rows):
+            seen.append({r[0] for r in counts.select("id").distinct().collect()})
+            return super().fit_counts(counts, n_rows)
 
     monkeypatch.setattr(screening, "TextSVD", Watched)
     frame = spark.range(90).select("id", F.when(F.col("id") % 3 == 0, "cheap rusty").otherwise("shiny rare").alias("text"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(9.0).alias("y"))
     row = screening.screen(frame, "y", "text", "id", folds=3).first()
     assert row["verdict"] == "worth_trying" and row["wins"] == 3 and row["score_with"] < 0.5 * row["score_without"]
     assert len(seen) == 3 and all(len(s) < 90 for s in seen) and set.union(*seen) == set(range(90)) and not set.intersection(*seen)
-    assert text_svd.MOST_TASKS > 0
