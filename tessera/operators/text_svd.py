@@ -23,14 +23,14 @@ HELD_ROWS, MOST_TASKS = 1024, 512
 
 
 def dense(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, dense rows) of slices of a batch with ``j`` and ``w``."""
+    """(first row, dense rows of length 1) of slices of a batch with ``j`` and ``w``, places and weights."""
     for a in range(0, batch.num_rows, HELD_ROWS):
         part = batch.slice(a, HELD_ROWS)
         j, w = part.column("j"), part.column("w")
         out = np.zeros((len(part), width))
         row = np.repeat(np.arange(len(part)), np.diff(j.offsets.to_numpy()))
         out[row, j.flatten().to_numpy()] = w.flatten().to_numpy()
-        yield a, out
+        yield a, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), np.finfo(float).tiny)
 
 
 class TooFewGrams(TesseraError):
@@ -82,11 +82,10 @@ class TextSVD:
         return self
 
     def _rows(self, counts: DataFrame) -> DataFrame:
-        """(id, j, w): places and normalised tf-idf of each row's kept grams."""
+        """(id, j, w): places and tf-idf of each row's kept grams."""
         places = counts.sparkSession.createDataFrame(self.grams, "gram string, j int, idf double")
         raw = counts.join(F.broadcast(places), "gram").groupBy("id").agg(F.collect_list(F.struct("j", (F.col("n") * F.col("idf")).alias("w"))).alias("x"))
-        norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v["w"] * v["w"]))
-        return raw.select("id", F.transform("x", lambda v: v["j"]).alias("j"), F.transform("x", lambda v: v["w"] / norm).alias("w"))
+        return raw.select("id", F.col("x.j").alias("j"), F.col("x.w").alias("w"))
 
     def _product(self, rows: DataFrame, q: np.ndarray) -> np.ndarray:
         """A'(A q), summed in the tasks and then by Spark."""
