@@ -8,7 +8,9 @@ pieces. Decoding joins the raw bytes of the ids. A text of at most one chunk is
 A boundary is used for a stitch only if the pre-token before it does not end in white space:
 white space is the only thing the pattern looks beyond a match for, so a piece that ends in
 another character has the same pre-tokens alone as inside its text. Where an overlap has no such
-place (one run of a single class, say), it is doubled until there is one or the text ends.
+place (one run of a single class, say), the pre-tokens of the text itself are followed from the last stitch to the
+first safe boundary beyond the chunk's start, and the chunks that lie within are passed over: each character is
+looked at a bounded number of times, whatever the text.
 
 Null texts encode as empty ones; an empty text has no ids. Ids are those of one tiktoken encoding
 of the whole text without special tokens; tests check that against every chunk size.
@@ -83,16 +85,17 @@ class Codec:
         found = [zones(i) for i in range(len(starts))]
         cuts, synced = [0], True  # synced: chunk i - 1 keeps the text's own boundaries from starts[i] on
         for i in range(1, len(starts)):
-            at, more = min(found[i - 1][1] & found[i][0], default=None) if synced else None, overlap
-            while at is None:
-                stop = min(len(text), starts[i] + more)
-                left = self.boundaries(text, cuts[-1], stop, max(starts[i], cuts[-1] + 1), stop)
-                at = min(left & self.boundaries(text, starts[i], stop, starts[i], stop), default=None)
-                if stop == len(text):
+            if starts[i] < cuts[-1]:  # inside of what the last stitch went past
+                synced = False
+                continue
+            at = min(found[i - 1][1] & found[i][0], default=None) if synced else None
+            if at is None:
+                low = max(starts[i], cuts[-1] + 1)
+                at = next((m.end() for m in self.pattern.finditer(text, cuts[-1]) if m.end() >= low and not text[m.end() - 1].isspace()), None)
+                if at is None:  # no safe place is left
                     break
-                more *= 2
-            synced = at is not None and (i + 1 == len(starts) or at <= starts[i + 1])
-            if at is not None and at > cuts[-1]:
+            synced = at in found[i][0]
+            if at > cuts[-1]:
                 cuts.append(at)
         return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True) if b > a]
 

@@ -92,6 +92,7 @@ def parse(page: str) -> list[Node]:
     """Nodes in page order, parents first; node 0 is the root."""
     nodes = [Node("html", -1)]
     stack, links, parts = [("html", 0)], 0, []  # open elements: tag, node (inline ones have their block's)
+    places: dict[str, list[int]] = {}  # where in the stack a tag is open; "" for all blocks
 
     def flush() -> None:
         nonlocal parts
@@ -107,18 +108,32 @@ def parse(page: str) -> list[Node]:
                 nodes.append(run)
             parts = []
 
+    def push(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            places.setdefault("", []).append(len(stack))
+        stack.append((tag, node))
+
+    def innermost(names) -> int:
+        return max((p[-1] for x in names if (p := places.get(x))), default=0)
+
     def shut(names, limits=()) -> None:
-        """Closes the innermost open element of these names and what is open inside it."""
+        """Closes the innermost open element of these names, unless one of the limits is open inside it, and what is open inside it.
+
+        Places are looked up, not searched for: a deep page takes no longer than a flat one.
+        """
         nonlocal links
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                if any(tag in BLOCKS for tag, _ in stack[i:]):
-                    flush()
-                links -= sum(tag == "a" for tag, _ in stack[i:])
-                del stack[i:]
-                return
-            if stack[i][0] in limits:
-                return
+        i = innermost(names)
+        if not i or innermost(limits) > i:
+            return
+        if any(tag in BLOCKS for tag, _ in stack[i:]):
+            flush()
+        while len(stack) > i:
+            tag, _ = stack.pop()
+            places[tag].pop()
+            if tag in BLOCKS:
+                places[""].pop()
+            links -= tag == "a"
 
     at = 0
     while True:
@@ -137,7 +152,7 @@ def parse(page: str) -> list[Node]:
             if tag == "br":
                 parts.append((" ", 0))
             else:
-                shut({tag}, {"body"} if tag in BLOCKS else BLOCKS)
+                shut({tag}, {"body"} if tag in BLOCKS else {""})
             continue
         nodes[stack[-1][1]].tags += 1
         if tag in RAW:
@@ -157,13 +172,13 @@ def parse(page: str) -> list[Node]:
             block = stack[-1][1]
             marks, hidden, label = attributes(m[3]) if m[3] else ((), False, -1)
             nodes[block].kids.append(len(nodes))
-            stack.append((tag, len(nodes)))
+            push(tag, len(nodes))
             nodes.append(Node(tag, block, marks, hidden, label))
         elif tag in VOID:
             parts.append((" ", 0) if tag == "br" else ("", 0))
         elif not m[3].endswith("/"):
             links += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
     flush()
     return nodes
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,3 +47,15 @@ def test_long_texts_of_the_data_are_stitched(spark):
     assert len(texts) > 20 and sum(len(p) > 1 for p in pieces) > 0.9 * len(texts)
     assert all("".join(p) == t for p, t in zip(pieces, texts, strict=True))
     assert all(c.encode(t) == c.encoding.encode_ordinary(t) for t in texts)
+
+
+def test_runs_of_one_class_take_linear_time():
+    c = bpe.codec(PATH, PATTERN)
+    for text in (" " * 10_000_000, "a" * 10_000_000, " " * 3_000_000 + "hello world " * 50_000):
+        start = time.monotonic()
+        assert "".join(c.pieces(text, bpe.CHUNK_CHARS, bpe.OVERLAP_CHARS)) == text
+        assert time.monotonic() - start < 10
+    rng = random.Random(4)
+    for _ in range(500):
+        text = "".join(rng.choice(["a", " ", "\n", "1", "中", "a" * 30, " " * 40, "hello"]) for _ in range(rng.randint(0, 60)))
+        assert c.encode(text, rng.randint(1, 40), rng.randint(0, 50)) == c.encoding.encode_ordinary(text)

@@ -1,4 +1,5 @@
 import re
+import time
 
 from tessera.llm import html_text as H
 
@@ -39,3 +40,11 @@ def test_rows(spark):
     want = "Title here\nFirst part, with words. It goes on for a while, as texts do.\nSecond part of the article, with more words."
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in out) == [(0, "", 0), (1, want, len(want)), (1, want, len(want)), (2, "", 0), (3, "", 0)]
     assert H.extract(rows.limit(0)).count() == 0
+
+
+def test_deep_pages_take_linear_time():
+    for page, n in (("<div>" * 100_000, 100_001), ("<p><button>" + "<div>" * 100_000, 100_003), ("<b>" * 100_000 + "</i>" * 100_000, 1)):
+        start = time.monotonic()
+        nodes = H.parse(page)
+        assert len(nodes) == n and len(H.features(nodes)) == n
+        assert time.monotonic() - start < 10
