@@ -169,6 +169,8 @@ class EvidenceEstimator:
     def examples(self, frame: DataFrame) -> DataFrame:
         """(id, train_id, similarity, rank, label) of similar known cases."""
         neighbours.require_features(self.spec.text, self.spec.numeric)
+        if self.spec.text and self.spec.numeric and self.train.limit(neighbours.BROADCAST_ROWS + 1).count() <= neighbours.BROADCAST_ROWS:
+            return self._few_examples(frame)
         if self.spec.numeric and self.index is None:
             self.index = NeighbourIndex(self.id_col, self.spec.numeric, weight=self.weight).fit(self.train)
         if self.spec.text and self.texts is None:
@@ -191,6 +193,15 @@ class EvidenceEstimator:
             found = nearest_together(rows, self.id_col, self.train.count(), self.n_examples, lambda x, m: self.texts.nearest(vectors(x), m), self.index.nearest, scores)
         return found.join(self.train.select(F.col(self.id_col).alias("train_id"), F.col(self.target).alias("label")), "train_id")
 
+    def _few_examples(self, frame: DataFrame) -> DataFrame:
+        """examples() by text and numbers where the training rows are counted few: each row streams past all of them."""
+        pairs = neighbours.numeric_pairs(frame, self.train, self.id_col, self.spec.numeric, self.weight)
+        counts = neighbours.gram_counts(self.train, self.id_col, F.col(self.spec.text))
+        weights = neighbours.gram_weights(counts, self.train.count())
+        text = neighbours.sparse_pairs(neighbours.sparse_vectors(neighbours.gram_counts(frame, self.id_col, F.col(self.spec.text)), weights), neighbours.sparse_vectors(counts, weights))
+        pairs = pairs.join(text.withColumnRenamed("similarity", "cosine"), ["id", "train_id"], "left").select("id", "train_id", (F.col("similarity") + F.coalesce("cosine", F.lit(0.0))).alias("similarity"))
+        return neighbours.nearest(pairs, self.n_examples).join(self.train.select(F.col(self.id_col).alias("train_id"), F.col(self.target).alias("label")), "train_id")
+
     def _signal(self, evidence: DataFrame) -> DataFrame:
         """The frame with ``__signal``."""
         voices = [F.col(f"evidence_{m.name}") for m in self.models_ if m.in_disagreement]

@@ -25,6 +25,8 @@ from . import neighbours
 
 #: Rows of a list's excerpt, and lists that a query looks into for its first partners.
 EXCERPT, FIRST_LISTS = 32, 32
+#: Partners that a search by two similarities asks each of its own for at first, at least.
+FIRST_PARTNERS = 64
 
 
 class TextIndex:
@@ -46,6 +48,7 @@ class TextIndex:
         order = Window.partitionBy("gram").orderBy(F.desc("v"), "train_id")
         self.excerpts = self.tables.cut(self.vectors.withColumn("n", F.row_number().over(order)).where(F.col("n") <= EXCERPT).drop("n"))
         self.norm = self.vectors.groupBy("train_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0.0))).first()[0]
+        self.size = self.vectors.select("train_id").distinct().count()
         if self.lists.where("low < 0").head(1):
             raise TesseraError("a text index takes no weights below 0")
         #: Rows of lists that the last search joined, and those that all its grams have.
@@ -65,6 +68,10 @@ class TextIndex:
         q = tables.cut(known.join(self.lists, "gram").select("id", "gram", "w", "df", "top"))
         if q.where("w < 0").head(1):
             raise TesseraError("a text index takes no weights below 0")
+        if self.size <= k:  # every reference is wanted, so there is nothing to skip
+            out = tables.cut(neighbours.nearest(self.similarities(q.join(self.vectors, "gram").select("id", "train_id").distinct(), q), k))
+            tables.drop(q)
+            return out
         first = q.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("df", F.desc("w"), "gram"))).where(F.col("n") <= FIRST_LISTS)
         met = first.join(self.excerpts, "gram").groupBy("id", "train_id").agg(F.sum(F.col("w") * F.col("v")).alias("similarity"))
         begun = self.similarities(tables.cut(neighbours.nearest(met, k)), q)
@@ -93,7 +100,7 @@ def nearest_together(queries: DataFrame, id_col: str, n_references: int, k: int,
     no nearer than the last ones of both together; queries whose k-th sum does not exceed that ask for four times as many. A query that shares
     grams with fewer than m rows has text similarity 0 for all others.
     """
-    tables, m, settled = Tables(queries.sparkSession), 4 * k, []
+    tables, m, settled = Tables(queries.sparkSession), max(4 * k, FIRST_PARTNERS), []
     while True:
         a, b = tables.cut(text(queries, m)), tables.cut(numbers(queries, m))
         both = tables.cut(scores(a.select("id", "train_id").unionByName(b.select("id", "train_id")).distinct()))

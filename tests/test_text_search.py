@@ -60,7 +60,8 @@ def test_text_search_edges(spark):
         TextIndex().fit(v.withColumn("w", -F.col("w")))
 
 
-def test_cases_by_text_and_numbers_equal_all_pairs(spark):
+def test_cases_by_text_and_numbers_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BROADCAST_ROWS", 0)
     frame = texts(spark, 240, 3).withColumn("y", F.col("x") * 2)
     train, test = frame.where("id >= 12"), frame.where("id < 12")
     model = EvidenceRegressor("y", "id", spec=ColumnSpec(numeric=["x"], text="text"), models=[], n_examples=3, check_leakage=False, neighbour_weight=2.0).fit(train)
