@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..errors import TesseraError
 from ..sources.clients import Client
-from . import leakage, profile, routing, screening
+from . import advice, contracts, leakage, profile, routing, screening
+from .key_lookup import column_name
+from .predictor import Domain
 from .profile import ColumnProfile, ColumnSpec
 
 # Dollars up to which every row is sent, and the share sent otherwise.
@@ -61,21 +63,36 @@ class Recommendation:
     reasons: list[str] = field(default_factory=list)
     source: str = "rules"
     diagnosis: Diagnosis | None = None
+    unit: str = ""
+    domain: Domain | None = None
+    typed_columns: list[dict] = field(default_factory=list)
+    knowledge_columns: list[dict] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
 
     def to_code(self) -> str:
         """A script that carries the recommendation out."""
         name = "EvidenceRegressor" if self.task == "regression" else "EvidenceClassifier"
-        lines = ["from pyspark.sql import functions as F", f"from tessera.operators.predictor import {name}", "from tessera.operators.profile import ColumnSpec, clip_and_log", "from tessera.operators.leakage import first_of_each", "", f"frame = first_of_each(frame, {self.id_col!r}, ignore={self.dedup_ignore!r})"]
+        lines = ["from pyspark.sql import functions as F", f"from tessera.operators.predictor import Domain, {name}", "from tessera.operators.profile import ColumnSpec, clip_and_log", "from tessera.operators.leakage import first_of_each", *(["from tessera.operators.key_lookup import KeyLookup"] if self.knowledge_columns else []), "", f"frame = first_of_each(frame, {self.id_col!r}, ignore={self.dedup_ignore!r})"]
         target = self.target
         if self.clip_outliers or self.target_transform == "log1p":
             lines.append(f"frame = clip_and_log(frame, {self.target!r})")
             target = "log_target" if self.target_transform == "log1p" else self.target
-        s = self.spec
-        lines += [f"spec = ColumnSpec(numeric={list(s.numeric)!r}, boolean={list(s.boolean)!r}, categorical={list(s.categorical)!r}, text={s.text!r}, long_text={s.long_text!r})", f"model = {name}({target!r}, {self.id_col!r}, spec=spec, escalate_rate={self.escalate_rate!r}).fit(frame.where({self.id_col!r} + ' % 5 <> 0'))", f"result = model.predict(frame.where({self.id_col!r} + ' % 5 = 0'))"]
+        s, numeric, categorical = self.spec, list(self.spec.numeric), list(self.spec.categorical)
+        for k in self.knowledge_columns:
+            # Needs a client, which the script's user passes in.
+            column = k["name"] or column_name(k["attribute"])
+            lines.append(f"frame = KeyLookup({k['keys']!r}, {k['attribute']!r}, {k['type']!r}, values={k['values']!r}, unit={k['unit']!r}, client=client, name={column!r}).fit(frame).transform(frame)")
+            (numeric if k["type"] == "numeric" else categorical).append(column)
+        for c in self.typed_columns:
+            lines.append(f"# Worth typing: {c['name']} out of {c['source']} ({c['type']}: {', '.join(c['values'])}), see tessera.operators.typed_column")
+        more = f", unit={self.unit!r}" if self.unit else ""
+        if self.domain:
+            more += f", domain=Domain({', '.join(f'{k}={v!r}' for k, v in asdict(self.domain).items())})"
+        lines += [f"spec = ColumnSpec(numeric={numeric!r}, boolean={list(s.boolean)!r}, categorical={categorical!r}, text={s.text!r}, long_text={s.long_text!r})", f"model = {name}({target!r}, {self.id_col!r}, spec=spec, escalate_rate={self.escalate_rate!r}{more}).fit(frame.where({self.id_col!r} + ' % 5 <> 0'))", f"result = model.predict(frame.where({self.id_col!r} + ' % 5 = 0'))"]
         return "\n".join(lines)
 
     def __str__(self) -> str:
-        return "\n".join([f"{self.task} of {self.target}: send {self.escalate_rate:.0%} of the rows", *(f"- {r}" for r in self.reasons)])
+        return "\n".join([f"{self.task} of {self.target}: send {self.escalate_rate:.0%} of the rows", *(f"- {r}" for r in self.reasons), *(f"! {w}" for w in self.warnings)])
 
 
 def run_diagnosis(frame: DataFrame, target: str, id_col: str, task: str | None = None, screen_text: bool = True, folds: int = 3, sample: int = 20_000) -> Diagnosis:
@@ -116,30 +133,51 @@ def recommend(found: Diagnosis, target: str, id_col: str) -> Recommendation:
     else:
         rate, why = 0.0, "no text column was found to carry signal"
     about = found.target if found.task == "regression" else {}
-    return Recommendation(found.task, target, id_col, spec, "log1p" if about.get("log_suggested") else None, bool(about.get("clip_suggested")), [c.name for c in found.columns if c.kind in ("id", "datetime", "constant")], rate, [why], "rules", found)
+    return Recommendation(found.task, target, id_col, spec, "log1p" if about.get("log_suggested") else None, bool(about.get("clip_suggested")), [c.name for c in found.columns if c.kind in ("id", "datetime", "constant")], rate, [why], "rules", found, warnings=list(found.warnings))
+
+
+def question(rule: Recommendation) -> dict:
+    """What an answerer is shown: the profile and the rules' draft, no row of the table."""
+    found = rule.diagnosis
+    draft = {"task": rule.task, **asdict(rule.spec), "target_transform": rule.target_transform or "none", "clip_outliers": rule.clip_outliers, "dedup_ignore": rule.dedup_ignore, "escalate_rate": rule.escalate_rate}
+    names = [c.name for c in found.columns if c.name not in (rule.target, rule.id_col)]
+    return {"kind": "diagnose", "table": str(found), "profile": found.as_dict(), "target": rule.target, "columns": names, "draft": draft, "schema": contracts.advised(names)}
 
 
 def refined(rule: Recommendation, client: Client) -> Recommendation:
-    """Asks the client for a column assignment; what does not fit the profile is dropped, and a failed call changes nothing."""
+    """Asks the client to mend the rules' draft; what does not fit the profile is dropped with a warning, and a failed call changes nothing."""
     try:
-        answer = client.ask({"kind": "diagnose", "table": str(rule.diagnosis), "target": rule.target, "columns": rule.spec.all_columns()})
+        answer = client.ask(json.loads(json.dumps(question(rule), default=str)))
+        if not isinstance(answer, Mapping):
+            raise TypeError("no object")
     except Exception:  # an answerer's failure leaves the rules' answer
         return replace(rule, reasons=[*rule.reasons, "the external answerer failed"])
-    known, seen, slots = {c.name: c.kind for c in rule.diagnosis.columns if c.name not in (rule.target, rule.id_col)}, set(), {}
-
-    def take(names: Sequence[str], kinds: set[str]) -> list[str]:
-        out = [n for n in dict.fromkeys(names or ()) if n in known and n not in seen and known[n] in kinds]
-        seen.update(out)
-        return out
-
-    slots["numeric"], slots["boolean"] = take(answer.get("numeric"), {"numeric", "boolean"}), take(answer.get("boolean"), {"boolean"})
-    texts, longs = take([answer.get("text")], {"text", "categorical"}), take([answer.get("long_text")], {"text", "long_text"})
-    slots["categorical"] = take(answer.get("categorical"), {"categorical", "text", "boolean", "numeric"})
-    spec = ColumnSpec(slots["numeric"], slots["boolean"], slots["categorical"], texts[0] if texts else None, longs[0] if longs else None)
+    found, notes = rule.diagnosis, []
+    kinds = {c.name: c.kind for c in found.columns if c.name not in (rule.target, rule.id_col)}
+    spec = advice.slots(answer, kinds, notes)
     if not spec.all_columns():
         return rule
-    rate = answer.get("escalate_rate")
-    return replace(rule, spec=spec, escalate_rate=rate if isinstance(rate, (int, float)) and 0 <= rate <= 1 else rule.escalate_rate, reasons=[*rule.reasons, *map(str, answer.get("reasons", []))], source="llm")
+    task = answer.get("task") if answer.get("task") in ("regression", "classification") else rule.task
+    told = advice.reasons(answer.get("reasons"))
+    if not told:
+        notes.append("the answerer gave no reasons: hold its advice against the profile")
+    numbers = task == "regression"
+    return replace(
+        rule,
+        task=task,
+        spec=spec,
+        unit=advice.words_of(answer.get("unit")) or rule.unit,
+        domain=advice.domain(answer, rule.target, [] if numbers else list(found.target)),
+        target_transform=("log1p" if answer["target_transform"] == "log1p" else None) if numbers and "target_transform" in answer else rule.target_transform if numbers else None,
+        clip_outliers=numbers and bool(answer.get("clip_outliers", rule.clip_outliers)),
+        dedup_ignore=advice.columns(answer["dedup_ignore"], kinds | {rule.id_col: "id"}, "dedup_ignore", notes) if isinstance(answer.get("dedup_ignore"), list) else rule.dedup_ignore,
+        typed_columns=advice.typed_columns(answer.get("typed_columns"), kinds, notes),
+        knowledge_columns=advice.knowledge_columns(answer.get("knowledge_columns"), kinds, notes),
+        escalate_rate=advice.share(answer.get("escalate_rate"), rule.escalate_rate),
+        warnings=[*rule.warnings, *map(str, advice.listed(answer.get("warnings"))), *notes],
+        reasons=[*rule.reasons, *told],
+        source="llm",
+    )
 
 
 def diagnose(frame: DataFrame, target: str, id_col: str, task: str | None = None, llm: bool | str = "auto", client: Client | None = None, screen_text: bool = True, folds: int = 3, sample: int = 20_000) -> Recommendation:

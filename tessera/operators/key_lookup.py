@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -11,8 +12,8 @@ from ..errors import TesseraError
 from ..functions import text as X
 from ..sources import caches
 from ..sources.checkpoints import cut
-from ..sources.clients import Client, kept_answers
-from . import lookup, screening
+from ..sources.clients import MOST_OPTIONS, Client, chosen, kept_answers
+from . import contracts, lookup, screening
 
 ANSWERS = "key string, value string, confidence double, source string, reason string, cost double"
 
@@ -30,6 +31,8 @@ class KeyLookup:
         self.keys, self.attribute, self.kind, self.unit, self.low, self.high = list(keys), attribute, kind, unit, low, high
         self.values = list(values) if kind != "binary" else list(values) or ["yes", "no"]
         self.client, self.tier, self.min_count, self.batch_size, self.check_against = client, tier, min_count, batch_size, check_against
+        if tier is not None and self.values and len(self.options()) > MOST_OPTIONS:
+            raise TesseraError(f"a choice has {MOST_OPTIONS} options at most, one of which is not to know")
         self.threshold = lookup.LEAST_CONFIDENCE[kind] if threshold is None else threshold
         self.name = name or column_name(attribute)
         self.fingerprint = caches.question_fingerprint({"attribute": attribute, "type": kind, "values": self.values, "unit": unit, "range": [low, high], "keys": self.keys})
@@ -46,33 +49,50 @@ class KeyLookup:
         n = lookup.to_ask(self.counts, self.answers).count()
         return {"n_keys": self.counts.count(), "n_to_ask": n, "cost_usd": n * (self.client.cost_per_call if self.client else 0.0)}
 
-    def _ask(self, keys: DataFrame, client: Client, source: str) -> DataFrame:
+    def _ask(self, keys: DataFrame, client: Client) -> DataFrame:
         """A batch of keys is one request; each key's answer is checked and takes its share of the cost."""
-        question = F.struct(F.lit(self.attribute).alias("attribute"), F.lit(self.kind).alias("type"), F.array(*map(F.lit, self.values)).cast("array<string>").alias("values"), F.lit(self.unit).alias("unit"), F.col("keys"))
+        question = F.struct(F.lit(self.attribute).alias("attribute"), F.lit(self.kind).alias("type"), F.array(*map(F.lit, self.values)).cast("array<string>").alias("values"), F.lit(self.unit).alias("unit"), F.lit(json.dumps(contracts.looked_up(self.kind))).alias("schema"), F.col("keys"))
         sets = lookup.batches(keys, self.batch_size)
         got = kept_answers(sets.select(F.col("batch").alias("key"), F.to_json(question).alias("request")), client).withColumnRenamed("key", "batch")
-        rows = sets.join(got, "batch").withColumn("cost", F.col("cost") / F.size("keys")).select("batch", "cost", "error", F.explode("keys").alias("key"), F.from_json("answer", "answers array<struct<key: string, value: string, confidence: double, reason: string>>")["answers"].alias("a"))
+        rows = sets.join(got, "batch").withColumn("cost", F.col("cost") / F.size("keys")).select("batch", "cost", "error", F.explode("keys").alias("key"), F.from_json("answer", "answers array<struct<key: string, known: boolean, value: string, confidence: double, reason: string>>")["answers"].alias("a"))
         mine = F.get(F.filter("a", lambda x: X.normalised(x["key"]) == F.col("key")), F.lit(0))
         rows = rows.withColumn("m", mine)
-        unknown = X.normalised(F.col("m.value")) == "unknown"
+        unknown = (X.normalised(F.col("m.value")) == "unknown") | ~F.coalesce("m.known", F.lit(True))
         value = lookup.validated(F.col("m.value"), "numeric" if self.kind == "numeric" else "category", self.values, self.low, self.high)
-        state = F.when(F.col("error").isNotNull(), "error").when(unknown, "unknown").when(value.isNull(), "rejected").otherwise(source)
-        return rows.select("key", value.alias("value"), F.greatest(F.least(F.coalesce("m.confidence", F.lit(0.0)), F.lit(1.0)), F.lit(0.0)).alias("confidence"), state.alias("source"), F.coalesce("m.reason", "error").alias("reason"), "cost")
+        state = F.when(F.col("error").isNotNull(), "error").when(unknown, "unknown").when(value.isNull(), "rejected").otherwise("llm")
+        return rows.select("key", F.when(~unknown, value).alias("value"), F.greatest(F.least(F.coalesce("m.confidence", F.lit(0.0)), F.lit(1.0)), F.lit(0.0)).alias("confidence"), state.alias("source"), F.coalesce("m.reason", "error").alias("reason"), "cost")
+
+    def options(self) -> list[str]:
+        """What the tier chooses from: the values, then not to know."""
+        return [*dict.fromkeys(self.values), "(unknown)" if "unknown" in self.values else "unknown"]
+
+    def _choose(self, keys: DataFrame) -> DataFrame:
+        """The tier's choice for each key, one request a key, which tells the key's parts by column. Only for closed sets."""
+        *known, unknown = self.options()
+        state = F.to_json(X.split_key(F.col("key"), self.keys))
+        asked = f"What is the {self.attribute} of what these columns name? Choose {unknown} if that is not common knowledge or the columns do not settle it."
+        request = F.struct(F.lit("choice").alias("kind"), state.alias("state"), F.lit(asked).alias("question"), F.array(*map(F.lit, [*known, unknown])).alias("options"), F.create_map(F.lit(unknown), F.lit("not common knowledge, or not settled by the key")).alias("descriptions"))
+        got = kept_answers(keys.select("key", F.to_json(request).alias("request")), self.tier).withColumn("m", chosen(F.col("answer"), [*known, unknown]))
+        value = F.when(F.col("m.value") != unknown, F.col("m.value"))
+        state = F.when(F.col("error").isNotNull(), "error").when(F.col("m.value") == unknown, "unknown").when(value.isNull(), "rejected").otherwise("jev")
+        sure = F.coalesce("m.probability", "m.confidence")
+        reason = F.when(value.isNotNull(), F.concat(F.lit("chosen with probability "), F.format_number(sure, 2))).otherwise(F.col("error"))
+        return got.select("key", value.alias("value"), F.coalesce("m.confidence", F.lit(0.0)).alias("confidence"), state.alias("source"), reason.alias("reason"), "cost")
 
     def transform(self, frame: DataFrame) -> DataFrame:
         """The frame with the new column, and <name>_confidence, _source, _cost and _reason."""
         new = lookup.to_ask(self.counts, self.answers)
         got = None
-        if self.tier is not None:
-            first = self._ask(new, self.tier, "jev")
+        if self.tier is not None and self.values:
+            first = self._choose(new)
             got = first if self.client is None else first.where((F.col("source") == "jev") & (F.col("confidence") >= self.threshold))
             left = new.join(got.select("key"), "key", "left_anti")
             spent = first.select("key", F.col("cost").alias("_spent"))
             if self.client is not None:
-                rest = self._ask(left, self.client, "llm").join(spent, "key", "left").withColumn("cost", F.col("cost") + F.coalesce("_spent", F.lit(0.0))).drop("_spent")
+                rest = self._ask(left, self.client).join(spent, "key", "left").withColumn("cost", F.col("cost") + F.coalesce("_spent", F.lit(0.0))).drop("_spent")
                 got = got.unionByName(rest)
         elif self.client is not None:
-            got = self._ask(new, self.client, "llm")
+            got = self._ask(new, self.client)
         if got is not None:
             if self.path:
                 caches.save_answers(got, self.path)
@@ -109,7 +129,7 @@ class AutoLookup:
 
     def fit(self, frame: DataFrame) -> AutoLookup:
         usable = [c for c in frame.columns if c not in (self.target, self.id_col)]
-        said = self.client.ask({"kind": "propose", "target": self.target, "columns": usable, "max_columns": self.max_columns})
+        said = self.client.ask({"kind": "propose", "target": self.target, "columns": usable, "max_columns": self.max_columns, "schema": contracts.proposed(usable, self.max_columns)})
         self.proposals_ = proposals(said, usable, self.max_columns, frame.columns)
         self.lookups_ = [KeyLookup(p["keys"], p["attribute"], p["kind"], p["values"], p["unit"], p["low"], p["high"], client=self.client, name=p["name"], **self.options).fit(frame) for p in self.proposals_]
         self.train, self.scores_ = frame, None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from ..errors import TesseraError
 from ..functions import text as X
 from ..sources.checkpoints import cut
 from ..sources.clients import Client, charged, kept_answers, keyed
-from . import neighbours, routing
+from . import contracts, neighbours, routing
 from .lookup import status
 from .sampling import half_even
 from .text_index import TextIndex
@@ -76,7 +77,7 @@ def tier_stage(client: Client, candidates: Sequence[str], question: str = "", th
 def _asked(rows: DataFrame, client: Client, candidates: Sequence[str], question: str, field: str, cache: str | None) -> DataFrame:
     options = list(dict.fromkeys(candidates))
     text = F.col("text") if "text" in rows.columns else F.col("value")
-    request = F.to_json(F.struct(F.lit("choice").alias("kind"), text.alias("state"), F.lit(question).alias("question"), F.array(*map(F.lit, options)).alias("options")))
+    request = F.to_json(F.struct(F.lit("choice").alias("kind"), text.alias("state"), F.lit(question).alias("question"), F.array(*map(F.lit, options)).alias("options"), *([F.lit(json.dumps(contracts.settled(options))).alias("schema")] if field == "value" else [])))
     requests = cut(keyed(rows.select("id", request.alias("request")), client))
     said = F.from_json("answer", f"{field} string, confidence double")
     got = kept_answers(requests, client, cache).select("key", F.when(said[field].isin(options), said[field]).alias("value"), said["confidence"].alias("confidence"), "cost")

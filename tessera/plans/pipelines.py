@@ -1,5 +1,7 @@
 """Queries of the estimators: typed column, key lookup, evidence prediction, screening, diagnosis."""
 
+import hashlib
+import json
 import re
 
 from pyspark.sql import functions as F
@@ -216,3 +218,37 @@ def k2(t: Tables):
     ]}
     auto = AutoLookup("p_retailprice", "p_partkey", FunctionClient(lambda r: said)).fit(t("part"))
     return t.spark.createDataFrame([(p["name"], p["kind"], ",".join(p["keys"])) for p in auto.proposals_], "name string, kind string, keys string")
+
+
+@query("k6_tier_per_key", """
+WITH k AS (SELECT p_partkey, p_size % 3 AS a, p_size % 4 AS b, count(*) OVER (PARTITION BY p_brand, p_size) AS n FROM part)
+SELECT p_partkey, CASE WHEN a = 0 THEN 'small' WHEN b <> 0 THEN 'large' END AS size_class, CASE WHEN a = 0 THEN 'jev' WHEN b <> 0 THEN 'llm' ELSE 'unknown' END AS source, round(CASE WHEN a = 0 THEN 0.25 ELSE 0.75 END / n, 6)::DOUBLE AS cost FROM k""")
+def k6_tier(t: Tables):
+    """The tier settles a third of the keys, does not know a third and is unsure of the rest; what it cost goes on to the answers."""
+
+    def choose(request):
+        by_size = [("small", 0.9), (request["options"][-1], 0.95), ("large", 0.5)]
+        choice, confidence = by_size[int(json.loads(request["state"])["p_size"]) % 3]
+        return {"choice": choice, "confidence": confidence}
+
+    def answer(request):
+        return {"answers": [{"key": k, "known": int(k.rsplit(" | ", 1)[1]) % 4 != 0, "value": "large", "confidence": 0.8} for k in request["keys"]]}
+
+    lookup = KeyLookup(["p_brand", "p_size"], "size class", values=["small", "large"], tier=FunctionClient(choose, "tier", 0.25), client=FunctionClient(answer, "llm", 0.5), batch_size=1)
+    return lookup.fit(t("part")).transform(t("part")).select("p_partkey", "size_class", F.col("size_class_source").alias("source"), F.round("size_class_cost", 6).alias("cost"))
+
+
+@query("k9_scored_columns", "SELECT p_partkey, CAST(p_size * p_size AS DOUBLE) AS square, 'square' AS added FROM part")
+def k9(t: Tables):
+    """Of two proposed columns the one that makes the folds' errors smaller is added."""
+
+    def answer(request):
+        if request.get("kind") == "propose":
+            return {"columns": [{"attribute": "square", "kind": "numeric", "keys": ["p_size"]}, {"attribute": "noise", "kind": "numeric", "keys": ["p_name"]}]}
+        value = (lambda k: int(k) ** 2) if request["attribute"] == "square" else (lambda k: int(hashlib.md5(k.encode()).hexdigest()[:4], 16))
+        return {"answers": [{"key": k, "known": True, "value": str(value(k)), "confidence": 0.9} for k in request["keys"]]}
+
+    rows = t("part").select("p_partkey", "p_name", "p_size", (F.col("p_size") * F.col("p_size") + F.col("p_partkey") % 3).cast("double").alias("price"))
+    out = AutoLookup("price", "p_partkey", FunctionClient(answer), folds=2, scored=True).fit(rows).transform(rows)
+    added = ",".join(c for c in ("square", "noise") if c in out.columns)
+    return out.select("p_partkey", "square", F.lit(added).alias("added"))

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .answers import AnswerCache
@@ -136,6 +136,30 @@ def yes_no(state: str, question: str) -> dict:
     return {"kind": "yes_no", "state": state, "question": question}
 
 
+def chosen(answer: Column, options: Sequence[str]) -> Column:
+    """struct(value, confidence, probability) of an answer to choice(): the value is null unless it is one of the options;
+    a confidence that is missing or no number is 0."""
+    said = F.from_json(answer, "choice string, confidence double, probabilities map<string,double>")
+    value = F.when(said["choice"].isin(list(options)), said["choice"])
+    return F.struct(value.alias("value"), _sure(said["confidence"]).alias("confidence"), F.try_element_at(said["probabilities"], said["choice"]).alias("probability"))
+
+
+def rated(answer: Column, low: float, high: float) -> Column:
+    """struct(value, confidence) of an answer to score(); a value out of the range is null."""
+    said = F.from_json(answer, "score double, confidence double")
+    return F.struct(F.when(said["score"].between(low, high), said["score"]).alias("value"), _sure(said["confidence"]).alias("confidence"))
+
+
+def affirmed(answer: Column) -> Column:
+    """struct(value, confidence) of an answer to yes_no()."""
+    said = F.from_json(answer, "answer boolean, confidence double")
+    return F.struct(said["answer"].alias("value"), _sure(said["confidence"]).alias("confidence"))
+
+
+def _sure(confidence: Column) -> Column:
+    return F.greatest(F.least(F.coalesce(F.nanvl(confidence, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+
+
 def answered(requests: DataFrame, client: Client, cache: DataFrame | None = None) -> DataFrame:
     """(key, answer, cost, error, from_cache) of requests (key, request): cached ones first, each other key asked once."""
     distinct = requests.dropDuplicates(["key"])
