@@ -18,9 +18,12 @@ same one wherever it stands, whatever its separators:
   Feistel network over the halves of the string, whose rounds shift each letter or digit within its
   own class.
 
-A run of digits or an IBAN that took in the next number or word is cut at its gaps until a part is valid. Local parts of
-addresses are of 64 characters at most, domains (which stay as they are) of 31 labels, so that no text takes more
-than linear time or a deep stack.
+Numbers often stand side by side. In a run of digits, single spaces and dashes that is not a card number as a whole, every
+part that is printed as cards are and valid is one, from left to right (16 digits before 19); dates, SSNs and telephone
+numbers between them follow their own rules. An IBAN that took in the next number or word is cut at its gaps until a part
+is valid. Local parts of addresses are of 64 characters at most, domains (which stay as they are) of 31 labels, values of
+secrets of 8 at least, so that no text takes more than linear time or a deep stack. A run of over 400 characters ends with
+its last digit, gap or dash: a dotted number or an address that begins there is not seen.
 
 Round values come from sha2(key, domain, round, other half). Null texts stay null. Text outside of what
 is found is unchanged, as are numbers that fail their check (and dates of years outside 370 to 9969).
@@ -32,17 +35,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+#: Names that hold in passing; a user's column of such a name would be lost, so none is likely.
+FOUND_COL, NEW_COL = "__tessera_pii_found", "__tessera_pii_new"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,30}[A-Za-z]{2,63}"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
-CARD = r"\d(?:[ -]?\d){12,40}"
-#: How card numbers are printed; needed where a run of digits has other numbers beside the card.
-CARD_GROUPS = r"\d{4}([ -]\d{4}){3}([ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19}"
+#: A run in which card numbers may be; the second form is for long ones.
+CARD = r"\d(?:[ -]?\d){12,400}"
+LONG_RUN = r"\d[\d -]{400,}+"
+#: How card numbers are printed where other numbers stand beside them: a mark, groups and their form.
+PRINTED = (("A", 1, r"\d{13,19}"), ("D", 4, r"\d{4}(?:[ -]\d{4}){3}"), ("E", 5, r"\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}"), ("C", 3, r"\d{4}[ -]\d{6}[ -]\d{4,5}"))
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}"
 SECRET = r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?i:password|passwd|pwd|secret|token|api_key|apikey)\s*[=:]\s*[\"']?[A-Za-z0-9_+/.~-]{7,}[A-Za-z0-9_+/=~-][\"']?"
-FOUND = rf"{EMAIL}|(?<![A-Za-z0-9_])(?:{SECRET}|{IBAN}|{DATE}|{SSN}|{IPV4}|{CARD}|{PHONE})(?![A-Za-z0-9_]|[.-]\d)"
+FOUND = rf"{EMAIL}|(?<![A-Za-z0-9_]){LONG_RUN}|(?<![A-Za-z0-9_])(?:{SECRET}|{IBAN}|{DATE}|{SSN}|{IPV4}|{CARD}|{PHONE})(?![A-Za-z0-9_]|[.-]\d)"
+#: Parts of a run whose groups bear the marks of cards that begin there.
+MARKED = "|".join(rf"{mark}\d+(?:[ -][A-E]?\d+){{{n - 1}}}" for mark, n, _ in PRINTED)
+BESIDE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{3}-\d{2}-[A-E]?\d{4}|\d{3}-\d{3}-[A-E]?\d{4})(?!\d|-[A-E]?\d)"
 DAYS = 146_097
 QUICK = r"[0-9@]|(?i:password|passwd|pwd|secret|token|api_?key)"
 
@@ -122,47 +132,64 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
-def first_valid(m: Column, gap: str, heads: int, tails: int, valid) -> Column:
-    """struct(head, own, tail): the first valid part of ``m``, which is cut at ``gap``; own is null if there is none.
+def first_valid(m: Column, gap: str, tails: int, valid) -> Column:
+    """struct(own, tail): the longest valid start of ``m``, cut at ``gap`` with up to ``tails`` groups after it, or null."""
+    parts = []
+    for z in range(tails + 1):
+        pattern = rf"^(.*?)((?:{gap}[^ -]+){{{z}}})$"
+        parts.append(F.struct(*(F.regexp_extract(m, pattern, i).alias(n) for i, n in ((1, "own"), (2, "tail")))))
+    return F.get(F.filter(F.array(*parts), lambda x: (F.length(x["own"]) > 0) & valid(x["own"])), F.lit(0))
+
+
+def masked_card(m: Column, key: Column) -> Column:
+    d = digits_of(m)
+    payload = permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
+    return F.when(is_card(m), into(m, F.concat(payload, luhn_digit(payload)))).otherwise(m)
+
 
-    The whole of ``m`` comes first, then what is left without up to ``heads`` groups before it and ``tails`` after it.
+def is_card(m: Column) -> Column:
+    return F.length(digits_of(m)).between(13, 19) & m.rlike(f"^(?:{CARD})$") & call("luhn_check", digits_of(m))
+
+
+def numbers(run: Column) -> Column:
+    """A run cut into the numbers in it and what stands between them, as an array.
+
+    Each group at which a valid card begins gets a mark, and a scan of the marked run takes the leftmost ones that do not
+    overlap, and the other numbers between them.
     """
-    group = rf"[^ -]+{gap}"
-    cuts = sorted(((a, z) for a in range(heads + 1) for z in range(tails + 1)), key=lambda x: (sum(x), x))
-    parts = []
-    for a, z in cuts:
-        pattern = rf"^((?:{group}){{{a}}})(.*?)((?:{gap}[^ -]+){{{z}}})$"
-        parts.append(F.struct(*(F.regexp_extract(m, pattern, i).alias(n) for i, n in ((1, "head"), (2, "own"), (3, "tail")))))
-    return F.get(F.filter(F.array(*parts), lambda x: (F.length(x["own"]) > 0) & valid(x["own"], F.length(x["own"]) == F.length(m))), F.lit(0))
 
+    def mark(groups: Column, g: Column, i: Column) -> Column:
+        out = F.when(~g.rlike(r"^(?:\d{4}|\d{13,19})[ -]?$"), "")
+        for name, n, form in PRINTED:
+            part = g if n == 1 else F.array_join(F.slice(groups, i + 1, F.lit(n)), "")
+            out = out.when(part.rlike(f"^{form}[ -]?$") & call("luhn_check", digits_of(part)), name)
+        return out.otherwise("")
 
-def card(m: Column, key: Column) -> Column:
-    """The card number in a run of digits: the whole run, or a part of it that is grouped as cards are."""
+    pattern = f"{MARKED}|{BESIDE}"
+    scanned = lambda t: F.flatten(F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1)), lambda gap, x: F.array(gap, F.coalesce(x, F.lit("")))))
+    marked = F.transform(F.array(F.split(run, "(?<=[ -])", -1)), lambda gs: F.array_join(F.transform(gs, lambda g, i: F.concat(mark(gs, g, i), g)), ""))
+    return F.transform(F.transform(marked, scanned)[0], lambda x: F.regexp_replace(x, "[A-E]", ""))
 
-    def masked(own: Column) -> Column:
-        d = digits_of(own)
-        payload = permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
-        return into(own, F.concat(payload, luhn_digit(payload)))
 
-    sized = lambda own: F.length(digits_of(own)).between(13, 19)
-    found = first_valid(m, "[ -]", 3, 3, lambda own, whole: sized(own) & (whole | own.rlike(f"^(?:{CARD_GROUPS})$")) & call("luhn_check", digits_of(own)))
-    return F.transform(F.array(found), lambda x: F.when(x.isNull(), m).otherwise(F.concat(x["head"], masked(x["own"]), x["tail"])))[0]
+def valid_iban(m: Column) -> Column:
+    plain = F.replace(m, F.lit(" "))
+    return F.length(plain).between(15, 34) & (mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1)
 
 
 def iban(m: Column, key: Column) -> Column:
-    """The longest valid IBAN that the match starts with; a card number may follow it."""
-    plain = lambda own: F.replace(own, F.lit(" "))
-    account = lambda own: F.substring(plain(own), F.lit(5), F.length(plain(own)))
-    valid = lambda own, whole: F.length(plain(own)).between(15, 34) & (mod97(F.concat(account(own), F.substring(plain(own), 1, 4))) == 1)
+    plain = F.replace(m, F.lit(" "))
+    country, new = F.substring(m, 1, 2), stirred(F.substring(plain, F.lit(5), F.length(plain)), key, "iban")
+    whole = F.concat(country, F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0"), new)
+    return F.when(valid_iban(m), F.array_join(F.zip_with(F.split(m, "[A-Z0-9]", -1), F.split(whole, ""), lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")).otherwise(m)
 
-    def masked(own: Column) -> Column:
-        country, new = F.substring(own, 1, 2), stirred(account(own), key, "iban")
-        whole = F.concat(country, F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0"), new)
-        return F.array_join(F.zip_with(F.split(own, "[A-Z0-9]", -1), F.split(whole, ""), lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
 
-    rest = lambda t: F.when(t.rlike(f"^ (?:{CARD})$"), F.concat(F.lit(" "), card(F.substring(t, F.lit(2), F.length(t)), key))).otherwise(t)
-    found = first_valid(m, " ", 0, 5, valid)
-    return F.transform(F.array(found), lambda x: F.when(x.isNull(), m).otherwise(F.concat(masked(x["own"]), rest(x["tail"]))))[0]
+def pieces(m: Column) -> Column:
+    """What was found, cut into values and what stands between them: the longest valid IBAN that it starts with and its
+    rest, a run and its numbers; else one piece."""
+    run = lambda t: t.rlike(f"^ ?(?:{CARD}|{LONG_RUN})$")
+    start = F.when(m.rlike(f"^(?:{IBAN})$"), first_valid(m, " ", 5, valid_iban))
+    both = F.coalesce(start, F.struct(F.lit("").alias("own"), m.alias("tail")))
+    return F.transform(F.array(both), lambda x: F.concat(F.array(x["own"]), F.when(run(x["tail"]) & ~is_card(x["tail"]), numbers(x["tail"])).otherwise(F.array(x["tail"]))))[0]
 
 
 def ssn(m: Column, key: Column) -> Column:
@@ -237,15 +264,15 @@ def secret(m: Column, key: Column) -> Column:
 
 def pseudonym(m: Column, key: Column) -> Column:
     whole = lambda p: m.rlike(f"^(?:{p})$")
-    return F.when(whole(EMAIL), email(m, key)).when(whole(SECRET), secret(m, key)).when(whole(IBAN), iban(m, key)).when(whole(DATE), date(m, key)).when(whole(SSN), ssn(m, key)).when(whole(IPV4), ipv4(m, key)).when(whole(CARD), card(m, key)).otherwise(phone(m, key))
+    return F.when(whole(EMAIL), email(m, key)).when(whole(SECRET), secret(m, key)).when(whole(IBAN), iban(m, key)).when(whole(DATE), date(m, key)).when(whole(SSN), ssn(m, key)).when(whole(IPV4), ipv4(m, key)).when(whole(CARD), masked_card(m, key)).when(whole(PHONE), phone(m, key)).otherwise(m)
 
 
 def protect(frame: DataFrame, key: str, text_col: str = "text", count_col: str = "n_found") -> DataFrame:
-    """The rows with pseudonyms in the text, and the number of places that changed in ``count_col``."""
+    """The rows with pseudonyms in the text, and the number of values that changed in ``count_col``."""
     text = F.col(text_col)
     some = F.coalesce(text.rlike(QUICK), F.lit(False))
-    out = frame.drop(count_col).withColumn("_found", F.when(some, F.regexp_extract_all(text, F.lit(f"({FOUND})"), F.lit(1))))
-    out = out.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, F.lit(key)))))
-    joined = F.array_join(F.flatten(F.zip_with(F.split(text, FOUND, -1), F.col("_new"), lambda gap, x: F.array(gap, F.coalesce(x, F.lit(""))))), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    return out.withColumns({text_col: F.when(F.size("_found") > 0, joined).otherwise(text), count_col: F.greatest(changed, F.lit(0)).cast("long")}).drop("_found", "_new")
+    out = frame.drop(count_col).withColumn(FOUND_COL, F.when(some, F.transform(F.regexp_extract_all(text, F.lit(f"({FOUND})"), F.lit(1)), pieces)))
+    out = out.withColumn(NEW_COL, F.when(F.size(FOUND_COL) > 0, F.transform(FOUND_COL, lambda parts: F.transform(parts, lambda m: pseudonym(m, F.lit(key))))))
+    joined = F.array_join(F.flatten(F.zip_with(F.split(text, FOUND, -1), F.col(NEW_COL), lambda gap, parts: F.concat(F.array(gap), F.coalesce(parts, F.array().cast("array<string>"))))), "")
+    changed = F.size(F.filter(F.zip_with(F.flatten(FOUND_COL), F.flatten(NEW_COL), lambda a, b: a != b), lambda x: x))
+    return out.withColumns({text_col: F.when(F.size(FOUND_COL) > 0, joined).otherwise(text), count_col: F.greatest(changed, F.lit(0)).cast("long")}).drop(FOUND_COL, NEW_COL)

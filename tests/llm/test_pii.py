@@ -121,3 +121,71 @@ def test_against_plain_python(spark):
     for d, got in zip(days, run(spark, *days), strict=True):
         day = (datetime.date.fromisoformat(d) - start).days
         assert got == (start + datetime.timedelta(day - day % pii.DAYS + feistel(day % pii.DAYS, 189, 773, "k", "date"))).isoformat()
+
+
+def card_pseudonym(digits):
+    n = len(digits) - 1
+    new = str(feistel(int(digits[:-1]), 10 ** (n - n // 2), 10 ** (n // 2), "k", "card")).zfill(n)
+    return next(new + c for c in "0123456789" if luhn(new + c))
+
+
+def masked_run(run):
+    """A run of numbers in plain Python: cards as they are printed, from left to right."""
+    forms = (r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}", r"\d{4}[ -]\d{6}[ -]\d{4,5}")
+    digits = re.sub(r"\D", "", run)
+
+    def masked(own):
+        left = iter(card_pseudonym(re.sub(r"\D", "", own)))
+        return re.sub(r"\d", lambda _: next(left), own)
+
+    if 13 <= len(digits) <= 19 and luhn(digits):
+        return masked(run)
+    out, at = [], 0
+    while at < len(run):
+        own = next((m[0] for f in forms for m in [re.compile(f + r"(?!\d)").match(run, at)] if m and (at == 0 or not run[at - 1].isdigit()) and luhn(re.sub(r"\D", "", m[0]))), None)
+        out.append(masked(own) if own else run[at])
+        at += len(own or "x")
+    return "".join(out)
+
+
+def test_every_card_of_a_run_against_plain_python(spark):
+    import random
+
+    rng = random.Random(5)
+    forms = {"4": "4111111111111111", "5": "5500000000000004", "3": "378282246310005", "6": "6011111111111117", "9": "4000000000000000006"}
+
+    def printed(c):
+        if len(c) == 15:
+            return rng.choice([c, f"{c[:4]} {c[4:10]} {c[10:]}", f"{c[:4]}-{c[4:10]}-{c[10:]}"])
+        gap = rng.choice(["", " ", "-"])
+        return gap.join(c[i : i + 4] for i in range(0, len(c), 4))
+
+    # Numbers of six digits and of one or two are neither telephone numbers, dates nor SSNs.
+    runs = ["4111 1111 1111 1111 5500 0000 0000 0004", "4111111111111111 5500000000000004", " ".join(["4111 1111 1111 1111"] * 3), "4111 1111 1111 1111 12 27", "2024 4111 1111 1111 1111", "4111-1111-1111-1111 378282246310005 6011111111111117"]
+    for _ in range(120):
+        runs.append(" ".join(rng.choice([printed(rng.choice(list(forms.values()))), str(rng.randint(1, 99)), str(rng.randint(100000, 999999)), f"{rng.randint(0, 9999):04d}"]) for _ in range(rng.randint(2, 7))))
+    runs = [r for r in runs if len(re.sub(r"\D", "", r)) >= 13]
+    runs.append(" 77 ".join(["4111 1111 1111 1111"] * 60))
+    assert run(spark, *runs) == [masked_run(r) for r in runs]
+
+
+def test_numbers_beside_a_card_keep_their_rules(spark):
+    card, phone, day = "4111 1111 1111 1111", "212-555-0199", "2024-05-13"
+    alone = dict(zip((card, phone, day, "123-45-6789"), run(spark, card, phone, day, "123-45-6789"), strict=True))
+    texts = [f"{card} {phone}", f"{phone} {card}", f"{card} {day}", f"500 {day} 12", f"{card} 123-45-6789 {card}", f"4111111111111111 {phone} {day}"]
+    want = [re.sub(r"4111111111111111", lambda m: alone[card].replace(" ", ""), t) for t in texts]
+    for value, new in alone.items():
+        want = [w.replace(value, new) for w in want]
+    assert run(spark, *texts) == want
+    rows = pii.protect(docs(spark, [card]).selectExpr("*", "1 as _found", "2 as _new"), "k").first()
+    assert rows["_found"] == 1 and rows["_new"] == 2
+
+
+def test_long_runs_of_groups_take_linear_time(spark):
+    import time
+
+    began = time.time()
+    texts = ["0000 " * 60_000, "1-" * 150_000 + "a", "4111 1111 1111 1111 " * 3000, "1 " * 100 + "1" * 100_000 + "a"]
+    out = run(spark, *texts)
+    assert [len(x) for x in out] == [len(x) for x in texts] and "4111 1111" not in out[2] and out[1] == texts[1]
+    assert time.time() - began < 90
