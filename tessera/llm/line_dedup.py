@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .cluster_io import Tables, maybe_broadcast
 from .decontaminate import LANES
-from .linking import link
+from .linking import link, packed
 from .text_arrays import U64, Words, mix, raw, sequence_hash, signed, slices, strings, words
 
 BITS, BLOCKS = 128, 4
@@ -43,6 +43,10 @@ SIMILARITY = 0.8
 SALTS = 16
 GRAMS = 512
 LONG_WORD = 5
+#: Lines of a large bucket that are compared with each other in one task.
+BLOCK = 64
+#: Tasks that such blocks are dealt to at most.
+TASKS = 512
 WITHOUT_ONE, WITHOUT_TWO, THIRDS = 14, 9, 10
 SKETCHED, TABLES, ROWS = 16, 2, 4
 #: Words passed over on both sides, the fewest first.
@@ -266,12 +270,26 @@ def grams(column: pa.Array) -> np.ndarray:
 
 def may_be_similar(a: pa.Array, b: pa.Array) -> np.ndarray:
     """False only where two strings are too far apart: an edit of a character of at most 4 bytes changes at most 10 of their byte pairs, one of a byte 4."""
-    sizes = [pa.compute.utf8_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
-    plain = np.ones(len(a), bool)
-    for x, n in zip((a, b), sizes, strict=True):
-        plain &= pa.compute.binary_length(x).to_numpy(zero_copy_only=False) == n
-    most = np.floor(np.maximum(*sizes) * (1 - SIMILARITY) + 1e-9)
-    return (np.abs(sizes[0] - sizes[1]) <= most) & (np.abs(grams(a) - grams(b)).sum(1) <= most * np.where(plain, 4, 10))
+    sizes, plain = lengths(a, b)
+    near = np.flatnonzero(alike_in_length(*sizes))
+    x, y = (z.take(pa.array(near)) for z in (a, b))
+    most = np.floor(np.maximum(*sizes) * (1 - SIMILARITY) + 1e-9)[near]
+    got = np.zeros(len(a), bool)
+    got[near] = np.abs(grams(x) - grams(y)).sum(1) <= most * np.where(plain[near], 4, 10)
+    return got
+
+
+def lengths(*columns: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """The strings' characters, and where all of them are of one byte in all columns."""
+    sizes, plain = [], np.ones(len(columns[0]), bool)
+    for x in columns:
+        sizes.append(pa.compute.utf8_length(x).to_numpy(zero_copy_only=False).astype(np.int64))
+        plain &= pa.compute.binary_length(x).to_numpy(zero_copy_only=False) == sizes[-1]
+    return sizes, plain
+
+
+def alike_in_length(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return np.abs(n - m) <= np.floor(np.maximum(n, m) * (1 - SIMILARITY) + 1e-9)
 
 
 def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,6 +300,48 @@ def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
 
 
+def block_links(table: pa.Table) -> pa.Table:
+    """Similar pairs (a, b) of two blocks of lines, as far as they still join groups (node, comp, place, own, form).
+
+    Pairs are looked at where their places are the two of the table and one of them is in its own class of lengths.
+    """
+    node, comp, place, own = (table.column(x).to_numpy() for x in ("node", "comp", "place", "own"))
+    form = table.column("form").combine_chunks()
+    (n,), plain = lengths(form)
+    most, text, counts, links = np.floor(n * (1 - SIMILARITY) + 1e-9), form.to_pylist(), grams(form).astype(np.int32), []
+    _, comp = np.unique(comp, return_inverse=True)
+    whole = place.min() == place.max()
+    for i in range(1, len(node)):
+        j = np.flatnonzero((own[:i] | own[i]) & (comp[:i] != comp[i]) & (whole | (place[:i] != place[i])) & alike_in_length(n[:i], n[i]))
+        if len(j):
+            j = j[np.abs(counts[j] - counts[i]).sum(1) <= np.maximum(most[j], most[i]) * np.where(plain[j] & plain[i], 4, 10)]
+        for k in j.tolist():
+            if comp[k] != comp[i] and similar(text[k], text[i]):
+                links.append((min(node[k], node[i]), max(node[k], node[i])))
+                comp[comp == comp[k]] = comp[i]
+    return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+
+def large_links(lines: DataFrame, tables: Tables) -> DataFrame:
+    """Distinct links (a, b) that join the groups of each bucket of ``lines`` (key, node, comp, form), without writing out a bucket's pairs.
+
+    Similar lines are at most a quarter longer than each other, so a line is compared with those of its class of
+    lengths and the next shorter one. The lines of a bucket and class are dealt to blocks, and each two blocks are one group of rows.
+    """
+    # A little over a quarter, so that rounding does not part two classes.
+    kind = F.floor(F.log(F.char_length("form")) / math.log(1 / SIMILARITY + 1e-4))
+    both = lines.withColumn("kind", kind).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("up")).select("key", (F.col("kind") + F.col("up")).alias("kind"), (F.col("up") == 0).alias("own"), "node", "comp", "form")
+    sizes = both.groupBy("key", "kind").agg(F.count("*").alias("n"), F.count_if("own").alias("owned")).where("owned > 0 and n > 1").select("key", "kind", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = tables.cut(sizes)
+    dealt = both.join(maybe_broadcast(sizes, 24), ["key", "kind"]).withColumn("place", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.withColumns({"p": F.least("place", "other"), "q": F.greatest("place", "other")})
+    # The rows are few bytes and much work: without a number of tasks they would be gathered in one.
+    tasks = sizes.agg(F.coalesce(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2), F.lit(1))).first()[0]
+    pairs = dealt.repartition(max(1, min(int(tasks), TASKS)), "key", "kind", "p", "q").groupBy("key", "kind", "p", "q")
+    return tables.cut(pairs.applyInArrow(block_links, "a long, b long").distinct(), sizes)
+
+
 def chosen_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Normal forms of the lines asked for: (node, form) from (text, wanted array<struct<line, node>>)."""
     for batch in batches:
@@ -305,18 +365,26 @@ def removals(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     lines = tables.cut(docs.mapInArrow(line_rows, "h1 long, h2 long, doc_id long, line int, print binary"))
     forms = tables.cut(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.first("print").alias("print")).select(F.col("h1").alias("node"), "h2", "first", "n", "print"))
-    buckets = forms.select("node", "print").mapInArrow(block_keys, "key long, node long")
+    buckets = packed(forms.select("node", "print"), block_keys, 16)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = tables.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    def texts(ids: DataFrame) -> DataFrame:
         wanted = tables.cut(forms.select("node", "first").join(maybe_broadcast(ids, 16), "node").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "node")).alias("wanted")), ids)
-        texts = docs.join(maybe_broadcast(wanted, 32, array="wanted"), "doc_id").select("text", "wanted")
+        rows = docs.join(maybe_broadcast(wanted, 32, array="wanted"), "doc_id").select("text", "wanted")
         # A doc_id on several rows is read from each; forms of one node agree, for its hash does.
-        form = tables.cut(texts.mapInArrow(pick_existing, "node long, form string").dropDuplicates(["node"]))
+        return tables.cut(rows.mapInArrow(pick_existing, "node long, form string").dropDuplicates(["node"]), wanted)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        form = texts(tables.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         both = pairs.join(form.toDF("a", "xa"), "a").join(form.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-        return tables.cut(both.mapInArrow(exact, "a long, b long"), wanted, form)
+        return tables.cut(both.mapInArrow(exact, "a long, b long"), form)
+
+    def narrow(large: DataFrame) -> DataFrame:
+        form = texts(tables.cut(large.select("node").distinct()))
+        links = large_links(large.join(form, "node"), tables)
+        tables.drop(form)
+        return links
 
-    comp = link(buckets, verify, tables)
+    comp = link(buckets, verify, narrow, tables)
     known = tables.cut(forms.select("node", "h2", "first", "n").join(maybe_broadcast(comp, 16), "node", "left").where("n > 1 or comp is not null").select("node", "h2", "first", F.coalesce("comp", "node").alias("comp")), forms, comp)
     firsts = known.groupBy("comp").agg(F.min("first").alias("keep"))
     # A group may hold a third of all forms: its rows are dealt to SALTS places.

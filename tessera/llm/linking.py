@@ -9,7 +9,9 @@ joins their groups. Instead of a bucket's pairs, this looks at
 2. in buckets whose nodes are still in different groups, again and again, the nodes outside of the
    bucket's largest group against one node of it, as long as step 3 would be larger than the buckets
    and the last round made it smaller by a quarter;
-3. what is left: the pairs of nodes of one bucket and different groups, and only those.
+3. what is left: the nodes of one bucket and different groups. Where that is few pairs for each node,
+   the pairs; the nodes of all other buckets are given to ``narrow``, which knows from what the nodes
+   contain which of them can be linked at all, and leaves out only pairs that cannot.
 
 So a bucket of near copies costs a few comparisons for each of its nodes, and no link that could
 change a group is lost.
@@ -28,9 +30,68 @@ from .cluster_io import Tables, maybe_broadcast
 
 #: The pairs a node from which on a round of step 2 is worth it.
 WORTH = 16
+#: Up to so many pairs a node a bucket's pairs are written out in step 3.
+FEW = 4
+#: Parts that keys are dealt to at least, and the bytes of keys and nodes that one of them may have.
+BINS, BIN_BYTES = 1 << 10, 32 << 20
+PACKED = "bin int, keys binary, nodes binary"
 #: So few edges between groups are joined in one task; more are contracted by Spark joins first.
 LOCAL_EDGES = 1 << 17
 Verify = Callable[[DataFrame], DataFrame]
+Keys = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def packed(nodes: DataFrame, keys: Keys, each: int) -> DataFrame:
+    """The buckets of ``nodes`` for link(): the rows (key, node) that ``keys`` makes, about ``each`` a node, as one row for each batch and part of the keys."""
+    bits = max(BINS, nodes.count() * each * 16 // BIN_BYTES).bit_length() - 1
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in keys(batches):
+            key, node = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "node"))
+            part = (key.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            key, node, part = key[order], node[order], part[order]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+            at = np.append(8 * first, 8 * len(key)).astype(np.int32)
+            both = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(x)]) for x in (key, node)]
+            yield pa.record_batch([pa.array(part[first]), *both], ["bin", "keys", "nodes"])
+
+    return nodes.mapInArrow(rows, PACKED)
+
+
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, l1, n) of the keys that several nodes have, from packed rows in the order of their parts; l1 is the least node of a key, n their number."""
+
+    def made(keys: list[bytes], nodes: list[bytes]) -> Iterator[pa.RecordBatch]:
+        key, node = np.frombuffer(b"".join(keys), np.int64), np.frombuffer(b"".join(nodes), np.int64)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        same = key[1:] == key[:-1]
+        many = np.append(same, False) | np.append(False, same)
+        key, node = key[many], node[order[many]]
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(key)))
+        least, n = np.repeat(node[first], n), np.repeat(n, n)
+        keep = n > 1
+        table = pa.table([key[keep], node[keep], least[keep], n[keep]], ["key", "node", "l1", "n"])
+        yield from table.to_batches(1 << 16)
+
+    part, keys, nodes = None, [], []
+    for batch in batches:
+        for p, k, x in zip(*(batch.column(c).to_pylist() for c in ("bin", "keys", "nodes")), strict=True):
+            if p != part and keys:
+                yield from made(keys, nodes)
+                keys, nodes = [], []
+            part = p
+            keys.append(k)
+            nodes.append(x)
+    if keys:
+        yield from made(keys, nodes)
 
 
 def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,21 +142,22 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     return tables.cut(out, *levels, edges)
 
 
-def link(buckets: DataFrame, verify: Verify, tables: Tables) -> DataFrame:
-    """(node, comp) of the nodes that verified links connect to others, over all that the buckets (key, node) bring together.
+def link(buckets: DataFrame, verify: Verify, narrow: Verify, tables: Tables) -> DataFrame:
+    """(node, comp) of the nodes that verified links connect to others, over all that the ``buckets`` bring together.
 
-    ``buckets`` is read twice; rows in it may repeat. ``verify`` takes a table of distinct pairs (a, b), a < b, and
-    returns the table of those that hold.
+    ``buckets`` come from packed(). ``verify`` takes a table of distinct pairs (a, b), a < b, and returns the table of
+    those that hold. ``narrow`` takes nodes (key, node, comp) of buckets that are large and in several groups, and returns
+    distinct pairs a < b of different groups, all that hold among them; what else is in them goes through ``verify``.
     """
-    size = tables.cut(buckets.groupBy("key").agg(F.min("node").alias("l1"), F.max("node").alias("l2"), F.count("*").alias("n")).where("n > 1"))
+    every = tables.cut(buckets.repartition("bin").sortWithinPartitions("bin").mapInArrow(shared, "key long, node long, l1 long, n long"))
     # A bucket of two is its own pair; only larger ones need their nodes.
-    led = tables.cut(buckets.join(maybe_broadcast(size.where("n > 2").select("key", "l1", "n"), 32), "key"))
+    led = every.where("n > 2")
     popular = led.groupBy("node").agg(F.sum("n").alias("p"))
     leader = led.join(popular, "node").groupBy("key").agg(F.max_by("node", F.struct("p", -F.col("node"))).alias("l2"))
     leader = tables.cut(leader)
     pair = lambda x: F.struct(F.least("node", x).alias("a"), F.greatest("node", x).alias("b"))
     star = led.join(maybe_broadcast(leader, 24), "key").select(F.explode(F.array(pair("l1"), pair("l2"))).alias("p")).select("p.a", "p.b")
-    tested = tables.cut(star.unionByName(size.where("n = 2").select(F.col("l1").alias("a"), F.col("l2").alias("b"))).where("a < b").distinct(), leader, size)
+    tested = tables.cut(star.unionByName(every.where("n = 2").select(F.col("l1").alias("a"), F.col("node").alias("b"))).where("a < b").distinct(), leader)
     links, turn, before = verify(tested), 0, None
     while True:
         comp = components(links, tables)
@@ -111,9 +173,16 @@ def link(buckets: DataFrame, verify: Verify, tables: Tables) -> DataFrame:
         more = tables.cut(mixed.where("comp <> comp0").select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), mixed)
         found = verify(more)
         tested, links = tables.cut(tested.unionByName(more), tested, more), tables.cut(links.unionByName(found), links, found, comp)
-    tables.drop(led)
-    x, y = mixed.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), mixed.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    pairs = tables.cut(x.join(y, "key").where("ca <> cb and a < b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), mixed, tested)
+    tables.drop(every)
+    few = (F.col("s") * F.col("s") - F.col("q")) / 2 <= FEW * F.col("s")
+    x, y = (mixed.where(few).select("key", F.col("node").alias(at), F.col("comp").alias(f"c{at}")) for at in ("a", "b"))
+    pairs = x.join(y, "key").where("ca <> cb and a < b").select("a", "b")
+    large = mixed.where(~few).select("key", "node", "comp")
+    spent = [mixed, tested]
+    if large.head(1):
+        spent.append(narrow(large))
+        pairs = pairs.unionByName(spent[-1])
+    pairs = tables.cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), *spent)
     found = verify(pairs)
     if not found.head(1):
         tables.drop(pairs, found)

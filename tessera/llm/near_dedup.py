@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .cluster_io import Tables, maybe_broadcast
-from .linking import components, link
+from .linking import components, link, packed
 from .text_arrays import U64, mix, shingles, signed, slices, strings, words
 
 BANDS, ROWS = 20, 5
@@ -141,6 +142,39 @@ def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([x for x, _ in keep], pa.int64()), pa.array([y for _, y in keep], pa.int64())], ["a", "b"])
 
 
+def weights_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each distinct shingle of each text: its weight, and the text's hash, its total, and whether all its weights are one."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            h, weight, bounds = shingle_rows(part)
+            n = np.diff(bounds)
+            row = np.repeat(np.arange(len(n)), n)
+            total = np.bincount(row, weight, len(n)).astype(np.int64)
+            yield pa.record_batch([part.column("node").take(pa.array(row)), part.column("comp").take(pa.array(row)), pa.array(_fold(h, weight, bounds, 0x1234567)[row]), pa.array(signed(h)), pa.array(weight.astype(np.int64)), pa.array(total[row]), pa.array((total == n)[row])], ["node", "comp", "own", "shingle", "weight", "total", "plain"])
+
+
+def prefix_pairs(texts: DataFrame, tables: Tables, *spent: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different groups among ``texts`` (node, comp, text), with all of J_P of ``SIMILARITY`` or more.
+
+    If u and v are the shares of two texts' weight on shingles that the other lacks, J_P is at most
+    1 / (1 / (1 - u) + 1 / (1 - v) - 1), and just that where all weights are one. Shingles are put in one order, the rarest among
+    these texts first. What stands before the first common shingle of two texts is in one of them only, so its shares
+    bound u and v from below: two texts are paired by a shingle only if the bound of what is before it reaches the similarity.
+    Where all weights of both are one, the common shingles are as many in either, so the lesser of what is left bounds both.
+    So texts that have a long passage in common and more than a fifth of their own do not meet, however many they are.
+    """
+    rows = texts.mapInArrow(weights_of, "node long, comp long, own long, shingle long, weight long, total long, plain boolean")
+    common = tables.cut(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"))
+    # Shingles of one text alone come first of all; what is left of its weight is theirs.
+    after = Window.partitionBy("node", "own").orderBy(F.desc("n"), "shingle")
+    left = rows.join(common, "shingle").withColumn("share", F.sum("weight").over(after) / F.col("total"))
+    heads = tables.cut(left.where(F.col("share") >= SIMILARITY - 1e-9).select("shingle", "node", "comp", "share", "total", "plain"), common, *spent)
+    x, y = (heads.select("shingle", F.col("node").alias(at), *(F.col(c).alias(f"{c[0]}{at}") for c in ("comp", "share", "total", "plain"))) for at in ("a", "b"))
+    common = F.least(F.col("sa") * F.col("ta"), F.col("sb") * F.col("tb")) >= (F.col("ta") + F.col("tb")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    bound = (1 / F.col("sa") + 1 / F.col("sb") <= 1 + 1 / SIMILARITY + 1e-9) & (~(F.col("pa") & F.col("pb")) | common)
+    return tables.cut(x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & bound).select("a", "b").distinct(), heads)
+
+
 def agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint32).reshape(-1, REGISTERS) for x in ("sa", "sb"))
@@ -167,7 +201,7 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = own.join(repeated, key, "left_anti").select(*key, "sketch").unionByName(own.join(repeated, key).select(*key, "sketch").dropDuplicates(key))
     own = tables.cut(own.select("node", "sketch"), repeated)
     same = tables.cut(member.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct(), made, copies)
-    buckets = own.mapInArrow(band_keys, "key long, node long")
+    buckets = packed(own, band_keys, BANDS)
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(own.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
@@ -192,7 +226,12 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         both = pairs.join(packed.toDF("a", "na", "xa"), "a").join(packed.toDF("b", "nb", "xb"), "b").select("a", "b", "na", "nb", "xa", "xb")
         return tables.cut(both.mapInArrow(exact, "a long, b long").distinct(), packed, ids)
 
-    comp = link(buckets, verify, tables)
+    def narrow(large: DataFrame) -> DataFrame:
+        nodes = tables.cut(large.select("node", "comp").distinct())
+        texts = docs.join(maybe_broadcast(nodes, 24), F.col("doc_id") == F.col("node")).select("node", "comp", "text")
+        return prefix_pairs(texts, tables, nodes)
+
+    comp = link(buckets, verify, narrow, tables)
     tables.drop(own)
     # Copies hang on their node. Two nodes may share a copy where a doc_id repeats, so this is a graph again.
     twice = same.groupBy("b").count().where("count > 1").select("b").unionByName(same.join(comp.select(F.col("node").alias("b")), "b", "left_semi").select("b"))

@@ -164,3 +164,47 @@ def test_recall_of_one_word_edits():
             pairs = [(" ".join(w), " ".join(edit(w, rng.randrange(n)))) for w in (sentence(rng, n).split() for _ in range(300))]
             pairs = [p for p in pairs if distance(*p) <= 0.2 * max(map(len, p))]
             assert len(pairs) > 100 and len(met(pairs)) >= 0.9 * len(pairs), (n, name)
+
+
+def test_lines_of_one_long_passage_are_not_paired(spark, monkeypatch):
+    """Lines around a common passage share buckets; few are similar, and their pairs are not joined."""
+    rng = random.Random(23)
+    passage, texts = sentence(rng, 40), []
+    for k in range(160):
+        texts.append(f"{sentence(rng, rng.randint(4, 40))} {passage}" + f" {sentence(rng, 12)}" * (k % 3 == 0))
+        if k % 8 == 0:
+            w = texts[-1].split()
+            texts.append(" ".join([*w[:2], w[2] + "q", *w[3:]]))
+    group = list(range(len(texts)))
+    for p in range(len(texts)):
+        for q in range(p):
+            if group[p] != group[q] and L.similar(form(texts[p]), form(texts[q])):
+                group = [group[q] if g == group[p] else g for g in group]
+    got, link = [], L.link
+    monkeypatch.setattr(L, "link", lambda buckets, verify, narrow, tables: link(buckets, lambda pairs: got.append(pairs.count()) or verify(pairs), narrow, tables))
+    removed = {r.doc_id for r in L.dedup(docs(spark, texts)).collect() if r.removed_lines}
+    first = {}
+    for i, g in enumerate(group):
+        first.setdefault(g, i)
+    assert removed == {i for i, g in enumerate(group) if first[g] != i} and len(removed) > 10
+    assert sum(got) < 12 * len(texts)
+
+
+def test_blocks_find_what_all_pairs_find(spark, monkeypatch):
+    """Several blocks and classes of lengths: the groups of all pairs of a bucket."""
+    monkeypatch.setattr(L, "BLOCK", 8)
+    rng = random.Random(24)
+    lines = [sentence(rng, rng.randint(3, 12)) for _ in range(25)]
+    lines += [x[: rng.randint(int(0.78 * len(x)), len(x))] for x in lines] + [x + " " + x[: len(x) // 5] for x in lines]
+    tables = L.Tables(spark)
+    rows = spark.createDataFrame([(1, i, i, x) for i, x in enumerate(lines)], "key long, node long, comp long, form string")
+    found = {(r.a, r.b) for r in L.large_links(rows, tables).collect()}
+    held = {(i, j) for j in range(len(lines)) for i in range(j) if L.similar(lines[i], lines[j])}
+
+    def groups(pairs):
+        root = list(range(len(lines)))
+        for i, j in pairs:
+            root = [root[i] if r == root[j] else r for r in root]
+        return [root.index(r) for r in root]
+
+    assert found <= held and len(held) > 25 and groups(found) == groups(held)

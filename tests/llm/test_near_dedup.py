@@ -104,3 +104,43 @@ def test_awkward_rows(spark):
     assert [r.class_id for r in rows if r.doc_id is None] == [None]
     assert N.classes(empty(spark)).count() == 0
     assert N.survivors(d).count() == 4 and set(N.survivors(d).columns) == set(d.columns)
+
+
+def looked_at(monkeypatch, module):
+    """The numbers of pairs that each call of verify is given."""
+    got, link = [], module.link
+
+    def counted(buckets, verify, narrow, tables):
+        return link(buckets, lambda pairs: got.append(pairs.count()) or verify(pairs), narrow, tables)
+
+    monkeypatch.setattr(module, "link", counted)
+    return got
+
+
+def test_texts_of_one_heavy_shingle_are_not_paired(spark, monkeypatch):
+    """Template texts share buckets, but no two of them are alike: their pairs would be a third of all."""
+    rng = random.Random(21)
+    texts = ["buy now " * 30 + sentence(rng, 30) for _ in range(500)]
+    texts += [texts[7] + " end", texts[8].replace("buy", "buy now", 1)]
+    got = looked_at(monkeypatch, N)
+    classes = {r.doc_id: r.class_id for r in N.classes(docs(spark, texts)).collect()}
+    assert sum(got) < 12 * len(texts)
+    assert classes == {i: i for i in range(500)} | {500: 7, 501: 8}
+
+
+def test_copies_too_far_from_each_other(spark, monkeypatch):
+    """Copies of one text with some words altered: some are linked to it, most to nothing, a few to each other only."""
+    rng = random.Random(22)
+    base, texts = sentence(rng, 150).split(), []
+    for k in range(240):
+        copy = list(base)
+        for i in rng.sample(range(150), rng.randint(1, 12)):
+            copy[i] = sentence(rng, 1)
+        texts.append(" ".join(copy))
+        if k % 20 == 0:
+            texts.append(" ".join([*copy, "more"]))
+    want = expected(texts)
+    assert 40 < len(set(want)) < 220
+    got = looked_at(monkeypatch, N)
+    assert {r.doc_id: r.class_id for r in N.classes(docs(spark, texts)).collect()} == dict(enumerate(want))
+    assert sum(got) < 12 * len(texts)
