@@ -301,14 +301,17 @@ def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def block_links(table: pa.Table) -> pa.Table:
-    """Similar pairs (a, b) of two blocks of lines, as far as they still join groups (node, comp, place, own, form).
+    """Similar pairs (a, b) of two blocks of lines, as far as they still join groups (key, keys, node, comp, place, own, form).
 
-    Pairs are looked at where their places are the two of the table and one of them is in its own class of lengths.
+    Pairs are looked at where their places are the two of the table, one of them is in its own class of lengths, and
+    the table's key is the least of those that they share.
     """
     node, comp, place, own = (table.column(x).to_numpy() for x in ("node", "comp", "place", "own"))
     form = table.column("form").combine_chunks()
     (n,), plain = lengths(form)
     most, text, counts, links = np.floor(n * (1 - SIMILARITY) + 1e-9), form.to_pylist(), grams(form).astype(np.int32), []
+    key, lesser = table.column("key")[0].as_py(), table.column("keys").to_pylist()
+    lesser = [{y for y in x if y < key} for x in lesser]
     _, comp = np.unique(comp, return_inverse=True)
     whole = place.min() == place.max()
     for i in range(1, len(node)):
@@ -316,21 +319,21 @@ def block_links(table: pa.Table) -> pa.Table:
         if len(j):
             j = j[np.abs(counts[j] - counts[i]).sum(1) <= np.maximum(most[j], most[i]) * np.where(plain[j] & plain[i], 4, 10)]
         for k in j.tolist():
-            if comp[k] != comp[i] and similar(text[k], text[i]):
+            if comp[k] != comp[i] and lesser[k].isdisjoint(lesser[i]) and similar(text[k], text[i]):
                 links.append((min(node[k], node[i]), max(node[k], node[i])))
                 comp[comp == comp[k]] = comp[i]
     return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
 
 def large_links(lines: DataFrame, tables: Tables) -> DataFrame:
-    """Distinct links (a, b) that join the groups of each bucket of ``lines`` (key, node, comp, form), without writing out a bucket's pairs.
+    """Distinct links (a, b) that join the groups of each bucket of ``lines`` (key, keys, node, comp, form), without writing out a bucket's pairs.
 
     Similar lines are at most a quarter longer than each other, so a line is compared with those of its class of
-    lengths and the next shorter one. The lines of a bucket and class are dealt to blocks, and each two blocks are one group of rows.
+    lengths and the next shorter one, and that in one bucket only: ``keys`` are all that a line has. The lines of a bucket and class are dealt to blocks, and each two blocks are one group of rows.
     """
     # A little over a quarter, so that rounding does not part two classes.
     kind = F.floor(F.log(F.char_length("form")) / math.log(1 / SIMILARITY + 1e-4))
-    both = lines.withColumn("kind", kind).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("up")).select("key", (F.col("kind") + F.col("up")).alias("kind"), (F.col("up") == 0).alias("own"), "node", "comp", "form")
+    both = lines.withColumn("kind", kind).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("up")).select("key", (F.col("kind") + F.col("up")).alias("kind"), (F.col("up") == 0).alias("own"), "keys", "node", "comp", "form")
     sizes = both.groupBy("key", "kind").agg(F.count("*").alias("n"), F.count_if("own").alias("owned")).where("owned > 0 and n > 1").select("key", "kind", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     sizes = tables.cut(sizes)
     dealt = both.join(maybe_broadcast(sizes, 24), ["key", "kind"]).withColumn("place", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
@@ -379,7 +382,8 @@ def removals(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return tables.cut(both.mapInArrow(exact, "a long, b long"), form)
 
     def narrow(large: DataFrame) -> DataFrame:
-        form = texts(tables.cut(large.select("node").distinct()))
+        keys = tables.cut(large.groupBy("node").agg(F.collect_set("key").alias("keys")))
+        form = tables.cut(texts(tables.cut(keys.select("node"))).join(keys, "node"), keys)
         links = large_links(large.join(form, "node"), tables)
         tables.drop(form)
         return links
