@@ -272,10 +272,12 @@ def may_be_similar(a: pa.Array, b: pa.Array) -> np.ndarray:
     """False only where two strings are too far apart: an edit of a character of at most 4 bytes changes at most 10 of their byte pairs, one of a byte 4."""
     sizes, plain = lengths(a, b)
     near = np.flatnonzero(alike_in_length(*sizes))
-    x, y = (z.take(pa.array(near)) for z in (a, b))
-    most = np.floor(np.maximum(*sizes) * (1 - SIMILARITY) + 1e-9)[near]
+    most = np.floor(np.maximum(*sizes) * (1 - SIMILARITY) + 1e-9)
     got = np.zeros(len(a), bool)
-    got[near] = np.abs(grams(x) - grams(y)).sum(1) <= most * np.where(plain[near], 4, 10)
+    # The counts of a whole batch would be over 100 MB.
+    for own in (near[i : i + 1024] for i in range(0, len(near), 1024)):
+        x, y = (z.take(pa.array(own)) for z in (a, b))
+        got[own] = np.abs(grams(x) - grams(y)).sum(1) <= most[own] * np.where(plain[own], 4, 10)
     return got
 
 
