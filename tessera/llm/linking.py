@@ -118,9 +118,12 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     Each round points every node at its least neighbour, follows the pointers to their ends, and goes on with
     the edges that still lead from one end to another: at most half as many nodes a round. Minima
     are taken before their shuffle, and the joins may be split where a node has very many neighbours.
-    Once few edges are left, one task joins them. Null ends are left out.
+    Once few edges are left, one task joins them. Null ends are left out. ``edges`` should be a written table: it is
+    counted first, and repeats in it are only taken out where they are many.
     """
-    edges = tables.cut(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    edges = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    if edges.count() > LOCAL_EDGES:
+        edges = tables.cut(edges.distinct())
     levels = []
     while edges.count() > LOCAL_EDGES:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

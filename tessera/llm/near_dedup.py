@@ -195,18 +195,20 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = tables.cut(made.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1").drop("n"))
     member = made.join(maybe_broadcast(copies, 32), ["h1", "h2"], "left").withColumn("node", F.coalesce("node", "doc_id"))
     own = member.where("doc_id = node and sketch is not null")
-    repeated = tables.cut(own.groupBy("node", "h1", "h2").count().where("count > 1").drop("count"))
-    if repeated.head(1):
+    repeated = tables.cut(own.groupBy("node").count().where("count > 1").drop("count"))
+    several = bool(repeated.head(1))
+    if several:
         key = ["node", "h1", "h2"]
-        own = own.join(repeated, key, "left_anti").select(*key, "sketch").unionByName(own.join(repeated, key).select(*key, "sketch").dropDuplicates(key))
+        own = own.join(repeated, "node", "left_anti").select(*key, "sketch").unionByName(own.join(repeated, "node", "left_semi").select(*key, "sketch").dropDuplicates(key))
     own = tables.cut(own.select("node", "sketch"), repeated)
-    same = tables.cut(member.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct(), made, copies)
-    buckets = packed(own, band_keys, BANDS)
+    same = tables.cut(member.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")), made, copies)
+    buckets, drawn = packed(own, band_keys, BANDS), maybe_broadcast(own, 4 * REGISTERS + 48)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(own.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+        both = pairs.join(drawn.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(drawn.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
         agreed = both.select("a", "b", "sa", "sb").mapInArrow(lambda x: agreeing(x, estimate), "a long, b long, share double")
-        near = tables.cut(agreed.groupBy("a", "b").agg(F.max("share").alias("share")))
+        # Pairs are distinct, and still are unless a node has several sketches.
+        near = tables.cut(agreed.groupBy("a", "b").agg(F.max("share").alias("share")) if several else agreed)
         # First the best pair of each node: most groups hang together by them; then what still joins groups.
         best = tables.cut(near.groupBy("b").agg(F.max_by("a", "share").alias("a")).select("a", "b"))
         held = verified(best)
@@ -220,11 +222,13 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return tables.cut(held.unionByName(also), held, also, rest)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = tables.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
         rows = docs.join(maybe_broadcast(ids, 16), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
         packed = tables.cut(rows.mapInArrow(contents, "node long, n int, blob binary"))
-        both = pairs.join(packed.toDF("a", "na", "xa"), "a").join(packed.toDF("b", "nb", "xb"), "b").select("a", "b", "na", "nb", "xa", "xb")
-        return tables.cut(both.mapInArrow(exact, "a long, b long").distinct(), packed, ids)
+        near = maybe_broadcast(packed, 64, blob="blob")
+        both = pairs.join(near.toDF("a", "na", "xa"), "a").join(near.toDF("b", "nb", "xb"), "b").select("a", "b", "na", "nb", "xa", "xb")
+        # A repeated doc_id may prove a pair more than once; components() can bear that.
+        return tables.cut(both.mapInArrow(exact, "a long, b long"), packed)
 
     def narrow(large: DataFrame) -> DataFrame:
         nodes = tables.cut(large.select("node", "comp").distinct())
@@ -233,7 +237,7 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     comp = link(buckets, verify, narrow, tables)
     tables.drop(own)
-    # Copies hang on their node. Two nodes may share a copy where a doc_id repeats, so this is a graph again.
+    # Copies hang on their node. A copy comes twice where a doc_id repeats, and two nodes may share it, so this is a graph again.
     twice = same.groupBy("b").count().where("count > 1").select("b").unionByName(same.join(comp.select(F.col("node").alias("b")), "b", "left_semi").select("b"))
     if twice.head(1):
         comp = components(tables.cut(same.unionByName(comp.select(F.col("comp").alias("a"), F.col("node").alias("b")))), tables)

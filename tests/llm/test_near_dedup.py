@@ -144,3 +144,23 @@ def test_copies_too_far_from_each_other(spark, monkeypatch):
     got = looked_at(monkeypatch, N)
     assert {r.doc_id: r.class_id for r in N.classes(docs(spark, texts)).collect()} == dict(enumerate(want))
     assert sum(got) < 12 * len(texts)
+
+
+def test_few_links_are_joined_without_a_shuffle(spark, monkeypatch):
+    """Repeated and reversed edges, and nulls: one table is written, and the groups are right."""
+    written, cut = [], N.Tables.cut
+    monkeypatch.setattr(N.Tables, "cut", lambda self, frame, *spent: written.append(frame) or cut(self, frame, *spent))
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 2), (5, 6), (7, 7), (None, 1)], "a long, b long")
+    got = {(r.node, r.comp) for r in N.components(edges, N.Tables(spark)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)}
+    assert len(written) == 1 and "Exchange hashpartitioning" not in written[0]._jdf.queryExecution().toString()
+
+
+def test_repeated_ids_with_several_texts_are_one_document(spark):
+    """A doc_id on many rows, with equal and with different texts: linked to what any of its texts is linked to, one row for each row."""
+    rng = random.Random(31)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, a), (1, b), (1, b), (2, a + " end"), (3, b + " end"), (4, c), (5, c), (5, c), (6, sentence(rng, 60)), (None, a)]
+    got = sorted(map(tuple, N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = {1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (4, 2), 5: (4, 2), 6: (6, 1), None: (None, None)}
+    assert got == sorted(((d, *want[d]) for d, _ in rows), key=str)
