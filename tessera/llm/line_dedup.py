@@ -77,9 +77,9 @@ def features(w: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray,
     return w.hashes[word[use]], line[use]
 
 
-def fingerprints(w: Words, first: np.ndarray, end: np.ndarray, step: int = 1 << 15) -> np.ndarray:
-    """(lines, BITS / 8) bytes. Bits are counted in byte lanes, at most 255 words at a time."""
-    h, line = features(w, first, end)
+def fingerprints(w: Words, first: np.ndarray, end: np.ndarray, step: int = 1 << 15, made: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """(lines, BITS / 8) bytes; ``made`` are the lines' features, if at hand. Bits are counted in byte lanes, at most 255 words at a time."""
+    h, line = made or features(w, first, end)
     counts = np.bincount(line, minlength=len(first))
     ones = np.zeros((len(first), BITS), np.int32)
     for a in range(0, len(h), step):
@@ -96,17 +96,16 @@ def fingerprints(w: Words, first: np.ndarray, end: np.ndarray, step: int = 1 <<
     return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little")
 
 
-def minima(w: Words, first: np.ndarray, end: np.ndarray, step: int = 1 << 15) -> np.ndarray:
-    """(lines, TABLES) keys of the MinHash tables."""
-    h, line = features(w, first, end)
-    least = np.full((len(first), TABLES * ROWS), 2**32 - 1, np.uint32)
+def minima(h: np.ndarray, line: np.ndarray, lines: int, step: int = 1 << 15) -> np.ndarray:
+    """(lines, TABLES) keys of the MinHash tables, from features()."""
+    least = np.full((lines, TABLES * ROWS), 2**32 - 1, np.uint32)
     salts = mix(np.arange(1, (TABLES * ROWS + 1) // 2 + 1).astype(U64))
     for a in range(0, len(h), step):
         own = line[a : a + step]
         starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         got = np.minimum.reduceat(mix(h[a : a + step, None] ^ salts[None, :]).view(np.uint32)[:, : TABLES * ROWS], starts, axis=0)
         least[own[starts]] = np.minimum(least[own[starts]], got)
-    key = np.broadcast_to(mix(np.arange(1, TABLES + 1).astype(U64)), (len(first), TABLES))
+    key = np.broadcast_to(mix(np.arange(1, TABLES + 1).astype(U64)), (lines, TABLES))
     for r in range(ROWS):
         key = mix(key ^ least[:, r * TABLES : (r + 1) * TABLES].astype(U64))
     return key.astype(np.uint32)
@@ -152,12 +151,15 @@ def thirds(w: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np
 
 def prints(w: Words, first: np.ndarray, end: np.ndarray) -> pa.Array:
     """Each line's fingerprint, and behind it its other keys of four bytes."""
-    blocks = np.ascontiguousarray(fingerprints(w, first, end)).view(np.uint32)
-    sketched = np.flatnonzero(end - first >= SKETCHED)
+    h, of = features(w, first, end)
+    blocks = np.ascontiguousarray(fingerprints(w, first, end, made=(h, of))).view(np.uint32)
+    long = end - first >= SKETCHED
+    sketched, use = np.flatnonzero(long), long[of]
+    sketches = minima(h[use], (np.cumsum(long) - 1)[of[use]], len(sketched))
     less, keys = shortened(w, first, end)
     third, equal = thirds(w, first, end)
     line = np.concatenate([np.repeat(np.arange(len(first)), BLOCKS), np.repeat(sketched, TABLES), less, third])
-    value = np.concatenate([blocks.ravel(), minima(w, first[sketched], end[sketched]).ravel(), keys, equal])[np.argsort(line, kind="stable")]
+    value = np.concatenate([blocks.ravel(), sketches.ravel(), keys, equal])[np.argsort(line, kind="stable")]
     at = np.zeros(len(first) + 1, np.int32)
     np.cumsum(4 * np.bincount(line, minlength=len(first)), out=at[1:])
     return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(value)])
@@ -167,12 +169,12 @@ def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each line that has words."""
     for batch in batches:
         for part in slices(batch, "text"):
-            w = words(strings(part.column("text"), lower=True))
+            text = strings(part.column("text"), lower=True)
+            w = words(text)
             if not len(w.starts):
                 continue
             row, line, first, end = line_words(w)
-            _, at = raw(strings(part.column("text"), lower=True))
-            base = np.searchsorted(np.flatnonzero(w.data == 10), at[:-1]) + np.arange(w.rows)
+            base = np.searchsorted(np.flatnonzero(w.data == 10), raw(text)[1][:-1]) + np.arange(w.rows)
             yield pa.record_batch([pa.array(signed(sequence_hash(w.hashes, first, end, 1))), pa.array(signed(sequence_hash(w.hashes, first, end, 2))), part.column("doc_id").take(pa.array(row)), pa.array((line - base[row]).astype(np.int32)), prints(w, first, end)], ["h1", "h2", "doc_id", "line", "print"])
 
 
@@ -373,19 +375,20 @@ def removals(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = packed(forms.select("node", "print"), block_keys, 16)
 
     def texts(ids: DataFrame) -> DataFrame:
-        wanted = tables.cut(forms.select("node", "first").join(maybe_broadcast(ids, 16), "node").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "node")).alias("wanted")), ids)
+        wanted = tables.cut(forms.select("node", "first").join(maybe_broadcast(ids, 16), "node", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "node")).alias("wanted")))
         rows = docs.join(maybe_broadcast(wanted, 32, array="wanted"), "doc_id").select("text", "wanted")
         # A doc_id on several rows is read from each; forms of one node agree, for its hash does.
         return tables.cut(rows.mapInArrow(pick_existing, "node long, form string").dropDuplicates(["node"]), wanted)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        form = texts(tables.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-        both = pairs.join(form.toDF("a", "xa"), "a").join(form.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
+        form = texts(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        near = maybe_broadcast(form, 64, blob="form")
+        both = pairs.join(near.toDF("a", "xa"), "a").join(near.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
         return tables.cut(both.mapInArrow(exact, "a long, b long"), form)
 
     def narrow(large: DataFrame) -> DataFrame:
         keys = tables.cut(large.groupBy("node").agg(F.collect_set("key").alias("keys")))
-        form = tables.cut(texts(tables.cut(keys.select("node"))).join(keys, "node"), keys)
+        form = tables.cut(texts(keys.select("node")).join(keys, "node"), keys)
         links = large_links(large.join(form, "node"), tables)
         tables.drop(form)
         return links

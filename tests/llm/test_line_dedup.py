@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 from tessera.llm import line_dedup as L
 from tessera.llm.text_arrays import strings, words
@@ -215,3 +216,18 @@ def test_blocks_find_what_all_pairs_find(spark, monkeypatch):
         return [root.index(r) for r in root]
 
     assert found <= held and len(held) > 25 and groups(found) == groups(held)
+
+
+def test_features_of_a_line_are_taken_once(monkeypatch):
+    """The fingerprints and the MinHash keys come from one pass, and are those of two."""
+    rng = random.Random(33)
+    w = words(strings(pa.array(["\n".join(sentence(rng, n) for n in (1, 3, 8, 15, 16, 17, 40, 90)) for _ in range(5)])))
+    _, _, first, end = L.line_words(w)
+    calls, features = [], L.features
+    monkeypatch.setattr(L, "features", lambda *x: calls.append(x) or features(*x))
+    got = [np.frombuffer(x, np.uint32) for x in L.prints(w, first, end).to_pylist()]
+    assert len(calls) == 1
+    long = np.flatnonzero(end - first >= L.SKETCHED)
+    keys = L.minima(*features(w, first[long], end[long]), len(long))
+    assert (np.stack([got[i][L.BLOCKS : L.BLOCKS + L.TABLES] for i in long]) == keys).all()
+    assert (np.stack([x[: L.BLOCKS] for x in got]) == np.ascontiguousarray(L.fingerprints(w, first, end)).view(np.uint32)).all()
