@@ -45,8 +45,8 @@ GRAMS = 512
 LONG_WORD = 5
 #: Lines of a large bucket that are compared with each other in one task.
 BLOCK = 64
-#: Tasks that such blocks are dealt to at most.
-TASKS = 512
+#: Tasks that such blocks are dealt to at most, and the pairs of blocks that are worth a task.
+TASKS, EACH = 512, 16
 WITHOUT_ONE, WITHOUT_TWO, THIRDS = 14, 9, 10
 SKETCHED, TABLES, ROWS = 16, 2, 4
 #: Words passed over on both sides, the fewest first.
@@ -345,7 +345,7 @@ def large_links(lines: DataFrame, tables: Tables) -> DataFrame:
     dealt = dealt.withColumns({"p": F.least("place", "other"), "q": F.greatest("place", "other")})
     # The rows are few bytes and much work: without a number of tasks they would be gathered in one.
     tasks = sizes.agg(F.coalesce(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2), F.lit(1))).first()[0]
-    pairs = dealt.repartition(max(1, min(int(tasks), TASKS)), "key", "kind", "p", "q").groupBy("key", "kind", "p", "q")
+    pairs = dealt.repartition(max(1, min(int(tasks) // EACH, TASKS)), "key", "kind", "p", "q").groupBy("key", "kind", "p", "q")
     return tables.cut(pairs.applyInArrow(block_links, "a long, b long").distinct(), sizes)
 
 

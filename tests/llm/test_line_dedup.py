@@ -231,3 +231,13 @@ def test_features_of_a_line_are_taken_once(monkeypatch):
     keys = L.minima(*features(w, first[long], end[long]), len(long))
     assert (np.stack([got[i][L.BLOCKS : L.BLOCKS + L.TABLES] for i in long]) == keys).all()
     assert (np.stack([x[: L.BLOCKS] for x in got]) == np.ascontiguousarray(L.fingerprints(w, first, end)).view(np.uint32)).all()
+
+
+def test_few_pairs_of_blocks_are_few_tasks(spark, monkeypatch):
+    """A task costs more than the comparisons of a small block: 20 buckets of one block, in a few classes of lengths, are a few tasks."""
+    lines = [sentence(random.Random(i), 8) for i in range(6)]
+    rows = spark.createDataFrame([(k, [k], i, i, x) for i, x in enumerate(lines) for k in range(20)], "key long, keys array<long>, node long, comp long, form string")
+    asked, repartition = [], type(rows).repartition
+    monkeypatch.setattr(type(rows), "repartition", lambda self, n, *cols: asked.append(n) or repartition(self, n, *cols))
+    assert L.large_links(rows, L.Tables(spark)).count() == 0
+    assert len(asked) == 1 and asked[0] <= 20 * 6 // L.EACH
