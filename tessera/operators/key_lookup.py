@@ -145,10 +145,10 @@ class AutoLookup:
         return self._added(frame, self.kept() if self.scored else None)
 
     def kept(self) -> list[str]:
-        """Names of the columns that make the folds' errors smaller."""
+        """Names of the columns that make the folds' errors smaller, for keys that the trees have not seen, and clearly so."""
         if self.scores_ is None:
             known = cut(self._added(self.train))
-            self.scores_ = {one.name: screening.score_column(known, self.target, self.id_col, one.name, "numeric" if one.kind == "numeric" else "category", self.numeric, self.categorical, self.folds).first().asDict() for one in self.lookups_}
+            self.scores_ = {one.name: screening.score_column(known, self.target, self.id_col, one.name, "numeric" if one.kind == "numeric" else "category", self.numeric, self.categorical, self.folds, one.keys).first().asDict() for one in self.lookups_}
         return [name for name, row in self.scores_.items() if row["accepted"]]
 
     def explain(self) -> str:

@@ -67,6 +67,19 @@ def test_scored_lookups_add_what_stays(spark, monkeypatch):
     assert auto.explain().splitlines() == ["factor (numeric, by model): stays, contribution 0.5", "noise (numeric, by serial): goes, contribution -0.1"]
 
 
+def test_a_looked_up_column_is_scored_on_unseen_keys(spark):
+    """Copies of a few rows: numbers by name go along with the price by chance of those rows, and say nothing of other names."""
+
+    def answer(request):
+        if request.get("kind") == "propose":
+            return {"columns": [{"attribute": a, "kind": "numeric", "keys": [k]} for a, k in (("square", "size"), ("noise", "name"))]}
+        return {"answers": [{"key": k, "value": str(int(k) ** 2 if request["attribute"] == "square" else int(k[1:]) * 7 % 12), "confidence": 0.9} for k in request["keys"]]}
+
+    rows = spark.createDataFrame([(i, i % 80 * 13 % 23, f"n{i % 80 * 5 % 12}", float((i % 80 * 13 % 23) ** 2)) for i in range(800)], "id long, size int, name string, price double")
+    auto = AutoLookup("price", "id", clients.FunctionClient(answer), folds=2, scored=True).fit(rows)
+    assert auto.kept() == ["square"]
+
+
 def test_most_frequent_grams_and_the_target_again(spark):
     frame = spark.createDataFrame([(1, "abab"), (2, "abc"), (3, "bcd")], "id long, text string")
     counts = neighbours.gram_counts(frame, "id", F.col("text"), 2, 2)
