@@ -116,3 +116,18 @@ def test_screen_fits_the_text_on_training_rows_only(spark, monkeypatch):
     row = screening.screen(frame, "y", "text", "id", folds=3).first()
     assert row["verdict"] == "worth_trying" and row["wins"] == 3 and row["score_with"] < 0.5 * row["score_without"]
     assert len(seen) == 3 and all(len(s) < 90 for s in seen) and set.union(*seen) == set(range(90)) and not set.intersection(*seen)
+
+
+def test_document_frequencies_shuffle_no_row_a_gram(spark):
+    draw = np.random.default_rng(7)
+    odd = [(None, "one Two"), (None, "two"), (7, "x 日本語 𝒳𝒴 a"), (7, "日本 x"), (9001, None), (9002, " \t"), (9003, "İx ab cd")]
+    rows = [(i, " ".join(draw.choice(WORDS, 12))) for i in range(400)] + odd
+    frame = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    spark.sparkContext.setJobGroup("frequencies", "frequencies")
+    got = {r["gram"]: r["df"] for r in neighbours.gram_frequencies(frame, "id", F.col("text")).collect()}
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("frequencies") for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext.setJobGroup("", "")
+    assert 0 < sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if tracker.getStageInfo(s)) < 6000  # 400 ids have over 40,000 grams
+    want = {r["gram"]: r["df"] for r in neighbours.gram_counts(frame, "id", F.col("text")).groupBy("gram").agg(F.count("*").alias("df")).collect()}
+    assert got == want and got["日本"] == 1
