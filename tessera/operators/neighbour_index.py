@@ -10,6 +10,10 @@ Numbers are compared by the mean standardised distance, vectors by the Euclidean
 as the cosine does. What is fitted (medians, deviations, pivots, blocks) is kept for any number of searches, and may be saved. A
 table of at most ``whole`` rows is one block, which each query visits. Hot blocks, those of equal rows for instance, are cut
 into pieces of at most ``whole`` rows, and queries of a block into pieces of ``QUERY_ROWS``, so a task is always bounded.
+
+One number has an order, so a larger table needs no blocks then: the k nearest rows are among the k least ids of each of the k + 1 next distinct
+values on either side. Distinct values are dealt to ranges, each with so many values of its neighbours, and each distinct query is answered
+once. Where values farther off may be as near, for rounding, a query goes to the blocks.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import TesseraError
@@ -31,6 +36,8 @@ from .quantiles import medians
 
 PIVOTS = 64
 QUERY_ROWS = 8192
+#: Most neighbours that are sought among next values.
+NEXT_VALUES = 64
 #: Slack of a bound, for rounding: relative, and absolute for directions, whose cosines are rounded to 12 digits.
 NEAR, ROUNDED = 1e-9, 1e-5
 
@@ -43,6 +50,42 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
 
 
+def next_values(k: int, weight: float, scale: float):
+    """A function of distinct queries (x) and values (y, ids): the k nearest (x, train_id, similarity, rank), or rank 0 where values farther off may be as near."""
+
+    def best(q: pa.Table, v: pa.Table) -> pa.Table:
+        v = v.sort_by("y")
+        xs, ys, lists = q.column("x").to_numpy(), v.column("y").to_numpy(), v.column("ids").combine_chunks()
+        ids, sizes = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        place = np.empty(len(ids) + 1, np.int64)
+        place[pc.sort_indices(ids).to_numpy()], place[-1] = np.arange(len(ids)), len(ids)
+        # Rows of ``ids`` by value; the last one stands for none.
+        held = np.where(np.arange(k) < sizes[:, None], (np.cumsum(sizes) - sizes)[:, None] + np.arange(k), len(ids))
+        held = np.concatenate([held, np.full((1, k), len(ids))])
+        out, step = [], max(1, neighbours.HELD // (k * (2 * k + 3)))
+        for a in range(0, len(xs), step):
+            x = xs[a : a + step]
+            at = np.searchsorted(ys, x, "left")[:, None] + np.arange(-k - 1, k + 2)
+            there = (at >= 0) & (at < len(ys))
+            at = np.where(there, at, len(ys))
+            near = np.where(there, -weight * (np.abs(x[:, None] - np.append(ys, 0.0)[at]) / scale), -np.inf)
+            row = held[at].reshape(len(x), -1)
+            each = np.where(row < len(ids), np.repeat(near, k, axis=1), -np.inf)
+            first = np.lexsort((place[row], -each), axis=1)[:, :k]
+            row, each = np.take_along_axis(row, first, 1), np.take_along_axis(each, first, 1)
+            some = row < len(ids)
+            outer = there[:, [0, -1]] & (near[:, [0, -1]] >= each[:, -1:])
+            some &= ~outer.any(1)[:, None]
+            i, rank = np.nonzero(some)
+            out.append((x[i], row[some], each[some], rank + 1))
+            lost = x[outer.any(1)]
+            out.append((lost, np.full(len(lost), -1), np.zeros(len(lost)), np.zeros(len(lost), int)))
+        x, row, near, rank = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((float, int, float, int)))
+        return pa.table({"x": x, "train_id": ids.take(pa.array(row, mask=row < 0)), "similarity": near, "rank": rank.astype(np.int32)})
+
+    return best
+
+
 class NeighbourIndex:
     """``numeric`` columns, or one ``vector`` column."""
 
@@ -146,6 +189,73 @@ class NeighbourIndex:
         """(id, train_id, similarity, rank): the k most similar rows of each query; ties go to the lesser train_id."""
         tables = Tables(queries.sparkSession)
         rows = tables.cut(self._rows(queries, "id", "x"))
+        if len(self.numeric) == 1 and self.size > self.whole and 0 < k <= NEXT_VALUES and self.weight > 0 and math.isfinite(self.scale[0]):
+            return self._next_values(rows, k, tables)
+        return self._search(rows, k, tables)
+
+    def _next_values(self, rows: DataFrame, k: int, tables: Tables) -> DataFrame:
+        """nearest() by one number."""
+        kinds = dict(rows.dtypes)["id"], dict(self.blocks.dtypes)["train_id"]
+        rows = tables.cut(rows.select("id", F.get("x", F.lit(0)).alias("x")), rows)
+        sought = tables.cut(rows.select("x").distinct())
+        # Row numbers up to a bound are cut before the shuffle too, so a frequent value is in no task whole.
+        least = Window.partitionBy("y").orderBy("train_id")
+        own = self.blocks.select("train_id", F.get("y", F.lit(0)).alias("y")).withColumn("n", F.row_number().over(least)).where(F.col("n") <= k)
+        values = tables.cut(own.groupBy("y").agg(F.array_sort(F.collect_list("train_id")).alias("ids")))
+        n, asked = values.count(), sought.count()
+        cells = math.ceil(max(n, asked) / QUERY_ROWS)
+        starts = np.unique(values.agg(F.percentile_approx("y", [i / cells for i in range(1, cells)], 20 * cells)).first()[0]) if cells > 1 else np.zeros(0)
+        wide = k + 1
+
+        def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The first and last values that a task has in each range."""
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                y = np.sort(batch.column("y").to_numpy())
+                at = np.searchsorted(starts, y, "right")
+                for c in np.unique(at):
+                    both = np.unique(np.concatenate([held.get(c, y[:0]), y[at == c]]))
+                    held[c] = both if len(both) <= 2 * wide else np.concatenate([both[:wide], both[-wide:]])
+            yield pa.record_batch([pa.array(np.concatenate([*held.values(), np.zeros(0)]))], ["y"])
+
+        # Twice so many values a range and a task, then at most twice so many a range, which the driver takes.
+        some = values.select("y").mapInArrow(ends, "y double").repartition(1).mapInArrow(ends, "y double") if len(starts) else values.limit(0).select("y")
+        edge = np.sort(some.toArrow()["y"].to_numpy())
+        below = np.searchsorted(edge, starts, "left")
+        low = np.concatenate([[-np.inf], [edge[i - wide] if i >= wide else -np.inf for i in below]])
+        high = np.concatenate([[edge[i + wide - 1] if i + wide <= len(edge) else np.inf for i in below], [np.inf]])
+
+        def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                y = batch.column("y").to_numpy()
+                first, last = np.searchsorted(high, y, "left"), np.searchsorted(low, y, "right") - 1
+                times = last - first + 1
+                at = np.repeat(np.arange(len(y)), times)
+                yield pa.record_batch([batch.column("y").take(pa.array(at)), batch.column("ids").take(pa.array(at)), pa.array((np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + first[at]).astype(np.int32))], ["y", "ids", "cell"])
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.record_batch([batch.column("x"), pa.array(np.searchsorted(starts, batch.column("x").to_numpy(), "right").astype(np.int32))], ["x", "cell"])
+
+        q = tables.cut(sought.mapInArrow(deal, "x double, cell int"))
+        chunks = F.broadcast(q.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("chunks")))  # a row a range
+        q = q.join(chunks, "cell").select("x", "cell", F.pmod(F.xxhash64("x"), F.col("chunks")).cast("int").alias("chunk"))
+        v = values.mapInArrow(reach, f"y double, ids array<{kinds[1]}>, cell int").join(chunks, "cell").select("y", "ids", "cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        best = next_values(k, self.weight, self.scale[0])
+        found = tables.cut(q.groupBy("cell", "chunk").cogroup(v.groupBy("cell", "chunk")).applyInArrow(best, f"x double, train_id {kinds[1]}, similarity double, rank int"))
+        out = rows.join(found.where("rank > 0"), "x").select("id", "train_id", "similarity", "rank")
+        unsure = found.where("rank = 0").select("x")
+        self.visited = {"queries": rows.count(), "blocks": len(starts) + 1, "visits": asked}
+        if unsure.head(1):
+            left = tables.cut(rows.join(unsure, "x", "left_semi").select("id", F.array("x").alias("x")))
+            seen = self.visited
+            out = out.unionByName(self._search(left, k, tables))
+            self.visited = seen | {"visits": seen["visits"] + self.visited["visits"]}
+        tables.drop(sought, values, q)
+        return out
+
+    def _search(self, rows: DataFrame, k: int, tables: Tables) -> DataFrame:
+        """nearest() by the blocks."""
         self.visited = {"queries": rows.count(), "blocks": len(self.n), "visits": 0}
         if not len(self.pivots):
             self.visited["visits"] = self.visited["queries"]

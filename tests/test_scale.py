@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.errors import TesseraError
-from tessera.operators import neighbours, profile, quantiles, routing, sampling
+from tessera.operators import neighbour_index, neighbours, profile, quantiles, routing, sampling
 from tessera.operators.models import Neighbours
-from tessera.operators.neighbour_index import NeighbourIndex
+from tessera.operators.neighbour_index import QUERY_ROWS, NeighbourIndex
 
 
 def test_quantiles_of_awkward_columns(spark):
@@ -87,6 +87,24 @@ def test_index_finds_the_nearest_numbers(spark, whole, tmp_path):
     assert listed(again.nearest(queries, 4)) == want and again.visited == seen
 
 
+def test_one_number_is_sought_among_next_values(spark):
+    """Frequent and rare values, ties, numbers too large to tell apart, nulls; the work grows with the distinct values."""
+    rng = random.Random(8)
+    value = lambda i: None if i % 50 == 0 else 3.0 if i % 3 else rng.choice([float(rng.randint(-40, 40)), rng.gauss(0, 30)])
+    train = spark.createDataFrame([(i, value(i)) for i in range(700)] + [(700 + i, float(i)) for i in range(60)], "id long, a double")
+    queries = spark.createDataFrame([(5000 + i, value(i + 1)) for i in range(200)] + [(6000, 1e19), (6001, 1000.0), (6002, None)], "id long, a double")
+    want = brute(queries.collect(), train.collect(), ["a"], 5, 0.15)
+    for rows in (4, QUERY_ROWS):
+        neighbour_index.QUERY_ROWS = rows
+        index = NeighbourIndex("id", ["a"], whole=50).fit(train)
+        try:
+            assert listed(index.nearest(queries, 5)) == want
+        finally:
+            neighbour_index.QUERY_ROWS = QUERY_ROWS
+        assert index.visited["queries"] == 203 and index.visited["visits"] < 203 and (index.visited["blocks"] > 1) == (rows == 4)
+    assert listed(index.nearest(queries.limit(0), 5)) == {}
+
+
 def test_visits_grow_slower_than_the_pairs(spark):
     share = []
     for n in (1000, 4000):
