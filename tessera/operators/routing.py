@@ -14,13 +14,17 @@ from .sampling import half_even
 
 #: Share of all places of unseen words from which on a word is hot.
 HOT_WORD = 1e-3
+#: Most rows that are taken in order by one task.
+TAKEN = 50_000
 # Estimates of an external answer, in seconds and dollars.
 SECONDS_A_CALL, SETUP_SECONDS, COST_A_ROW, WARN_DOLLARS = 4.6, 23.85, 0.0086, 0.10
 
 
 def top_rows(frame: DataFrame, signal: str, id_col: str, n: int, descending: bool = True) -> DataFrame:
-    """Exactly n rows of highest (or lowest) signal, ties to the lesser id: TakeOrdered, no full sort."""
+    """Exactly n rows of highest (or lowest) signal, ties to the lesser id: TakeOrdered for few, else by places, as it gathers n rows in one task."""
     order = F.col(signal).desc_nulls_last() if descending else F.col(signal).asc_nulls_last()
+    if n > TAKEN:
+        return places(frame, signal, id_col, descending).where(F.col("place") <= n).select(*frame.columns)
     return frame.orderBy(order, F.col(id_col)).limit(n)
 
 
@@ -96,11 +100,11 @@ def curve(frame: DataFrame, signal: str, id_col: str, truth: str, base: str, ans
     return placed.agg(F.array(*sums).alias("c")).select(F.inline("c"))
 
 
-def places(frame: DataFrame, signal: str, id_col: str) -> DataFrame:
-    """Adds ``place``, the rank from 1 by signal (descending, then id), without a window over one partition."""
+def places(frame: DataFrame, signal: str, id_col: str, descending: bool = True) -> DataFrame:
+    """Adds ``place``, the rank from 1 by signal (descending unless told, then id), without a window over one partition."""
     from pyspark.sql import Window
 
-    order = [F.col(signal).desc_nulls_last(), F.col(id_col)]
+    order = [F.col(signal).desc_nulls_last() if descending else F.col(signal).asc_nulls_last(), F.col(id_col)]
     parts = cut(frame.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     local = parts.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))

@@ -105,6 +105,20 @@ def test_one_number_is_sought_among_next_values(spark):
     assert listed(index.nearest(queries.limit(0), 5)) == {}
 
 
+def test_many_top_rows_are_not_gathered_in_one_task(spark, monkeypatch):
+    rows = [(i, None if i % 9 == 0 else float(i * 7 % 5)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, signal double").repartition(5)
+    for down in (True, False):
+        want = sorted(rows, key=lambda r: (r[1] is None, 0 if r[1] is None else -r[1] if down else r[1], r[0]))  # noqa: B023
+        for n in (0, 1, 120, 290, 400):
+            got = [routing.top_rows(frame, "signal", "id", n, down)]
+            monkeypatch.setattr(routing, "TAKEN", 10)
+            got.append(routing.top_rows(frame, "signal", "id", n, down))
+            monkeypatch.undo()
+            assert n <= 10 or "Limit" not in got[1]._jdf.queryExecution().optimizedPlan().toString()
+            assert all(sorted(tuple(r) for r in g.collect()) == sorted(want[:n]) for g in got)
+
+
 def test_visits_grow_slower_than_the_pairs(spark):
     share = []
     for n in (1000, 4000):
