@@ -48,6 +48,22 @@ def test_text_search_equals_all_pairs_and_skips_long_lists(spark):
     assert 0 < index.joined < 0.5 * index.all
 
 
+def test_equal_texts_are_compared_once(spark):
+    one = texts(spark, 30, 5)
+    copies = one.crossJoin(spark.range(12).withColumnRenamed("id", "copy")).select((F.col("id") * 12 + (F.col("copy") * 7 + F.col("id")) % 12).alias("id"), "text").repartition(4)
+    v = vectors(copies).cache()
+    ids, _, a = matrix(v)
+    index = TextIndex(digits=9).fit(v)
+    found = {(r["id"], r["rank"]): r["train_id"] for r in index.nearest(v.where("id % 20 = 0"), 15).collect()}
+    s = np.round(a @ a.T, 9)
+    assert found == {(i, rank): ids[j] for n, i in enumerate(ids) if i % 20 == 0 for rank, j in enumerate(sorted(range(len(ids)), key=lambda j: (-s[n, j], ids[j]))[:15], 1)}  # noqa: B023
+    # 18 queries of 30 texts: as many list rows as their different texts have among 30, not among 360.
+    assert index.size == 30 and 0 < index.all <= v.where("id % 20 = 0").count() * 30
+    pairs = spark.createDataFrame([(0, ids[1]), (0, ids[40]), (20, ids[41])], "id long, train_id long")
+    got = {(r["id"], r["train_id"]): r["similarity"] for r in index.similarities(pairs, v).collect()}
+    assert all(abs(x - s[ids.index(i), ids.index(j)]) < 2e-9 for (i, j), x in got.items()) and len(got) == 3
+
+
 def test_text_search_edges(spark):
     kind = "id long, gram string, w double"
     v = spark.createDataFrame([(1, "a", 1.0), (2, "a", 0.6), (2, "b", 0.8), (3, None, 1.0), (None, "a", 1.0), (4, "a", 1.0)], kind)
